@@ -1,9 +1,8 @@
 """Chat formatting: preference pairs with the common first turns rendered once as the prompt.
 
 Conversations are tables of turns. A pair names a chosen and a rejected conversation. The longest common prefix of
-their turns (equal role and text, from the first on) is the prompt; what follows in each is its completion. Turns are
-compared where both have one of the same place, found by a join on pair and place, so no conversation is gathered to
-find the prefix. Each rendered completion comes with the spans (start and end in characters) of its assistants' texts
+their turns (equal role and text, from the first on) is the prompt; what follows in each is its completion. A rendered
+pair is one row, so a conversation's turns come together in one row first. Each rendered completion comes with the spans (start and end in characters) of its assistants' texts
 with their end marks: what is inside is learned, all else is masked.
 
 Turns are put in order by `turn`, ties by role and text, nulls first, and exact copies of a turn count once. Null
@@ -28,9 +27,8 @@ def rendered(role: Column, text: Column) -> Column:
 
 
 def whole(df: DataFrame) -> DataFrame:
-    """conv_id and its turns in order, each with a hash of all turns up to it."""
-    rows = df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
-    return rows
+    """conv_id and its turns in order."""
+    return df.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
 
 
 def format_pairs(turns: DataFrame, pairs: DataFrame, learn: str = "assistant") -> DataFrame:

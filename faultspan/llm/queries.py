@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_ppm, decontaminate, language_id, preference, toxicity, url_filter, vantage, warc_zip
+from . import byte_bpe, byte_ppm, decontaminate, language_id, ngram_join, preference, toxicity, url_filter, vantage, warc_zip
 from .common import remainder, saved, shared_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -44,6 +44,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc")
 
@@ -88,5 +92,5 @@ def op10_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.search(table(spark, sf_dir, "embeddings"), F.expr("id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_ppm, op2_url_filter, op3_byte_bpe, op4_decontaminate, op6_warc_zip, op7_preference, op8_toxicity, op9_language_id, op10_vantage)}
+QUERIES = {f.__name__: f for f in (op1_byte_ppm, op2_url_filter, op3_byte_bpe, op4_decontaminate, op5_ngram_join, op6_warc_zip, op7_preference, op8_toxicity, op9_language_id, op10_vantage)}
 ORACLE_SQL: dict[str, str] = {}
