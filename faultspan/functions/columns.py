@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ def redacted(text: str | Column, custom: list[str] | None = None) -> Column:
 
 def redacted_json(text: str | Column, custom: list[str] | None = None) -> Column:
     """Redact the string values, not the keys, of any JSON text; what isn't JSON stays."""
-    import pandas as pd
-
     patterns = [re.compile(p) for p in SECRETS + list(custom or [])]
 
     @F.pandas_udf("string")
@@ -189,8 +188,6 @@ def clamped_severity(severity: str | Column) -> Column:
 
 def clamped_context(context: str | Column, keys: int = 20, depth: int = 2, text: int = 500, items: int = 10, total: int = 4000) -> Column:
     """Bound an arbitrary JSON object: keys by object, depth, text and array lengths, and its whole size; others are null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def walk(texts: pd.Series) -> pd.Series:
         import json

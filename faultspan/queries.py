@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 from faultspan import schema
 from faultspan.functions import columns as C
 from faultspan.operators import analytics as A
+from faultspan.operators import audit as U
 from faultspan.operators import filters as L
+from faultspan.operators import mutations as M
+from faultspan.operators import search as S
+from faultspan.operators import traces as R
 from faultspan.sources import fixtures
+from faultspan.sources import ingest as G
+from faultspan.sources import io as IO
+from faultspan.streaming import jobs as J
+from faultspan.streaming import stateful as Z
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -42,7 +50,7 @@ EV = f"""WITH ev AS (SELECT *, {RANK_SQL} AS severity_rank, {NORM_SQL} AS stack_
 FIRST_MS = 1704067200000  # 2024-01-01
 DAY = 86_400_000
 SOME = L.Filters(environment="prod", severity_min="warn", start_ms=FIRST_MS, end_ms=FIRST_MS + 20 * DAY, resolved=False, tags=("err", "purch"))
-SOME_SQL = f"environment = 'prod' AND severity_rank >= 40 AND epoch_ms(ts) BETWEEN {FIRST_MS} AND {FIRST_MS + 20 * DAY} AND resolved_at IS NULL AND (len(list_filter(tags, x -> contains(x, 'err'))) > 0 OR len(list_filter(tags, x -> contains(x, 'purch'))) > 0)"
+SOME_SQL = f"environment = 'prod' AND severity_rank >= 40 AND epoch_ms(ts) BETWEEN {FIRST_MS} AND {FIRST_MS + 20 * DAY} AND resolved_at IS NULL AND (contains(array_to_string(tags, '|'), 'err') OR contains(array_to_string(tags, '|'), 'purch'))"
 
 
 @query(EV + f"SELECT id, event_id, application, severity, category FROM ev WHERE {SOME_SQL}")
@@ -162,3 +170,406 @@ ALIAS = "als(alias, canonical) AS (VALUES " + ", ".join(f"('{a}', '{c}')" for a,
 def category_rollup(spark, sf_dir):
     df = C.canonical_category(events(spark, sf_dir), schema.aliases(spark))
     return A.category_rollup(df, schema.categories(spark)).select("canonical", "label", "own", "total")
+
+
+# --- column functions ---------------------------------------------------------------------------------------------
+
+_HIDE = "message"
+for _p in schema.SECRETS:
+    _n = re.compile(_p).groups
+    _HIDE = "regexp_replace({}, '{}', '{}', 'g')".format(_HIDE, _p.replace("'", "''"), "\\1" + schema.HIDDEN + ("\\2" if _n > 1 else ""))
+
+
+@query(EV + f"SELECT id, {_HIDE} AS message FROM ev")
+def redact_messages(spark, sf_dir):
+    return events(spark, sf_dir).select("id", C.redacted("message").alias("message"))
+
+
+@query(EV + "SELECT id, metadata FROM ev")
+def redact_json(spark, sf_dir):
+    return events(spark, sf_dir).select("id", C.redacted_json("metadata").alias("metadata"))
+
+
+@query(EV + "SELECT id, stack_norm FROM ev")
+def stack_norm(spark, sf_dir):
+    return events(spark, sf_dir).select("id", "stack_norm")
+
+
+@query(EV + "SELECT id, fingerprint FROM ev")
+def fingerprint_all(spark, sf_dir):
+    return events(spark, sf_dir).select("id", "fingerprint")
+
+
+CUSTOM = [schema.Rule("timeouts", "regex", "(?i)timeout", "infrastructure.network.timeout", ("slow",))]
+_STAGED = [r for kinds in (("error_code",), ("exception",), ("keyword", "regex")) for r in CUSTOM + schema.RULES if r.kind in kinds]
+_FITS = {"error_code": "error_code = '{}'", "exception": "exception = '{}'", "keyword": "contains(lower(message), '{}')", "regex": "regexp_matches(message, '{}')"}
+_CASE = lambda part, none: "CASE " + " ".join(f"WHEN {_FITS[r.kind].format(r.value)} THEN '{part(r)}'" for r in _STAGED) + f" ELSE {none} END"
+CLASS_SQL = f"{_CASE(lambda r: r.category, 'NULL')} AS found, {_CASE(lambda r: r.id, 'NULL')} AS rule_id, {_CASE(lambda r: ' '.join(r.tags), chr(39) + 'unclassified' + chr(39))} AS rule_tags"
+
+
+@query(EV + f"SELECT id, {CLASS_SQL} FROM ev")
+def classify_all(spark, sf_dir):
+    return events(spark, sf_dir).select("id", C.classified(CUSTOM).alias("c")).select("id", F.col("c.category").alias("found"), "c.rule_id", F.array_join("c.tags", " ").alias("rule_tags"))
+
+
+@query(EV + f", x AS (SELECT id, category, tags, {CLASS_SQL} FROM ev) SELECT id, coalesce(category, found) AS category, array_to_string(tags, ' ') || CASE WHEN category IS NULL THEN ' ' || rule_tags ELSE '' END AS tags_text FROM x")
+def classify_events(spark, sf_dir):
+    return C.classified_event(events(spark, sf_dir), CUSTOM).select("id", "category", C.tags_text("tags").alias("tags_text"))
+
+
+@query(EV + f", {ALIAS} SELECT id, coalesce(canonical, category) AS category FROM ev LEFT JOIN als ON category = alias")
+def alias_resolve(spark, sf_dir):
+    return C.canonical_category(events(spark, sf_dir), schema.aliases(spark)).select("id", "category")
+
+
+@query(EV + "SELECT id, severity_rank, CAST(json_extract_string(context, '$.pid') AS INT) AS ctx_pid, json_extract_string(context, '$.request_id') AS ctx_request_id, CAST(json_extract_string(context, '$.duration_ms') AS INT) AS ctx_duration_ms, array_to_string(tags, ' ') AS tags_text, epoch_ms(ts) AS ts_ms FROM ev")
+def event_projection(spark, sf_dir):
+    df = events(spark, sf_dir)
+    p = C.promoted("context")
+    return df.select("id", "severity_rank", *(p[c].alias(c) for c in ("ctx_pid", "ctx_request_id", "ctx_duration_ms")), C.tags_text("tags").alias("tags_text"), C.epoch_ms("ts").alias("ts_ms"))
+
+
+@query(EV + "SELECT id, metadata AS plain, '\"<encrypted>\"' AS without_key FROM ev")
+def crypto_roundtrip(spark, sf_dir):
+    key = F.unhex(F.lit("00112233445566778899aabbccddeeff00112233445566778899aabbccddeeff"))
+    df = events(spark, sf_dir).select("id", C.encrypted("metadata", key).alias("sealed"))
+    return df.select("id", C.decrypted("sealed", key).alias("plain"), C.decrypted("sealed", None).alias("without_key"))
+
+
+@query(EV + """SELECT id, coalesce(hostname, 'batch-1') AS hostname, json_extract_string(context, '$.pid') AS pid, 'abc1234' AS git_commit FROM ev""")
+def context_defaults(spark, sf_dir):
+    df = C.with_defaults(events(spark, sf_dir), F.lit("batch-1"), {"pid": F.lit("7"), "git_commit": C.short_commit(F.lit("abc1234def"))})
+    return df.select("id", "hostname", F.get_json_object("context", "$.pid").alias("pid"), F.get_json_object("context", "$.git_commit").alias("git_commit"))
+
+
+# --- text search --------------------------------------------------------------------------------------------------
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select((F.col("doc_id") + 1).alias("id"), F.col("text").alias("message"), F.col("source").alias("application"), F.col("lang").alias("category"))
+
+
+TOK = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}\\p{{Co}}._:/-]+')"
+POST = f"""WITH f AS (SELECT doc_id + 1 AS id, 'message' AS field, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id + 1, 'category', lang FROM documents WHERE lang IS NOT NULL),
+ k AS (SELECT id, field, {TOK.format("t")} AS ts FROM f), p AS (SELECT id, field, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM k),
+ ln AS (SELECT doc_id + 1 AS id, coalesce(n, 0) AS len FROM documents LEFT JOIN (SELECT id, count(*) AS n FROM p GROUP BY id) x ON x.id = doc_id + 1), st AS (SELECT count(*) AS rows, avg(len) AS avgdl FROM ln)
+"""
+_W = "CASE field WHEN 'message' THEN 3.0 ELSE 1.0 END"
+
+
+@query(POST + "SELECT token, field, count(*) AS n, count(DISTINCT id) AS rows, max(pos) AS last_pos FROM p GROUP BY ALL")
+def postings(spark, sf_dir):
+    p = S.postings(documents(spark, sf_dir))
+    return p.groupBy("token", "field").agg(F.count("*").alias("n"), F.countDistinct("id").alias("rows"), F.max("pos").cast("bigint").alias("last_pos"))
+
+
+@query(POST + "SELECT ln.id, len, rows, round(avgdl, 6) AS avgdl FROM ln, st")
+def doc_stats(spark, sf_dir):
+    ix = S.index(documents(spark, sf_dir))
+    return ix.lengths.crossJoin(F.broadcast(ix.stats)).withColumn("avgdl", F.round("avgdl", 6))
+
+
+def _scored(*parts: str, keep: str) -> str:
+    """bm25 in SQL: parts select id, w for every hit that counts; keep selects the ids found."""
+    per = " UNION ALL ".join(f"SELECT id, {i} AS ph, sum(w) AS f FROM ({p}) GROUP BY id" for i, p in enumerate(parts))
+    return (
+        POST + f", h AS ({per}), d AS (SELECT ph, count(DISTINCT id) AS df FROM h GROUP BY ph), keep AS ({keep}) "
+        "SELECT h.id, round(-sum(greatest(ln((rows - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score "
+        "FROM h JOIN d USING (ph) JOIN ln ON h.id = ln.id, st WHERE h.id IN (SELECT id FROM keep) GROUP BY h.id"
+    )
+
+
+def _hit(*ws: str) -> str:
+    on = " ".join(f"JOIN p p{i} ON p{i}.id = p0.id AND p{i}.field = p0.field AND p{i}.pos = p0.pos + {i} AND p{i}.token = '{w}'" for i, w in enumerate(ws) if i)
+    return f"SELECT p0.id, p0.field, p0.pos AS s, p0.pos + {len(ws) - 1} AS e, {_W.replace('field', 'p0.field')} AS w FROM p p0 {on} WHERE p0.token = '{ws[0]}'"
+
+
+_ID = lambda x: f"SELECT id FROM ({x})"
+_PRE = f"SELECT id, field, {_W} AS w FROM p WHERE starts_with(token, 'there')"
+_CATHIT = "SELECT id, field, 1.0 AS w FROM p WHERE token = 'es' AND field = 'category'"
+_NEAR = f"SELECT DISTINCT a.id FROM ({_hit('the')}) a JOIN ({_hit('inea')}) b ON a.id = b.id AND a.field = b.field AND greatest(a.s, b.s) - CASE WHEN a.s <= b.s THEN a.e ELSE b.e END - 1 <= 4"
+
+
+def _near_part(own: str, other: str) -> str:
+    return f"SELECT DISTINCT a.id, a.field, a.s, a.w FROM ({_hit(own)}) a JOIN ({_hit(other)}) b ON a.id = b.id AND a.field = b.field AND greatest(a.s, b.s) - CASE WHEN a.s <= b.s THEN a.e ELSE b.e END - 1 <= 4"
+
+
+SEARCHES = {
+    "search_term": (lambda: S.term("inea"), _scored(_hit("inea"), keep=_ID(_hit("inea")))),
+    "search_prefix": (lambda: S.prefix("there*"), _scored(_PRE, keep=_ID(_PRE))),
+    "search_phrase": (lambda: S.phrase("of the"), _scored(_hit("of", "the"), keep=_ID(_hit("of", "the")))),
+    "search_and": (lambda: S.term("inea") & S.term("scum"), _scored(_hit("inea"), _hit("scum"), keep=f"{_ID(_hit('inea'))} INTERSECT {_ID(_hit('scum'))}")),
+    "search_or": (lambda: S.term("idiot") | S.term("scum"), _scored(_hit("idiot"), _hit("scum"), keep=f"{_ID(_hit('idiot'))} UNION {_ID(_hit('scum'))}")),
+    "search_not": (lambda: S.term("and") - S.term("inea"), _scored(_hit("and"), keep=f"{_ID(_hit('and'))} EXCEPT {_ID(_hit('inea'))}")),
+    "search_field": (lambda: S.term("es").in_field("category"), _scored(_CATHIT, keep=_ID(_CATHIT))),
+}
+for _name, (_make, _sql) in SEARCHES.items():
+    query(_sql, _name)(lambda spark, sf_dir, make=_make: S.scores(S.index(documents(spark, sf_dir)), make()).select("id", F.round("score", 6).alias("score")))
+
+
+@query(POST + _NEAR)
+def search_near(spark, sf_dir):
+    return S.matches(S.index(documents(spark, sf_dir)), S.near(S.term("the"), S.term("inea"), within=4))
+
+
+@query(
+    POST
+    + f", h AS (SELECT id, 0 AS ph, sum(w) AS f FROM ({_near_part('the', 'inea')}) GROUP BY id UNION ALL SELECT id, 1, sum(w) FROM ({_near_part('inea', 'the')}) GROUP BY id), "
+    + f"d AS (SELECT 0 AS ph, count(DISTINCT id) AS df FROM ({_hit('the')}) UNION ALL SELECT 1, count(DISTINCT id) FROM ({_hit('inea')})) "
+    + "SELECT h.id, round(-sum(greatest(ln((rows - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM h JOIN d USING (ph) JOIN ln ON h.id = ln.id, st GROUP BY h.id"
+)
+def search_near_scored(spark, sf_dir):
+    return S.scores(S.index(documents(spark, sf_dir)), S.near(S.term("the"), S.term("inea"), within=4)).select("id", F.round("score", 6).alias("score"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS qid, id, score FROM ({SEARCHES[n][1]})" for n in ("search_term", "search_phrase")))
+def bm25_batch(spark, sf_dir):
+    made = {n: SEARCHES[n][0]() for n in ("search_term", "search_phrase")}
+    return S.batch(S.index(documents(spark, sf_dir)), made).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"WITH t AS (SELECT doc_id + 1 AS id, source FROM documents), x AS ({SEARCHES['search_term'][1]}) SELECT x.id, score FROM x JOIN t USING (id) WHERE source = 'src0' ORDER BY score, id DESC LIMIT 20"
+)
+def search_page(spark, sf_dir):
+    """The first page by rank among the documents of one source; scores are over all documents."""
+    df = documents(spark, sf_dir).withColumns({"ts": F.timestamp_seconds(F.lit(0)), "resolved_at": F.lit(None)})
+    rows = S.found(df, S.index(df), S.term("inea"), L.Filters(application="src0"), by_rank=True).withColumn("score", F.round("score", 6))
+    return L.page(rows, 20, by_score=True).select("id", "score")
+
+
+@query(EV + "SELECT a.event_id AS of_id, b.id, b.event_id FROM ev a JOIN ev b USING (fingerprint) WHERE a.event_id <> b.event_id AND a.id % 500 = 1")
+def similar_by_fingerprint(spark, sf_dir):
+    df = events(spark, sf_dir)
+    return S.similar_by_fingerprint(df, df.where("id % 500 = 1"))
+
+
+@query(EV + "SELECT a.event_id AS of_id, b.id FROM ev a JOIN ev b ON a.message = b.message OR (a.message LIKE 'Disk Full%' AND b.message = a.message) WHERE a.id <> b.id AND a.id % 1000 = 1")
+def similar_by_text(spark, sf_dir):
+    df = events(spark, sf_dir)
+    return S.similar_by_text(df, S.index(df), df.where("id % 1000 = 1"))
+
+
+# --- traces -------------------------------------------------------------------------------------------------------
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.read(spark, sf_dir, "error_edges")
+
+
+EDGES = f"edges AS ({fixtures.sql('error_edges')})"
+
+
+@query(EV + "SELECT correlation_id, id, row_number() OVER (PARTITION BY correlation_id ORDER BY ts, id) AS step FROM ev WHERE correlation_id IS NOT NULL")
+def trace_timeline(spark, sf_dir):
+    return R.timeline(events(spark, sf_dir)).select("correlation_id", "id", F.col("step").cast("bigint").alias("step"))
+
+
+@query(EV + "SELECT correlation_id, count(*) AS n, epoch_ms(min(ts)) AS start_ms, epoch_ms(max(ts)) AS end_ms, array_to_string(list_sort(list(DISTINCT application)), ',') AS applications, max(severity_rank) AS worst FROM ev WHERE correlation_id IS NOT NULL GROUP BY correlation_id")
+def trace_summary(spark, sf_dir):
+    return R.summary(events(spark, sf_dir)).select("correlation_id", "n", C.epoch_ms("start").alias("start_ms"), C.epoch_ms("end").alias("end_ms"), F.array_join("applications", ",").alias("applications"), "worst")
+
+
+@query(EV + f", {EDGES} SELECT DISTINCT src_event_id, dst_event_id, rel FROM edges WHERE src_event_id IN (SELECT event_id FROM ev WHERE id % 7 = 1) OR dst_event_id IN (SELECT event_id FROM ev WHERE id % 7 = 1)")
+def edge_lookup(spark, sf_dir):
+    return R.edges_of(edges(spark, sf_dir), events(spark, sf_dir).where("id % 7 = 1"))
+
+
+def _walk_sql(up: bool) -> str:
+    step = "e.event_id = w.p" if up else "e.parent_event_id = w.event_id"
+    return "WITH RECURSIVE " + EV[5:] + f", w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, 0 AS depth FROM ev WHERE id % 40 = {6 if up else 1} UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, w.depth + 1 FROM w JOIN ev e ON {step}) SELECT of_id, event_id, depth FROM w WHERE depth > 0"
+
+
+@query(_walk_sql(True))
+def ancestors(spark, sf_dir):
+    df = events(spark, sf_dir)
+    return R.present(df, R.ancestors(df, df.where("id % 40 = 6"))).select("of_id", "event_id", "depth")
+
+
+@query(_walk_sql(False))
+def descendants(spark, sf_dir):
+    df = events(spark, sf_dir)
+    return R.descendants(df, df.where("id % 40 = 1")).select("of_id", "event_id", "depth")
+
+
+ROOTS = "WITH RECURSIVE " + EV[5:] + ", w AS (SELECT event_id, event_id AS root_id, 0 AS depth FROM ev WHERE parent_event_id IS NULL OR parent_event_id NOT IN (SELECT event_id FROM ev) UNION ALL SELECT e.event_id, w.root_id, w.depth + 1 FROM w JOIN ev e ON e.parent_event_id = w.event_id)"
+
+
+@query(ROOTS + " SELECT event_id, root_id, CAST(depth AS BIGINT) AS depth, false AS cycle FROM w")
+def root_assignment(spark, sf_dir):
+    return R.roots(events(spark, sf_dir))
+
+
+@query(ROOTS + " SELECT root_id, count(*) AS n, CAST(max(depth) AS BIGINT) AS deepest FROM w GROUP BY root_id")
+def tree_sizes(spark, sf_dir):
+    return R.tree_sizes(R.roots(events(spark, sf_dir)))
+
+
+@query("WITH RECURSIVE " + EV[5:] + f", {ROLL}, w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, ts, id FROM ev WHERE id % 40 = 6 UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, e.ts, e.id FROM w JOIN ev e ON e.event_id = w.p) SELECT of_id AS event_id, arg_min(w.event_id, (w.ts, w.id)) FILTER (p IS NULL) AS root_cause_id, count(*) AS chain, max(roll.count) AS recurrence FROM w JOIN ev x ON x.event_id = of_id JOIN roll ON roll.fingerprint = x.fingerprint GROUP BY of_id")
+def explain_flat(spark, sf_dir):
+    df = events(spark, sf_dir)
+    return R.explain(df, edges(spark, sf_dir), df.where("id % 40 = 6")).select("event_id", "root_cause_id", F.size("chain").cast("bigint").alias("chain"), "recurrence")
+
+
+# --- changes ------------------------------------------------------------------------------------------------------
+
+UPD = f"u AS (SELECT event_id, min(resolved_at) AS a, max(CASE WHEN force THEN resolved_at END) AS f FROM ({fixtures.sql('resolutions')}) GROUP BY event_id)"
+
+
+@query(EV + f", {UPD} SELECT id, epoch_ms(coalesce(u.f, resolved_at, u.a)) AS resolved_ms FROM ev LEFT JOIN u USING (event_id)")
+def resolve_apply(spark, sf_dir):
+    return M.resolve(events(spark, sf_dir), fixtures.read(spark, sf_dir, "resolutions"))[0].select("id", C.epoch_ms("resolved_at").alias("resolved_ms"))
+
+
+@query(EV + f", {UPD} SELECT CASE WHEN ev.event_id IS NULL THEN 'unmatched' WHEN resolved_at IS NULL THEN 'resolved' WHEN u.f IS NOT NULL THEN 'forced' ELSE 'already_resolved' END AS outcome, count(*) AS n FROM u LEFT JOIN ev USING (event_id) GROUP BY 1")
+def resolve_outcomes(spark, sf_dir):
+    return A.outcome_counts(M.resolve(events(spark, sf_dir), fixtures.read(spark, sf_dir, "resolutions"))[1])
+
+
+WHAT = M.Selector(resolved_before_ms=FIRST_MS + 10 * DAY)
+GONE = "resolved_at IS NOT NULL AND resolved_at < TIMESTAMP '2024-01-11'"
+
+
+@query(EV + f"SELECT event_id FROM ev WHERE {GONE}")
+def delete_preview(spark, sf_dir):
+    return M.preview(events(spark, sf_dir), WHAT)
+
+
+def _deleted(spark, sf_dir):
+    return M.delete(events(spark, sf_dir), edges(spark, sf_dir), WHAT.column(), F.timestamp_millis(F.lit(FIRST_MS)))
+
+
+@query(EV + f"SELECT id, event_id FROM ev WHERE NOT ({GONE}) OR resolved_at IS NULL")
+def delete_survivors(spark, sf_dir):
+    return _deleted(spark, sf_dir)[0].select("id", "event_id")
+
+
+@query(EV + f"SELECT id AS row_id, event_id, '' AS audit_hash FROM ev WHERE {GONE}")
+def tombstones(spark, sf_dir):
+    return _deleted(spark, sf_dir)[1].select("row_id", "event_id", "audit_hash")
+
+
+@query(EV + f", {EDGES}, g AS (SELECT event_id FROM ev WHERE {GONE}) SELECT src_event_id, dst_event_id, rel FROM edges WHERE src_event_id NOT IN (SELECT event_id FROM g) AND dst_event_id NOT IN (SELECT event_id FROM g)")
+def delete_edges(spark, sf_dir):
+    return _deleted(spark, sf_dir)[2]
+
+
+@query(EV + f"SELECT id FROM ev WHERE epoch_ms(ts) >= {FIRST_MS + 30 * DAY} - 20 * {DAY}")
+def prune(spark, sf_dir):
+    return M.prune(events(spark, sf_dir), edges(spark, sf_dir), "20d", FIRST_MS + 30 * DAY)[0].select("id")
+
+
+@query(EV + f"SELECT id FROM ev WHERE epoch_ms(ts) >= {FIRST_MS + 30 * DAY} - 20 * {DAY} ORDER BY ts DESC, id DESC LIMIT 500")
+def retention(spark, sf_dir):
+    return M.retained(events(spark, sf_dir), FIRST_MS + 30 * DAY, "20d", 500).select("id")
+
+
+@query(EV + f"SELECT year(ts) AS arch_year, quarter(ts) AS arch_quarter, id FROM ev WHERE epoch_ms(ts) < {FIRST_MS + 30 * DAY} - 20 * {DAY}")
+def archive_split(spark, sf_dir):
+    old, _ = M.archive(events(spark, sf_dir), "20d", FIRST_MS + 30 * DAY)
+    return old.select(F.col("arch_year").cast("bigint").alias("arch_year"), F.col("arch_quarter").cast("bigint").alias("arch_quarter"), "id")
+
+
+@query(EV + "SELECT CASE WHEN id % 11 = 0 THEN 'malformed' WHEN id % 2 = 0 THEN 'duplicate' ELSE 'imported' END AS outcome, count(*) AS n FROM ev GROUP BY 1")
+def import_outcomes(spark, sf_dir):
+    """Of all events as JSON lines, every 11th broken, merged into a store that has the even ones."""
+    df = events(spark, sf_dir)
+    lines = df.select(F.col("id").alias("line"), F.when(F.col("id") % 11 == 0, "{broken").otherwise(F.to_json(F.struct("id", "event_id", "ts", "message"))).alias("value"))
+    return M.merge_import(df.where("id % 2 = 0"), IO.parsed_lines(lines))[1]
+
+
+# --- audit --------------------------------------------------------------------------------------------------------
+
+
+def chained(spark: SparkSession, sf_dir: str, tampered: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Events as one chain, of which every tenth from 4 on is deleted with a tombstone, and one message is edited."""
+    df = U.build(events(spark, sf_dir)).checkpoint()
+    left, stones, _ = M.delete(df, edges(spark, sf_dir), F.col("id") % 10 == 4, F.timestamp_millis(F.lit(FIRST_MS)))
+    return (left.withColumn("message", F.when(F.col("id") == 777, "edited").otherwise(F.col("message"))) if tampered else left), stones
+
+
+@query(EV + "SELECT (SELECT max(id) FROM ev) < 777 AS ok, count(*) FILTER (id % 10 <> 4 AND id < 777) AS rows_checked, count(*) FILTER (id % 10 = 5 AND id < 777) AS tombstones_bridged, max(CASE WHEN id = 777 THEN 777 END) AS first_break FROM ev")
+def audit_verify(spark, sf_dir):
+    return U.verify(*chained(spark, sf_dir))
+
+
+@query(EV + "SELECT id, event_id FROM ev WHERE id = 777")
+def audit_breaks(spark, sf_dir):
+    return U.breaks(*chained(spark, sf_dir)).select("id", "event_id")
+
+
+@query(EV + "SELECT count(*) AS tombstones, min(id) AS first_row, max(id) AS last_row FROM ev WHERE id % 10 = 4")
+def tombstone_report(spark, sf_dir):
+    return U.tombstone_report(chained(spark, sf_dir)[1])
+
+
+@query()
+def audit_build(spark, sf_dir):
+    """A chain for each application."""
+    return U.build(events(spark, sf_dir), F.col("application")).select("id", "application", "audit_hash")
+
+
+# --- ingest -------------------------------------------------------------------------------------------------------
+
+ORIGINS = [f"https://app{i}.example" for i in range(3)]
+REQ = f"WITH q AS ({fixtures.sql('ingest_requests')}), g AS (SELECT *, CASE WHEN remote_addr NOT IN ('127.0.0.1', '::1') THEN 403 WHEN origin = 'https://evil.example' THEN 403 WHEN body = '{{broken' THEN 400 ELSE 202 END AS status FROM q)"
+
+
+@query(REQ + " SELECT status, count(*) AS n FROM g GROUP BY status")
+def ingest_status_counts(spark, sf_dir):
+    return A.outcome_counts(G.guard(fixtures.read(spark, sf_dir, "ingest_requests"), ORIGINS), "status")
+
+
+@query(
+    REQ
+    + """, e AS (SELECT request_id, user_agent, unnest([0, 1]) AS at, body FROM g WHERE status = 202)
+SELECT request_id, at, 'shop' AS application, CASE WHEN at = 0 AND json_extract_string(body, '$.events[0].severity') = 'warn' THEN 'warn' ELSE 'error' END AS severity,
+ CASE at WHEN 0 THEN json_extract_string(body, '$.events[0].message') ELSE 'second' END AS message, CASE at WHEN 0 THEN json_extract_string(body, '$.events[0].error_code') END AS error_code,
+ CASE at WHEN 0 THEN 'browser a b' ELSE 'browser' END AS tags_text, CASE at WHEN 0 THEN json_extract_string(body, '$.events[0].context.url') END AS url, user_agent FROM e"""
+)
+def ingest_browser(spark, sf_dir):
+    rows = G.browser_batches(G.guard(fixtures.read(spark, sf_dir, "ingest_requests"), ORIGINS), "shop")
+    return rows.select("request_id", "at", "application", "severity", "message", "error_code", F.array_join("tags", " ").alias("tags_text"), "url", "user_agent")
+
+
+@query(
+    f"""WITH h AS ({fixtures.sql("http_log")}) SELECT request_id, CASE WHEN status IS NULL OR status >= 500 THEN 'error' ELSE 'warn' END AS severity,
+ CASE WHEN status IS NULL THEN 'UPSTREAM_UNREACHABLE' WHEN body <> 'plain text' THEN 'CONFLICT' ELSE 'HTTP_' || status END AS error_code,
+ method || ' ' || regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || ' → ' || coalesce(CAST(status AS VARCHAR), 'unreachable') || CASE WHEN body <> 'plain text' THEN ' (' || json_extract_string(CASE WHEN body <> 'plain text' THEN body ELSE '{{}}' END, '$.error.message') || ')' ELSE '' END AS message,
+ 'fetch upstream-' || CASE WHEN status IS NULL THEN 'unreachable' WHEN status >= 500 THEN '5xx' ELSE '4xx' END || CASE WHEN status IS NULL OR status >= 500 OR status IN (408, 429) THEN ' retryable' ELSE '' END AS tags_text, correlation_id
+ FROM h WHERE status IS NULL OR status >= 400"""
+)
+def http_outcomes(spark, sf_dir):
+    return G.http_outcomes(fixtures.read(spark, sf_dir, "http_log")).select("request_id", "severity", "error_code", "message", F.array_join("tags", " ").alias("tags_text"), "correlation_id")
+
+
+@query(f"WITH w AS ({fixtures.sql('ws_close_log')}) SELECT close_id, CASE WHEN auth_reason IS NOT NULL THEN 'COLLAB_AUTH_FAILED' ELSE 'WS_CLOSE_' || code END AS error_code, 'websocket closed: ' || code AS message FROM w WHERE code NOT IN (1000, 1001) AND NOT was_clean")
+def ws_closes(spark, sf_dir):
+    return G.socket_closes(fixtures.read(spark, sf_dir, "ws_close_log"), only_unclean=True).select("close_id", "error_code", "message")
+
+
+# --- keys with state ----------------------------------------------------------------------------------------------
+
+
+@query()
+def throttle_notify(spark, sf_dir):
+    return Z.throttled(events(spark, sf_dir), 3_600_000).select("id", "fingerprint")
+
+
+@query()
+def rate_limit(spark, sf_dir):
+    return Z.rate_limited(Z.client_key(fixtures.read(spark, sf_dir, "ingest_requests")), 2, 600_000).select("request_id", "client", "limited")
+
+
+@query(EV + "SELECT 'all' AS source_db, id FROM (SELECT id, ts FROM ev ORDER BY ts DESC, id DESC LIMIT 5) UNION ALL SELECT 'prod', id FROM (SELECT id, ts FROM ev WHERE environment = 'prod' ORDER BY ts DESC, id DESC LIMIT 5)")
+def federated_top(spark, sf_dir):
+    df = events(spark, sf_dir).select("id", "ts", "environment")
+    both = df.withColumn("source_db", F.lit("all")).unionByName(df.where("environment = 'prod'").withColumn("source_db", F.lit("prod")))
+    return IO.top_of_each(both, 5).select("source_db", "id")
+
+
+@query(EV + f", {CATS}, {ALIAS}, x AS (SELECT id, severity, category, tags, {CLASS_SQL.replace('message', 'm2')} FROM (SELECT *, {_HIDE} AS m2 FROM ev)) SELECT id, coalesce(als.canonical, category, found) AS category FROM x LEFT JOIN als ON category = alias")
+def ingest_pipeline(spark, sf_dir):
+    out = J.pipeline(fixtures.read(spark, sf_dir, "error_events"), schema.aliases(spark), CUSTOM)
+    return out.select("id", "category")
