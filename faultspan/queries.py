@@ -523,14 +523,14 @@ def ingest_status_counts(spark, sf_dir):
 
 @query(
     REQ
-    + """, e AS (SELECT request_id, user_agent, unnest([0, 1]) AS at, body FROM g WHERE status = 202)
-SELECT request_id, at, 'shop' AS application, CASE WHEN at = 0 AND json_extract_string(body, '$.events[0].severity') = 'warn' THEN 'warn' ELSE 'error' END AS severity,
- CASE at WHEN 0 THEN json_extract_string(body, '$.events[0].message') ELSE 'second' END AS message, CASE at WHEN 0 THEN json_extract_string(body, '$.events[0].error_code') END AS error_code,
- CASE at WHEN 0 THEN 'browser a b' ELSE 'browser' END AS tags_text, CASE at WHEN 0 THEN json_extract_string(body, '$.events[0].context.url') END AS url, user_agent FROM e"""
+    + """, e AS (SELECT request_id, user_agent, unnest([0, 1]) AS place, body FROM g WHERE status = 202)
+SELECT request_id, place, 'shop' AS application, CASE WHEN place = 0 AND json_extract_string(body, '$.events[0].severity') = 'warn' THEN 'warn' ELSE 'error' END AS severity,
+ CASE place WHEN 0 THEN json_extract_string(body, '$.events[0].message') ELSE 'second' END AS message, CASE place WHEN 0 THEN json_extract_string(body, '$.events[0].error_code') END AS error_code,
+ CASE place WHEN 0 THEN 'browser a b' ELSE 'browser' END AS tags_text, CASE place WHEN 0 THEN json_extract_string(body, '$.events[0].context.url') END AS url, user_agent FROM e"""
 )
 def ingest_browser(spark, sf_dir):
     rows = G.browser_batches(G.guard(fixtures.read(spark, sf_dir, "ingest_requests"), ORIGINS), "shop")
-    return rows.select("request_id", "at", "application", "severity", "message", "error_code", F.array_join("tags", " ").alias("tags_text"), "url", "user_agent")
+    return rows.select("request_id", "place", "application", "severity", "message", "error_code", F.array_join("tags", " ").alias("tags_text"), "url", "user_agent")
 
 
 @query(

@@ -11,12 +11,18 @@ from pyspark.sql import types as T
 SEVERITIES = ["trace", "debug", "info", "warn", "error", "critical", "fatal"]
 RANKS = {s: 10 * i for i, s in enumerate(SEVERITIES, 1)}
 
-EVENT_SCHEMA = T.StructType.fromDDL(
-    "id bigint, event_id string, ts timestamp, application string, version string, environment string, command string, subsystem string, hostname string, "
-    "severity string, category string, error_code string, exception string, message string, stacktrace string, root_cause string, fingerprint string, "
-    "correlation_id string, parent_event_id string, resolved_at timestamp, context string, tags array<string>, metadata string, audit_hash string"
-)
-EVENT_COLUMNS = EVENT_SCHEMA.fieldNames()
+_TIMES, _LONGS, _LISTS = {"ts", "resolved_at"}, {"id"}, {"tags"}
+EVENT_COLUMNS = (
+    "id event_id ts application version environment command subsystem hostname severity category error_code exception message stacktrace "
+    "root_cause fingerprint correlation_id parent_event_id resolved_at context tags metadata audit_hash"
+).split()
+
+
+def _type(name: str) -> T.DataType:
+    return T.TimestampType() if name in _TIMES else T.LongType() if name in _LONGS else T.ArrayType(T.StringType()) if name in _LISTS else T.StringType()
+
+
+EVENT_SCHEMA = T.StructType([T.StructField(c, _type(c)) for c in EVENT_COLUMNS])
 SCHEMA_VERSION = 7
 
 #: The builtin categories with their labels; a category's parent is its path without the last part.

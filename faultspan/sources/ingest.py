@@ -38,14 +38,14 @@ def guard(raw: DataFrame, allowed_origins: list[str], max_bytes: int = 65_536, l
 def browser_batches(guarded: DataFrame, application: str, max_batch: int = 20) -> DataFrame:
     """Events of accepted batches, each text clamped; the application is the endpoint's, not the body's."""
     x = guarded.where("status = 202").withColumn("p", F.from_json("body", BATCH))
-    x = x.select("request_id", "received_at", "user_agent", F.posexplode(F.slice("p.events", 1, max_batch)).alias("at", "e"))
+    x = x.select("request_id", "received_at", "user_agent", F.posexplode(F.slice("p.events", 1, max_batch)).alias("place", "e"))
     text = {c: clamped(F.col(f"e.{c}"), n) for c, n in LONGEST.items()}
     text["message"] = F.coalesce(F.nullif(text["message"], F.lit("")), F.lit("browser error"))
     own = F.coalesce(F.col("e.tags"), F.array().cast("array<string>"))
     tags = F.concat(F.array(F.lit("browser")), F.slice(F.transform(F.filter(own, lambda t: t.isNotNull()), lambda t: clamped(t, LONGEST_TAG)), 1, 5))
     context = clamped_context(F.col("e.context"))
     url = clamped(F.get_json_object(F.col("e.context"), "$.url"), LONGEST_URL)
-    return x.select("request_id", "at", F.col("received_at").alias("ts"), F.lit(application).alias("application"), clamped_severity(F.col("e.severity")).alias("severity"), *(c.alias(n) for n, c in text.items()), tags.alias("tags"), context.alias("context"), url.alias("url"), clamped("user_agent", LONGEST_AGENT).alias("user_agent"))
+    return x.select("request_id", "place", F.col("received_at").alias("ts"), F.lit(application).alias("application"), clamped_severity(F.col("e.severity")).alias("severity"), *(c.alias(n) for n, c in text.items()), tags.alias("tags"), context.alias("context"), url.alias("url"), clamped("user_agent", LONGEST_AGENT).alias("user_agent"))
 
 
 def http_outcomes(log: DataFrame, body_chars: int = 4096) -> DataFrame:
