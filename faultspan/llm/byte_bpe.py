@@ -136,9 +136,12 @@ class Codec:
             for piece in self.split(text):
                 # of each byte, the number of characters that begin up to it
                 seen = [n for n, c in enumerate(piece, at + 1) for _ in c.encode()]
+                first = 0
                 for t in self.tokens(piece):
+                    last = first + len(self.bytes_of[t.id])
                     ids.append(t.id)
-                    spans.append((seen[t.offsets[0]] - 1, seen[t.offsets[1] - 1]))
+                    spans.append((seen[first] - 1, seen[last - 1]))
+                    first = last
                 at += len(piece)
             out.append((ids, spans))
         return out
