@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultspan.schema import HIDDEN, RANKS, RULES, SECRETS, SEVERITIES, Rule
@@ -121,6 +121,13 @@ def checked(rules: list[Rule]) -> list[Rule]:
     return rules
 
 
+def read_rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Rules of a JSON file, an array of {id, kind: {ErrorCode|Exception|MessageKeyword|MessageRegex: value}, canonical, tags}; a bad pattern is told with its rule's id."""
+    kinds = {"ErrorCode": "error_code", "Exception": "exception", "MessageKeyword": "keyword", "MessageRegex": "regex"}
+    rows = spark.read.schema("id string, kind map<string,string>, canonical string, tags array<string>").json(path, multiLine=True).collect()
+    return checked([Rule(r.id, kinds.get(k, k), v, r.canonical, tuple(r.tags or ())) for r in rows for k, v in (r.kind or {"none": ""}).items()])
+
+
 def classified(custom: list[Rule] | None = None, error_code: str = "error_code", exception: str = "exception", message: str = "message") -> Column:
     """struct(category, rule_id, tags): by error code, else by exception, else by message; the first rule in order at each; custom rules come first."""
     rules = checked(list(custom or []) + RULES)

@@ -56,6 +56,14 @@ def test_custom_rules_first_and_checked(spark):
         C.classified([Rule("bad", "regex", "(", "x")])
 
 
+def test_rule_files(spark, tmp_path):
+    (tmp_path / "r.json").write_text('[{"id":"a","kind":{"MessageRegex":"(?i)slow"},"canonical":"x.y","tags":["t"]},\n {"id":"b","kind":{"ErrorCode":"E1"},"canonical":"x"}]')
+    assert C.read_rules(spark, str(tmp_path / "r.json")) == [Rule("a", "regex", "(?i)slow", "x.y", ("t",)), Rule("b", "error_code", "E1", "x")]
+    (tmp_path / "bad.json").write_text('[{"id":"oops","kind":{"MessageRegex":"("},"canonical":"x"}]')
+    with pytest.raises(ValueError, match="oops"):
+        C.read_rules(spark, str(tmp_path / "bad.json"))
+
+
 def test_stack_norm(spark):
     assert one(spark, C.stack_norm("t"), t="at a (b.rs:12)\r\nat c ٣\n") == "at a (b.rs:NN)\nat c N"
 
