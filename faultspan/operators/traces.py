@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultspan.functions.columns import severity_rank
+from faultspan.functions.lineage import checkpointed
 
 from .analytics import rollup
 
@@ -56,7 +57,7 @@ def _walk(steps: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     while depth < most:
         depth += 1
         at = at.where(~F.col("cycle")).join(steps, "event_id").select("of_id", F.col("next").alias("event_id"), "path", F.array_contains("path", F.col("next")).alias("cycle"))
-        at = at.withColumn("path", F.concat("path", F.array("event_id"))).checkpoint()
+        at = checkpointed(at.withColumn("path", F.concat("path", F.array("event_id"))))
         if not at.take(1):
             break
         out = out.unionByName(at.select("of_id", "event_id", F.lit(depth).alias("depth"), "cycle"))
@@ -72,14 +73,14 @@ def roots(df: DataFrame, most: int = 40) -> DataFrame:
     """event_id, root_id, depth, cycle of every event: the last ancestor that is there, and how far it is; null root inside a cycle."""
     have = df.select(F.col("event_id").alias("parent_event_id"))
     parent = df.select("event_id", "parent_event_id").join(have.withColumn("there", F.lit(True)), "parent_event_id", "left")
-    at = parent.select("event_id", F.when(F.col("there"), F.col("parent_event_id")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("bigint").alias("depth")).checkpoint()
+    at = checkpointed(parent.select("event_id", F.when(F.col("there"), F.col("parent_event_id")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("bigint").alias("depth")))
     done = at.where("up IS NULL").select("event_id", F.col("event_id").alias("root_id"), "depth")
     at = at.where("up IS NOT NULL")
     for _ in range(most):
         # pointers whose target is a root are done; the others take over their target's pointer
         ends = at.join(done.select(F.col("event_id").alias("up"), "root_id", F.col("depth").alias("more")), "up", "left")
-        step = ends.join(at.select(F.col("event_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("far")), "up", "left").checkpoint()
-        done = done.unionByName(step.where("root_id IS NOT NULL").select("event_id", "root_id", (F.col("depth") + F.col("more")).alias("depth"))).checkpoint()
+        step = checkpointed(ends.join(at.select(F.col("event_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("far")), "up", "left"))
+        done = checkpointed(done.unionByName(step.where("root_id IS NOT NULL").select("event_id", "root_id", (F.col("depth") + F.col("more")).alias("depth"))))
         at = step.where("root_id IS NULL").select("event_id", F.col("next").alias("up"), (F.col("depth") + F.col("far")).alias("depth"))
         if not at.take(1):
             break

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from faultspan import schema
 from faultspan.functions import columns as C
+from faultspan.functions.lineage import checkpointed
 from faultspan.operators import analytics as A
 from faultspan.operators import audit as U
 from faultspan.operators import filters as L
@@ -484,7 +485,7 @@ def import_outcomes(spark, sf_dir):
 
 def chained(spark: SparkSession, sf_dir: str, tampered: bool = True) -> tuple[DataFrame, DataFrame]:
     """Events as one chain, of which every tenth from 4 on is deleted with a tombstone, and one message is edited."""
-    df = U.build(events(spark, sf_dir)).checkpoint()
+    df = checkpointed(U.build(events(spark, sf_dir)))
     left, stones, _ = M.delete(df, edges(spark, sf_dir), F.col("id") % 10 == 4, F.timestamp_millis(F.lit(FIRST_MS)))
     return (left.withColumn("message", F.when(F.col("id") == 777, "edited").otherwise(F.col("message"))) if tampered else left), stones
 
