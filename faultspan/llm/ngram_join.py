@@ -8,10 +8,11 @@ group are a point, and the sum of the coordinates' minima bounds what two sets h
 Links are found in rounds, each over the buckets that still hold more than one component: twice one leading node of each
 bucket is compared with the others in it, which unites large groups of copies without their pairs; then an R-tree over
 the points of a bucket yields the pairs that the bound leaves, first the best of each node, last all of them. Every
-pair is verified on the whole sets. The last round leaves no pair of different components unseen, so none is lost.
+pair that vectors of more groups leave too is verified on the whole sets. The last round leaves no pair of different components unseen, so none is lost.
 Nodes of one component are not compared again: what comes out are the components, not all pairs.
 
-Large buckets are cut into blocks and pairs of blocks, so no task holds a whole one. Null and empty texts have no
+Before the last round each node is verified with one other only. Large buckets are cut into blocks and pairs of
+blocks, so no task holds a whole one. Null and empty texts have no
 shingles and stay alone; repeated rows and equal texts are linked; a null id is in its component but never its name.
 """
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, saved, slices, words
+from .common import discarded, mix, saved, slices, words
 
 SIZE, GROUPS = 5, 64
 #: Nodes of one bucket that are looked at together, and rows that one group has on average.
@@ -33,6 +34,7 @@ BLOCK, ROWS = 1024, 20_000
 LEAF, FAN = 16, 8
 #: Rows that a side may have to be sent to all executors; beyond it, the join shuffles.
 SENT = 2_000_000
+FULL = 0xFFFF
 _WEIGHTS = mix(np.arange(1, SIZE + 1, dtype=np.uint64))
 
 
@@ -69,7 +71,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, m (shingles), node (the set's signature), shingles, counts (by group) of every row."""
+    """key, m (shingles), node (the set's signature), shingles, counts (by group), fine (by more groups the larger the set) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,15 +83,61 @@ def sets(df: DataFrame, key: str, text: str) -> DataFrame:
                 total = np.zeros(len(r) + 1, np.uint64)
                 np.cumsum(mix(h.astype(np.uint64) + np.uint64(1)), out=total[1:])
                 node = mix(total[cuts[1:]] - total[cuts[:-1]] + m.astype(np.uint64)).view(np.int64)
-                counts = np.bincount(r * GROUPS + (h & (GROUPS - 1)), minlength=n * GROUPS).astype("<u4").reshape(n, GROUPS)
-                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(m), pa.array(node), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h)), pa.array([c.tobytes() for c in counts], pa.binary())], ["key", "m", "node", "shingles", "counts"])
+                counts = np.minimum(np.bincount(r * GROUPS + (h & (GROUPS - 1)), minlength=n * GROUPS), FULL).astype("<u2").reshape(n, GROUPS)
+                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(m), pa.array(node), pa.array([packed(h[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([fine(h[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["key", "m", "node", "shingles", "counts", "fine"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"key {kind}, m bigint, node bigint, shingles array<bigint>, counts binary")
+    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"key {kind}, m bigint, node bigint, shingles binary, counts binary, fine binary")
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    """Six bytes for each."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes, most: int | None = None) -> np.ndarray:
+    few = np.frombuffer(data, np.uint8, -1 if most is None else 6 * most).reshape(-1, 6) if data else np.zeros((0, 6), np.uint8)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :6] = few
+    return out.view("<u8").ravel().astype(np.int64)
+
+
+def prefixes(every: DataFrame) -> DataFrame:
+    """k, node: the smallest shingles of each set, as many as make sure that sets of the similarity share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = batch.column("m").to_numpy()
+            n = np.where(m > 0, m - -(-4 * m // 5) + 1, 0)
+            keys = [unpacked(x.as_py(), k) for x, k in zip(batch.column("shingles"), n.tolist(), strict=True) if k]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column("node").to_numpy(), n))], ["k", "node"])
+
+    return every.select("m", "node", "shingles").mapInArrow(run, "k bigint, node bigint")
+
+
+def fine(shingles: np.ndarray) -> bytes:
+    """Counts by the next power of two groups that leaves four shingles to each at most on average; 255 stands for any larger count."""
+    groups = GROUPS
+    while 4 * groups < len(shingles):
+        groups *= 2
+    return np.minimum(np.bincount(shingles & (groups - 1), minlength=groups), 255).astype(np.uint8).tobytes()
+
+
+def common(a: bytes, b: bytes) -> int:
+    """Summed coordinate minima of two such vectors, the longer one folded to the groups of the shorter."""
+    v, w = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
+    for x in (v, w):
+        x[x == 255] = 1 << 40
+    n = min(len(v), len(w))
+    return int(np.minimum(v.reshape(-1, n).sum(axis=0), w.reshape(-1, n).sum(axis=0)).sum())
 
 
 def points(column: pa.Array | pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), "<u4").reshape(-1, GROUPS)
+    """A row of counts for each; a count of FULL stands for any larger one, so it bounds nothing."""
+    v = np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), "<u2").reshape(-1, GROUPS).astype(np.uint32)
+    v[v == FULL] = 1 << 31
+    return v
 
 
 def possible(m1: np.ndarray, m2: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> np.ndarray:
@@ -134,8 +182,8 @@ class CountTree:
             yield from self.below(level - 1, x[keep], y[keep])
 
 
-def tree_pairs(rows: pd.DataFrame, best: int) -> pd.DataFrame:
-    """Pairs a, b of nodes in one bucket, of different components and sides, that the bound leaves; with best, only so many of each node."""
+def tree_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
+    """Pairs a, b of nodes in one bucket, of different components and sides, that the bound leaves, and share, the bound over both sizes; with best, b is a's best one."""
     rows = rows.sort_values(["bucket", "node"], kind="stable")
     m, v, node, comp, side = rows["m"].to_numpy(), points(rows["counts"]), rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
     cuts = np.flatnonzero(np.concatenate([[True], rows["bucket"].to_numpy()[1:] != rows["bucket"].to_numpy()[:-1], [True]])) if len(rows) else np.zeros(1, np.int64)
@@ -145,15 +193,14 @@ def tree_pairs(rows: pd.DataFrame, best: int) -> pd.DataFrame:
         # blocks of one bucket meet in a group of their own: there, only nodes of different blocks are new
         good = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] < 0))
         a, b = a[good], b[good]
-        if best and len(a):
-            share = np.minimum(v[a], v[b]).sum(axis=1, dtype=np.int64) / (m[a] + m[b])
-            both, other, s = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
-            order = np.lexsort((node[other], -s, both))
-            first = np.searchsorted(both[order], both[order], side="left")
-            top = order[np.arange(len(order)) - first < best]
-            a, b = both[top], other[top]
-        if len(a):
-            found.append(np.stack([np.minimum(node[a], node[b]), np.maximum(node[a], node[b])]))
+        share = np.minimum(v[a], v[b]).sum(axis=1, dtype=np.int64) / (m[a] + m[b])
+        if best:
+            both, other, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
+            order = np.lexsort((node[other], -share, both))
+            top = order[np.concatenate([[True], both[order[1:]] != both[order[:-1]]])] if len(order) else order
+            found.append(pd.DataFrame({"a": node[both[top]], "b": node[other[top]], "share": share[top]}))
+        else:
+            found.append(pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "share": share}))
 
     sizes = np.diff(cuts)
     for n in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):  # one leaf each: all of a size at once
@@ -169,11 +216,12 @@ def tree_pairs(rows: pd.DataFrame, best: int) -> pd.DataFrame:
         tree = CountTree(m[start : start + n], v[start : start + n])
         for a, b in tree.pairs():
             take(start + a, start + b)
-    both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"a": both[0], "b": both[1]})
+    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "share": np.zeros(0)})
+    out = pd.concat([none, *found])
+    return out.sort_values(["a", "share", "b"], ascending=[True, False, True]).drop_duplicates("a") if best else out.drop_duplicates(["a", "b"])
 
 
-def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, every: DataFrame) -> DataFrame:
     """The pairs a, b whose whole sets have the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,16 +229,36 @@ def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
             x, y = batch.column("x"), batch.column("y")
             good = []
             for p, q in zip(x, y, strict=True):
-                p, q = p.values.to_numpy(), q.values.to_numpy()
+                p, q = unpacked(p.as_py()), unpacked(q.as_py())
                 both = np.concatenate([p, q])
                 both.sort()
                 good.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * (len(p) + len(q)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    own = of.select("node", "shingles")
+    own = ends(pairs := saved(pairs.select("a", "b"), "pairs"), every.select("node", "shingles"))
     return pairs.join(own.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(own.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def finer(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs a, b that the finer vectors leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = 4 * (batch.column("m1").to_numpy() + batch.column("m2").to_numpy())
+            good = [9 * common(x.as_py(), y.as_py()) >= n for x, y, n in zip(batch.column("x"), batch.column("y"), need, strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
+
+    own = ends(pairs := saved(pairs.select("a", "b"), "candidates"), of.select("node", "m", "fine"))
+    one, two = (own.withColumnsRenamed({"node": n, "m": f"m{i}", "fine": x}) for i, n, x in ((1, "a", "x"), (2, "b", "y")))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "m1", "m2", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def ends(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of the nodes in saved pairs, one each."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return rows.join(near(ids, 2 * pairs.count()), "node", "left_semi").dropDuplicates(["node"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of every node in edges (a, b), by alternating large and small stars."""
     edges, last = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), None
@@ -200,10 +268,12 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        edges = saved(small, "stars")
+        before, edges = edges, saved(small, "stars")
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).collect()[0])
         if now == last or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if last:
+            discarded(edges.sparkSession, before)
         last = now
 
 
@@ -215,29 +285,30 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles long, component_id (the smallest key of the row's component) of every row."""
     spark = df.sparkSession
     every = saved(sets(df, key, text), "shingle-sets")
-    prefix = F.slice("shingles", F.lit(1), (F.col("m") - F.ceil(F.col("m") * 4 / 5) + 1).cast("int"))
-    keys = every.where("m > 0").select(F.explode(prefix).alias("k"), "node")
+    keys = prefixes(every)
     shared = saved(keys.groupBy("k").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("k"), "shared-keys")
+    discarded(spark)
     buckets = saved(keys.join(near(shared, shared.count()), "k").distinct(), "buckets")
     nodes = saved(buckets.select("node").distinct(), "nodes")
-    of = saved(every.join(near(nodes, nodes.count()), "node", "left_semi").dropDuplicates(["node"]).select("node", "m", "counts", "shingles"), "node-sets")
+    of = saved(every.select("node", "m", "counts", "fine").join(near(nodes, nodes.count()), "node", "left_semi").dropDuplicates(["node"]), "points")
     small = of.select("node", "m", "counts")
     labels = None
     for kind in ("least", "most", "best", "all"):
-        rows = buckets if labels is None else buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        rows = rows.withColumn("comp", F.col("node")) if labels is None else rows
+        rows = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         lead = F.struct("comp", "node")
-        ends = rows.groupBy("k").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count("*").alias("n")).where("lo.comp <> hi.comp")
-        rows = saved(rows.join(ends, "k"), "open")
+        both_ends = rows.groupBy("k").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count("*").alias("n")).where("lo.comp <> hi.comp")
+        rows = opened = saved(rows.join(both_ends, "k"), "open")
         if not rows.take(1):
             break
         if kind in ("least", "most"):
             to = F.col("lo" if kind == "least" else "hi")
-            pairs = rows.where(F.col("comp") != to["comp"]).select(F.least(to["node"], "node").alias("a"), F.greatest(to["node"], "node").alias("b")).distinct()
-            pairs = bounded(pairs, small)
+            pairs = bounded(rows.where(F.col("comp") != to["comp"]).select(F.col("node").alias("a"), to["node"].alias("b")).distinct(), small)
         else:
-            pairs = from_trees(rows, small, 2 if kind == "best" else 0)
-        links = saved(verified(pairs, of), "links")
+            pairs = from_trees(rows, small, kind == "best")
+        discarded(spark)
+        if kind != "all":  # of each node the one it has most in common with, as far as the bound tells
+            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
+        links = saved(verified(finer(pairs, of), every), "links")
         if labels is not None:
             own = labels.withColumnsRenamed({"node": "a", "root": "ra"})
             other = labels.withColumnsRenamed({"node": "b", "root": "rb"})
@@ -246,6 +317,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         else:
             edges = links
         labels = components(edges)
+        discarded(spark, opened, links)
     # the name of a component is the smallest key of all rows in it, copies included
     rows = every.select("key", "m", "node")
     if labels is not None:
@@ -256,19 +328,21 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def bounded(pairs: DataFrame, small: DataFrame) -> DataFrame:
-    """The pairs a, b that sizes and count vectors leave."""
+    """The pairs a, b that sizes and count vectors leave, and share, the bound over both sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = possible(batch.column("m1").to_numpy(), batch.column("m2").to_numpy(), points(batch.column("v1")), points(batch.column("v2")))
-            yield batch.filter(pa.array(good)).select(["a", "b"])
+            m1, m2, v1, v2 = batch.column("m1").to_numpy(), batch.column("m2").to_numpy(), points(batch.column("v1")), points(batch.column("v2"))
+            share = np.minimum(v1, v2).sum(axis=1, dtype=np.int64) / (m1 + m2)
+            good = pa.array(possible(m1, m2, v1, v2))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good), pa.array(share).filter(good)], ["a", "b", "share"])
 
     one, two = (small.withColumnsRenamed({"node": n, "m": f"m{i}", "counts": f"v{i}"}) for i, n in ((1, "a"), (2, "b")))
     near_sizes = pairs.join(one.select("a", "m1"), "a").join(two.select("b", "m2"), "b").where("5 * m1 >= 4 * m2 AND 5 * m2 >= 4 * m1")
-    return near_sizes.join(one.select("a", "v1"), "a").join(two.select("b", "v2"), "b").select("a", "b", "m1", "m2", "v1", "v2").mapInArrow(run, "a bigint, b bigint")
+    return near_sizes.join(one.select("a", "v1"), "a").join(two.select("b", "v2"), "b").select("a", "b", "m1", "m2", "v1", "v2").mapInArrow(run, "a bigint, b bigint, share double")
 
 
-def from_trees(rows: DataFrame, small: DataFrame, best: int) -> DataFrame:
+def from_trees(rows: DataFrame, small: DataFrame, best: bool) -> DataFrame:
     """Pairs of the open buckets by R-trees over their points."""
     rows = rows.join(small, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
@@ -277,4 +351,4 @@ def from_trees(rows: DataFrame, small: DataFrame, best: int) -> DataFrame:
     dealt = rows.withColumn("block", block).withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(each)))
     dealt = saved(dealt.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp", "m", "counts"), "tree-rows")
     groups = max(1, -(-dealt.count() // ROWS))
-    return dealt.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: tree_pairs(pdf, best), "a bigint, b bigint").distinct()
+    return dealt.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: tree_pairs(pdf, best), "a bigint, b bigint, share double").dropDuplicates(["a", "b"])
