@@ -8,7 +8,7 @@ group are a point, and the sum of the coordinates' minima bounds what two sets h
 Links are found in rounds, each over the buckets that still hold more than one component: twice one leading node of each
 bucket is compared with the others in it, which unites large groups of copies without their pairs; then an R-tree over
 the points of a bucket yields the pairs that the bound leaves, first the best of each node, last all of them. Every
-pair that vectors of more groups leave too is verified on the whole sets. The last round leaves no pair of different components unseen, so none is lost.
+pair that vectors of more groups, the larger the sets, leave too is verified on the whole sets. The last round leaves no pair of different components unseen, so none is lost.
 Nodes of one component are not compared again: what comes out are the components, not all pairs.
 
 Before the last round each node is verified with one other only. Large buckets are cut into blocks and pairs of
@@ -18,6 +18,7 @@ shingles and stay alone; repeated rows and equal texts are linked; a null id is
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,22 +118,51 @@ def prefixes(every: DataFrame) -> DataFrame:
 
 
 def fine(shingles: np.ndarray) -> bytes:
-    """Counts by the next power of two groups that leaves four shingles to each at most on average; 255 stands for any larger count."""
+    """Packed counts by the next power of two groups that leaves two shingles to each at most on average; 255 stands for any larger count."""
     groups = GROUPS
-    while 4 * groups < len(shingles):
+    while 2 * groups < len(shingles):
         groups *= 2
-    return np.minimum(np.bincount(shingles & (groups - 1), minlength=groups), 255).astype(np.uint8).tobytes()
+    return zlib.compress(np.minimum(np.bincount(shingles & (groups - 1), minlength=groups), 255).astype(np.uint8).tobytes(), 1)
 
 
 def common(a: bytes, b: bytes) -> int:
     """Summed coordinate minima of two such vectors, the longer one folded to the groups of the shorter."""
-    v, w = (np.frombuffer(x, np.uint8).astype(np.int64) for x in (a, b))
+    v, w = (np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in (a, b))
     for x in (v, w):
         x[x == 255] = 1 << 40
     n = min(len(v), len(w))
     return int(np.minimum(v.reshape(-1, n).sum(axis=0), w.reshape(-1, n).sum(axis=0)).sum())
 
 
+class Fine:
+    """Such vectors of many nodes, by their number of groups, those of twice as many folded beside them."""
+
+    def __init__(self, vectors: list[bytes]) -> None:
+        rows = [np.frombuffer(zlib.decompress(v), np.uint8) for v in vectors]
+        self.size = np.array([len(r) for r in rows], np.int64)
+        self.loose = np.array([(r == 255).any() for r in rows], bool)
+        self.coarse = np.array([r.reshape(-1, GROUPS).sum(axis=0, dtype=np.uint32) for r in rows], np.uint32).reshape(-1, GROUPS)
+        self.coarse[self.loose] = 1 << 31
+        self.levels = {}
+        for g in np.unique(self.size).tolist():
+            members = np.flatnonzero((self.size == g) | (self.size == 2 * g))
+            place = np.full(len(rows), -1)
+            place[members] = np.arange(len(members))
+            self.levels[g] = place, np.array([rows[i].reshape(-1, g).sum(axis=0, dtype=np.uint16) for i in members], np.uint16)
+
+    def possible(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Whether the summed minima reach what the pairs need in common; sizes of more than two to one don't."""
+        out = self.loose[a] | self.loose[b]
+        least = np.minimum(self.size[a], self.size[b])
+        for g in np.unique(least).tolist():
+            place, table = self.levels[g]
+            at = np.flatnonzero((least == g) & ~out & (place[a] >= 0) & (place[b] >= 0))
+            for k in range(0, len(at), step := max(1, (1 << 22) // g)):
+                part = at[k : k + step]
+                out[part] = 9 * np.minimum(table[place[a[part]]], table[place[b[part]]]).sum(axis=1, dtype=np.int64) >= need[part]
+        return out
+
+
 def points(column: pa.Array | pd.Series) -> np.ndarray:
     """A row of counts for each; a count of FULL stands for any larger one, so it bounds nothing."""
     v = np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), "<u2").reshape(-1, GROUPS).astype(np.uint32)
@@ -185,7 +215,10 @@ class CountTree:
 def tree_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
     """Pairs a, b of nodes in one bucket, of different components and sides, that the bound leaves, and share, the bound over both sizes; with best, b is a's best one."""
     rows = rows.sort_values(["bucket", "node"], kind="stable")
-    m, v, node, comp, side = rows["m"].to_numpy(), points(rows["counts"]), rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["side"].to_numpy()
+    m, node, comp, side = (rows[c].to_numpy() for c in ("m", "node", "comp", "side"))
+    _, once, own = np.unique(node, return_index=True, return_inverse=True)
+    vectors = Fine([rows["fine"].iloc[i] for i in once])
+    v = vectors.coarse[own]
     cuts = np.flatnonzero(np.concatenate([[True], rows["bucket"].to_numpy()[1:] != rows["bucket"].to_numpy()[:-1], [True]])) if len(rows) else np.zeros(1, np.int64)
     found = []
 
@@ -193,6 +226,8 @@ def tree_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
         # blocks of one bucket meet in a group of their own: there, only nodes of different blocks are new
         good = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] < 0))
         a, b = a[good], b[good]
+        good = vectors.possible(own[a], own[b], 4 * (m[a] + m[b]))
+        a, b = a[good], b[good]
         share = np.minimum(v[a], v[b]).sum(axis=1, dtype=np.int64) / (m[a] + m[b])
         if best:
             both, other, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
@@ -304,7 +339,9 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             to = F.col("lo" if kind == "least" else "hi")
             pairs = bounded(rows.where(F.col("comp") != to["comp"]).select(F.col("node").alias("a"), to["node"].alias("b")).distinct(), small)
         else:
-            pairs = from_trees(rows, small, kind == "best")
+            pairs, dealt = from_trees(rows, of.select("node", "m", "fine"), kind == "best")
+            pairs = saved(pairs, "tree-pairs")
+            discarded(spark, dealt)
         discarded(spark)
         if kind != "all":  # of each node the one it has most in common with, as far as the bound tells
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
@@ -342,13 +379,14 @@ def bounded(pairs: DataFrame, small: DataFrame) -> DataFrame:
     return near_sizes.join(one.select("a", "v1"), "a").join(two.select("b", "v2"), "b").select("a", "b", "m1", "m2", "v1", "v2").mapInArrow(run, "a bigint, b bigint, share double")
 
 
-def from_trees(rows: DataFrame, small: DataFrame, best: bool) -> DataFrame:
-    """Pairs of the open buckets by R-trees over their points."""
+def from_trees(rows: DataFrame, small: DataFrame, best: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the open buckets by R-trees over their points, and the saved rows that they come from."""
     rows = rows.join(small, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")))
     each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") == o, -1).otherwise(F.col("block")).alias("side")))
     dealt = rows.withColumn("block", block).withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(each)))
-    dealt = saved(dealt.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp", "m", "counts"), "tree-rows")
+    dealt = saved(dealt.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp", "m", "fine"), "tree-rows")
     groups = max(1, -(-dealt.count() // ROWS))
-    return dealt.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: tree_pairs(pdf, best), "a bigint, b bigint, share double").dropDuplicates(["a", "b"])
+    found = dealt.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: tree_pairs(pdf, best), "a bigint, b bigint, share double")
+    return found.dropDuplicates(["a", "b"]), dealt
