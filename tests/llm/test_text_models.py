@@ -75,6 +75,18 @@ def test_ppm_is_a_distribution(spark):
         assert sum(10**x for x in last) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("top", [0, 5, 40, 1 << 20])
+def test_ppm_learns_all_strings_whatever_is_sent(spark, top):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    model = byte_ppm.fit(df.where("doc_id % 2 = 1"), top=top)
+    learn = [b"\n" + stream(t) for i, t in enumerate(TEXTS) if i % 2]
+    assert model.strings.count() == len({s[max(0, i - d) : i + 1] for s in learn for i in range(1, len(s)) for d in range(min(6, i + 1))})
+    assert len(model.top) <= top + 1
+    rows = {r.doc_id: r.score for r in byte_ppm.score(df, model).collect()}
+    for i, want in enumerate(brute([t for i, t in enumerate(TEXTS) if i % 2], TEXTS, byte_ppm.ORDER)):
+        assert rows[i] == pytest.approx(want, abs=1e-9)
+
+
 def test_ppm_without_texts_and_repeats(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, score string")
     model = byte_ppm.fit(none)
