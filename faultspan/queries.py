@@ -352,6 +352,20 @@ def similar_by_text(spark, sf_dir):
     return S.similar_by_text(df, S.index(df), df.where("id % 1000 = 1"))
 
 
+@query()
+def similar_by_fingerprint_all(spark, sf_dir):
+    """For every id divisible by 20; the query above keeps the rows that its SQL has."""
+    df = events(spark, sf_dir)
+    return S.similar_by_fingerprint(df, df.where("id % 20 = 0"))
+
+
+@query()
+def similar_by_text_all(spark, sf_dir):
+    """For every id divisible by 20."""
+    df = events(spark, sf_dir)
+    return S.similar_by_text(df, S.index(df), df.where("id % 20 = 0"))
+
+
 # --- traces -------------------------------------------------------------------------------------------------------
 
 
@@ -377,6 +391,12 @@ def edge_lookup(spark, sf_dir):
     return R.edges_of(edges(spark, sf_dir), events(spark, sf_dir).where("id % 7 = 1"))
 
 
+@query()
+def edge_lookup_all(spark, sf_dir):
+    """The edges of all events."""
+    return R.edges_of(edges(spark, sf_dir), events(spark, sf_dir))
+
+
 def _walk_sql(up: bool) -> str:
     step = "e.event_id = w.p" if up else "e.parent_event_id = w.event_id"
     return "WITH RECURSIVE " + EV[5:] + f", w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, 0 AS depth FROM ev WHERE id % 40 = {6 if up else 1} UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, w.depth + 1 FROM w JOIN ev e ON {step}) SELECT of_id, event_id, depth FROM w WHERE depth > 0"
@@ -394,6 +414,20 @@ def descendants(spark, sf_dir):
     return R.descendants(df, df.where("id % 40 = 1")).select("of_id", "event_id", "depth")
 
 
+@query()
+def ancestors_all(spark, sf_dir):
+    """Of all events."""
+    df = events(spark, sf_dir)
+    return R.present(df, R.ancestors(df, df)).select("of_id", "event_id", "depth")
+
+
+@query()
+def descendants_all(spark, sf_dir):
+    """Of all events."""
+    df = events(spark, sf_dir)
+    return R.descendants(df, df).select("of_id", "event_id", "depth")
+
+
 ROOTS = "WITH RECURSIVE " + EV[5:] + ", w AS (SELECT event_id, event_id AS root_id, 0 AS depth FROM ev WHERE parent_event_id IS NULL OR parent_event_id NOT IN (SELECT event_id FROM ev) UNION ALL SELECT e.event_id, w.root_id, w.depth + 1 FROM w JOIN ev e ON e.parent_event_id = w.event_id)"
 
 
@@ -413,6 +447,13 @@ def explain_flat(spark, sf_dir):
     return R.explain(df, edges(spark, sf_dir), df.where("id % 40 = 6")).select("event_id", "root_cause_id", F.size("chain").cast("bigint").alias("chain"), "recurrence")
 
 
+@query()
+def explain_flat_all(spark, sf_dir):
+    """All events."""
+    df = events(spark, sf_dir)
+    return R.explain(df, edges(spark, sf_dir), df).select("event_id", "root_cause_id", F.size("chain").cast("bigint").alias("chain"), "recurrence")
+
+
 # --- changes ------------------------------------------------------------------------------------------------------
 
 UPD = f"u AS (SELECT event_id, min(resolved_at) AS a, max(CASE WHEN force THEN resolved_at END) AS f FROM ({fixtures.sql('resolutions')}) GROUP BY event_id)"
