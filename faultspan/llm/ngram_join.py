@@ -1,19 +1,23 @@
 """N-gram Jaccard join with count vectors in R-trees: which texts share four fifths or more of their 5-word shingles.
 
-A text's set is its distinct shingles of SIZE words (with fewer words the whole sequence), each a 48-bit number. Two sets
-with the join's similarity share one of the smallest numbers of each (the prefix of the set), so these are the keys of
-buckets, and keys that only one set has are gone at once. Shingles are also hashed into GROUPS groups; the counts by
-group are a point, and the sum of the coordinates' minima bounds what two sets have in common. Equal sets are one node.
-
-Links are found in rounds, each over the buckets that still hold more than one component: twice one leading node of each
-bucket is compared with the others in it, which unites large groups of copies without their pairs; then an R-tree over
-the points of a bucket yields the pairs that the bound leaves, first the best of each node, last all of them. Every
-pair that vectors of more groups, the larger the sets, leave too is verified on the whole sets. The last round leaves no pair of different components unseen, so none is lost.
-Nodes of one component are not compared again: what comes out are the components, not all pairs.
-
-Before the last round each node is verified with one other only. Large buckets are cut into blocks and pairs of
-blocks, so no task holds a whole one. Null and empty texts have no
-shingles and stay alone; repeated rows and equal texts are linked; a null id is in its component but never its name.
+A text's set is its distinct shingles of SIZE words (with fewer words the whole sequence), each a 48-bit number. Equal
+sets are one node. Shingles are hashed into groups; the counts by group are a point, and the sum of the coordinates'
+minima bounds what two sets have in common. Points are indexed in R-trees, one for each bucket; pairs that the bound
+leaves are verified on the whole sets.
+
+Buckets keep unlike texts apart without losing a pair: two sets of the join's similarity share one of the first numbers
+of each (its prefix) in any order that all sets agree on. The order here puts the FREQUENT most frequent numbers of all
+texts last, so that passages which many texts share make no buckets. Numbers that only one set has are gone at once, and
+of buckets with the same members one is kept.
+
+First each node is compared with the least and the largest node of its buckets, which unites groups of copies without
+their pairs; then the R-trees of the buckets that still hold several components give every pair of different components
+that the bound leaves. No pair is left unseen, so none is lost: what comes out are the components, not all pairs. A
+bucket of more than BLOCK nodes is cut by size and then by hash, and its blocks meet in pairs, where sizes allow it, so
+that no task holds a whole one.
+
+Null and empty texts have no shingles and stay alone; repeated rows and equal texts are linked; a null key is in its
+component but names it only if it has no other. Other columns are ignored. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -24,18 +28,21 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discarded, mix, saved, slices, words
 
-SIZE, GROUPS = 5, 64
-#: Nodes of one bucket that are looked at together, and rows that one group has on average.
-BLOCK, ROWS = 1024, 20_000
+SIZE = 5
+#: Groups of the R-trees' points; the finer vectors have up to so many times as many.
+GROUPS, FINEST = 64, 128
+#: So many of the most frequent shingles are put last in prefixes, those in LEAST texts or more; it only matters for speed.
+FREQUENT, LEAST = 1 << 20, 4
+#: Nodes of one bucket that are looked at together, rows that one group has on average, and counts that are unpacked together.
+BLOCK, ROWS, CELLS = 4096, 20_000, 1 << 24
 LEAF, FAN = 16, 8
-#: Rows that a side may have to be sent to all executors; beyond it, the join shuffles.
-SENT = 2_000_000
-FULL = 0xFFFF
+#: Shingles that one vectorised step holds.
+STEP = 1 << 20
 _WEIGHTS = mix(np.arange(1, SIZE + 1, dtype=np.uint64))
 
 
@@ -71,67 +78,146 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return r[new], h[new]
 
 
+def packed(numbers: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """A binary value for each row, six bytes for each of its numbers."""
+    data = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((6 * cuts).astype(np.int32)), pa.py_buffer(data)])
+
+
+def unpacked(data: bytes | np.ndarray) -> np.ndarray:
+    few = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(few), 8), np.uint8)
+    out[:, :6] = few
+    return out.view("<u8").ravel().astype(np.int64)
+
+
 def sets(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, m (shingles), node (the set's signature), shingles, counts (by group), fine (by more groups the larger the set) of every row."""
+    """key, m (shingles), node (the set's signature), shingles (in order) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "__text"):
-                n = part.num_rows
                 r, h = shingles(data, offsets)
-                cuts = np.searchsorted(r, np.arange(n + 1))
+                cuts = np.searchsorted(r, np.arange(part.num_rows + 1))
                 m = np.diff(cuts)
                 total = np.zeros(len(r) + 1, np.uint64)
                 np.cumsum(mix(h.astype(np.uint64) + np.uint64(1)), out=total[1:])
                 node = mix(total[cuts[1:]] - total[cuts[:-1]] + m.astype(np.uint64)).view(np.int64)
-                counts = np.minimum(np.bincount(r * GROUPS + (h & (GROUPS - 1)), minlength=n * GROUPS), FULL).astype("<u2").reshape(n, GROUPS)
-                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(m), pa.array(node), pa.array([packed(h[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()), pa.array([c.tobytes() for c in counts], pa.binary()), pa.array([fine(h[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["key", "m", "node", "shingles", "counts", "fine"])
+                yield pa.RecordBatch.from_arrays([part.column("__key"), pa.array(m), pa.array(node), packed(h, cuts)], ["key", "m", "node", "shingles"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"key {kind}, m bigint, node bigint, shingles binary, counts binary, fine binary")
-
-
-def packed(shingles: np.ndarray) -> bytes:
-    """Six bytes for each."""
-    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(run, f"key {kind}, m bigint, node bigint, shingles binary")
+
+
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(nodes, their shingles one after the other, offsets) of sets that aren't empty, each node once in a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        node, size = batch.column("node").to_numpy(), batch.column("m").to_numpy()
+        new = []
+        for i, x in enumerate(node.tolist()):
+            if size[i] and x not in seen:
+                seen.add(x)
+                new.append(i)
+        start, sizes = 0, np.cumsum(size[new])
+        while start < len(new):
+            end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + STEP, side="right")))
+            column = batch.column("shingles").take(pa.array(new[start:end]))
+            at = np.frombuffer(column.buffers()[1], np.int32)[: len(column) + 1].astype(np.int64)
+            yield node[new[start:end]], unpacked(np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]]), (at - at[0]) // 6
+            start = end
+
+
+def counted(every: DataFrame) -> DataFrame:
+    """k, n: in how many sets a shingle is among the first three tenths."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, h, at in chunks(batches):
+            m = np.diff(at)
+            place = np.arange(len(h)) - np.repeat(at[:-1], m)
+            yield pa.RecordBatch.from_arrays([pa.array(h[place < np.repeat(3 * m // 10 + 4, m)])], ["k"])
+
+    return every.select("node", "m", "shingles").mapInArrow(run, "k bigint").groupBy("k").agg(F.count("*").alias("n"))
+
+
+def frequent(every: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, up to `most`, in order, and the logarithm of how often each is there."""
+    n = saved(counted(every).where(F.col("n") >= LEAST), "shingle-counts")
+    size = F.floor(8 * F.log2("n"))
+    limit, left = LEAST, most
+    for r in n.groupBy(size.alias("size")).agg(F.count("*").alias("here"), F.max("n").alias("top")).orderBy(F.desc("size")).collect():
+        left -= r["here"]
+        if left < 0:
+            limit = r["top"] + 1
+            break
+    rows = n.where(F.col("n") >= limit).select("k", F.floor(F.log2("n")).cast("byte").alias("size")).toArrow()
+    k, size = rows["k"].to_numpy(), rows["size"].to_numpy()
+    discarded(every.sparkSession, n)
+    order = np.argsort(k)
+    return k[order], size[order]
+
+
+def first(h: np.ndarray, at: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which numbers are the row's n first by (size, number); numbers are in order."""
+    row = np.repeat(np.arange(len(n)), np.diff(at))
+    seen = np.zeros(len(h) + 1, np.int64)
+    np.cumsum(size == 0, out=seen[1:])
+    out = (size == 0) & (seen[:-1] - seen[at[:-1]][row] < n[row])
+    left = n - (seen[at[1:]] - seen[at[:-1]])
+    i = np.flatnonzero((size > 0) & (left[row] > 0))
+    i = i[np.lexsort((h[i], size[i], row[i]))]
+    begins = np.flatnonzero(np.concatenate([[True], row[i[1:]] != row[i[:-1]]])) if len(i) else i
+    place = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+    out[i[place < left[row[i]]]] = True
+    return out
+
+
+def prefixes(every: DataFrame, last: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """k, node: of each set the first shingles, as many as make sure that sets of the similarity share one; those in `last` come last."""
+    sent = every.sparkSession.sparkContext.broadcast(last)
 
-def unpacked(data: bytes, most: int | None = None) -> np.ndarray:
-    few = np.frombuffer(data, np.uint8, -1 if most is None else 6 * most).reshape(-1, 6) if data else np.zeros((0, 6), np.uint8)
-    out = np.zeros((len(few), 8), np.uint8)
-    out[:, :6] = few
-    return out.view("<u8").ravel().astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sizes = sent.value
+        for node, h, at in chunks(batches):
+            m = np.diff(at)
+            n = m - -(-4 * m // 5) + 1
+            size = np.zeros(len(h), np.int8)
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                size = np.where(keys[place] == h, sizes[place], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(h[first(h, at, size, n)]), pa.array(np.repeat(node, n))], ["k", "node"])
+
+    return every.select("node", "m", "shingles").mapInArrow(run, "k bigint, node bigint")
+
+
+def bucketed(keys: DataFrame) -> DataFrame:
+    """k, node, n (the bucket's nodes) of buckets with two nodes or more, one for each set of members."""
+    shared = keys.groupBy("k").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("k")
+    rows = saved(keys.join(shared.hint("shuffle_hash"), "k").distinct(), "shared-keys")
+    halves = F.col("node").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("node", 32)
+    members = [F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), *(F.sum(h).alias(f"s{i}") for i, h in enumerate(halves))]
+    one = rows.groupBy("k").agg(*members).groupBy("n", "x", "y", "s0", "s1").agg(F.min("k").alias("k")).select("k", "n")
+    out = saved(rows.join(one, "k"), "buckets")
+    discarded(keys.sparkSession, rows)
+    return out
+
+
+def fine(h: np.ndarray) -> bytes:
+    """Packed counts by the next power of two groups above twice the number, as far as there are so many; 255 stands for any larger count."""
+    groups = GROUPS
+    while groups < 2 * len(h) and groups < GROUPS * FINEST:
+        groups *= 2
+    return zlib.compress(np.minimum(np.bincount(h & (groups - 1), minlength=groups), 255).astype(np.uint8).tobytes(), 1)
 
 
-def prefixes(every: DataFrame) -> DataFrame:
-    """k, node: the smallest shingles of each set, as many as make sure that sets of the similarity share one."""
+def vectors(of: DataFrame) -> DataFrame:
+    """node, m, fine of every node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = batch.column("m").to_numpy()
-            n = np.where(m > 0, m - -(-4 * m // 5) + 1, 0)
-            keys = [unpacked(x.as_py(), k) for x, k in zip(batch.column("shingles"), n.tolist(), strict=True) if k]
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(batch.column("node").to_numpy(), n))], ["k", "node"])
-
-    return every.select("m", "node", "shingles").mapInArrow(run, "k bigint, node bigint")
-
-
-def fine(shingles: np.ndarray) -> bytes:
-    """Packed counts by the next power of two groups that leaves two shingles to each at most on average; 255 stands for any larger count."""
-    groups = GROUPS
-    while 2 * groups < len(shingles):
-        groups *= 2
-    return zlib.compress(np.minimum(np.bincount(shingles & (groups - 1), minlength=groups), 255).astype(np.uint8).tobytes(), 1)
-
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("m"), pa.array([fine(unpacked(x.as_buffer())) for x in batch.column("shingles")], pa.binary())], ["node", "m", "fine"])
 
-def common(a: bytes, b: bytes) -> int:
-    """Summed coordinate minima of two such vectors, the longer one folded to the groups of the shorter."""
-    v, w = (np.frombuffer(zlib.decompress(x), np.uint8).astype(np.int64) for x in (a, b))
-    for x in (v, w):
-        x[x == 255] = 1 << 40
-    n = min(len(v), len(w))
-    return int(np.minimum(v.reshape(-1, n).sum(axis=0), w.reshape(-1, n).sum(axis=0)).sum())
+    return of.mapInArrow(run, "node bigint, m bigint, fine binary")
 
 
 class Fine:
@@ -163,13 +249,6 @@ class Fine:
         return out
 
 
-def points(column: pa.Array | pd.Series) -> np.ndarray:
-    """A row of counts for each; a count of FULL stands for any larger one, so it bounds nothing."""
-    v = np.frombuffer(b"".join(column.to_pylist() if isinstance(column, pa.Array) else column), "<u2").reshape(-1, GROUPS).astype(np.uint32)
-    v[v == FULL] = 1 << 31
-    return v
-
-
 def possible(m1: np.ndarray, m2: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> np.ndarray:
     """Whether the summed coordinate minima reach what sets of these sizes need in common: 180 * common >= 80 * both."""
     return 9 * np.minimum(v1, v2).sum(axis=1, dtype=np.int64) >= 4 * (m1 + m2)
@@ -212,30 +291,35 @@ class CountTree:
             yield from self.below(level - 1, x[keep], y[keep])
 
 
-def tree_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
-    """Pairs a, b of nodes in one bucket, of different components and sides, that the bound leaves, and share, the bound over both sizes; with best, b is a's best one."""
+def tree_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs a < b of nodes in one bucket, of different components and sides, that the bound leaves."""
     rows = rows.sort_values(["bucket", "node"], kind="stable")
+    bucket = rows["bucket"].to_numpy()
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    groups = np.clip(1 << np.ceil(np.log2(2.0 * rows["m"].to_numpy())).astype(np.int64), GROUPS, GROUPS * FINEST)
+    cells = np.concatenate([[0], np.cumsum(groups)])[cuts]
+    found, start = [np.zeros((0, 2), np.int64)], 0
+    while start < len(cuts) - 1:  # as many buckets as unpack into CELLS counts, one at least
+        end = max(start + 1, int(np.searchsorted(cells, cells[start] + CELLS, side="right")) - 1)
+        found += [p for p in some_pairs(rows.iloc[cuts[start] : cuts[end]], cuts[start : end + 1] - cuts[start]) if len(p)]
+        start = end
+    out = np.unique(np.concatenate(found), axis=0)
+    return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
+
+
+def some_pairs(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[np.ndarray]:
     m, node, comp, side = (rows[c].to_numpy() for c in ("m", "node", "comp", "side"))
     _, once, own = np.unique(node, return_index=True, return_inverse=True)
     vectors = Fine([rows["fine"].iloc[i] for i in once])
     v = vectors.coarse[own]
-    cuts = np.flatnonzero(np.concatenate([[True], rows["bucket"].to_numpy()[1:] != rows["bucket"].to_numpy()[:-1], [True]])) if len(rows) else np.zeros(1, np.int64)
-    found = []
 
-    def take(a: np.ndarray, b: np.ndarray) -> None:
+    def take(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         # blocks of one bucket meet in a group of their own: there, only nodes of different blocks are new
         good = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] < 0))
         a, b = a[good], b[good]
         good = vectors.possible(own[a], own[b], 4 * (m[a] + m[b]))
-        a, b = a[good], b[good]
-        share = np.minimum(v[a], v[b]).sum(axis=1, dtype=np.int64) / (m[a] + m[b])
-        if best:
-            both, other, share = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([share, share])
-            order = np.lexsort((node[other], -share, both))
-            top = order[np.concatenate([[True], both[order[1:]] != both[order[:-1]]])] if len(order) else order
-            found.append(pd.DataFrame({"a": node[both[top]], "b": node[other[top]], "share": share[top]}))
-        else:
-            found.append(pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b]), "share": share}))
+        a, b = node[a[good]], node[b[good]]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
     sizes = np.diff(cuts)
     for n in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):  # one leaf each: all of a size at once
@@ -246,52 +330,58 @@ def tree_pairs(rows: pd.DataFrame, best: bool) -> pd.DataFrame:
             good = (5 * m[a] >= 4 * m[b]) & (5 * m[b] >= 4 * m[a]) & (comp[a] != comp[b])
             a, b = a[good], b[good]
             good = possible(m[a], m[b], v[a], v[b])
-            take(a[good], b[good])
+            yield take(a[good], b[good])
     for start, n in zip(cuts[:-1][sizes > LEAF], sizes[sizes > LEAF], strict=True):
-        tree = CountTree(m[start : start + n], v[start : start + n])
-        for a, b in tree.pairs():
-            take(start + a, start + b)
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "share": np.zeros(0)})
-    out = pd.concat([none, *found])
-    return out.sort_values(["a", "share", "b"], ascending=[True, False, True]).drop_duplicates("a") if best else out.drop_duplicates(["a", "b"])
-
-
-def verified(pairs: DataFrame, every: DataFrame) -> DataFrame:
-    """The pairs a, b whose whole sets have the similarity."""
+        for a, b in CountTree(m[start : start + n], v[start : start + n]).pairs():
+            yield take(start + a, start + b)
+
+
+def from_trees(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """a, b: pairs of the open buckets (k, n, node, m, comp) by R-trees over their points."""
+    # in a bucket of more than one block nodes are cut by size; sets of classes that are farther apart have too different sizes
+    size = F.when(F.col("n") > BLOCK, F.floor(F.log("m") / F.log(F.lit(1.1)))).otherwise(0).cast("int").alias("c")
+    rows = rows.select("k", "n", "node", "m", "comp", size)
+    apart = int(np.ceil(np.log(1.25) / np.log(1.1)))
+    large = rows.where(F.col("n") > BLOCK).groupBy("k", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    large = large.groupBy("k").agg(F.collect_list(F.struct("c", "blocks")).alias("classes"))
+    x = rows.join(large, "k", "left")
+    own = F.filter("classes", lambda c: c["c"] == F.col("c"))[0]["blocks"]
+    x = x.withColumn("block", F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("node"), own).cast("int")).otherwise(0))
+    here = F.struct(F.col("c").alias("c"), F.col("block").alias("block"))
+    others = F.flatten(F.transform(F.filter("classes", lambda c: F.abs(c["c"] - F.col("c")) <= apart), lambda c: F.transform(F.sequence(F.lit(0), c["blocks"] - 1), lambda b: F.struct(c["c"].alias("c"), b.alias("block")))))
+
+    def meeting(o: Column) -> Column:
+        return F.struct(F.least(here, o).alias("i"), F.greatest(here, o).alias("j"), F.when(here == o, -1).when(here < o, 0).otherwise(1).alias("side"))
+
+    alone = F.array(meeting(here))
+    x = x.withColumn("p", F.explode(F.when(F.col("n") > BLOCK, F.transform(others, meeting)).otherwise(alone)))
+    x = x.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp").join(vectors(of), "node")
+    groups = max(1, -(-rows.count() // ROWS))
+    found = x.withColumn("g", F.pmod("bucket", F.lit(groups))).drop("n").groupBy("g").applyInPandas(tree_pairs, "a bigint, b bigint")
+    return found.distinct()
+
+
+def verified(pairs: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets have the similarity: first by the bound, then on the whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x"), batch.column("y")
             good = []
-            for p, q in zip(x, y, strict=True):
-                p, q = unpacked(p.as_py()), unpacked(q.as_py())
+            for p, q in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = unpacked(p.as_buffer()), unpacked(q.as_buffer())
+                need = 4 * (len(p) + len(q))
+                v, w = (np.bincount(h & (GROUPS - 1), minlength=GROUPS) for h in (p, q))
+                if 9 * int(np.minimum(v, w).sum()) < need:
+                    good.append(False)
+                    continue
                 both = np.concatenate([p, q])
                 both.sort()
-                good.append(9 * int((both[1:] == both[:-1]).sum()) >= 4 * (len(p) + len(q)))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
-
-    own = ends(pairs := saved(pairs.select("a", "b"), "pairs"), every.select("node", "shingles"))
-    return pairs.join(own.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(own.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def finer(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs a, b that the finer vectors leave."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            need = 4 * (batch.column("m1").to_numpy() + batch.column("m2").to_numpy())
-            good = [9 * common(x.as_py(), y.as_py()) >= n for x, y, n in zip(batch.column("x"), batch.column("y"), need, strict=True)]
+                good.append(9 * int((both[1:] == both[:-1]).sum()) >= need)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in (batch.column("a"), batch.column("b"))], ["a", "b"])
 
-    own = ends(pairs := saved(pairs.select("a", "b"), "candidates"), of.select("node", "m", "fine"))
-    one, two = (own.withColumnsRenamed({"node": n, "m": f"m{i}", "fine": x}) for i, n, x in ((1, "a", "x"), (2, "b", "y")))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "m1", "m2", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def ends(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of the nodes in saved pairs, one each."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return rows.join(near(ids, 2 * pairs.count()), "node", "left_semi").dropDuplicates(["node"])
+    own = of.select("node", "shingles")
+    both = pairs.join(own.withColumnsRenamed({"node": "b", "shingles": "y"}), "b").join(own.withColumnsRenamed({"node": "a", "shingles": "x"}), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,81 +402,39 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
-def near(side: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(side) if rows <= SENT else side
+def opened(buckets: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold several components, with m, comp, and the least and the largest (comp, node, m) of the bucket as lo and hi."""
+    state = sizes if labels is None else sizes.join(labels, "node", "left")
+    state = state.select("node", "m", (F.col("node") if labels is None else F.coalesce("root", "node")).alias("comp"))
+    rows = buckets.join(state, "node")
+    lead = F.struct("comp", "node", "m")
+    ends = rows.groupBy("k").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi")).where("lo.comp <> hi.comp")
+    return rows.join(ends, "k")
 
 
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles long, component_id (the smallest key of the row's component) of every row."""
     spark = df.sparkSession
     every = saved(sets(df, key, text), "shingle-sets")
-    keys = prefixes(every)
-    shared = saved(keys.groupBy("k").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("k"), "shared-keys")
-    discarded(spark)
-    buckets = saved(keys.join(near(shared, shared.count()), "k").distinct(), "buckets")
-    nodes = saved(buckets.select("node").distinct(), "nodes")
-    of = saved(every.select("node", "m", "counts", "fine").join(near(nodes, nodes.count()), "node", "left_semi").dropDuplicates(["node"]), "points")
-    small = of.select("node", "m", "counts")
-    labels = None
-    for kind in ("least", "most", "best", "all"):
-        rows = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(labels, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-        lead = F.struct("comp", "node")
-        both_ends = rows.groupBy("k").agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"), F.count("*").alias("n")).where("lo.comp <> hi.comp")
-        rows = opened = saved(rows.join(both_ends, "k"), "open")
-        if not rows.take(1):
-            break
-        if kind in ("least", "most"):
-            to = F.col("lo" if kind == "least" else "hi")
-            pairs = bounded(rows.where(F.col("comp") != to["comp"]).select(F.col("node").alias("a"), to["node"].alias("b")).distinct(), small)
-        else:
-            pairs, dealt = from_trees(rows, of.select("node", "m", "fine"), kind == "best")
-            pairs = saved(pairs, "tree-pairs")
-            discarded(spark, dealt)
-        discarded(spark)
-        if kind != "all":  # of each node the one it has most in common with, as far as the bound tells
-            pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("share", "b")).alias("b"))
-        links = saved(verified(finer(pairs, of), every), "links")
-        if labels is not None:
-            own = labels.withColumnsRenamed({"node": "a", "root": "ra"})
-            other = labels.withColumnsRenamed({"node": "b", "root": "rb"})
-            merged = links.join(own, "a", "left").join(other, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-            edges = merged.union(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    rows = saved(every.select("key", "m", "node"), "shingle-rows")
+    buckets = bucketed(prefixes(every, frequent(every, FREQUENT)))
+    of = saved(every.where("m > 0").join(buckets.select("node").distinct(), "node", "left_semi").select("node", "m", "shingles").dropDuplicates(["node"]), "nodes")
+    discarded(spark, every)
+    sizes, links, labels = of.select("node", "m"), None, None
+    for kind in ("ends", "trees"):
+        open_rows = saved(opened(buckets, sizes, labels), "open")
+        if kind == "ends":
+            with_end = [open_rows.where(f"comp <> {e}.comp AND 5 * m >= 4 * {e}.m AND 5 * {e}.m >= 4 * m").select(F.col("node").alias("a"), F.col(f"{e}.node").alias("b")) for e in ("lo", "hi")]
+            pairs = with_end[0].union(with_end[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            edges = links
-        labels = components(edges)
-        discarded(spark, opened, links)
+            pairs = from_trees(open_rows, of)
+        pairs = saved(pairs, "pairs")
+        new = saved(verified(pairs, of), "links")
+        discarded(spark, open_rows, pairs)
+        links = new if links is None else links.union(new)
+        labels = components(links)
     # the name of a component is the smallest key of all rows in it, copies included
-    rows = every.select("key", "m", "node")
-    if labels is not None:
-        rows = rows.join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
-    names = rows.where("m > 0").groupBy("node").agg(F.min("key").alias("name"))
-    full = rows.where("m > 0").join(names, "node").select(F.col("key").alias(key), F.col("m").alias("n_shingles"), F.col("name").alias("component_id"))
+    full = rows.where("m > 0").join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    names = full.groupBy("node").agg(F.min("key").alias("name"))
+    full = full.join(names, "node").select(F.col("key").alias(key), F.col("m").alias("n_shingles"), F.col("name").alias("component_id"))
     return full.unionByName(rows.where("m = 0").select(F.col("key").alias(key), F.col("m").alias("n_shingles"), F.col("key").alias("component_id")))
-
-
-def bounded(pairs: DataFrame, small: DataFrame) -> DataFrame:
-    """The pairs a, b that sizes and count vectors leave, and share, the bound over both sizes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m1, m2, v1, v2 = batch.column("m1").to_numpy(), batch.column("m2").to_numpy(), points(batch.column("v1")), points(batch.column("v2"))
-            share = np.minimum(v1, v2).sum(axis=1, dtype=np.int64) / (m1 + m2)
-            good = pa.array(possible(m1, m2, v1, v2))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good), pa.array(share).filter(good)], ["a", "b", "share"])
-
-    one, two = (small.withColumnsRenamed({"node": n, "m": f"m{i}", "counts": f"v{i}"}) for i, n in ((1, "a"), (2, "b")))
-    near_sizes = pairs.join(one.select("a", "m1"), "a").join(two.select("b", "m2"), "b").where("5 * m1 >= 4 * m2 AND 5 * m2 >= 4 * m1")
-    return near_sizes.join(one.select("a", "v1"), "a").join(two.select("b", "v2"), "b").select("a", "b", "m1", "m2", "v1", "v2").mapInArrow(run, "a bigint, b bigint, share double")
-
-
-def from_trees(rows: DataFrame, small: DataFrame, best: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the open buckets by R-trees over their points, and the saved rows that they come from."""
-    rows = rows.join(small, "node").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("side")))
-    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") == o, -1).otherwise(F.col("block")).alias("side")))
-    dealt = rows.withColumn("block", block).withColumn("p", F.explode(F.when(F.col("blocks") == 1, alone).otherwise(each)))
-    dealt = saved(dealt.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp", "m", "fine"), "tree-rows")
-    groups = max(1, -(-dealt.count() // ROWS))
-    found = dealt.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInPandas(lambda pdf: tree_pairs(pdf, best), "a bigint, b bigint, share double")
-    return found.dropDuplicates(["a", "b"]), dealt
