@@ -22,7 +22,6 @@ component but names it only if it has no other. Other columns are ignored. Empty
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import discarded, mix, saved, slices, words
 
 SIZE = 5
-#: Groups of the R-trees' points; the finer vectors have up to so many times as many.
-GROUPS, FINEST = 64, 128
+#: Groups of the R-trees' points, of the widest vectors, and how many times GROUPS these are folded to at most.
+GROUPS, WIDE, FINEST = 64, 1 << 16, 128
 #: So many of the most frequent shingles are put last in prefixes, those in LEAST texts or more; it only matters for speed.
 FREQUENT, LEAST = 1 << 20, 4
 #: Nodes of one bucket that are looked at together, rows that one group has on average, and counts that are unpacked together.
@@ -202,52 +201,62 @@ def bucketed(keys: DataFrame) -> DataFrame:
     return out
 
 
-def fine(h: np.ndarray) -> bytes:
-    """Packed counts by the next power of two groups above twice the number, as far as there are so many; 255 stands for any larger count."""
-    groups = GROUPS
-    while groups < 2 * len(h) and groups < GROUPS * FINEST:
-        groups *= 2
-    return zlib.compress(np.minimum(np.bincount(h & (groups - 1), minlength=groups), 255).astype(np.uint8).tobytes(), 1)
-
-
 def vectors(of: DataFrame) -> DataFrame:
-    """node, m, fine of every node."""
+    """node, m, fine: counts by WIDE groups, as the groups of the node's shingles in order, two bytes for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("m"), pa.array([fine(unpacked(x.as_buffer())) for x in batch.column("shingles")], pa.binary())], ["node", "m", "fine"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("m"), pa.array([np.sort(unpacked(x.as_buffer()) & (WIDE - 1)).astype("<u2").tobytes() for x in batch.column("shingles")], pa.binary())], ["node", "m", "fine"])
 
     return of.mapInArrow(run, "node bigint, m bigint, fine binary")
 
 
 class Fine:
-    """Such vectors of many nodes, by their number of groups, those of twice as many folded beside them."""
+    """Such vectors of many nodes; folded to the next power of two groups above twice their size, and to GROUPS."""
 
     def __init__(self, vectors: list[bytes]) -> None:
-        rows = [np.frombuffer(zlib.decompress(v), np.uint8) for v in vectors]
-        self.size = np.array([len(r) for r in rows], np.int64)
-        self.loose = np.array([(r == 255).any() for r in rows], bool)
-        self.coarse = np.array([r.reshape(-1, GROUPS).sum(axis=0, dtype=np.uint32) for r in rows], np.uint32).reshape(-1, GROUPS)
-        self.coarse[self.loose] = 1 << 31
+        self.groups = [np.frombuffer(v, "<u2") for v in vectors]
+        self.size = folds(np.array([len(g) for g in self.groups], np.int64))
+        self.coarse = np.array([np.bincount(g & (GROUPS - 1), minlength=GROUPS) for g in self.groups], np.uint32).reshape(-1, GROUPS)
+        self.codes: dict[int, np.ndarray] = {}
         self.levels = {}
-        for g in np.unique(self.size).tolist():
-            members = np.flatnonzero((self.size == g) | (self.size == 2 * g))
-            place = np.full(len(rows), -1)
+        for n in np.unique(self.size).tolist():
+            members = np.flatnonzero((self.size == n) | (self.size == 2 * n))
+            place = np.full(len(vectors), -1)
             place[members] = np.arange(len(members))
-            self.levels[g] = place, np.array([rows[i].reshape(-1, g).sum(axis=0, dtype=np.uint16) for i in members], np.uint16)
+            # what goes beyond 16 bits would bound too much
+            self.levels[n] = place, np.array([np.bincount(self.groups[i] & (n - 1), minlength=n) for i in members], np.uint32 if max(len(self.groups[i]) for i in members) > 0xFFFF else np.uint16)
 
     def possible(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
-        """Whether the summed minima reach what the pairs need in common; sizes of more than two to one don't."""
-        out = self.loose[a] | self.loose[b]
+        """Whether the summed minima of the folded counts reach what the pairs need in common; folds of more than two to one don't."""
+        out = np.zeros(len(a), bool)
         least = np.minimum(self.size[a], self.size[b])
-        for g in np.unique(least).tolist():
-            place, table = self.levels[g]
-            at = np.flatnonzero((least == g) & ~out & (place[a] >= 0) & (place[b] >= 0))
-            for k in range(0, len(at), step := max(1, (1 << 22) // g)):
+        for n in np.unique(least).tolist():
+            place, table = self.levels[n]
+            at = np.flatnonzero((least == n) & (place[a] >= 0) & (place[b] >= 0))
+            for k in range(0, len(at), step := max(1, (1 << 22) // n)):
                 part = at[k : k + step]
                 out[part] = 9 * np.minimum(table[place[a[part]]], table[place[b[part]]]).sum(axis=1, dtype=np.int64) >= need[part]
         return out
 
+    def code(self, i: int) -> np.ndarray:
+        """Each group with how often it has been there before: two codes in common are one of the summed minima."""
+        if i not in self.codes:
+            g = self.groups[i].astype(np.int64)
+            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else g
+            self.codes[i] = g << 32 | (np.arange(len(g)) - np.repeat(new, np.diff(np.append(new, len(g)))))
+        return self.codes[i]
+
+    def common(self, a: int, b: int) -> int:
+        """Summed minima of all WIDE groups."""
+        both = np.concatenate([self.code(a), self.code(b)])
+        both.sort()
+        return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def folds(m: np.ndarray) -> np.ndarray:
+    return np.clip(1 << np.ceil(np.log2(2.0 * np.maximum(m, 1))).astype(np.int64), GROUPS, GROUPS * FINEST)
+
 
 def possible(m1: np.ndarray, m2: np.ndarray, v1: np.ndarray, v2: np.ndarray) -> np.ndarray:
     """Whether the summed coordinate minima reach what sets of these sizes need in common: 180 * common >= 80 * both."""
@@ -296,20 +305,20 @@ def tree_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["bucket", "node"], kind="stable")
     bucket = rows["bucket"].to_numpy()
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-    groups = np.clip(1 << np.ceil(np.log2(2.0 * rows["m"].to_numpy())).astype(np.int64), GROUPS, GROUPS * FINEST)
-    cells = np.concatenate([[0], np.cumsum(groups)])[cuts]
+    cells = np.concatenate([[0], np.cumsum(folds(rows["m"].to_numpy()))])[cuts]
     found, start = [np.zeros((0, 2), np.int64)], 0
     while start < len(cuts) - 1:  # as many buckets as unpack into CELLS counts, one at least
         end = max(start + 1, int(np.searchsorted(cells, cells[start] + CELLS, side="right")) - 1)
-        found += [p for p in some_pairs(rows.iloc[cuts[start] : cuts[end]], cuts[start : end + 1] - cuts[start]) if len(p)]
+        found.append(some_pairs(rows.iloc[cuts[start] : cuts[end]], cuts[start : end + 1] - cuts[start]))
         start = end
     out = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
-def some_pairs(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[np.ndarray]:
+def some_pairs(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
+    """The pairs of some whole buckets, each tried on the widest vectors once."""
     m, node, comp, side = (rows[c].to_numpy() for c in ("m", "node", "comp", "side"))
-    _, once, own = np.unique(node, return_index=True, return_inverse=True)
+    names, once, own = np.unique(node, return_index=True, return_inverse=True)
     vectors = Fine([rows["fine"].iloc[i] for i in once])
     v = vectors.coarse[own]
 
@@ -318,10 +327,24 @@ def some_pairs(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[np.ndarray]:
         good = (comp[a] != comp[b]) & ((side[a] != side[b]) | (side[a] < 0))
         a, b = a[good], b[good]
         good = vectors.possible(own[a], own[b], 4 * (m[a] + m[b]))
-        a, b = node[a[good]], node[b[good]]
-        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+        a, b = own[a[good]], own[b[good]]
+        return np.minimum(a, b) * len(names) + np.maximum(a, b)
 
     sizes = np.diff(cuts)
+    once_each, held = np.zeros(0, np.int64), []
+    for pairs in within(m, comp, v, cuts, sizes):
+        held.append(take(*pairs))
+        if sum(map(len, held)) > STEP:
+            once_each, held = np.unique(np.concatenate([once_each, *held])), []
+    once_each = np.unique(np.concatenate([once_each, *held]))
+    a, b = once_each // len(names), once_each % len(names)
+    need = 4 * (m[once[a]] + m[once[b]])
+    good = np.array([9 * vectors.common(i, j) >= n for i, j, n in zip(a.tolist(), b.tolist(), need.tolist(), strict=True)], bool)
+    return np.stack([names[a[good]], names[b[good]]], axis=1)
+
+
+def within(m: np.ndarray, comp: np.ndarray, v: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs in each bucket that the points leave."""
     for n in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):  # one leaf each: all of a size at once
         starts, (x, y) = cuts[:-1][sizes == n], np.triu_indices(n, 1)
         for k in range(0, len(starts), 4096):
@@ -330,10 +353,10 @@ def some_pairs(rows: pd.DataFrame, cuts: np.ndarray) -> Iterator[np.ndarray]:
             good = (5 * m[a] >= 4 * m[b]) & (5 * m[b] >= 4 * m[a]) & (comp[a] != comp[b])
             a, b = a[good], b[good]
             good = possible(m[a], m[b], v[a], v[b])
-            yield take(a[good], b[good])
+            yield a[good], b[good]
     for start, n in zip(cuts[:-1][sizes > LEAF], sizes[sizes > LEAF], strict=True):
         for a, b in CountTree(m[start : start + n], v[start : start + n]).pairs():
-            yield take(start + a, start + b)
+            yield start + a, start + b
 
 
 def from_trees(rows: DataFrame, of: DataFrame) -> DataFrame:
@@ -418,6 +441,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     every = saved(sets(df, key, text), "shingle-sets")
     rows = saved(every.select("key", "m", "node"), "shingle-rows")
     buckets = bucketed(prefixes(every, frequent(every, FREQUENT)))
+    discarded(spark)  # the shuffles so far
     of = saved(every.where("m > 0").join(buckets.select("node").distinct(), "node", "left_semi").select("node", "m", "shingles").dropDuplicates(["node"]), "nodes")
     discarded(spark, every)
     sizes, links, labels = of.select("node", "m"), None, None
