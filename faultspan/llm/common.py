@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,9 +24,11 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests a folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where Spark runs in one process, a folder of this machine will do."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -50,6 +53,21 @@ def discarded(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+def sampled(df: DataFrame, by: list[str], most: int, each: str | None = None) -> DataFrame:
+    """About `most` of the rows, those with the smallest hash of the columns `by` (added as __hash), each hash once; with `each`, of every value of that column.
+
+    The limit is that share of all hashes which holds `most` of the distinct ones, by their estimated number; where there
+    are fewer, all stay. So the sample depends on the rows alone, and no sort is needed.
+    """
+    rows = df.withColumn("__hash", F.xxhash64(*by))
+    own = F.col(each) if each else F.lit(0)
+    share = {r[0]: most / max(1, r[1]) for r in rows.groupBy(own.alias("of")).agg(F.approx_count_distinct("__hash", 0.02)).collect()}
+    limits = [x for k, s in sorted(share.items()) if s < 1 for x in (F.lit(k), F.lit(min(int((s - 0.5) * 2**64), 2**63 - 1)).cast("long"))]
+    if limits:
+        rows = rows.where(F.coalesce(F.col("__hash") <= F.element_at(F.create_map(*limits), own), F.lit(True)))
+    return rows.dropDuplicates(["__hash"])
+
+
 def remainder(doc_id: str, divisor: int) -> F.Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % divisor

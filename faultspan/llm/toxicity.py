@@ -1,13 +1,14 @@
 """Toxicity: non-negative positive-unlabelled learning of linear classifiers in numpy.
 
-Learning takes confirmed toxic texts and texts without any label; labels of other kinds are only counted, for the
-class prior. With prior p the risk of a linear scorer is p * loss(toxic as 1) + max(0, loss(unlabelled as 0) -
+Learning takes confirmed toxic texts and a sample of all texts, whatever their labels, as the unlabelled ones, which the
+method asks for; labels of other kinds are only counted, for the class prior. With prior p the risk of a linear scorer is p * loss(toxic as 1) + max(0, loss(unlabelled as 0) -
 p * loss(toxic as 0)); while the part in max() is negative the step goes the other way, which keeps the model from
 fitting the unlabelled toxic texts as clean. Features are the distinct hashed words and byte 4- and 5-grams of the whole
 text that occur in several confirmed toxic texts, with at
 least `lift` times their share of all texts; a shrinking step at each turn keeps the weights of all others at 0.
 
-Both samples are bounded by parameters and are the texts with the smallest hash of their key. Null texts count as
+Both samples are bounded by parameters and are the texts with the smallest hash of key and text, so they do not depend
+on how rows are dealt out. Null texts count as
 empty and have the score of the bias alone; repeated rows get equal results; rows without a key are never learned
 from; without any toxic text the score is the prior, 0 if unknown. Outputs replace input columns of their name.
 """
@@ -19,15 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import _BYTE, LOWER, SPACE, _power, mix, slices, words
+from .common import _BYTE, LOWER, SPACE, _power, discarded, mix, sampled, saved, slices, words
 
 BITS = 20
 GRAMS = (4, 5)
+#: Texts of each sample, but for what the estimate of their number is off by.
 POSITIVES, UNLABELLED = 3000, 6000
+#: Tasks that turn the samples into features.
+TASKS = 12
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,12 +80,8 @@ class ToxicityModel:
         return df.select(*(df[c] for c in keep), df[text].alias("__text")).mapInArrow(run, StructType([df.schema[c] for c in keep] + StructType.fromDDL("score double, predicted int").fields))
 
 
-def sample(df: DataFrame, text: str, key: str, most: int) -> list[np.ndarray]:
-    """The distinct buckets of the texts whose key has one of the `most` smallest hashes."""
-    own = df.select(F.xxhash64(F.col(key)).alias("__hash"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
-    last = [r[0] for r in own.select("__hash").orderBy("__hash").limit(most).agg(F.max("__hash")).collect()][0]
-    if last is None:
-        return []
+def learned(toxic: DataFrame, other: DataFrame) -> DataFrame:
+    """toxic boolean, hash, ids: the distinct buckets of the texts (__hash, __text) of both samples, saved."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,12 +89,29 @@ def sample(df: DataFrame, text: str, key: str, most: int) -> list[np.ndarray]:
                 rows, buckets = features(data, offsets)
                 both = np.unique(rows.astype(np.int64) << BITS | buckets)
                 cuts = np.searchsorted(both >> BITS, np.arange(len(offsets)))
-                yield pa.RecordBatch.from_arrays([part.column("__hash"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((both & ((1 << BITS) - 1)).astype(np.int32)))], ["hash", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("__toxic"), part.column("__hash"), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array((both & ((1 << BITS) - 1)).astype(np.int32)))], ["toxic", "hash", "ids"])
 
-    got = own.where(F.col("__hash") <= last).limit(2 * most).mapInArrow(run, "hash bigint, ids array<int>").toArrow()
-    order = np.argsort(got["hash"].to_numpy(), kind="stable")
-    ids = [x.values.to_numpy() for x in got["ids"]]
-    return [ids[i] for i in order]
+    rows = toxic.select(F.lit(True).alias("__toxic"), "__hash", "__text").unionByName(other.select(F.lit(False).alias("__toxic"), "__hash", "__text"))
+    return saved(rows.repartition(TASKS, "__hash").mapInArrow(run, "toxic boolean, hash bigint, ids array<int>"), "toxicity-sample")
+
+
+def narrowed(rows: DataFrame, often: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """For the toxic and the other texts, in order of their hashes: (row, feature) of every feature that a text has, and how many texts there are."""
+    place = rows.sparkSession.sparkContext.broadcast(np.where(often, np.cumsum(often) - 1, -1).astype(np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(p := place.value[x.values.to_numpy()])[p >= 0] for x in batch.column("ids")]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("hash"), pa.array(kept, pa.list_(pa.int32()))], ["toxic", "hash", "ids"])
+
+    got = rows.mapInArrow(run, "toxic boolean, hash bigint, ids array<int>").toArrow().combine_chunks().sort_by("hash")
+    place.unpersist()
+    out = []
+    for kind in (True, False):
+        ids = got.filter(pc.equal(got["toxic"], kind))["ids"].combine_chunks()
+        lengths = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+        out.append((np.repeat(np.arange(len(ids), dtype=np.int32), lengths), ids.flatten().to_numpy(), len(ids)))
+    return out
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None, turns: int = 300, rate: float = 0.3, shrink: float = 1e-4, least: int = 4, lift: float = 2.5) -> ToxicityModel:
@@ -102,23 +120,24 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     A key with several labels is toxic if one of them says so.
     """
     marks = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max(F.col(label).cast("int")).alias("__mark"))
-    known = df.select(F.col(key), F.col(text)).where(F.col(key).isNotNull()).join(marks, F.col(key) == F.col("__key"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    marks = saved(marks.join(rows.select("__key"), "__key", "left_semi"), "toxicity-marks")
     if prior is None:
-        prior = marks.join(df.select(F.col(key).alias("__key")), "__key", "left_semi").agg(F.avg("__mark")).collect()[0][0] or 0.0
-    toxic = sample(known.where("__mark = 1"), text, key, positives)
-    if not toxic or not prior:
+        prior = marks.agg(F.avg("__mark")).collect()[0][0] or 0.0
+    # the keys are a bounded sample, so they may be sent to all executors
+    keys = sampled(marks.where("__mark = 1"), ["__key"], positives).select("__key")
+    rows = rows.where("__text IS NOT NULL")
+    both = learned(sampled(rows.join(F.broadcast(keys), "__key"), ["__key", "__text"], positives), sampled(rows, ["__key", "__text"], unlabelled))
+    sizes = {r[0]: r[1] for r in both.groupBy("toxic").count().collect()}
+    if not sizes.get(True) or not prior:
         return ToxicityModel(np.zeros(1 << BITS), float(np.log(max(prior, 1e-9) / (1 - min(prior, 1 - 1e-9)))), prior)
-    other = sample(df, text, key, unlabelled)
-    inside, around = (np.bincount(np.concatenate(docs), minlength=1 << BITS) for docs in (toxic, other))
-    often = (inside >= min(least, len(toxic))) & (inside / len(toxic) >= lift * (around + 1) / len(other))
-    place = np.cumsum(often) - 1
-
-    def rows_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        kept = [place[d[often[d]]] for d in docs]
-        return np.repeat(np.arange(len(docs)), [len(k) for k in kept]), np.concatenate(kept), len(docs)
-
+    each = both.select("toxic", F.explode("ids").alias("id")).groupBy("id").agg(F.count(F.when(F.col("toxic"), 1)).alias("inside"), F.count(F.when(~F.col("toxic"), 1)).alias("around"))
+    lifted = F.col("inside") / sizes[True] >= lift * (F.col("around") + 1) / sizes[False]
+    often = np.zeros(1 << BITS, bool)
+    often[each.where((F.col("inside") >= min(least, sizes[True])) & lifted).select("id").toArrow()["id"].to_numpy()] = True
     n = int(often.sum())
-    p, u = rows_of(toxic), rows_of(other)
+    p, u = narrowed(both, often)
+    discarded(df.sparkSession, marks, both)
     w, bias = np.zeros(n), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros(n), np.zeros(n), 0.0, 0.0
     for turn in range(1, turns + 1):
