@@ -2,8 +2,10 @@
 
 A text is the mean of the embeddings of its hashed character pairs and triples (letters in lower case, every run of
 other characters a word boundary). The embeddings and the softmax are trained in numpy on a bounded sample of
-labelled texts, `quota` of each language, those with the smallest hash of their key. A fifth of the sample is kept
-back: it gives the temperature that calibrates the probabilities, and the limit below which a text is rejected.
+labelled texts, `quota` of each language, those with the smallest hash. A fifth of the sample is kept
+back: it gives the temperature that calibrates the probabilities, and two limits below which a text is rejected, one for
+the probability and one for the share of a text's subwords that the learning texts have, which tells texts unlike all of
+them. Either is the ERROR quantile of the texts kept back that are predicted right, so about so many texts of a learned language are lost.
 The mean and the softmax's input are linear, so scoring needs one row of the table embeddings x softmax per subword.
 
 Null texts and texts without a letter are `und` with score 0 and are rejected; very long texts are read whole; ties
@@ -18,17 +20,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import mix, slices
+from .common import mix, sampled, slices
 
 BITS = 16
-#: Texts of each language to learn from, at most.
+#: Texts of each language to learn from, but for what the estimate of their number is off by.
 QUOTA = 400
-#: Texts are rejected below this probability at most, or where the fewest of the texts kept back lie, if that is less.
-REJECT = 0.5
+#: Share of texts of the learned languages that each of the two limits may reject, as counted on those kept back; texts at or
+#: above these values of confidence and of known subwords are never rejected.
+ERROR, SURE, KNOWN = 0.005, 0.5, 0.5
 
 _FOLD = np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32 for i in range(0x3000)], np.uint32)
 
@@ -62,19 +65,23 @@ class LanguageModel:
     languages: list[str]
     table: np.ndarray  # (buckets + 1) x languages, divided by the temperature
     bias: np.ndarray
+    seen: np.ndarray  # buckets that the learning texts have
     limit: float
+    least_known: float
 
-    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each row the languages' probabilities, and the share of its subwords that are known."""
         grams, at = subwords(data, offsets)
-        rows, n = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1)
+        rows, n, known = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1), np.zeros(len(at) - 1)
         full = np.flatnonzero(np.diff(at))
         if len(full):
             for g in grams:
                 rows[full] += np.add.reduceat(self.table[g], at[full], axis=0, dtype=np.float64)
                 n[full] += np.add.reduceat(g < 1 << BITS, at[full], dtype=np.int64)
+                known[full] += np.add.reduceat(self.seen[g], at[full], dtype=np.int64)
         logits = rows / np.maximum(n, 1)[:, None] + self.bias
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+        return e / e.sum(axis=1, keepdims=True), known / np.maximum(n, 1)
 
     def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add `lang_pred string, score double, rejected boolean`."""
@@ -89,26 +96,22 @@ class LanguageModel:
             for batch in batches:
                 for part, data, offsets in slices(batch, "__text"):
                     known = part.column("__letter").to_numpy(zero_copy_only=False).astype(bool) & bool(own.languages)
+                    shares = np.zeros(part.num_rows)
                     if own.languages:
-                        p = own.probabilities(data, offsets)
+                        p, shares = own.probabilities(data, offsets)
                         best = p.argmax(axis=1)
                         score, names = np.where(known, p.max(axis=1), 0.0), np.array(own.languages, object)[best]
                     else:
                         score, names = np.zeros(part.num_rows), np.full(part.num_rows, "und", object)
                     names = np.where(known, names, "und")
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < own.limit))], [*keep, "lang_pred", "score", "rejected"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < own.limit) | (shares < own.least_known))], [*keep, "lang_pred", "score", "rejected"])
 
         return given.mapInArrow(run, StructType([df.schema[c] for c in keep] + StructType.fromDDL(new).fields))
 
 
 def sample(df: DataFrame, text: str, lang: str, key: str, quota: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Up to quota texts of each language, those whose key has the smallest hash: languages, hashes, buckets and their shares."""
-    own = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.xxhash64(F.col(key)).alias("__hash"), F.col(text).alias("__text"))
-    first = own.select("__lang", "__hash").withColumn("n", F.row_number().over(Window.partitionBy("__lang").orderBy("__hash"))).where(F.col("n") <= quota)
-    upto = {r[0]: r[1] for r in first.groupBy("__lang").agg(F.max("__hash")).collect()}
-    if not upto:
-        return np.zeros(0, object), np.zeros(0, np.int64), [], []
-    limits = F.create_map(*(F.lit(x) for kv in sorted(upto.items()) for x in kv))
+    """About quota texts of each language, those with the smallest hash of key and text: languages, hashes, buckets and their shares."""
+    own = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,10 +125,9 @@ def sample(df: DataFrame, text: str, lang: str, key: str, quota: int) -> tuple[n
                     shares.append((n / max(1, n.sum())).astype(np.float32))
                 yield pa.RecordBatch.from_arrays([part.column("__lang"), part.column("__hash"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "hash", "ids", "shares"])
 
-    # rows that share a hash are copies of one key: the limit keeps the sample bounded among them
-    got = own.where(F.col("__hash") <= limits[F.col("__lang")]).limit(2 * quota * len(upto)).mapInArrow(run, "lang string, hash bigint, ids array<int>, shares array<float>").toArrow()
+    got = sampled(own, ["__lang", "__key", "__text"], quota, "__lang").mapInArrow(run, "lang string, hash bigint, ids array<int>, shares array<float>").toArrow()
     lang, hashes = np.array(got["lang"].to_pylist(), object), got["hash"].to_numpy()
-    order = np.lexsort((lang.astype(str), hashes))
+    order = np.argsort(hashes, kind="stable")
     ids, shares = ([x.values.to_numpy() for x in got[c]] for c in ("ids", "shares"))
     return lang[order], hashes[order], [ids[i] for i in order], [shares[i] for i in order]
 
@@ -154,8 +156,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
             soft -= lr * np.outer(x, g)
             bias -= 0.01 * lr * g
             embed[ids[i]] -= lr * np.outer(shares[i] / shares[i].max(), back) / 10
-    table = embed @ soft
-    limit = REJECT
+    table, seen = embed @ soft, np.zeros((1 << BITS) + 1, bool)
+    for i in learn:
+        seen[ids[i]] = True
+    limit, least_known = SURE, KNOWN
     if kept_back:
         z = np.array([shares[i] @ table[ids[i]] for i in kept_back]) + bias
 
@@ -166,5 +170,9 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
         at = np.arange(len(kept_back)), y[kept_back]
         best = min(np.geomspace(0.1, 10, 41), key=lambda t: -np.log(np.maximum(p(t)[at], 1e-12)).mean())
         table, bias = table / best, bias / best
-        limit = min(REJECT, float(p(best).max(axis=1).min()) - 1e-9)
-    return LanguageModel(languages, table.astype(np.float32), bias, limit)
+        right = np.flatnonzero(z.argmax(axis=1) == y[kept_back])
+        if len(right):
+            low = lambda x: float(np.quantile(x, ERROR, method="lower")) - 1e-6
+            limit = min(SURE, low(p(best).max(axis=1)[right]))
+            least_known = min(KNOWN, low(np.array([shares[kept_back[i]][seen[ids[kept_back[i]]]].sum() for i in right])))
+    return LanguageModel(languages, table.astype(np.float32), bias, seen, limit, least_known)
