@@ -4,7 +4,8 @@ Texts and items are compared in lower case with single spaces. An item of n char
 k = n * rate (rounded down) edits. Cut into k + 1 pieces, at least one piece then stands in the passage unchanged, so an
 automaton over all pieces finds the places to look at, and Myers' bit-parallel distance over the item and the text
 around each place decides. The items go to the executors in blocks of a bounded number of characters, one pass each;
-documents are never paired with items other than through a piece.
+documents are never paired with items other than through a piece. A worker makes a block's automaton once, and the bit
+masks of an item's parts when a hit first asks for them, each part's once.
 
 Null and blank items match nothing, null and empty texts have no match; texts are read whole, however long. Of the
 passages of one item in one text the one with the fewest edits is told, the first one among equals. Repeated documents
@@ -14,10 +15,12 @@ and repeated items each give their own rows.
 from __future__ import annotations
 
 import functools
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
@@ -81,31 +84,40 @@ class Matcher:
         import ahocorasick
 
         self.items = [(i, t, int(len(t) * rate)) for i, t in items if t]
-        self.backward = [masks(t[::-1]) for _, t, _ in self.items]
+        self.known: dict[tuple[int, int, int], dict[str, int]] = {}
         owners: dict[str, list[tuple[int, int, list]]] = defaultdict(list)
         for n, (_, text, budget) in enumerate(self.items):
             for path in pieces(0, len(text), budget):
-                above = [(a, b, k, masks(text[a:b])) for a, b, k in path[1:]]
-                owners[text[path[0][0] : path[0][1]]].append((n, path[0][0], above))
+                owners[text[path[0][0] : path[0][1]]].append((n, path[0][0], path[1:]))
         self.automaton = ahocorasick.Automaton()
         for piece, own in owners.items():
             self.automaton.add_word(piece, (len(piece), own))
         if owners:
             self.automaton.make_automaton()
 
+    def masks(self, n: int, start: int, end: int) -> dict[str, int]:
+        """The masks of a part of an item, made when first asked for and shared by all pieces in it; backwards where end < start."""
+        if (n, start, end) not in self.known:
+            text = self.items[n][1]
+            self.known[n, start, end] = masks(text[start:end] if start <= end else text[::-1])
+        return self.known[n, start, end]
+
     def find(self, text: str) -> list[tuple[object, int, int, int]]:
         """(item, edits, start, end) for each item within its budget, best passage each; text must be normal."""
         if not self.items or not text:
             return []
         best: dict[int, tuple[int, int]] = {}
+        tried: dict[tuple[int, int, int, int], tuple[int, int]] = {}  # pieces of one passage lead to the same places
         for last, (size, own) in self.automaton.iter(text):
             for n, at, above in own:
                 if n in best and not best[n][0]:
                     continue  # the first passage without edits is the best
                 zero, found = last + 1 - size - at, (0, last + 1)
-                for a, b, k, peq in above:
+                for a, b, k in above:
                     low = max(0, zero + a - k)
-                    edits, end = nearest(peq, b - a, text[low : zero + b + k])
+                    if (n, a, b, zero) not in tried:
+                        tried[n, a, b, zero] = nearest(self.masks(n, a, b), b - a, text[low : zero + b + k])
+                    edits, end = tried[n, a, b, zero]
                     if edits > k:
                         break
                     found = edits, low + end
@@ -115,11 +127,21 @@ class Matcher:
         out = []
         for n, (edits, end) in sorted(best.items()):
             item, pattern, budget = self.items[n]
-            _, length = nearest(self.backward[n], len(pattern), text[max(0, end - len(pattern) - budget) : end][::-1])
+            _, length = nearest(self.masks(n, len(pattern), 0), len(pattern), text[max(0, end - len(pattern) - budget) : end][::-1])
             out.append((item, edits, end - length, end))
         return out
 
 
+_last: list = []
+
+
+def matcher(key: str, sent: Broadcast, rate: float) -> Matcher:
+    """The matcher of a block of items, made once by a worker for all its tasks in a row."""
+    if not _last or _last[0] != key:
+        _last[:] = key, Matcher(sent.value, rate)
+    return _last[1]
+
+
 def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", rate: float = RATE, block: int = BLOCK_CHARS) -> DataFrame:
     """key, item_id, edits int, start and end int (characters of the normal text) of every item in every text."""
     schema = StructType([df.schema[key], items.schema[item]] + StructType.fromDDL("edits int, start int, end int").fields)
@@ -127,14 +149,14 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
     given = items.schema[item].name
 
     def over(held: list[tuple[object, str]]) -> DataFrame:
-        sent = df.sparkSession.sparkContext.broadcast(held)
+        sent, name = df.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+            own = matcher(name, sent, rate)
             for batch in batches:
                 keys, rows = batch.column("__key"), []
                 for k, t in enumerate(batch.column("__text")):
-                    rows += [(k, *found) for found in matcher.find(normal(t.as_py()))]
+                    rows += [(k, *found) for found in own.find(normal(t.as_py()))]
                 if rows:
                     at, *cols = zip(*rows, strict=True)
                     kinds = (to_arrow_type(schema[given].dataType), pa.int32(), pa.int32(), pa.int32())
@@ -151,12 +173,12 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", item_text: str =
     schema = df.schema
 
     def keep(held: list[tuple[object, str]], rows: DataFrame) -> DataFrame:
-        sent = df.sparkSession.sparkContext.broadcast(held)
+        sent, name = df.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(sent.value, rate)
+            own = matcher(name, sent, rate)
             for batch in batches:
-                yield batch.filter(pa.array([not matcher.find(normal(t.as_py())) for t in batch.column(text)], pa.bool_()))
+                yield batch.filter(pa.array([not own.find(normal(t.as_py())) for t in batch.column(text)], pa.bool_()))
 
         return rows.mapInArrow(run, schema)
 
