@@ -53,7 +53,7 @@ def parsed(df: DataFrame, url: str = "url") -> DataFrame:
 def ruled(rules: list[Rule], host_of: Column, path_of: Column) -> Column:
     """struct(rule, verdict) of the longest rule that fits, else null."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for r in sorted(rules, key=lambda r: len(r.name)):  # the later, longer one asks first
+    for r in sorted(reversed(rules), key=lambda r: len(r.name)):  # what comes last here asks first: the longest, and the first of equals
         fits = ((host_of == r.host) | host_of.endswith("." + r.host)) & path_of.startswith(r.path)
         out = F.when(fits, F.struct(F.lit(r.name).alias("rule"), F.lit(r.verdict).alias("verdict"))).otherwise(out)
     return out

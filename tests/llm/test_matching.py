@@ -120,6 +120,13 @@ def test_decontamination_like_brute_force(spark):
     assert decontaminate.find(df, it.limit(0)).count() == 0 and decontaminate.find(df.limit(0), it).count() == 0 and decontaminate.clean(df, it.limit(0)).count() == len(docs)
 
 
+def test_long_items_and_texts():
+    rng = random.Random(1)
+    item = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(1300))
+    text = "x " * 50 + item[:4000] + "zz" + item[4000:] + " y" * 50_000
+    assert decontaminate.Matcher([(1, item)]).find(text) == [(1, 2, 100, 100 + len(item) + 2)]
+
+
 def linked_by_force(rows):
     sets, up = [], str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for _, t in rows:

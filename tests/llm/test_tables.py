@@ -44,6 +44,36 @@ def test_url_classifier(spark):
     assert set(url_filter.fit(spark.createDataFrame([], "url string, label int"))) == {0.0}
 
 
+def test_first_of_equal_rules(spark):
+    rules = [url_filter.Rule("a.com", "/", "allow"), url_filter.Rule("com", "/xy", "block"), url_filter.Rule("m", "/", "block")]
+    assert len(rules[0].name) == len(rules[1].name)
+    df = spark.createDataFrame([("http://a.com/xyz",), ("http://b.com/xyz",)], "url string")
+    zero = [0.0] * (url_filter.BUCKETS + 1)
+    assert [r.rule for r in url_filter.judge(df, rules, zero).collect()] == ["a.com/", "com/xy"]
+    assert [r.rule for r in url_filter.judge(df, rules[1::-1], zero).collect()] == ["com/xy", "com/xy"]
+
+
+def test_url_slopes_like_brute_force(spark):
+    rows = [(f"http://{'bad' if i % 3 else 'good'}{i}.org/p{i % 5}", int(i % 3 > 0)) for i in range(40)]
+    df = spark.createDataFrame([*rows, (rows[0][0], 1), ("http://" + "x" * 5000 + ".com/", 0)], "url string, label int")
+    got = np.array(url_filter.fit(df, turns=4))
+    of = df.select(F.col("label").alias("y"), url_filter.grams(url_filter.host(F.col("url")), url_filter.path(F.col("url"))).alias("b")).collect()
+    w = np.zeros(url_filter.BUCKETS + 1)
+    for turn in range(4):
+        g = np.zeros_like(w)
+        for r in of:
+            root = np.sqrt(len(r.b))
+            d = r.y - 1 / (1 + np.exp(-(w[r.b].sum() / root + w[-1])))
+            np.add.at(g, r.b, d / root)
+            g[-1] += d
+        hit = np.zeros(len(w), bool)
+        hit[[-1, *(b for r in of for b in r.b)]] = True
+        w[hit] += 4.0 / np.sqrt(1 + turn / 5) * (g / len(of) - 1e-4 * w)[hit]
+    assert np.allclose(got, w)
+    empty = df.limit(0).withColumn("page_id", F.lit(1))
+    assert url_filter.judge(empty, queries.RULES, got.tolist()).count() == 0
+
+
 def test_op2(spark):
     rows = queries.op2_url_filter(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 250 and {r.verdict for r in rows} == {"allow", "block"}
@@ -184,3 +214,42 @@ def test_pipeline(spark):
             assert docs.columns == before.columns and docs.exceptAll(before).count() == 0
     assert sizes[1] == sizes[0] - 2 and sizes[1] > sizes[2] > sizes[3] > sizes[4] == sizes[5] > 250
     assert docs.where("doc_id = 3").count() <= 1 and byte_bpe.digests(before, corpus_pipeline.public_tokenizers.path(queries.RANKS), corpus_pipeline.public_tokenizers.PATTERN).count() == sizes[5]
+
+
+def test_one_of_each_by_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = b.replace("b39", "other")
+    rows = [(3, b), (5, a), (5, near), (None, near), (None, c), (8, c), (8, c), (9, ""), (9, ""), (10, None), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.one_of_each(spark, docs, DIR)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, b), (5, a), (8, c), (9, ""), (10, None), (None, "alone")], key=str)
+    assert corpus_pipeline.one_of_each(spark, docs.limit(0), DIR).count() == 0
+
+
+def test_run_like_brute_force(spark, tmp_path):
+    """What the two classifiers decide is taken as given; the other stages are held against plain Python."""
+    from test_matching import linked_by_force
+
+    from faultspan.llm import decontaminate, language_id, toxicity
+    from faultspan.llm.common import saved
+
+    d = "/root/testdata/sf0.01"
+    docs = queries.table(spark, d, "documents").orderBy("doc_id").limit(260)
+    docs = docs.unionByName(docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 100_000)).unionByName(spark.createDataFrame([(9001, None, None, None, 0), (9002, "12 34", "en", "s", 5)], docs.schema))
+    docs = docs.withColumn("rejected", F.lit(1))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        queries.table(spark, d, t).write.parquet(f"{tmp_path}/{t}.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    docs = queries.table(spark, str(tmp_path), "documents")
+    left = saved(language_id.fit(docs.drop("rejected")).predict(docs.drop("rejected")).where("NOT rejected").drop("lang_pred", "score", "rejected"), "left")
+    left = toxicity.fit(left, queries.table(spark, d, "labels")).predict(left).where("predicted = 0").collect()
+    texts = {r.doc_id: r.text for r in left}
+    assert 9001 not in texts and 9002 not in texts and len(texts) > 200
+    first = {i for i, n, name in linked_by_force(sorted(texts.items())) if i == name}
+    items = decontaminate.Matcher([(r.item_id, decontaminate.normal(r.text)) for r in queries.table(spark, d, "benchmark").collect()])
+    want = {i for i in first if not items.find(decontaminate.normal(texts[i]))}
+    assert set(got) == want and len(want) < len(first) < len(texts)
+    for i, r in got.items():
+        assert r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()

@@ -119,6 +119,30 @@ def test_language_edges(spark):
     assert model.predict(df.limit(0)).count() == 0
 
 
+def test_unlearned_writing_is_rejected(spark):
+    learn = queries.table(spark, DIR, "documents").where("doc_id < 600")
+    model = language_id.fit(learn)
+    odd = ["Η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο και φεύγει μακριά", "быстрая коричневая лиса прыгает через ленивую собаку и убегает", "我能吞下玻璃而不伤身体因为它很好吃"]
+    rows = model.predict(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id int, text string")).collect()
+    assert all(r.rejected for r in rows)
+    assert model.predict(learn).where("rejected AND length(text) > 200").count() <= 6
+
+
+def test_language_ties_go_to_the_first(spark):
+    df = spark.createDataFrame([(i, "same text", x) for i, x in enumerate(["b", "a"] * 5)], "doc_id int, text string, lang string")
+    model = language_id.LanguageModel(["a", "b"], np.zeros(((1 << language_id.BITS) + 1, 2), np.float32), np.zeros(2), np.ones((1 << language_id.BITS) + 1, bool), 0.0, 0.0)
+    assert {(r.lang_pred, r.score) for r in model.predict(df).collect()} == {("a", 0.5)}
+
+
+def test_samples_do_not_depend_on_partitions(spark):
+    from faultspan.llm.common import sampled
+
+    df = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3).cast("string").alias("x"))
+    rows = [sorted(tuple(r) for r in sampled(d, ["k", "x"], 200, each).collect()) for each in ("x", None) for d in (df.repartition(1), df.union(df).repartition(7))]
+    assert rows[0] == rows[1] and rows[2] == rows[3] and 450 < len(rows[0]) < 750 and 150 < len(rows[2]) < 250
+    assert sampled(df.limit(0), ["k"], 5).count() == 0 and sampled(df.limit(4), ["k"], 9).count() == 4
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     labels = queries.table(spark, d, "labels").select("doc_id", "toxic")
