@@ -22,14 +22,18 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keep the row with the smallest id, of repeated rows one; texts without words stay."""
-    linked = saved(ngram_join.linked(docs), "linked")
-    later = linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    often = linked.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(ngram_join.near(later, later.count()), "doc_id", "left_anti")
-    n = often.count()
-    once = kept.join(ngram_join.near(often, n), "doc_id", "left_anti")
-    return (once.unionByName(kept.join(often, "doc_id", "left_semi").distinct()) if n else kept).select(*docs.columns)
+    """Of each group of near duplicates keep the row with the smallest id, a null id last; of rows alike in all columns one.
+
+    Rows are told apart by id and the hash of all columns, so rows that share an id, or have none, are judged one by one.
+    Texts without words are like no other and stay.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"))
+    linked = saved(ngram_join.linked(docs.select(own.alias("row"), "text"), "row"), "linked")
+    marks = linked.groupBy("row").agg(F.count("*").alias("times"), F.max(F.col("row") != F.col("component_id")).alias("later")).where("later OR times > 1")
+    marked = docs.withColumn("row", own).join(marks, "row", "left")
+    kept = marked.where("later IS NULL").select(*docs.columns)
+    often = marked.where("NOT later AND times > 1").dropDuplicates(["row"]).select(*docs.columns)
+    return kept.unionByName(often) if marks.where("NOT later").take(1) else kept
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
