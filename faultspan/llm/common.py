@@ -34,11 +34,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def saved(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage and survives lost executors. With `by`, rows are in buckets by that column, and joins on it do not move them."""
+    spark, name = df.sparkSession, f"{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    if by:
+        n, table = int(spark.conf.get("spark.sql.shuffle.partitions")), name.replace("-", "_")
+        df.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(table)
+        out = spark.table(table)
+        out.saved_table = table
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
 
@@ -47,6 +54,8 @@ def discarded(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete saved tables that no later plan reads, and let Spark's cleaner find the shuffle files of what has ended."""
     jvm = spark.sparkContext._jvm
     for t in tables:
+        if hasattr(t, "saved_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {t.saved_table}")
         path = jvm.org.apache.hadoop.fs.Path(t.saved_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()

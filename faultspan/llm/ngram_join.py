@@ -11,8 +11,10 @@ texts last, so that passages which many texts share make no buckets. Numbers tha
 of buckets with the same members one is kept.
 
 First each node is compared with the least and the largest node of its buckets, which unites groups of copies without
-their pairs; then the R-trees of the buckets that still hold several components give every pair of different components
-that the bound leaves. No pair is left unseen, so none is lost: what comes out are the components, not all pairs. A
+their pairs. Then the R-trees of the buckets that still hold several components find the pairs of different components
+that the bound leaves, first as many as connect what all of them would; if all these prove to be links, nothing else can
+be one. Otherwise the trees give every such pair between the components by then. No pair is left unseen, so none is lost:
+what comes out are the components, not all pairs. A
 bucket of more than BLOCK nodes is cut by size and then by hash, and its blocks meet in pairs, where sizes allow it, so
 that no task holds a whole one.
 
@@ -38,8 +40,10 @@ GROUPS, WIDE, FINEST = 64, 1 << 16, 128
 #: So many of the most frequent shingles are put last in prefixes, those in LEAST texts or more; it only matters for speed.
 FREQUENT, LEAST = 1 << 20, 4
 #: Nodes of one bucket that are looked at together, rows that one group has on average, and counts that are unpacked together.
-BLOCK, ROWS, CELLS = 4096, 20_000, 1 << 24
+BLOCK, ROWS, CELLS = 4096, 10_000, 1 << 22
 LEAF, FAN = 16, 8
+#: Pairs of tree nodes that are opened together.
+TOGETHER = 1 << 12
 #: Shingles that one vectorised step holds.
 STEP = 1 << 20
 _WEIGHTS = mix(np.arange(1, SIZE + 1, dtype=np.uint64))
@@ -234,7 +238,7 @@ class Fine:
         for n in np.unique(least).tolist():
             place, table = self.levels[n]
             at = np.flatnonzero((least == n) & (place[a] >= 0) & (place[b] >= 0))
-            for k in range(0, len(at), step := max(1, (1 << 22) // n)):
+            for k in range(0, len(at), step := max(1, STEP // n)):
                 part = at[k : k + step]
                 out[part] = 9 * np.minimum(table[place[a[part]]], table[place[b[part]]]).sum(axis=1, dtype=np.int64) >= need[part]
         return out
@@ -283,8 +287,8 @@ class CountTree:
 
     def below(self, level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         low, high, most = self.levels[level] if level >= 0 else (self.m, self.m, self.v)
-        for k in range(0, len(i), 1 << 14):
-            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        for k in range(0, len(i), TOGETHER):
+            a, b = i[k : k + TOGETHER], j[k : k + TOGETHER]
             good = (5 * high[a] >= 4 * low[b]) & (5 * high[b] >= 4 * low[a])
             good[good] = possible(low[a[good]], low[b[good]], most[a[good]], most[b[good]])
             a, b = a[good], b[good]
@@ -300,8 +304,8 @@ class CountTree:
             yield from self.below(level - 1, x[keep], y[keep])
 
 
-def tree_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs a < b of nodes in one bucket, of different components and sides, that the bound leaves."""
+def tree_pairs(rows: pd.DataFrame, forest: bool) -> pd.DataFrame:
+    """Pairs a < b of nodes in one bucket, of different components and sides, that the bound leaves; with forest, as many as connect what all of them would."""
     rows = rows.sort_values(["bucket", "node"], kind="stable")
     bucket = rows["bucket"].to_numpy()
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -309,13 +313,13 @@ def tree_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     found, start = [np.zeros((0, 2), np.int64)], 0
     while start < len(cuts) - 1:  # as many buckets as unpack into CELLS counts, one at least
         end = max(start + 1, int(np.searchsorted(cells, cells[start] + CELLS, side="right")) - 1)
-        found.append(some_pairs(rows.iloc[cuts[start] : cuts[end]], cuts[start : end + 1] - cuts[start]))
+        found.append(some_pairs(rows.iloc[cuts[start] : cuts[end]], cuts[start : end + 1] - cuts[start], forest))
         start = end
     out = np.unique(np.concatenate(found), axis=0)
     return pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
 
 
-def some_pairs(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
+def some_pairs(rows: pd.DataFrame, cuts: np.ndarray, forest: bool) -> np.ndarray:
     """The pairs of some whole buckets, each tried on the widest vectors once."""
     m, node, comp, side = (rows[c].to_numpy() for c in ("m", "node", "comp", "side"))
     names, once, own = np.unique(node, return_index=True, return_inverse=True)
@@ -338,17 +342,28 @@ def some_pairs(rows: pd.DataFrame, cuts: np.ndarray) -> np.ndarray:
             once_each, held = np.unique(np.concatenate([once_each, *held])), []
     once_each = np.unique(np.concatenate([once_each, *held]))
     a, b = once_each // len(names), once_each % len(names)
-    need = 4 * (m[once[a]] + m[once[b]])
-    good = np.array([9 * vectors.common(i, j) >= n for i, j, n in zip(a.tolist(), b.tolist(), need.tolist(), strict=True)], bool)
-    return np.stack([names[a[good]], names[b[good]]], axis=1)
+    _, begin, of = np.unique(comp[once], return_index=True, return_inverse=True)
+    up, out = begin[of].tolist(), []
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = i = up[up[i]]
+        return i
+
+    for i, j, n in zip(a.tolist(), b.tolist(), (4 * (m[once[a]] + m[once[b]])).tolist(), strict=True):
+        x, y = top(i), top(j)
+        if (x != y or not forest) and 9 * vectors.common(i, j) >= n:
+            out.append((i, j))
+            up[x] = y
+    return names[np.array(out, np.int64).reshape(-1, 2)]
 
 
 def within(m: np.ndarray, comp: np.ndarray, v: np.ndarray, cuts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs in each bucket that the points leave."""
     for n in np.unique(sizes[(sizes > 1) & (sizes <= LEAF)]):  # one leaf each: all of a size at once
         starts, (x, y) = cuts[:-1][sizes == n], np.triu_indices(n, 1)
-        for k in range(0, len(starts), 4096):
-            at = starts[k : k + 4096, None]
+        for k in range(0, len(starts), TOGETHER):
+            at = starts[k : k + TOGETHER, None]
             a, b = (at + x).ravel(), (at + y).ravel()
             good = (5 * m[a] >= 4 * m[b]) & (5 * m[b] >= 4 * m[a]) & (comp[a] != comp[b])
             a, b = a[good], b[good]
@@ -359,8 +374,8 @@ def within(m: np.ndarray, comp: np.ndarray, v: np.ndarray, cuts: np.ndarray, siz
             yield start + a, start + b
 
 
-def from_trees(rows: DataFrame, of: DataFrame) -> DataFrame:
-    """a, b: pairs of the open buckets (k, n, node, m, comp) by R-trees over their points."""
+def from_trees(rows: DataFrame, of: DataFrame, forest: bool) -> DataFrame:
+    """a, b: pairs of the open buckets (k, n, node, m, comp) by R-trees over their points, all or a forest of each group's."""
     # in a bucket of more than one block nodes are cut by size; sets of classes that are farther apart have too different sizes
     size = F.when(F.col("n") > BLOCK, F.floor(F.log("m") / F.log(F.lit(1.1)))).otherwise(0).cast("int").alias("c")
     rows = rows.select("k", "n", "node", "m", "comp", size)
@@ -380,7 +395,7 @@ def from_trees(rows: DataFrame, of: DataFrame) -> DataFrame:
     x = x.withColumn("p", F.explode(F.when(F.col("n") > BLOCK, F.transform(others, meeting)).otherwise(alone)))
     x = x.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp").join(vectors(of), "node")
     groups = max(1, -(-rows.count() // ROWS))
-    found = x.withColumn("g", F.pmod("bucket", F.lit(groups))).drop("n").groupBy("g").applyInPandas(tree_pairs, "a bigint, b bigint")
+    found = x.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInPandas(lambda held: tree_pairs(held, forest), "a bigint, b bigint")
     return found.distinct()
 
 
@@ -438,25 +453,29 @@ def opened(buckets: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> Da
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles long, component_id (the smallest key of the row's component) of every row."""
     spark = df.sparkSession
-    every = saved(sets(df, key, text), "shingle-sets")
+    # sets lie by node, so that they need not move again when the nodes of buckets are known
+    every = saved(sets(df, key, text), "shingle-sets", by="node")
     rows = saved(every.select("key", "m", "node"), "shingle-rows")
     buckets = bucketed(prefixes(every, frequent(every, FREQUENT)))
     discarded(spark)  # the shuffles so far
     of = saved(every.where("m > 0").join(buckets.select("node").distinct(), "node", "left_semi").select("node", "m", "shingles").dropDuplicates(["node"]), "nodes")
     discarded(spark, every)
     sizes, links, labels = of.select("node", "m"), None, None
-    for kind in ("ends", "trees"):
+    for kind in ("ends", "forest", "all"):
         open_rows = saved(opened(buckets, sizes, labels), "open")
         if kind == "ends":
             with_end = [open_rows.where(f"comp <> {e}.comp AND 5 * m >= 4 * {e}.m AND 5 * {e}.m >= 4 * m").select(F.col("node").alias("a"), F.col(f"{e}.node").alias("b")) for e in ("lo", "hi")]
             pairs = with_end[0].union(with_end[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
-            pairs = from_trees(open_rows, of)
+            pairs = from_trees(open_rows, of, kind == "forest")
         pairs = saved(pairs, "pairs")
         new = saved(verified(pairs, of), "links")
+        whole = kind == "forest" and pairs.count() == new.count()
         discarded(spark, open_rows, pairs)
         links = new if links is None else links.union(new)
         labels = components(links)
+        if whole:  # what a forest of links connects needs no other pair
+            break
     # the name of a component is the smallest key of all rows in it, copies included
     full = rows.where("m > 0").join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
     names = full.groupBy("node").agg(F.min("key").alias("name"))
