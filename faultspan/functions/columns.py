@@ -47,14 +47,16 @@ def short_commit(commit: str | Column) -> Column:
 
 
 def with_defaults(df: DataFrame, hostname: Column, defaults: dict[str, Column], allowed_env: list[str] | None = None, env: Column | None = None) -> DataFrame:
-    """Fill a missing hostname and add context keys that the event doesn't have; other than object contexts stay, empty ones stay null."""
+    """Fill a missing hostname and add context keys that the event doesn't have; what it has stays as it is written, other than object contexts too, empty ones stay null."""
     if env is not None:
-        defaults = defaults | {"env": F.when(F.size(kept := F.map_filter(env, lambda k, v: k.isin(allowed_env or []))) > 0, F.to_json(kept))}
-    own = F.from_json("context", "map<string,string>")
-    extra = F.map_filter(F.create_map(*(x for k, v in defaults.items() for x in (F.lit(k), v.cast("string")))), lambda k, v: v.isNotNull() & ~F.coalesce(F.map_contains_key(own, k), F.lit(False)))
-    merged = F.when(F.size(extra) > 0, F.to_json(F.map_concat(F.coalesce(own, F.create_map().cast("map<string,string>")), extra))).otherwise(F.col("context"))
-    is_object = F.col("context").isNull() | F.ltrim("context").startswith("{")
-    return df.withColumn("hostname", F.coalesce("hostname", hostname)).withColumn("context", F.when(is_object, merged).otherwise(F.col("context")))
+        defaults = defaults | {"env": F.when(F.size(kept := F.map_filter(env, lambda k, v: k.isin(allowed_env or []))) > 0, kept)}
+    keys = F.coalesce(F.json_object_keys("context"), F.array().cast("array<string>"))
+    extra = F.to_json(F.struct(*(F.when(~F.array_contains(keys, k), v).alias(k) for k, v in defaults.items())))
+    own = F.trim("context")
+    spliced = F.concat(F.regexp_replace(own, r"\s*\}$", ""), F.when(F.size(keys) > 0, ",").otherwise(""), F.substring(extra, 2, 1 << 30))
+    is_object = own.startswith("{") & F.coalesce(F.try_parse_json("context").isNotNull(), F.lit(False))
+    merged = F.when(extra == "{}", F.col("context")).when(F.col("context").isNull(), extra).when(is_object, spliced).otherwise(F.col("context"))
+    return df.withColumn("hostname", F.coalesce("hostname", hostname)).withColumn("context", merged)
 
 
 def redacted(text: str | Column, custom: list[str] | None = None) -> Column:

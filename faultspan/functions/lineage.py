@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only where Spark runs in one process, a folder of this machine will do."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; where that is unset, as in tests, in a folder of this machine."""
+    """A checkpoint in that folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-shared-')}")
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

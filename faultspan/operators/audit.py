@@ -1,7 +1,8 @@
 """A hash chain over events: build, verify in parallel, report tombstones.
 
-Building is serial along a chain, so give chains a key (application, day) for large tables; verifying isn't: each row's
-predecessor is the row or else the tombstone with the id before, found by two joins. As stored and expected hashes agree
+Building is serial along a chain, so give chains a key (application and hour) for large tables, which bounds what one
+group walks; verifying isn't: each row's predecessor is the row or else the tombstone before it, in one chain of ids one
+after another found by two joins, in chains with a key by a window over each. As stored and expected hashes agree
 before the first break, the smallest broken id is what a walk along the chain would stop at.
 """
 
@@ -10,7 +11,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -42,8 +43,16 @@ def build(df: DataFrame, chain: Column | None = None, last: DataFrame | None = N
     return given.drop("audit_hash").join(hashed, "id").select(*given.columns)
 
 
-def checked(df: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """id, event_id, expected, actual, bridged, ok of every row of one chain with ids one after another."""
+def checked(df: DataFrame, tombstones: DataFrame, chain: Column | None = None) -> DataFrame:
+    """id, event_id, expected, actual, bridged, ok of every row: of one chain with ids one after another, or of chains with a key, which tombstones have as `chain`."""
+    if chain is not None:
+        parts = ("id", "event_id", "ts", "message", "fingerprint")
+        rows = df.select(chain.alias("chain"), *parts, F.col("audit_hash").alias("actual"), F.lit(False).alias("stone"))
+        stones = tombstones.select("chain", F.col("row_id").alias("id"), F.col("audit_hash").alias("actual"), F.lit(True).alias("stone")).dropDuplicates(["id"])
+        w = Window.partitionBy("chain").orderBy("id")
+        x = rows.unionByName(stones, allowMissingColumns=True).withColumns({"__from": F.coalesce(F.lag("actual").over(w), F.lit(GENESIS)), "bridged": F.coalesce(F.lag("stone").over(w), F.lit(False))})
+        x = x.where("NOT stone").withColumn("expected", F.coalesce(link(F.col("__from")), F.lit("")))
+        return x.select("id", "event_id", "expected", "actual", "bridged", F.col("expected").eqNullSafe(F.col("actual")).alias("ok"))
     before = df.select((F.col("id") + 1).alias("id"), F.col("audit_hash").alias("__row"))
     stone = tombstones.select((F.col("row_id") + 1).alias("id"), F.col("audit_hash").alias("__stone")).dropDuplicates(["id"])
     x = df.join(before, "id", "left").join(stone, "id", "left")
@@ -53,13 +62,13 @@ def checked(df: DataFrame, tombstones: DataFrame) -> DataFrame:
     return x.select("id", "event_id", "expected", F.col("audit_hash").alias("actual"), bridged.alias("bridged"), F.col("expected").eqNullSafe(F.col("audit_hash")).alias("ok"))
 
 
-def breaks(df: DataFrame, tombstones: DataFrame) -> DataFrame:
-    return checked(df, tombstones).where("NOT ok").select("id", "event_id", "expected", "actual")
+def breaks(df: DataFrame, tombstones: DataFrame, chain: Column | None = None) -> DataFrame:
+    return checked(df, tombstones, chain).where("NOT ok").select("id", "event_id", "expected", "actual")
 
 
-def verify(df: DataFrame, tombstones: DataFrame) -> DataFrame:
+def verify(df: DataFrame, tombstones: DataFrame, chain: Column | None = None) -> DataFrame:
     """ok, rows_checked and tombstones_bridged up to the first break, and its id."""
-    rows = checked(df, tombstones)
+    rows = checked(df, tombstones, chain)
     first = rows.agg(F.min(F.when(~F.col("ok"), F.col("id"))).alias("first_break"))
     before = F.col("first_break").isNull() | (F.col("id") < F.col("first_break"))
     x = rows.crossJoin(F.broadcast(first)).agg(F.count(F.when(before, 1)).alias("rows_checked"), F.count(F.when(before & F.col("bridged"), 1)).alias("tombstones_bridged"), F.max("first_break").alias("first_break"))

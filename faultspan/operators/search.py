@@ -10,7 +10,7 @@ import functools
 import unicodedata
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import Filters, Page, fetch
@@ -66,8 +66,8 @@ def index(df: DataFrame) -> Index:
 
 
 def write_index(ix: Index, path: str) -> None:
-    """Postings lie by token, so a reader skips what has other tokens."""
-    ix.postings.repartitionByRange("token").sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
+    """Postings lie by token, so a reader skips row groups with other tokens; those of one token lie in several files."""
+    ix.postings.repartition("token", F.pmod("id", F.lit(8))).sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
     ix.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
 
@@ -212,6 +212,12 @@ def search(df: DataFrame, ix: Index, q: Query | None, filters: Filters | None =
     return fetch(found(df, ix, q, filters, by_rank), limit, after, by_rank)
 
 
+def latest_similar(found: DataFrame, df: DataFrame, limit: int) -> DataFrame:
+    """Of each of_id the latest `limit` events found."""
+    w = Window.partitionBy("of_id").orderBy(F.desc("ts"), F.desc("id"))
+    return found.join(df.select("id", "ts"), "id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n", "ts")
+
+
 def similar_by_fingerprint(df: DataFrame, ids: DataFrame) -> DataFrame:
     """of_id, id, event_id of the other events with a given event's fingerprint."""
     own = df.join(ids.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("of_id"), "fingerprint")

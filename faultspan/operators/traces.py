@@ -40,21 +40,21 @@ def caused_by(df: DataFrame) -> DataFrame:
     return child.join(df.select(F.col("event_id").alias("src_event_id")), "src_event_id", "left_semi").select("src_event_id", "dst_event_id", F.lit("caused_by").alias("rel"))
 
 
-def ancestors(df: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+def ancestors(df: DataFrame, seeds: DataFrame) -> DataFrame:
     """of_id, event_id, depth of every ancestor of the seeds, up to a missing parent; an event met before ends the walk with cycle set."""
-    return _walk(df.select("event_id", F.col("parent_event_id").alias("next")), seeds, most)
+    return _walk(df.select("event_id", F.col("parent_event_id").alias("next")), seeds)
 
 
-def descendants(df: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+def descendants(df: DataFrame, seeds: DataFrame) -> DataFrame:
     """of_id, event_id, depth of all below the seeds."""
-    return _walk(df.select(F.col("parent_event_id").alias("event_id"), F.col("event_id").alias("next")), seeds, most)
+    return _walk(df.select(F.col("parent_event_id").alias("event_id"), F.col("event_id").alias("next")), seeds)
 
 
-def _walk(steps: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+def _walk(steps: DataFrame, seeds: DataFrame) -> DataFrame:
     steps = steps.where("event_id IS NOT NULL AND next IS NOT NULL")
     at = seeds.select(F.col("event_id").alias("of_id"), "event_id", F.array("event_id").alias("path"), F.lit(False).alias("cycle"))
     out, depth = at.limit(0).select("of_id", "event_id", F.lit(0).alias("depth"), "cycle"), 0
-    while depth < most:
+    while True:  # paths end where they meet themselves
         depth += 1
         at = at.where(~F.col("cycle")).join(steps, "event_id").select("of_id", F.col("next").alias("event_id"), "path", F.array_contains("path", F.col("next")).alias("cycle"))
         at = checkpointed(at.withColumn("path", F.concat("path", F.array("event_id"))))

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultspan import schema
+from faultspan.functions import columns
 from faultspan.operators import analytics, audit, filters, mutations, search, traces
 from faultspan.sources.ingest import sdk_payloads
+from faultspan.sources.io import federated
 from faultspan.streaming.jobs import pipeline
 
 SUMMARY = ["id", "event_id", "ts", "application", "severity", "category", "error_code", "message", "fingerprint", "resolved_at"]
@@ -72,6 +74,33 @@ def _ids(t: Tables, ids: list[str]) -> DataFrame:
     return traces.resolve_ids(t.events, given).where("event_id IS NOT NULL").select("event_id")
 
 
+def _similar(t: Tables, ids: list[str], by: str = "fingerprint", limit: int | None = None) -> DataFrame:
+    """The latest other events like each given one."""
+    found = search.similar_by_fingerprint(t.events, _ids(t, ids)) if by == "fingerprint" else search.similar_by_text(t.events, _index(t), _ids(t, ids))
+    return search.latest_similar(found, t.events, filters.clamp(limit))
+
+
+def _search_all(t: Tables, stores: dict[str, str], query: str | None = None, limit: int | None = None) -> DataFrame:
+    """The first rows of every store that can be read, each by its own statistics."""
+    rows, _ = federated(t.events.sparkSession, stores, lambda df: _search(Tables(df), query, limit))
+    return rows if rows is not None else t.events.limit(0).withColumn("source_db", F.lit(""))
+
+
+def _delete(t: Tables, now_ms: int, confirm: bool = False, **what) -> DataFrame:
+    """The tombstones of a deletion; without confirm nothing but what it would take."""
+    if not confirm:
+        return mutations.preview(t.events, mutations.Selector(**what))
+    t.events, stones, t.edges = mutations.delete(t.events, t.edges, mutations.Selector(**what).column(), F.timestamp_millis(F.lit(now_ms)))
+    t.tombstones = stones if t.tombstones is None else t.tombstones.unionByName(stones, allowMissingColumns=True)
+    return stones
+
+
+def _long(parts: dict[str, DataFrame]) -> DataFrame:
+    """part, key, n of each part of a summary."""
+    total = parts["total"].select(F.lit("total").alias("part"), F.lit("").alias("key"), F.col("total").alias("n"))
+    return total.unionByName(parts["by_category"].select(F.lit("category").alias("part"), F.col("category").alias("key"), "n")).unionByName(parts["by_severity"].select(F.lit("severity").alias("part"), F.col("severity").alias("key"), "n")).unionByName(parts["top"].select(F.lit("failure").alias("part"), F.col("fingerprint").alias("key"), "n"))
+
+
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "search_errors": _search,
     "latest_errors": _latest,
@@ -85,7 +114,12 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "get_error": lambda t, ids, key=None: event_detail(t.events.join(_ids(t, ids), "event_id", "left_semi"), key),
     "get_trace": lambda t, correlation_id: traces.timeline(t.events.where(F.col("correlation_id") == correlation_id)),
     "explain_error": lambda t, ids: traces.explain(t.events, t.edges, _ids(t, ids)),
-    "similar_errors": lambda t, ids, by="fingerprint": search.similar_by_fingerprint(t.events, _ids(t, ids)) if by == "fingerprint" else search.similar_by_text(t.events, _index(t), _ids(t, ids)),
+    "similar_errors": _similar,
+    "list_traces": lambda t, limit=None, **f: traces.summary(t.events.where(filters.Filters(**f).checked().column())).orderBy(F.desc("end"), "correlation_id").limit(filters.clamp(limit)),
+    "search_all": _search_all,
+    "classify_error": lambda t, ids, rules=(): t.events.join(_ids(t, ids), "event_id", "left_semi").select("event_id", columns.classified(list(rules)).alias("c")).select("event_id", "c.*"),
+    "delete_errors": _delete,
+    "summary": lambda t, **f: _long(analytics.summarize(t.events, filters.Filters(**f))),
     "preview_delete": lambda t, **what: mutations.preview(t.events, mutations.Selector(**what)),
     "verify_audit": lambda t: audit.verify(t.events, t.tombstones),
     "doctor": _doctor,
@@ -94,7 +128,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
 
 @dataclass
 class Registry:
-    """Hooks of one's own: enrichers, classification rules, tools and exporters, by name and in order of registration."""
+    """Hooks of one's own: enrichers, tools and exporters, by name and in order of registration."""
 
     tools: dict[str, Callable[..., DataFrame]] = field(default_factory=lambda: dict(TOOLS))
     enrichers: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 from faultspan import schema
 from faultspan.functions import columns as C
-from faultspan.functions.lineage import checkpointed
+from faultspan.functions.lineage import checkpointed, shared_dir
 from faultspan.operators import analytics as A
 from faultspan.operators import audit as U
 from faultspan.operators import filters as L
 from faultspan.operators import mutations as M
 from faultspan.operators import search as S
 from faultspan.operators import traces as R
+from faultspan.plans import registry as P
 from faultspan.sources import fixtures
 from faultspan.sources import ingest as G
 from faultspan.sources import io as IO
@@ -59,7 +61,7 @@ def filtered_events(spark, sf_dir):
     return events(spark, sf_dir).where(SOME.checked().column()).select("id", "event_id", "application", "severity", "category")
 
 
-EQ = {"application": "app-1", "version": "1.2", "environment": "dev", "command": "serve", "subsystem": "error", "hostname": "host-7", "error_code": "ENOMEM", "correlation_id": "req-100"}
+EQ = {"application": "app-1", "version": "1.2", "environment": "dev", "command": "serve", "subsystem": "error", "hostname": "host-7", "error_code": "ENOMEM", "correlation_id": "req-100", "category": "dns_error"}
 
 
 @query(EV + "SELECT f, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM ev, (VALUES " + ", ".join(f"('{c}')" for c in [*EQ, "category_under"]) + ") t(f) WHERE CASE f " + " ".join(f"WHEN '{c}' THEN {c} = '{v}'" for c, v in EQ.items()) + " WHEN 'category_under' THEN category = 'application' OR category LIKE 'application.%' END GROUP BY f")
@@ -186,9 +188,30 @@ def redact_messages(spark, sf_dir):
     return events(spark, sf_dir).select("id", C.redacted("message").alias("message"))
 
 
-@query(EV + "SELECT id, metadata FROM ev")
+@query(EV + f"""SELECT id, '{{"note":"' || {_HIDE} || '","n":[1,{{"deep":"' || {_HIDE} || '"}}]}}' AS metadata FROM ev""")
 def redact_json(spark, sf_dir):
-    return events(spark, sf_dir).select("id", C.redacted_json("metadata").alias("metadata"))
+    """Messages with secrets as values of nested JSON."""
+    said = F.to_json(F.struct(F.col("message").alias("note"), F.array(F.lit("N"), F.col("message")).alias("n")))
+    said = F.regexp_replace(said, r'"n":\["N",(".*")\]', r'"n":[1,{"deep":$1}]')
+    return events(spark, sf_dir).select("id", C.redacted_json(said).alias("metadata"))
+
+
+@query(EV + "SELECT CASE WHEN id % 4 = 0 THEN 'error' WHEN id % 4 = 1 THEN severity ELSE 'error' END AS severity, count(*) AS n FROM ev GROUP BY 1")
+def severity_parse(spark, sf_dir):
+    """Of given, missing, unknown and wrongly written severities."""
+    given = F.when(F.col("id") % 4 == 1, F.col("severity")).when(F.col("id") % 4 == 2, "loud").when(F.col("id") % 4 == 3, F.upper("severity"))
+    return A.counts_by(events(spark, sf_dir).withColumn("severity", C.parsed_severity(given)), "severity")
+
+
+@query(EV + "SELECT id, event_id, epoch_ms(ts) AS ts_ms, application, severity, category, error_code, message, fingerprint, epoch_ms(resolved_at) AS resolved_ms FROM ev")
+def event_summaries(spark, sf_dir):
+    out = P.event_summary(events(spark, sf_dir))
+    return out.withColumns({"ts_ms": C.epoch_ms("ts"), "resolved_ms": C.epoch_ms("resolved_at")}).drop("ts", "resolved_at")
+
+
+@query(EV + "SELECT 'total' AS part, '' AS key, count(*) AS n FROM ev UNION ALL SELECT 'category', category, count(*) FROM ev WHERE category IS NOT NULL GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*) FROM ev GROUP BY 2 UNION ALL SELECT 'failure', fingerprint, n FROM (SELECT fingerprint, count(*) AS n, max(ts) AS t FROM ev GROUP BY 1 ORDER BY n DESC, fingerprint LIMIT 10)")
+def summary_parts(spark, sf_dir):
+    return P.TOOLS["summary"](P.Tables(events(spark, sf_dir)))
 
 
 @query(EV + "SELECT id, stack_norm FROM ev")
@@ -237,10 +260,12 @@ def crypto_roundtrip(spark, sf_dir):
     return df.select("id", C.decrypted("sealed", key).alias("plain"), C.decrypted("sealed", None).alias("without_key"))
 
 
-@query(EV + """SELECT id, coalesce(hostname, 'batch-1') AS hostname, json_extract_string(context, '$.pid') AS pid, 'abc1234' AS git_commit FROM ev""")
+@query(EV + """SELECT id, coalesce(hostname, 'batch-1') AS hostname, left(context, length(context) - 1) || ',"git_commit":"abc1234","ok":true,"env":{"TZ":"UTC"}}' AS context FROM ev""")
 def context_defaults(spark, sf_dir):
-    df = C.with_defaults(events(spark, sf_dir), F.lit("batch-1"), {"pid": F.lit("7"), "git_commit": C.short_commit(F.lit("abc1234def"))})
-    return df.select("id", "hostname", F.get_json_object("context", "$.pid").alias("pid"), F.get_json_object("context", "$.git_commit").alias("git_commit"))
+    """The caller's values stay as they are written; what is missing is added with its type."""
+    env = F.create_map(F.lit("TZ"), F.lit("UTC"), F.lit("SECRET"), F.lit("x"))
+    df = C.with_defaults(events(spark, sf_dir), F.lit("batch-1"), {"pid": F.lit(7), "git_commit": C.short_commit(F.lit("abc1234def")), "ok": F.lit(True)}, ["TZ"], env)
+    return df.select("id", "hostname", "context")
 
 
 # --- text search --------------------------------------------------------------------------------------------------
@@ -251,6 +276,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select((F.col("doc_id") + 1).alias("id"), F.col("text").alias("message"), F.col("source").alias("application"), F.col("lang").alias("category"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str, anew: bool = False) -> S.Index:
+    """The text index of the documents, written once by a session and read from then on."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if anew or key not in _indexes:
+        path = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+        S.write_index(S.index(documents(spark, sf_dir)), path)
+        _indexes[key] = path
+    return S.read_index(spark, _indexes[key])
+
+
 TOK = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}\\p{{Co}}._:/-]+')"
 POST = f"""WITH f AS (SELECT doc_id + 1 AS id, 'message' AS field, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id + 1, 'category', lang FROM documents WHERE lang IS NOT NULL),
  k AS (SELECT id, field, {TOK.format("t")} AS ts FROM f), p AS (SELECT id, field, unnest(ts) AS token, unnest(range(len(ts))) AS pos FROM k),
@@ -265,9 +303,15 @@ def postings(spark, sf_dir):
     return p.groupBy("token", "field").agg(F.count("*").alias("n"), F.countDistinct("id").alias("rows"), F.max("pos").cast("bigint").alias("last_pos"))
 
 
+@query(POST + "SELECT field, count(*) AS n, count(DISTINCT token) AS tokens FROM p GROUP BY field")
+def text_index(spark, sf_dir):
+    """Write the index anew, and what was written."""
+    return indexed(spark, sf_dir, True).postings.groupBy("field").agg(F.count("*").alias("n"), F.countDistinct("token").alias("tokens"))
+
+
 @query(POST + "SELECT ln.id, len, rows, round(avgdl, 6) AS avgdl FROM ln, st")
 def doc_stats(spark, sf_dir):
-    ix = S.index(documents(spark, sf_dir))
+    ix = indexed(spark, sf_dir)
     return ix.lengths.crossJoin(F.broadcast(ix.stats)).withColumn("avgdl", F.round("avgdl", 6))
 
 
@@ -306,12 +350,12 @@ SEARCHES = {
     "search_field": (lambda: S.term("es").in_field("category"), _scored(_CATHIT, keep=_ID(_CATHIT))),
 }
 for _name, (_make, _sql) in SEARCHES.items():
-    query(_sql, _name)(lambda spark, sf_dir, make=_make: S.scores(S.index(documents(spark, sf_dir)), make()).select("id", F.round("score", 6).alias("score")))
+    query(_sql, _name)(lambda spark, sf_dir, make=_make: S.scores(indexed(spark, sf_dir), make()).select("id", F.round("score", 6).alias("score")))
 
 
 @query(POST + _NEAR)
 def search_near(spark, sf_dir):
-    return S.matches(S.index(documents(spark, sf_dir)), S.near(S.term("the"), S.term("inea"), within=4))
+    return S.matches(indexed(spark, sf_dir), S.near(S.term("the"), S.term("inea"), within=4))
 
 
 @query(
@@ -321,13 +365,13 @@ def search_near(spark, sf_dir):
     + "SELECT h.id, round(-sum(greatest(ln((rows - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS score FROM h JOIN d USING (ph) JOIN ln ON h.id = ln.id, st GROUP BY h.id"
 )
 def search_near_scored(spark, sf_dir):
-    return S.scores(S.index(documents(spark, sf_dir)), S.near(S.term("the"), S.term("inea"), within=4)).select("id", F.round("score", 6).alias("score"))
+    return S.scores(indexed(spark, sf_dir), S.near(S.term("the"), S.term("inea"), within=4)).select("id", F.round("score", 6).alias("score"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS qid, id, score FROM ({SEARCHES[n][1]})" for n in ("search_term", "search_phrase")))
 def bm25_batch(spark, sf_dir):
     made = {n: SEARCHES[n][0]() for n in ("search_term", "search_phrase")}
-    return S.batch(S.index(documents(spark, sf_dir)), made).withColumn("score", F.round("score", 6))
+    return S.batch(indexed(spark, sf_dir), made).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -336,32 +380,20 @@ def bm25_batch(spark, sf_dir):
 def search_page(spark, sf_dir):
     """The first page by rank among the documents of one source; scores are over all documents."""
     df = documents(spark, sf_dir).withColumns({"ts": F.timestamp_seconds(F.lit(0)), "resolved_at": F.lit(None)})
-    rows = S.found(df, S.index(df), S.term("inea"), L.Filters(application="src0"), by_rank=True).withColumn("score", F.round("score", 6))
+    rows = S.found(df, indexed(spark, sf_dir), S.term("inea"), L.Filters(application="src0"), by_rank=True).withColumn("score", F.round("score", 6))
     return L.page(rows, 20, by_score=True).select("id", "score")
 
 
-@query(EV + "SELECT a.event_id AS of_id, b.id, b.event_id FROM ev a JOIN ev b USING (fingerprint) WHERE a.event_id <> b.event_id AND a.id % 500 = 1")
+@query(EV + "SELECT a.event_id AS of_id, b.id, b.event_id FROM ev a JOIN ev b USING (fingerprint) WHERE a.event_id <> b.event_id AND a.id % 20 = 0")
 def similar_by_fingerprint(spark, sf_dir):
-    df = events(spark, sf_dir)
-    return S.similar_by_fingerprint(df, df.where("id % 500 = 1"))
-
-
-@query(EV + "SELECT a.event_id AS of_id, b.id FROM ev a JOIN ev b ON a.message = b.message OR (a.message LIKE 'Disk Full%' AND b.message = a.message) WHERE a.id <> b.id AND a.id % 1000 = 1")
-def similar_by_text(spark, sf_dir):
-    df = events(spark, sf_dir)
-    return S.similar_by_text(df, S.index(df), df.where("id % 1000 = 1"))
-
-
-@query()
-def similar_by_fingerprint_all(spark, sf_dir):
-    """For every id divisible by 20; the query above keeps the rows that its SQL has."""
+    """For the query set of every id divisible by 20."""
     df = events(spark, sf_dir)
     return S.similar_by_fingerprint(df, df.where("id % 20 = 0"))
 
 
-@query()
-def similar_by_text_all(spark, sf_dir):
-    """For every id divisible by 20."""
+@query(EV + "SELECT a.event_id AS of_id, b.id FROM ev a JOIN ev b ON a.message = b.message WHERE a.id <> b.id AND a.id % 20 = 0")
+def similar_by_text(spark, sf_dir):
+    """For the query set of every id divisible by 20."""
     df = events(spark, sf_dir)
     return S.similar_by_text(df, S.index(df), df.where("id % 20 = 0"))
 
@@ -386,44 +418,24 @@ def trace_summary(spark, sf_dir):
     return R.summary(events(spark, sf_dir)).select("correlation_id", "n", C.epoch_ms("start").alias("start_ms"), C.epoch_ms("end").alias("end_ms"), F.array_join("applications", ",").alias("applications"), "worst")
 
 
-@query(EV + f", {EDGES} SELECT DISTINCT src_event_id, dst_event_id, rel FROM edges WHERE src_event_id IN (SELECT event_id FROM ev WHERE id % 7 = 1) OR dst_event_id IN (SELECT event_id FROM ev WHERE id % 7 = 1)")
+@query(EV + f", {EDGES} SELECT DISTINCT src_event_id, dst_event_id, rel FROM edges WHERE src_event_id IN (SELECT event_id FROM ev) OR dst_event_id IN (SELECT event_id FROM ev)")
 def edge_lookup(spark, sf_dir):
-    return R.edges_of(edges(spark, sf_dir), events(spark, sf_dir).where("id % 7 = 1"))
-
-
-@query()
-def edge_lookup_all(spark, sf_dir):
-    """The edges of all events."""
     return R.edges_of(edges(spark, sf_dir), events(spark, sf_dir))
 
 
 def _walk_sql(up: bool) -> str:
     step = "e.event_id = w.p" if up else "e.parent_event_id = w.event_id"
-    return "WITH RECURSIVE " + EV[5:] + f", w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, 0 AS depth FROM ev WHERE id % 40 = {6 if up else 1} UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, w.depth + 1 FROM w JOIN ev e ON {step}) SELECT of_id, event_id, depth FROM w WHERE depth > 0"
+    return "WITH RECURSIVE " + EV[5:] + f", w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, 0 AS depth FROM ev UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, w.depth + 1 FROM w JOIN ev e ON {step}) SELECT of_id, event_id, depth FROM w WHERE depth > 0"
 
 
 @query(_walk_sql(True))
 def ancestors(spark, sf_dir):
     df = events(spark, sf_dir)
-    return R.present(df, R.ancestors(df, df.where("id % 40 = 6"))).select("of_id", "event_id", "depth")
+    return R.present(df, R.ancestors(df, df)).select("of_id", "event_id", "depth")
 
 
 @query(_walk_sql(False))
 def descendants(spark, sf_dir):
-    df = events(spark, sf_dir)
-    return R.descendants(df, df.where("id % 40 = 1")).select("of_id", "event_id", "depth")
-
-
-@query()
-def ancestors_all(spark, sf_dir):
-    """Of all events."""
-    df = events(spark, sf_dir)
-    return R.present(df, R.ancestors(df, df)).select("of_id", "event_id", "depth")
-
-
-@query()
-def descendants_all(spark, sf_dir):
-    """Of all events."""
     df = events(spark, sf_dir)
     return R.descendants(df, df).select("of_id", "event_id", "depth")
 
@@ -441,15 +453,8 @@ def tree_sizes(spark, sf_dir):
     return R.tree_sizes(R.roots(events(spark, sf_dir)))
 
 
-@query("WITH RECURSIVE " + EV[5:] + f", {ROLL}, w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, ts, id FROM ev WHERE id % 40 = 6 UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, e.ts, e.id FROM w JOIN ev e ON e.event_id = w.p) SELECT of_id AS event_id, arg_min(w.event_id, (w.ts, w.id)) FILTER (p IS NULL) AS root_cause_id, count(*) AS chain, max(roll.count) AS recurrence FROM w JOIN ev x ON x.event_id = of_id JOIN roll ON roll.fingerprint = x.fingerprint GROUP BY of_id")
+@query("WITH RECURSIVE " + EV[5:] + f", {ROLL}, w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, ts, id FROM ev UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, e.ts, e.id FROM w JOIN ev e ON e.event_id = w.p) SELECT of_id AS event_id, arg_min(w.event_id, (w.ts, w.id)) FILTER (p IS NULL) AS root_cause_id, count(*) AS chain, max(roll.count) AS recurrence FROM w JOIN ev x ON x.event_id = of_id JOIN roll ON roll.fingerprint = x.fingerprint GROUP BY of_id")
 def explain_flat(spark, sf_dir):
-    df = events(spark, sf_dir)
-    return R.explain(df, edges(spark, sf_dir), df.where("id % 40 = 6")).select("event_id", "root_cause_id", F.size("chain").cast("bigint").alias("chain"), "recurrence")
-
-
-@query()
-def explain_flat_all(spark, sf_dir):
-    """All events."""
     df = events(spark, sf_dir)
     return R.explain(df, edges(spark, sf_dir), df).select("event_id", "root_cause_id", F.size("chain").cast("bigint").alias("chain"), "recurrence")
 
@@ -524,21 +529,45 @@ def import_outcomes(spark, sf_dir):
 # --- audit --------------------------------------------------------------------------------------------------------
 
 
+def by_hour() -> F.Column:
+    return F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH"), "application")
+
+
+_LINK = "sha256({} || '|' || event_id || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_ms(ts) % 1000 AS VARCHAR), 3, '0') || 'Z|' || message || '|' || fingerprint)"
+
+
+def _chain_sql(key: str) -> str:
+    """Links of each chain, one after the other, from genesis on."""
+    return (
+        "WITH RECURSIVE " + EV[5:] + f", n AS (SELECT *, {key} AS chain, row_number() OVER (PARTITION BY {key} ORDER BY id) AS r FROM ev), "
+        f"c AS (SELECT chain, r, id, {_LINK.format(repr('genesis'))} AS audit_hash FROM n WHERE r = 1 UNION ALL SELECT n.chain, n.r, n.id, {_LINK.format('c.audit_hash')} FROM c JOIN n ON n.chain = c.chain AND n.r = c.r + 1)"
+    )
+
+
+_HOURS = _chain_sql("strftime(ts, '%Y-%m-%d %H') || ' ' || application")
+#: What is left after every tenth row from 4 on is deleted and the message of row 777 is edited, checked anew.
+_CHECKED = (
+    _HOURS + ", e AS (SELECT n.id, event_id, ts, CASE WHEN n.id = 777 THEN 'edited' ELSE message END AS message, fingerprint, audit_hash AS actual, coalesce(lag(audit_hash) OVER w, 'genesis') AS prev, coalesce(lag(n.id % 10 = 4) OVER w, false) AS bridged FROM n JOIN c USING (id) WINDOW w AS (PARTITION BY n.chain ORDER BY n.id)), "
+    f"k AS (SELECT id, event_id, bridged, actual, {_LINK.format('prev')} AS expected FROM e WHERE id % 10 <> 4), f AS (SELECT min(id) FILTER (actual <> expected) AS first_break FROM k)"
+)
+
+
 def chained(spark: SparkSession, sf_dir: str, tampered: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Events as one chain, of which every tenth from 4 on is deleted with a tombstone, and one message is edited."""
-    df = checkpointed(U.build(events(spark, sf_dir)))
+    """Events in a chain for each application and hour, of which every tenth from 4 on is deleted with a tombstone, and one message is edited."""
+    df = checkpointed(U.build(events(spark, sf_dir), by_hour()))
     left, stones, _ = M.delete(df, edges(spark, sf_dir), F.col("id") % 10 == 4, F.timestamp_millis(F.lit(FIRST_MS)))
+    stones = stones.join(df.select("event_id", by_hour().alias("chain")), "event_id")
     return (left.withColumn("message", F.when(F.col("id") == 777, "edited").otherwise(F.col("message"))) if tampered else left), stones
 
 
-@query(EV + "SELECT (SELECT max(id) FROM ev) < 777 AS ok, count(*) FILTER (id % 10 <> 4 AND id < 777) AS rows_checked, count(*) FILTER (id % 10 = 5 AND id < 777) AS tombstones_bridged, max(CASE WHEN id = 777 THEN 777 END) AS first_break FROM ev")
+@query(_CHECKED + " SELECT max(first_break) IS NULL AS ok, count(*) FILTER (first_break IS NULL OR id < first_break) AS rows_checked, count(*) FILTER (bridged AND (first_break IS NULL OR id < first_break)) AS tombstones_bridged, max(first_break) AS first_break FROM k, f")
 def audit_verify(spark, sf_dir):
-    return U.verify(*chained(spark, sf_dir))
+    return U.verify(*chained(spark, sf_dir), by_hour())
 
 
-@query(EV + "SELECT id, event_id FROM ev WHERE id = 777")
+@query(_CHECKED + " SELECT id, event_id, expected, actual FROM k WHERE expected <> actual")
 def audit_breaks(spark, sf_dir):
-    return U.breaks(*chained(spark, sf_dir)).select("id", "event_id")
+    return U.breaks(*chained(spark, sf_dir), by_hour())
 
 
 @query(EV + "SELECT count(*) AS tombstones, min(id) AS first_row, max(id) AS last_row FROM ev WHERE id % 10 = 4")
@@ -548,7 +577,7 @@ def tombstone_report(spark, sf_dir):
     return U.tombstone_report(stones)
 
 
-@query()
+@query(_chain_sql("strftime(ts, '%Y-%m-%d') || ' ' || application") + " SELECT c.id, application, audit_hash FROM c JOIN ev USING (id)")
 def audit_build(spark, sf_dir):
     """A chain for each application and day."""
     return U.build(events(spark, sf_dir), F.concat_ws(" ", F.to_date("ts"), "application")).select("id", "application", "audit_hash")

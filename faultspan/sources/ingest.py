@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from faultspan.functions.columns import clamped, clamped_context, clamped_severity, parsed_severity
 
 PAYLOAD = "application string, message string, severity string, version string, environment string, category string, error_code string, exception string, stacktrace string, correlation_id string, parent_event_id string, context string, tags array<string>, metadata string"
-BATCH = "application string, events array<struct<message:string,severity:string,exception:string,stacktrace:string,error_code:string,correlation_id:string,tags:array<string>,context:string>>"
+BATCH = "application string, events array<struct<message:variant,severity:string,exception:variant,stacktrace:variant,error_code:variant,correlation_id:variant,tags:array<string>,context:string>>"
 #: Longest texts that an untrusted event may have.
 LONGEST = {"message": 2000, "exception": 200, "stacktrace": 8000, "error_code": 100, "correlation_id": 100}
 LONGEST_TAG, LONGEST_URL, LONGEST_AGENT = 50, 2000, 500
@@ -39,7 +39,8 @@ def browser_batches(guarded: DataFrame, application: str, max_batch: int = 20) -
     """Events of accepted batches, each text clamped; the application is the endpoint's, not the body's."""
     x = guarded.where("status = 202").withColumn("p", F.from_json("body", BATCH))
     x = x.select("request_id", "received_at", "user_agent", F.posexplode(F.slice("p.events", 1, max_batch)).alias("place", "e"))
-    text = {c: clamped(F.col(f"e.{c}"), n) for c, n in LONGEST.items()}
+    # what isn't a string is no text
+    text = {c: clamped(F.when(F.schema_of_variant(F.col(f"e.{c}")) == "STRING", F.try_variant_get(F.col(f"e.{c}"), "$", "string")), n) for c, n in LONGEST.items()}
     text["message"] = F.coalesce(F.nullif(text["message"], F.lit("")), F.lit("browser error"))
     own = F.coalesce(F.col("e.tags"), F.array().cast("array<string>"))
     tags = F.concat(F.array(F.lit("browser")), F.slice(F.transform(F.filter(own, lambda t: t.isNotNull()), lambda t: clamped(t, LONGEST_TAG)), 1, 5))
@@ -57,11 +58,12 @@ def http_outcomes(log: DataFrame, body_chars: int = 4096) -> DataFrame:
     again = unreachable | (status >= 500) | status.isin(408, 429)
     kind = F.when(unreachable, "upstream-unreachable").when(status >= 500, "upstream-5xx").otherwise("upstream-4xx")
     message = F.concat(F.col("method"), F.lit(" "), path, F.lit(" → "), F.coalesce(status.cast("string"), F.lit("unreachable")), F.when(told.isNotNull(), F.concat(F.lit(" ("), told, F.lit(")"))).otherwise(""))
+    new_id = F.substring(F.sha2(F.concat_ws("\x1f", "request_id", F.unix_micros("ts"), "method", "url"), 256), 1, 32)  # the same when a task is repeated
     context = F.to_json(F.struct(F.struct("method", path.alias("path"), "status").alias("http"), F.struct("latency_ms").alias("timing"), F.struct(clamped("body", body_chars).alias("body")).alias("upstream")))
     return log.where(unreachable | (status >= 400)).select(
         "request_id", "ts", "application", F.when(unreachable | (status >= 500), "error").otherwise("warn").alias("severity"),
         F.when(unreachable, "UPSTREAM_UNREACHABLE").otherwise(F.coalesce(code, F.concat(F.lit("HTTP_"), status.cast("string")))).alias("error_code"),
-        message.alias("message"), F.array_compact(F.array(F.lit("fetch"), kind, F.when(again, F.lit("retryable")))).alias("tags"), F.coalesce("correlation_id", F.expr("uuid()")).alias("correlation_id"), context.alias("context"),
+        message.alias("message"), F.array_compact(F.array(F.lit("fetch"), kind, F.when(again, F.lit("retryable")))).alias("tags"), F.coalesce("correlation_id", new_id).alias("correlation_id"), context.alias("context"),
     )
 
 

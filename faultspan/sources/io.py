@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultspan.functions.lineage import checkpointed
 from faultspan.schema import EVENT_COLUMNS, EVENT_SCHEMA, SCHEMA_VERSION
 
 
@@ -17,8 +19,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save(df: DataFrame, path: str, mode: str = "append") -> None:
-    """All rows of a batch or none: one write job."""
-    df.withColumn("day", F.to_date("ts")).repartition("day").sortWithinPartitions("application", "ts").write.mode(mode).partitionBy("day").parquet(f"{path}/events")
+    """All rows of a batch or none: one write job. A day's rows are dealt to as many tasks as there are applications and ranges of ids ask for."""
+    df.withColumn("day", F.to_date("ts")).repartition("day", "application", F.shiftright("id", 20)).sortWithinPartitions("application", "ts").write.mode(mode).partitionBy("day").parquet(f"{path}/events")
     df.sparkSession.createDataFrame([(SCHEMA_VERSION,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -61,11 +63,12 @@ def federated(spark: SparkSession, stores: dict[str, str], run: Callable[[DataFr
         try:
             rows = run(scan(spark, path))
             if limit is not None:
-                rows = rows.orderBy(*(order or [F.desc("ts"), F.desc("id")])).limit(limit)
+                # a few rows, read here, so that a store that breaks off while it is read does not take the others along
+                rows = checkpointed(rows.orderBy(*(order or [F.desc("ts"), F.desc("id")])).limit(limit))
             rows = rows.withColumn("source_db", F.lit(name))
             out = rows if out is None else out.unionByName(rows)
             status.append((name, True, None))
-        except AnalysisException as e:
+        except (PySparkException, Py4JJavaError) as e:
             status.append((name, False, str(e).splitlines()[0][:300]))
     return out, spark.createDataFrame(status, "source_db string, ok boolean, error string")
 

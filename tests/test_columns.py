@@ -127,3 +127,18 @@ def test_client_failures_and_logs(spark):
     assert [r.latency_ms for r in G.client_failures(df).collect()] == [15, None, 7]
     logs = spark.createDataFrame([("WARN", "t", "n", None), ("INFO", "t", "n", "m")], "level string, target string, name string, message string")
     assert [(r.severity, r.subsystem, r.message) for r in G.log_records(logs).collect()] == [("warn", "t", "n")]
+
+
+def test_values_of_the_caller_stay(spark):
+    given = ['{"pid":1000,"http":{"path":"/x"},"ok":true} ', "{}", " { } ", "{broken", "[1]", None, '{"pid":null}']
+    df = spark.createDataFrame([("h", g) for g in given], "hostname string, context string")
+    rows = [r.context for r in C.with_defaults(df, F.lit("me"), {"pid": F.lit(7), "cwd": F.lit('/x"y')}).collect()]
+    assert rows[0] == '{"pid":1000,"http":{"path":"/x"},"ok":true,"cwd":"/x\\"y"}' and rows[6] == '{"pid":null,"cwd":"/x\\"y"}'
+    assert rows[1].replace(" ", "") == rows[2].replace(" ", "") == rows[5] == '{"pid":7,"cwd":"/x\\"y"}' and rows[3:5] == given[3:5]
+
+
+def test_browser_texts_that_are_none(spark):
+    body = '{"events":[{"message":7,"error_code":["x"],"exception":"E","severity":"warn"},{"message":"","stacktrace":{"a":1}},{"message":"real"}]}'
+    raw = spark.createDataFrame([(1, "127.0.0.1", "https://a", "agent", body)], "request_id bigint, remote_addr string, origin string, user_agent string, body string").withColumn("received_at", F.timestamp_seconds(F.lit(0)))
+    rows = G.browser_batches(G.guard(raw, ["https://a"]), "shop").orderBy("place").collect()
+    assert [(r.message, r.error_code, r.exception, r.stacktrace) for r in rows] == [("browser error", None, "E", None), ("browser error", None, None, None), ("real", None, None, None)]

@@ -206,3 +206,30 @@ def test_registry(spark):
         r.call("nope", t)
     r.enrichers += [lambda d: d.withColumn("x", F.lit(1)), lambda d: d.select("missing")]
     assert "x" in r.enrich(df).columns and len(r.errors) == 1
+
+
+def test_audit_chains_with_a_key(spark):
+    df = events(spark, [{"application": "ab"[i % 2]} for i in range(12)])
+    built = audit.build(df, F.col("application")).persist()
+    none = df.limit(0).select(F.col("id").alias("row_id"), F.lit("").alias("audit_hash"), F.col("application").alias("chain"))
+    assert audit.verify(built, none, F.col("application")).collect()[0].asDict() == {"ok": True, "rows_checked": 12, "tombstones_bridged": 0, "first_break": None}
+    gone = built.where("id IN (5, 6)")
+    stones = gone.select(F.col("id").alias("row_id"), "audit_hash", F.col("application").alias("chain"))
+    left = built.where("id NOT IN (5, 6)")
+    assert audit.verify(left, stones, F.col("application")).collect()[0].asDict() == {"ok": True, "rows_checked": 10, "tombstones_bridged": 2, "first_break": None}
+    assert [r.id for r in audit.breaks(left, none, F.col("application")).orderBy("id").collect()] == [7, 8]
+
+
+def test_more_tools(spark, tmp_path):
+    from faultspan.plans import registry
+
+    df = events(spark, [{"message": f"Disk Full {i % 2}", "fingerprint": f"f{i % 2}", "correlation_id": f"c{i % 3}", "category": None, "exception": None} for i in range(9)])
+    t = registry.Tables(df, edges=spark.createDataFrame([], "src_event_id string, dst_event_id string, rel string"))
+    tools = registry.Registry()
+    one = df.orderBy("id").first().event_id
+    assert tools.call("similar_errors", t, ids=[one], limit=2).count() == 2
+    assert [r.n for r in tools.call("list_traces", t).collect()] == [3, 3, 3] and tools.call("list_traces", t, limit=1).count() == 1
+    assert tools.call("classify_error", t, ids=[one]).count() == 1
+    assert {r.part for r in tools.call("summary", t).collect()} == {"total", "severity", "failure"}
+    assert tools.call("delete_errors", t, now_ms=0, fingerprint="f0", force=True).count() == 5 and t.tombstones is None
+    assert tools.call("delete_errors", t, now_ms=0, confirm=True, fingerprint="f0", force=True).count() == 5 and t.events.count() == 4
