@@ -3,7 +3,9 @@
 A package is a ZIP file that stores (does not compress) its members: `archive/data.warc.gz`, one gzip member for each
 record, and `indexes/index.jsonl`, a line with page id, record type, offset and length for each. The reader takes the
 end record, the ZIP64 end record if there is one, and the central directory, looks up where the data of a stored member
-begins, reads the index and then only the ranges of records asked for; nothing is unpacked to disk.
+begins, reads the index and then only the ranges of records asked for; nothing is unpacked to disk. Packages of others are
+read too: members are found by the directory, index lines may be CDXJ, an archive that no index names is read from end to
+end, header names in any case, records without a digest, of other kinds, and HTTP messages are understood.
 
 Packages lie in the folder that driver and executors share, by any URI that pyarrow.fs opens. Tasks write under a name
 of their own and tell the path, so a repeated task leaves a stray file at most and is never read twice.
@@ -20,10 +22,11 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -107,18 +110,23 @@ class ZipReader:
         if end < 0:
             raise ValueError("no end record: not a ZIP file")
         *_, n, length, first, _ = struct.unpack_from(END_LAYOUT, tail, end)
-        if FULL16 == n or FULL32 in (length, first):
-            _, _, at64, _ = struct.unpack(LOCATOR_LAYOUT, self.read(at + end - 20, 20))
-            *_, n, length, first = struct.unpack(END64_LAYOUT, self.read(at64, 56))
+        # full values may be meant as they are: only a locator in front of the end record tells of a ZIP64 one
+        locator = self.read(at + end - 20, 20) if at + end >= 20 else b""
+        if (n == FULL16 or FULL32 in (length, first)) and locator[:4] == LOCATOR:
+            wide = self.read(struct.unpack(LOCATOR_LAYOUT, locator)[2], 56)
+            if wide[:4] != END64 or len(wide) < 56:
+                raise ValueError("broken ZIP64 end record")
+            *_, n, length, first = struct.unpack(END64_LAYOUT, wide)
         self.members, central, at = {}, self.read(first, length), 0
         for _ in range(n):
-            x = struct.unpack_from(CENTRAL_LAYOUT, central, at)
-            if x[0] != CENTRAL:
+            if central[at : at + 4] != CENTRAL or at + 46 > len(central):
                 raise ValueError("broken central directory")
+            x = struct.unpack_from(CENTRAL_LAYOUT, central, at)
             method, stored, full, names, extras, notes, header = x[4], x[8], x[9], x[10], x[11], x[12], x[16]
             name, extra = central[at + 46 : at + 46 + names], central[at + 46 + names : at + 46 + names + extras]
             full, stored, header = self.wide(extra, full, stored, header)
-            self.members[name.decode()] = Member(name.decode(), method, full, stored, header)
+            name = name.decode("utf-8" if x[3] & 0x800 else "cp437")
+            self.members[name] = Member(name, method, full, stored, header)
             at += 46 + names + extras + notes
 
     def read(self, at: int, n: int) -> bytes:
@@ -144,9 +152,21 @@ class ZipReader:
         m = self.members[name]
         if m.method:
             raise ValueError(f"{name} is compressed; only stored members can be read by ranges")
-        *_, names, extras = struct.unpack(LOCAL_LAYOUT, self.read(m.header, 30))
+        head = self.read(m.header, 30)
+        if head[:4] != LOCAL or len(head) < 30:
+            raise ValueError(f"{name} has no local header where the directory says")
+        *_, names, extras = struct.unpack(LOCAL_LAYOUT, head)
         return m.header + 30 + names + extras
 
+    def archives(self) -> list[str]:
+        """Members that hold WARC records: those in archive/, or any if there are none there."""
+        all_of = [m for m in self.members if re.search(r"\.warc(\.gz)?$", m, re.I)]
+        return [m for m in all_of if m.startswith("archive/")] or all_of
+
+    def indexes(self) -> list[str]:
+        """Plain index members: lines of JSON, alone or behind a key and a time."""
+        return [m for m in self.members if m.startswith("indexes/") and re.search(r"\.(jsonl|cdxj?)$", m, re.I) and not self.members[m].method]
+
 
 def record(page: object, url: str, payload: bytes, digest: str, kind: str, refers: object) -> bytes:
     head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Target-URI: {url}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Payload-Digest: sha1:{digest}\r\nX-Payload-Length: {len(payload)}\r\n"
@@ -156,13 +176,64 @@ def record(page: object, url: str, payload: bytes, digest: str, kind: str, refer
     return f"{head}Content-Length: {len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
 
 
-def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
-    head, _, rest = data.partition(b"\r\n\r\n")
-    version, *lines = head.decode().split("\r\n")
-    if not version.startswith("WARC/"):
-        raise ValueError("not a WARC record")
-    fields = dict(x.split(": ", 1) for x in lines)
-    return fields, rest[: int(fields["Content-Length"])]
+def records(chunks: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of the records in a stream of bytes."""
+    held, left = bytearray(), iter(chunks)
+
+    def more() -> bool:
+        new = next(left, None)
+        if new is not None:
+            held.extend(new)
+        return new is not None
+
+    while True:
+        while held[:2] == b"\r\n":
+            del held[:2]
+        while (end := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                if held.strip():
+                    raise ValueError("not a WARC record")
+                return
+            while held[:2] == b"\r\n":
+                del held[:2]
+        version, *lines = re.sub(r"\r\n[ \t]+", " ", held[:end].decode("utf-8", "replace")).split("\r\n")
+        if not version.startswith("WARC/"):
+            raise ValueError("not a WARC record")
+        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        stop = end + 4 + int(fields.get("content-length", 0))
+        while len(held) < stop:
+            if not more():
+                raise ValueError("a WARC record breaks off")
+        yield fields, bytes(held[end + 4 : stop])
+        del held[:stop]
+
+
+def unzipped(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The content of gzip members one after the other."""
+    gz = zlib.decompressobj(31)
+    for chunk in chunks:
+        for k in range(0, len(chunk), 1 << 16):  # what is behind a member's end is copied, so it must be short
+            data = chunk[k : k + (1 << 16)]
+            while data:
+                yield gz.decompress(data)
+                data, gz = (gz.unused_data, zlib.decompressobj(31)) if gz.eof else (b"", gz)
+
+
+def pieces(file: pa.NativeFile, at: int, size: int) -> Iterator[bytes]:
+    for k in range(at, at + size, READ_BYTES):
+        yield file.read_at(min(READ_BYTES, at + size - k), k)
+
+
+def cut(data: bytes, lengths: list[int]) -> Iterator[bytes]:
+    at = 0
+    for n in lengths:
+        yield data[at : at + n]
+        at += n
+
+
+def payload_of(fields: dict[str, str], block: bytes) -> bytes:
+    """What the payload digest is of: of an HTTP message the part behind its head, else the whole block."""
+    return block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").lower().startswith("application/http") else block
 
 
 def bare(digest: bytes) -> str:
@@ -216,8 +287,30 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     return rows.mapInArrow(run, "path string, records bigint, bytes bigint")
 
 
+def located(z: ZipReader) -> Iterator[tuple[str, int, int, list[int]]]:
+    """(archive, offset in it, length, lengths of the records) of stretches by the indexes, or of whole archives that no index names."""
+    archives, found = z.archives(), {}
+    for index in z.indexes():
+        lines = z.read(z.start(index), z.members[index].size).splitlines()
+        for x in (json.loads(line[line.index(b"{") :]) for line in lines if b"{" in line):
+            own = [m for m in archives if "filename" not in x or m == x["filename"] or m.endswith("/" + x["filename"])]
+            if own and "offset" in x and "length" in x:
+                found.setdefault(own[0], []).append((int(x["offset"]), int(x["length"])))
+    for name in archives:
+        held: list[tuple[int, int]] = []
+        for at, n in sorted(set(found.get(name, []))):
+            if held and (at != held[-1][0] + held[-1][1] or at + n - held[0][0] > READ_BYTES):
+                yield name, held[0][0], held[-1][0] + held[-1][1] - held[0][0], [x for _, x in held]
+                held = []
+            held.append((at, n))
+        if held:
+            yield name, held[0][0], held[-1][0] + held[-1][1] - held[0][0], [x for _, x in held]
+        elif name not in found:
+            yield name, 0, z.members[name].size, []
+
+
 def ranges(packages: DataFrame) -> DataFrame:
-    """path, offset, length, cuts: stretches of records that lie side by side, found by the directory and the index of each package."""
+    """path, packed, offset, length, cuts: stretches of records that lie side by side, found by the directory and the indexes of each package; without an index the whole archive, and no cuts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,42 +318,46 @@ def ranges(packages: DataFrame) -> DataFrame:
                 where, name = opened(path)
                 with where.open_input_file(name) as f:
                     z = ZipReader(f)
-                    start, at = z.start(DATA), z.start(INDEX)
-                    lines = [json.loads(x) for x in z.read(at, z.members[INDEX].size).splitlines()]
-                out, held = [], []
-                for x in lines:
-                    if held and x["offset"] + x["length"] - held[0]["offset"] > READ_BYTES:
-                        out.append(held)
-                        held = []
-                    held.append(x)
-                out += [held] if held else []
-                yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "offset": pa.array([start + h[0]["offset"] for h in out], pa.int64()), "length": pa.array([h[-1]["offset"] + h[-1]["length"] - h[0]["offset"] for h in out], pa.int64()), "cuts": pa.array([[x["length"] for x in h] for h in out], pa.list_(pa.int64()))})
+                    out = [(m.lower().endswith(".gz"), z.start(m) + at, n, cuts) for m, at, n, cuts in located(z)]
+                packed, offset, length, cuts = zip(*out, strict=True) if out else ((), (), (), ())
+                yield pa.RecordBatch.from_pydict({"path": [path] * len(out), "packed": pa.array(packed, pa.bool_()), "offset": pa.array(offset, pa.int64()), "length": pa.array(length, pa.int64()), "cuts": pa.array(cuts, pa.list_(pa.int64()))})
 
-    return packages.mapInArrow(run, "path string, offset bigint, length bigint, cuts array<bigint>")
+    return packages.mapInArrow(run, "path string, packed boolean, offset bigint, length bigint, cuts array<bigint>")
 
 
 def read(stretches: DataFrame, payloads: bool = True) -> DataFrame:
-    """record_id, url, record_type, refers_to string, payload_digest (of the header for revisits, else of the payload as read), payload_bytes long, payload binary."""
+    """record_id, url, record_type, refers_to string, payload_digest (of the header for revisits, else of the payload as read), payload_bytes long (null for revisits that do not tell), payload binary."""
     columns = "record_id string, url string, record_type string, refers_to string, payload_digest string, payload_bytes bigint" + ", payload binary" * payloads
 
+    def row(fields: dict[str, str], block: bytes) -> tuple:
+        own = lambda v: (v or "").strip("<>").removeprefix("urn:page:") or None
+        kind, payload = fields.get("warc-type"), payload_of(fields, block)
+        told = fields.get("warc-payload-digest", "")
+        told = told[5:].upper() if re.fullmatch(r"sha1:[A-Za-z2-7]{32}", told) else None
+        digest = told if kind == "revisit" else bare(hashlib.sha1(payload).digest())
+        if told and digest != told:
+            raise ValueError(f"{fields.get('warc-record-id')}: the payload read has another digest than its header")
+        size = fields.get("x-payload-length") if kind == "revisit" else len(payload)
+        return own(fields.get("warc-record-id")), fields.get("warc-target-uri"), kind, own(fields.get("warc-refers-to")), digest, size and int(size), *([payload] * payloads)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] * 5 + [pa.int64(), pa.binary()], strict=False)], [c.split()[0] for c in columns.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
                 where, name = opened(x["path"])
                 with where.open_input_file(name) as f:
-                    data = f.read_at(x["length"], x["offset"])
-                rows, at = [], 0
-                for n in x["cuts"]:
-                    fields, payload = parsed(gzip.decompress(data[at : at + n]))
-                    at += n
-                    kind, own = fields["WARC-Type"], lambda v: (v or "").removeprefix("<urn:page:").removesuffix(">") or None
-                    told = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    digest = told if kind == "revisit" else bare(hashlib.sha1(payload).digest())
-                    if digest != told:
-                        raise ValueError(f"{fields['WARC-Record-ID']}: the payload read has another digest than its header")
-                    size = int(fields["X-Payload-Length"]) if kind == "revisit" else len(payload)
-                    rows.append((own(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], kind, own(fields.get("WARC-Refers-To")), digest, size, *([payload] * payloads)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.string()] * 5 + [pa.int64(), pa.binary()], strict=False)], [c.split()[0] for c in columns.split(", ")])
+                    chunks = pieces(f, x["offset"], x["length"]) if not x["cuts"] else cut(f.read_at(x["length"], x["offset"]), x["cuts"])
+                    rows, held = [], 0
+                    for fields, block in records(unzipped(chunks) if x["packed"] else chunks):
+                        rows.append(row(fields, block))
+                        held += len(block)
+                        if held > READ_BYTES:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch_of(rows)
 
     return stretches.mapInArrow(run, columns)
 

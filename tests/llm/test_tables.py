@@ -82,7 +82,7 @@ def test_op2(spark):
 @pytest.mark.parametrize("wide", [False, True])
 def test_packages(spark, tmp_path, wide):
     rows = [(i, f"http://x/{i}", t) for i, t in enumerate(["<p>é</p>", "", None, "<p>é</p>", "same", "same", "same", "x" * 300_000, "a\r\n\r\nb WARC/1.1"])] + [(4, "http://again", "same"), (None, None, "same"), (20, "u\r\nv", "last")]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("path", F.lit("clash")).withColumn("record_type", F.lit(1)).repartition(2)
     folder = f"file://{tmp_path}/p"
     listed = warc_zip.write(df, folder, wide=wide, package=100).collect()
     assert sum(r.records for r in listed) == len(rows)
@@ -130,6 +130,49 @@ def test_foreign_packages(tmp_path):
         warc_zip.ZipReader(f)
 
 
+def record(kind, block, **fields):
+    head = "".join(f"{k.replace('_', '-')}:{v}\r\n" for k, v in fields.items())
+    return f"WARC/1.0\r\nwarc-type:  {kind}\r\nCONTENT-LENGTH: {len(block)}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_archives_of_others(spark, tmp_path, indexed):
+    import gzip
+    import json
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi</p>"
+    sha = base64.b32encode(hashlib.sha1(b"<p>hi</p>").digest()).decode()
+    all_of = [record("warcinfo", b"software: x"), record("response", http, Content_Type="application/http; msgtype=response", WARC_Payload_Digest=f"sha1:{sha.lower()}", WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="http://x/"), record("resource", b"a" * 3_000_000, WARC_Payload_Digest="md5:00"), record("revisit", b"", WARC_Refers_To="<urn:uuid:1>")]
+    packed = [gzip.compress(r) for r in all_of]
+    lines, at = "", 0
+    for i, r in enumerate(packed):
+        lines += f"com,x)/ 2024 {json.dumps({'offset': str(at), 'length': str(len(r)), 'filename': 'some.warc.gz'})}\n" if i else "!meta no json\n"
+        at += len(r)
+    with zipfile.ZipFile(tmp_path / "p.wacz", "w") as z:
+        z.writestr("archive/some.warc.gz", b"".join(packed))
+        z.writestr("archive/plain.warc", all_of[0] + all_of[1])
+        if indexed:
+            z.writestr("indexes/index.cdxj", lines)
+    rows = warc_zip.read(warc_zip.ranges(spark.createDataFrame([(f"file://{tmp_path}/p.wacz",)], "path string"))).collect()
+    kinds = sorted(r.record_type for r in rows)
+    assert kinds == sorted(["warcinfo", "response", "response", "resource", "revisit"] + ["warcinfo"] * (not indexed))
+    assert all(bytes(r.payload) == b"<p>hi</p>" and r.payload_digest == sha and r.record_id == "urn:uuid:1" for r in rows if r.record_type == "response")
+    assert [(r.refers_to, r.payload_bytes) for r in rows if r.record_type == "revisit"] == [("urn:uuid:1", None)]
+
+
+def test_as_many_members_as_fit(tmp_path):
+    import pyarrow.fs as fs
+
+    with zipfile.ZipFile(tmp_path / "z.zip", "w", allowZip64=True) as z:
+        for i in range(0xFFFF):
+            z.writestr(zipfile.ZipInfo(f"m{i}"), b"")
+    data = (tmp_path / "z.zip").read_bytes()
+    end64 = data.rfind(warc_zip.END64)
+    (tmp_path / "z.zip").write_bytes(data[:end64] + data[data.rfind(warc_zip.END) :] if end64 >= 0 else data)
+    with fs.LocalFileSystem().open_input_file(str(tmp_path / "z.zip")) as f:
+        assert len(warc_zip.ZipReader(f).members) == 0xFFFF
+
+
 def render(turns):
     return "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
 
