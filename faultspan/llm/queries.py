@@ -56,18 +56,20 @@ def preference_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns and pairs made of the conversations themselves.
 
     Conversations that begin with one and the same turn: the one with the smallest id is chosen over each other one.
-    Every conversation is also chosen over its echo, -1 - conv_id, in which the last assistant turn repeats the turn
-    before it.
+    Every conversation is also chosen over its echo, in which the last assistant turn repeats the turn before it. An echo's
+    id is -1 - conv_id, or, where there are ids below 0, as far below the least of them.
     """
+    least = min(0, turns.agg(F.min("conv_id")).collect()[0][0] or 0)
+    echo_id = F.lit(2 * least - 1).cast("bigint") - F.col("conv_id")
     last = turns.where("role = 'assistant' AND place > 1").groupBy("conv_id").agg(F.max("place").alias("place"))
     before = turns.select("conv_id", (F.col("place") + 1).alias("place"), F.col("text").alias("said"))
     echoed = last.join(before, ["conv_id", "place"]).select("conv_id", "place", "said")
     ids = echoed.select("conv_id", F.lit(True).alias("has"))
-    echo = turns.join(ids, "conv_id").drop("has").join(echoed, ["conv_id", "place"], "left").select((-1 - F.col("conv_id")).alias("conv_id"), "place", "role", F.coalesce("said", "text").alias("text"))
+    echo = turns.join(ids, "conv_id").drop("has").join(echoed, ["conv_id", "place"], "left").select(echo_id.alias("conv_id"), "place", "role", F.coalesce("said", "text").alias("text"))
     first = turns.where("place = 1").select("conv_id", F.sha2(F.concat_ws("\x1f", "role", "text"), 256).alias("first"))
     heads = first.groupBy("first").agg(F.min("conv_id").alias("chosen_id"))
     same = first.join(heads, "first").where("conv_id > chosen_id").select("chosen_id", F.col("conv_id").alias("rejected_id"))
-    own = ids.select(F.col("conv_id").alias("chosen_id"), (-1 - F.col("conv_id")).alias("rejected_id"))
+    own = ids.select(F.col("conv_id").alias("chosen_id"), echo_id.alias("rejected_id"))
     return turns.select("conv_id", "place", "role", "text").unionByName(echo), same.unionByName(own)
 
 

@@ -202,6 +202,21 @@ def test_op7(spark):
     assert rows and all(r.prompt for r in rows if r.rejected_id == -1 - r.chosen_id) and all(r.chosen_spans for r in rows if r.rejected_id == -1 - r.chosen_id)
 
 
+def test_preference_pairs_like_brute_force(spark):
+    talks = {-3: [("user", "hi"), ("assistant", "yes"), ("user", "q"), ("assistant", "no")], 4: [("user", "hi"), ("assistant", "x" * 100_000)], 7: [("assistant", "first")], 9: [("user", "hi")], 12: [("user", "other"), ("assistant", "")]}
+    df = spark.createDataFrame([(c, i, r, t, 1) for c, ts in talks.items() for i, (r, t) in enumerate(ts)], "conv_id bigint, turn int, role string, text string, chosen_id int")
+    turns, pairs = queries.preference_pairs(preference.turns_of(df))
+    echoes = {-7 - c: ts for c, ts in talks.items() if any(r == "assistant" for r, _ in ts[1:])}
+    assert sorted(map(tuple, pairs.collect())) == sorted([(-3, 4), (-3, 9)] + [(-7 - e, e) for e in echoes])
+    last = {-4: ("assistant", "q"), -11: ("assistant", "hi"), -19: ("assistant", "other")}
+    got = {}
+    for r in turns.orderBy("conv_id", "place").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == talks | {e: [*ts[:-1], last[e]] for e, ts in echoes.items()}
+    none = queries.preference_pairs(preference.turns_of(df.limit(0)))
+    assert preference.format_pairs(*none).count() == 0 and none[1].count() == 0
+
+
 def nearest(ids, x, asks, k):
     out = {}
     for i in asks:
