@@ -13,8 +13,8 @@ of buckets with the same members one is kept.
 First each node is compared with the least and the largest node of its buckets, which unites groups of copies without
 their pairs. Then the R-trees of the buckets that still hold several components find the pairs of different components
 that the bound leaves, first as many as connect what all of them would; if all these prove to be links, nothing else can
-be one. Otherwise the trees give every such pair between the components by then. No pair is left unseen, so none is lost:
-what comes out are the components, not all pairs. A
+be one. Otherwise the trees give every such pair among the nodes that were connected through a pair which failed. No pair
+is left unseen, so none is lost: what comes out are the components, not all pairs. A
 bucket of more than BLOCK nodes is cut by size and then by hash, and its blocks meet in pairs, where sizes allow it, so
 that no task holds a whole one.
 
@@ -440,6 +440,13 @@ def components(edges: DataFrame) -> DataFrame:
         last = now
 
 
+def reached(failed: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes of all components of edges in which some pair failed: only among these can a pair have been passed over."""
+    at = components(edges)
+    bad = failed.select(F.explode(F.array("a", "b")).alias("node")).join(at, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+    return saved(at.join(bad, "root", "left_semi").select("node").union(bad), "reached")
+
+
 def opened(buckets: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> DataFrame:
     """The rows of buckets that hold several components, with m, comp, and the least and the largest (comp, node, m) of the bucket as lo and hi."""
     state = sizes if labels is None else sizes.join(labels, "node", "left")
@@ -458,7 +465,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = saved(every.select("key", "m", "node"), "shingle-rows")
     buckets = bucketed(prefixes(every, frequent(every, FREQUENT)))
     discarded(spark)  # the shuffles so far
-    of = saved(every.where("m > 0").join(buckets.select("node").distinct(), "node", "left_semi").select("node", "m", "shingles").dropDuplicates(["node"]), "nodes")
+    of = saved(every.where("m > 0").join(buckets.select("node").distinct(), "node", "left_semi").select("node", "m", "shingles").dropDuplicates(["node"]), "nodes", by="node")
     discarded(spark, every)
     sizes, links, labels = of.select("node", "m"), None, None
     for kind in ("ends", "forest", "all"):
@@ -470,12 +477,15 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             pairs = from_trees(open_rows, of, kind == "forest")
         pairs = saved(pairs, "pairs")
         new = saved(verified(pairs, of), "links")
-        whole = kind == "forest" and pairs.count() == new.count()
-        discarded(spark, open_rows, pairs)
         links = new if links is None else links.union(new)
-        labels = components(links)
-        if whole:  # what a forest of links connects needs no other pair
-            break
+        # for now it is enough to know nodes that are linked to one and the same other
+        labels = saved(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "labels") if kind == "ends" else components(links)
+        if kind == "forest":
+            failed = pairs.join(new, ["a", "b"], "left_anti")
+            if not failed.take(1):  # what a forest of links connects needs no other pair
+                break
+            buckets = buckets.join(reached(failed, links.union(pairs)), "node", "left_semi")
+        discarded(spark, open_rows, pairs)
     # the name of a component is the smallest key of all rows in it, copies included
     full = rows.where("m > 0").join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
     names = full.groupBy("node").agg(F.min("key").alias("name"))
