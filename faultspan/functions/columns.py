@@ -28,6 +28,13 @@ def parsed_severity(severity: str | Column) -> Column:
     return F.when(col(severity).isin(SEVERITIES), col(severity)).otherwise("error")
 
 
+def built(df: DataFrame, severity: str | None = None) -> DataFrame:
+    """Events with what a builder fills in: an error unless told otherwise, not resolved; with a severity (error, warn, info), all are of that one."""
+    given = F.col("severity") if "severity" in df.columns else F.lit(None).cast("string")
+    resolved = F.col("resolved_at") if "resolved_at" in df.columns else F.lit(None).cast("timestamp")
+    return df.withColumns({"severity": F.lit(severity) if severity else F.coalesce(given, F.lit("error")), "resolved_at": resolved})
+
+
 def epoch_ms(ts: str | Column) -> Column:
     return F.unix_millis(col(ts))
 

@@ -94,5 +94,14 @@ def category_rollup(df: DataFrame, categories: DataFrame, filters: Filters = ALL
     return categories.join(sums, "canonical", "left").select("canonical", "parent", "label", "builtin", zero("own"), zero("total"))
 
 
+def dropped(*rejects: DataFrame) -> DataFrame:
+    """dropped: the rows of all tables of rejects."""
+    parts = [r.agg(F.count("*").alias("n")) for r in rejects]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.agg(F.sum("n").alias("dropped"))
+
+
 def outcome_counts(df: DataFrame, column: str = "outcome") -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("n"))

@@ -28,6 +28,7 @@ class Tables:
     categories: DataFrame | None = None
     aliases: DataFrame | None = None
     index: search.Index | None = None
+    rejects: DataFrame | None = None
 
 
 def event_summary(df: DataFrame) -> DataFrame:
@@ -62,8 +63,10 @@ def _latest(t: Tables, limit: int | None = None, **f) -> DataFrame:
 
 
 def _doctor(t: Tables) -> DataFrame:
-    """rows, open, tombstones, schema version, whether the chain holds."""
+    """rows, open, tombstones, schema version, dropped rows if rejects are kept, whether the chain holds."""
     rows = t.events.agg(F.count("*").alias("rows"), F.count(F.when(F.col("resolved_at").isNull(), 1)).alias("open")).withColumn("schema_version", F.lit(schema.SCHEMA_VERSION))
+    if t.rejects is not None:
+        rows = rows.crossJoin(F.broadcast(analytics.dropped(t.rejects)))
     if t.tombstones is None or "audit_hash" not in t.events.columns:
         return rows
     return rows.crossJoin(F.broadcast(audit.verify(t.events, t.tombstones))).crossJoin(F.broadcast(audit.tombstone_report(t.tombstones)))

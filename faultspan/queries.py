@@ -512,6 +512,20 @@ def retention(spark, sf_dir):
     return M.retained(events(spark, sf_dir), FIRST_MS + 30 * DAY, "20d", 500).select("id")
 
 
+@query(EV + f", b AS (SELECT id, sum(strlen(message) + strlen(event_id)) OVER (ORDER BY ts DESC, id DESC) AS upto FROM ev WHERE epoch_ms(ts) >= {FIRST_MS + 30 * DAY} - 20 * {DAY}) SELECT id FROM b WHERE upto <= 20000")
+def retention_bytes(spark, sf_dir):
+    return M.retained(events(spark, sf_dir).select("id", "event_id", "ts", "message"), FIRST_MS + 30 * DAY, "20d", max_bytes=20_000).select("id")
+
+
+@query(EV + "SELECT count(*) FILTER (id % 3 = 0) + count(*) FILTER (id % 5 = 0) AS dropped FROM ev")
+def dropped_rows(spark, sf_dir):
+    """Payloads without an application, and broken ones, as two tables of rejects."""
+    body = F.when(F.col("id") % 3 == 0, '{"message":"m"}').otherwise('{"application":"a","message":"m"}')
+    cut = F.when(F.col("id") % 5 == 0, "{broken").otherwise('{"application":"a","message":"m"}')
+    df = events(spark, sf_dir)
+    return A.dropped(*(G.sdk_payloads(df.select("id", b.alias("body")))[1] for b in (body, cut)))
+
+
 @query(EV + f"SELECT year(ts) AS arch_year, quarter(ts) AS arch_quarter, id FROM ev WHERE epoch_ms(ts) < {FIRST_MS + 30 * DAY} - 20 * {DAY}")
 def archive_split(spark, sf_dir):
     old, _ = M.archive(events(spark, sf_dir), "20d", FIRST_MS + 30 * DAY)

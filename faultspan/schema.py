@@ -12,10 +12,12 @@ SEVERITIES = ["trace", "debug", "info", "warn", "error", "critical", "fatal"]
 RANKS = {s: 10 * i for i, s in enumerate(SEVERITIES, 1)}
 
 _TIMES, _LONGS, _LISTS = {"ts", "resolved_at"}, {"id"}, {"tags"}
-EVENT_COLUMNS = (
-    "id event_id ts application version environment command subsystem hostname severity category error_code exception message stacktrace "
-    "root_cause fingerprint correlation_id parent_event_id resolved_at context tags metadata audit_hash"
-).split()
+#: The columns of an event.
+EVENT_COLUMNS = [
+    "id", "event_id", "ts", "application", "version", "environment", "command", "subsystem", "hostname", "severity", "category", "error_code",
+    "exception", "message", "stacktrace", "root_cause", "fingerprint", "correlation_id", "parent_event_id", "resolved_at", "context", "tags",
+    "metadata", "audit_hash",
+]
 
 
 def _type(name: str) -> T.DataType:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultspan.functions.lineage import checkpointed
+from faultspan.operators.audit import build
 from faultspan.schema import EVENT_COLUMNS, EVENT_SCHEMA, SCHEMA_VERSION
+from faultspan.schema import categories as builtin
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
@@ -38,6 +40,14 @@ def upgraded(df: DataFrame, version: int) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in EVENT_SCHEMA))
 
 
+def upgraded_store(df: DataFrame, version: int, categories: DataFrame | None = None, chain: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events with all columns and their missing links, and the categories with the builtin ones that were missing."""
+    known = builtin(df.sparkSession)
+    if categories is not None:
+        known = categories.unionByName(known.join(categories.select("canonical"), "canonical", "left_anti").select(*categories.columns))
+    return build(upgraded(df, version), chain), known
+
+
 def export_lines(df: DataFrame, path: str, where: Column | None = None) -> None:
     """One event a line, by time and id."""
     df.where(where if where is not None else F.lit(True)).orderBy("ts", "id").write.json(path)

@@ -142,3 +142,9 @@ def test_browser_texts_that_are_none(spark):
     raw = spark.createDataFrame([(1, "127.0.0.1", "https://a", "agent", body)], "request_id bigint, remote_addr string, origin string, user_agent string, body string").withColumn("received_at", F.timestamp_seconds(F.lit(0)))
     rows = G.browser_batches(G.guard(raw, ["https://a"]), "shop").orderBy("place").collect()
     assert [(r.message, r.error_code, r.exception, r.stacktrace) for r in rows] == [("browser error", None, "E", None), ("browser error", None, None, None), ("real", None, None, None)]
+
+
+def test_builders(spark):
+    df = spark.createDataFrame([("m", None), ("n", "info")], "message string, severity string")
+    assert [(r.severity, r.resolved_at) for r in C.built(df).collect()] == [("error", None), ("info", None)]
+    assert {r.severity for s in ("error", "warn", "info") for r in C.built(df.drop("severity"), s).collect()} == {"error", "warn", "info"}

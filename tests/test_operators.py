@@ -233,3 +233,16 @@ def test_more_tools(spark, tmp_path):
     assert {r.part for r in tools.call("summary", t).collect()} == {"total", "severity", "failure"}
     assert tools.call("delete_errors", t, now_ms=0, fingerprint="f0", force=True).count() == 5 and t.tombstones is None
     assert tools.call("delete_errors", t, now_ms=0, confirm=True, fingerprint="f0", force=True).count() == 5 and t.events.count() == 4
+
+
+def test_upgraded_stores(spark):
+    from faultspan import schema
+    from faultspan.sources import io
+
+    old = events(spark, [{} for _ in range(4)])
+    old = old.drop(*(c for c in ("audit_hash", "resolved_at") if c in old.columns))
+    some = schema.categories(spark).limit(3)
+    new, known = io.upgraded_store(old, 1, some)
+    assert new.where("audit_hash IS NULL").count() == 0 and known.count() == schema.categories(spark).count()
+    again, same = io.upgraded_store(new, schema.SCHEMA_VERSION, known)
+    assert again.exceptAll(new).count() == 0 and same.count() == known.count()
