@@ -486,6 +486,7 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 break
             buckets = buckets.join(reached(failed, links.union(pairs)), "node", "left_semi")
         discarded(spark, open_rows, pairs)
+    discarded(spark, of)
     # the name of a component is the smallest key of all rows in it, copies included
     full = rows.where("m > 0").join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
     names = full.groupBy("node").agg(F.min("key").alias("name"))
