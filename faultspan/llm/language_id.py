@@ -31,7 +31,7 @@ BITS = 16
 QUOTA = 400
 #: Share of texts of the learned languages that each of the two limits may reject, as counted on those kept back; texts at or
 #: above these values of confidence and of known subwords are never rejected.
-ERROR, SURE, KNOWN = 0.005, 0.5, 0.5
+ERROR, SURE, KNOWN = 0.005, 0.4, 0.4
 
 _FOLD = np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32 for i in range(0x3000)], np.uint32)
 
