@@ -139,3 +139,31 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     np.cumsum(_BYTE[LOWER[data]] * up[: len(data)], out=total[1:])
     hashes = mix((total[end] - total[start]) * down[start])
     return np.searchsorted(offsets, start, side="right") - 1, hashes
+
+
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, byte after the last) of each word, words being runs of bytes outside 09-0D and 20 within a row."""
+    if not len(data):
+        return (np.zeros(0, np.int64),) * 3
+    inside = ~SPACE[data]
+    begins = np.zeros(len(data) + 1, bool)
+    begins[offsets] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | begins[1:-1]
+    last[:-1] &= ~inside[1:] | begins[1:-1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.searchsorted(offsets, start, side="right") - 1, start, end
+
+
+def joined(data: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's words, joined by one space: (bytes, rows + 1 offsets, first byte and byte after the last of each word)."""
+    size = end - start
+    space = np.zeros(len(row), np.int64)
+    space[:-1] = row[1:] == row[:-1]
+    after = np.cumsum(size + space)
+    begin = after - size - space
+    out = np.full(after[-1] if len(after) else 0, 32, np.uint8)
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + at] = data[np.repeat(start, size) + at]
+    offsets = np.concatenate([[0], after])[np.searchsorted(row, np.arange(rows + 1))]
+    return out, offsets, begin, begin + size

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, byte_ppm, decontaminate, language_id, ngram_join, preference, toxicity, url_filter, vantage, warc_zip
+from . import byte_bpe, byte_ppm, decontaminate, language_id, ngram_join, periodic, preference, simhash, toxicity, url_filter, vantage, warc_zip, whitening
 from .common import remainder, saved, shared_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -94,5 +98,44 @@ def op10_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage.search(table(spark, sf_dir, "embeddings"), F.expr("id % 20 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_ppm, op2_url_filter, op3_byte_bpe, op4_decontaminate, op5_ngram_join, op6_warc_zip, op7_preference, op8_toxicity, op9_language_id, op10_vantage)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text: of every tenth document by h, the crc32 of its id, the words from a place on repeat those of a period there; others stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, h in enumerate(batch.column("h").to_pylist()):
+                if h % 10 or not texts[i] or not (w := re.findall(r"[^\x20\x09-\x0D]+", texts[i])):
+                    continue
+                g, n = h // 10, len(w)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                texts[i] = " ".join(w[:a] + (w[a : a + p] * (-(-(n - a) // p)))[: n - a])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h")
+    return docs.select("doc_id", "text", h).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string")
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.runs(with_repeats(table(spark, sf_dir, "documents")))
+    more = lambda x, y: x["length"] * y["period"] - y["length"] * x["period"]
+    # the first of equals is the one with the smallest start, then period
+    order = lambda x, y: F.when(more(x, y) > 0, -1).when(more(x, y) < 0, 1).when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(F.signum(x["period"] - y["period"]).cast("int"))
+    best = F.get(F.array_sort("runs", order), 0)
+    lines = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_ppm, op2_url_filter, op3_byte_bpe, op4_decontaminate, op5_ngram_join, op6_warc_zip, op7_preference, op8_toxicity, op9_language_id, op10_vantage, op11_simhash, op12_whitening, op13_periodic)}
 ORACLE_SQL: dict[str, str] = {}
