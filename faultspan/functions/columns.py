@@ -53,17 +53,22 @@ def short_commit(commit: str | Column) -> Column:
     return F.when(F.length(col(commit)) >= 7, F.substring(col(commit), 1, 7))
 
 
+def with_keys(context: str | Column, defaults: dict[str, Column]) -> Column:
+    """Add keys that an object of JSON doesn't have, but for nulls; what it has stays as it is written, other than objects too."""
+    c = col(context)
+    keys = F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    extra = F.to_json(F.struct(*(F.when(~F.array_contains(keys, k), v).alias(k) for k, v in defaults.items())))
+    own = F.trim(c)
+    spliced = F.concat(F.regexp_replace(own, r"\s*\}$", ""), F.when(F.size(keys) > 0, ",").otherwise(""), F.substring(extra, 2, 1 << 30))
+    is_object = own.startswith("{") & F.coalesce(F.try_parse_json(c).isNotNull(), F.lit(False))
+    return F.when(extra == "{}", c).when(c.isNull(), extra).when(is_object, spliced).otherwise(c)
+
+
 def with_defaults(df: DataFrame, hostname: Column, defaults: dict[str, Column], allowed_env: list[str] | None = None, env: Column | None = None) -> DataFrame:
     """Fill a missing hostname and add context keys that the event doesn't have; what it has stays as it is written, other than object contexts too, empty ones stay null."""
     if env is not None:
         defaults = defaults | {"env": F.when(F.size(kept := F.map_filter(env, lambda k, v: k.isin(allowed_env or []))) > 0, kept)}
-    keys = F.coalesce(F.json_object_keys("context"), F.array().cast("array<string>"))
-    extra = F.to_json(F.struct(*(F.when(~F.array_contains(keys, k), v).alias(k) for k, v in defaults.items())))
-    own = F.trim("context")
-    spliced = F.concat(F.regexp_replace(own, r"\s*\}$", ""), F.when(F.size(keys) > 0, ",").otherwise(""), F.substring(extra, 2, 1 << 30))
-    is_object = own.startswith("{") & F.coalesce(F.try_parse_json("context").isNotNull(), F.lit(False))
-    merged = F.when(extra == "{}", F.col("context")).when(F.col("context").isNull(), extra).when(is_object, spliced).otherwise(F.col("context"))
-    return df.withColumn("hostname", F.coalesce("hostname", hostname)).withColumn("context", merged)
+    return df.withColumn("hostname", F.coalesce("hostname", hostname)).withColumn("context", with_keys("context", defaults))
 
 
 def redacted(text: str | Column, custom: list[str] | None = None) -> Column:
@@ -202,34 +207,60 @@ def clamped_severity(severity: str | Column) -> Column:
     return F.when(col(severity) == "warn", "warn").otherwise("error")
 
 
-def clamped_context(context: str | Column, keys: int = 20, depth: int = 2, text: int = 500, items: int = 10, total: int = 4000) -> Column:
-    """Bound an arbitrary JSON object: keys by object, depth, text and array lengths, and its whole size; others are null."""
+def clamped_context(context: str | Column, keys: int = 20, depth: int = 2, text: int = 500, items: int = 10, total: int = 4000, more: dict[str, Column] | None = None) -> Column:
+    """Bound an arbitrary JSON object: keys kept by object, objects and arrays inside it to `depth`, text and array lengths, and its whole size; nulls go, others than objects are null.
+
+    With `more`, its values are set afterwards, nulls taken out, and others than objects count as empty ones.
+    """
+    names = list(more or {})
+
     @F.pandas_udf("string")
-    def walk(texts: pd.Series) -> pd.Series:
+    def walk(texts: pd.Series, *values: pd.Series) -> pd.Series:
         import json
 
         def cut(x, level):
             if isinstance(x, str):
                 return x[:text]
-            if isinstance(x, dict):
-                return {k: y for k, v in list(x.items())[:keys] if (y := cut(v, level + 1)) is not None} if level <= depth else None
+            if isinstance(x, (dict, list)) and level > depth:
+                return None
             if isinstance(x, list):
-                return [y for v in x[:items] if (y := cut(v, level + 1)) is not None] if level <= depth else None
+                return [y for v in x[:items] if (y := cut(v, level + 1)) is not None]
+            if isinstance(x, dict):
+                out = {}
+                for k, v in x.items():
+                    if len(out) >= keys:
+                        break
+                    if (y := cut(v, level + 1)) is not None:
+                        out[k] = y
+                return out
             return x
 
-        def one(t):
+        def written(x):
+            return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+        def one(t, *set_to):
             try:
                 x = json.loads(t) if t is not None else None
             except ValueError:
-                return None
+                x = None
             if not isinstance(x, dict):
-                return None
-            out = json.dumps(cut(x, 1), ensure_ascii=False, separators=(",", ":"))
-            return out if len(out) <= total else '{"_truncated":true}'
-
-        return texts.map(one)
-
-    return walk(col(context))
+                if not names:
+                    return None
+                out = {}
+            else:
+                out = cut(x, 0)
+                if len(written(out)) > total:
+                    out = {"_truncated": True}
+            for k, v in zip(names, set_to, strict=True):
+                if v is None:
+                    out.pop(k, None)
+                else:
+                    out[k] = v
+            return written(out)
+
+        return pd.Series([one(*r) for r in zip(texts, *values, strict=True)], dtype=object)
+
+    return walk(col(context), *(more or {}).values())
 
 
 def sampled(df: DataFrame, rate: float, key: str = "event_id") -> DataFrame:

@@ -106,14 +106,14 @@ def read_cursor(text: str | None) -> tuple[dict | None, str | None]:
         return None, "the cursor can't be read; this is the first page"
 
 
-def page(df: DataFrame, limit: int | None = None, after: str | None = None, by_score: bool = False) -> DataFrame:
-    """One page by recency, or by score (smallest first), then time and id from the latest on; take one more than it shows to know of a next one."""
+def page(df: DataFrame, limit: int | None = None, after: str | None = None, by_score: bool = False, more: int = 0) -> DataFrame:
+    """One page by recency, or by score (smallest first), then time and id from the latest on; with as many more rows as are asked for beyond the limit."""
     at, _ = read_cursor(after)
     ms = epoch_ms("ts")
     if at:
         later = (ms < at["ts_epoch_ms"]) | ((ms == at["ts_epoch_ms"]) & (F.col("id") < at["id"]))
         df = df.where((F.col("score") > at["score"]) | ((F.col("score") == at["score"]) & later) if by_score else later)
-    return df.orderBy(*([F.asc("score")] if by_score else []), ms.desc(), F.desc("id")).limit(clamp(limit))
+    return df.orderBy(*([F.asc("score")] if by_score else []), ms.desc(), F.desc("id")).limit(clamp(limit) + more)
 
 
 @dataclass
@@ -128,7 +128,7 @@ def fetch(df: DataFrame, limit: int | None = None, after: str | None = None, by_
     """A page's rows with the next cursor and, if asked for, the number of all rows without regard to cursor and limit."""
     n = clamp(limit)
     _, warning = read_cursor(after)
-    rows = page(df.withColumn("__ms", epoch_ms("ts")), n + 1 if n < 200 else n, after, by_score).collect()
-    shown, more = rows[:n], len(rows) > n or (n == 200 and len(rows) == n)
+    rows = page(df.withColumn("__ms", epoch_ms("ts")), n, after, by_score, more=1).collect()
+    shown, more = rows[:n], len(rows) > n
     last = shown[-1] if shown else None
     return Page(shown, cursor(last["__ms"], last["id"], last["score"] if by_score else None) if more and last else None, df.count() if count else None, warning)

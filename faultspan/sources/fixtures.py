@@ -38,7 +38,7 @@ _REQUEST = {
     "remote_addr": "CASE WHEN user_id % 13 = 0 THEN '10.0.0.9' WHEN user_id % 3 = 0 THEN '::1' ELSE '127.0.0.1' END",
     "origin": "CASE WHEN user_id % 7 = 0 THEN 'https://evil.example' ELSE concat('https://app', CAST(user_id % 3 AS STRING), '.example') END",
     "user_agent": "concat('agent/', CAST(user_id % 4 AS STRING))",
-    "body": """CASE WHEN event_id % 17 = 0 THEN '{broken' ELSE concat('{"application":"web","events":[{"message":"boom ', CAST(k AS STRING), '","severity":"', CASE WHEN event_id % 2 = 0 THEN 'fatal' ELSE 'warn' END, '","error_code":"E', CAST(k AS STRING), '","tags":["a","b"],"context":{"url":"/p/', CAST(k AS STRING), '","n":1}},{"message":"second"}]}') END""",
+    "body": """CASE WHEN event_id % 17 = 0 THEN '{broken' ELSE concat('{"application":"web","events":[{"message":"boom ', CAST(k AS STRING), '","severity":"', CASE WHEN event_id % 2 = 0 THEN 'fatal' ELSE 'warn' END, '","error_code":"E', CAST(k AS STRING), '","tags":["a",7,null,{"x":1},"b"],"context":{"url":"/p/', CAST(k AS STRING), '","n":1}},{"message":"second"}]}') END""",
 }
 _HTTP = {
     "request_id": "event_id",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultspan.functions.columns import clamped, clamped_context, clamped_severity, parsed_severity
+from faultspan.functions.columns import clamped, clamped_context, clamped_severity, parsed_severity, with_keys
 
 PAYLOAD = "application string, message string, severity string, version string, environment string, category string, error_code string, exception string, stacktrace string, correlation_id string, parent_event_id string, context string, tags array<string>, metadata string"
-BATCH = "application string, events array<struct<message:variant,severity:string,exception:variant,stacktrace:variant,error_code:variant,correlation_id:variant,tags:array<string>,context:string>>"
+BATCH = "application string, events array<struct<message:variant,severity:string,exception:variant,stacktrace:variant,error_code:variant,correlation_id:variant,tags:variant,context:string>>"
 #: Longest texts that an untrusted event may have.
 LONGEST = {"message": 2000, "exception": 200, "stacktrace": 8000, "error_code": 100, "correlation_id": 100}
 LONGEST_TAG, LONGEST_URL, LONGEST_AGENT = 50, 2000, 500
@@ -42,11 +42,15 @@ def browser_batches(guarded: DataFrame, application: str, max_batch: int = 20) -
     # what isn't a string is no text
     text = {c: clamped(F.when(F.schema_of_variant(F.col(f"e.{c}")) == "STRING", F.try_variant_get(F.col(f"e.{c}"), "$", "string")), n) for c, n in LONGEST.items()}
     text["message"] = F.coalesce(F.nullif(text["message"], F.lit("")), F.lit("browser error"))
-    own = F.coalesce(F.col("e.tags"), F.array().cast("array<string>"))
-    tags = F.concat(F.array(F.lit("browser")), F.slice(F.transform(F.filter(own, lambda t: t.isNotNull()), lambda t: clamped(t, LONGEST_TAG)), 1, 5))
-    context = clamped_context(F.col("e.context"))
-    url = clamped(F.get_json_object(F.col("e.context"), "$.url"), LONGEST_URL)
-    return x.select("request_id", "place", F.col("received_at").alias("ts"), F.lit(application).alias("application"), clamped_severity(F.col("e.severity")).alias("severity"), *(c.alias(n) for n, c in text.items()), tags.alias("tags"), context.alias("context"), url.alias("url"), clamped("user_agent", LONGEST_AGENT).alias("user_agent"))
+    # tags that are no strings are left out, and no array of tags is none
+    given = F.try_variant_get(F.col("e.tags"), "$", "array<variant>")
+    own = F.transform(F.filter(given, lambda t: F.schema_of_variant(t) == "STRING"), lambda t: F.try_variant_get(t, "$", "string"))
+    tags = F.concat(F.array(F.lit("browser")), F.coalesce(F.transform(F.slice(own, 1, 5), lambda t: clamped(t, LONGEST_TAG)), F.array().cast("array<string>")))
+    own_url = F.try_variant_get(F.try_parse_json(F.col("e.context")), "$.url", "variant")
+    url = clamped(F.when(F.schema_of_variant(own_url) == "STRING", F.try_variant_get(own_url, "$", "string")), LONGEST_URL)
+    agent = clamped("user_agent", LONGEST_AGENT)
+    context = clamped_context(F.col("e.context"), more={"url": url, "ua": agent})
+    return x.select("request_id", "place", F.col("received_at").alias("ts"), F.lit(application).alias("application"), clamped_severity(F.col("e.severity")).alias("severity"), *(c.alias(n) for n, c in text.items()), tags.alias("tags"), context.alias("context"), url.alias("url"), agent.alias("user_agent"))
 
 
 def http_outcomes(log: DataFrame, body_chars: int = 4096) -> DataFrame:
@@ -82,11 +86,13 @@ def client_failures(log: DataFrame) -> DataFrame:
 
 
 def flattened_causes(df: DataFrame, causes: str = "causes", most: int = 10) -> DataFrame:
-    """Write an array of causes (code, name, message), outermost first, under the stack, and the deepest one as the root cause unless there is one."""
+    """Write an array of causes (code, name, message), outermost first, under the stack, and the deepest one as the root cause and in the context, unless there is one."""
     c = F.slice(causes, 1, most)
     line = F.transform(c, lambda x: F.concat(F.lit("Caused by: "), F.concat_ws(" ", x["code"], F.concat(F.coalesce(x["name"], F.lit("Error")), F.lit(": "), F.coalesce(x["message"], F.lit(""))))))
     deepest = F.try_element_at(c, F.lit(-1))
-    return df.withColumns({"stacktrace": F.when(F.size(c) > 0, F.concat_ws("\n", "stacktrace", F.array_join(line, "\n"))).otherwise(F.col("stacktrace")), "root_cause": F.coalesce("root_cause", deepest["code"], deepest["name"])})
+    cause = F.coalesce(deepest["code"], deepest["name"])
+    out = df.withColumns({"stacktrace": F.when(F.size(c) > 0, F.concat_ws("\n", "stacktrace", F.array_join(line, "\n"))).otherwise(F.col("stacktrace")), "root_cause": F.coalesce("root_cause", cause)})
+    return out.withColumn("context", with_keys("context", {"root_cause": cause})) if "context" in df.columns else out
 
 
 def request_errors(log: DataFrame, framework: str) -> DataFrame:
