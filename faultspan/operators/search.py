@@ -1,7 +1,9 @@
 """Full-text search: tokens, postings, composable queries, bm25, pages, similar errors.
 
 A query is built of `term`, `prefix`, `phrase` and `near`, joined with & | and ~ (and not), and held to fields with
-`in_field`. Postings are narrow rows (token, id, field, position), filtered by token before any join.
+`in_field`. Postings are narrow rows (token, id, field, position), filtered by token before any join. Tables of queries are
+answered in one plan, whatever their number: phrases through their rarest token (`top_phrases`), bags of tokens by upper
+bounds (`top_any`), both with the best k of each query only. `textindex` keeps an index in step with a table that changes.
 """
 
 from __future__ import annotations
@@ -21,11 +23,16 @@ K1, B = 1.2, 0.75
 
 
 def _plain() -> tuple[str, str]:
-    pairs = [(chr(i), p) for a, b in ((0xC0, 0x250), (0x1E00, 0x1F00)) for i in range(a, b) if len(p := "".join(c for c in unicodedata.normalize("NFD", chr(i)) if not unicodedata.combining(c))) == 1 and p != chr(i)]
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    """Latin letters with diacritics, their plain letters, and behind the former the marks that such letters are composed with, which go."""
+    apart = {chr(i): unicodedata.normalize("NFD", chr(i)) for a, b in ((0xC0, 0x250), (0x1E00, 0x1F00)) for i in range(a, b)}
+    pairs = [(c, p) for c, d in apart.items() if len(p := "".join(x for x in d if not unicodedata.combining(x))) == 1 and p != c]
+    marks = sorted({x for d in apart.values() for x in d if unicodedata.combining(x)})
+    return "".join(a for a, _ in pairs) + "".join(marks), "".join(b for _, b in pairs)
 
 
+#: What has no partner in PLAIN is left out by `translate`, so that composed and decomposed letters give one token.
 ACCENTED, PLAIN = _plain()
+_FOLDED = {ord(a): PLAIN[i] if i < len(PLAIN) else None for i, a in enumerate(ACCENTED)}
 TOKEN = r"[\p{L}\p{N}\p{Co}._:/-]+"
 
 
@@ -39,7 +46,7 @@ def tokens_of(text: str) -> list[str]:
     """The same on the driver, for a query's words."""
     import regex
 
-    return regex.findall(TOKEN, text.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return regex.findall(TOKEN, text.lower().translate(_FOLDED))
 
 
 def postings(df: DataFrame) -> DataFrame:
@@ -50,30 +57,31 @@ def postings(df: DataFrame) -> DataFrame:
     return fields.select("id", "f.field", F.posexplode(tokens("f.text")).alias("pos", "token")).select("token", "id", "field", "pos")
 
 
+def weight() -> Column:
+    """A place's weight by its field."""
+    return functools.reduce(lambda a, kv: F.when(F.col("field") == kv[0], kv[1]).otherwise(a), WEIGHTS.items(), F.lit(0.0))
+
+
+def term_stats(p: DataFrame, *keys: str) -> DataFrame:
+    """token, df (rows that have it), top (its greatest weighted frequency in a row) of postings, by further keys if there are any."""
+    per = p.groupBy("token", "id", *keys).agg(F.sum(weight()).alias("f"))
+    return per.groupBy("token", *keys).agg(F.count("*").alias("df"), F.max("f").alias("top"))
+
+
 @dataclass
 class Index:
-    """postings, tokens of each row that is indexed (len), and one row of n and avgdl."""
+    """postings, tokens of each row that is indexed (len), one row of n and avgdl, and term_stats of the tokens."""
 
     postings: DataFrame
     lengths: DataFrame
     stats: DataFrame
+    terms: DataFrame
 
 
 def index(df: DataFrame) -> Index:
     p = postings(df)
     lengths = df.select("id").join(p.groupBy("id").agg(F.count("*").alias("len")), "id", "left").select("id", F.coalesce("len", F.lit(0)).alias("len"))
-    return Index(p, lengths, lengths.agg(F.count("*").alias("rows"), F.avg("len").alias("avgdl")))
-
-
-def write_index(ix: Index, path: str) -> None:
-    """Postings lie by token, so a reader skips row groups with other tokens; those of one token lie in several files."""
-    ix.postings.repartition("token", F.pmod("id", F.lit(8))).sortWithinPartitions("token", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    ix.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
-
-
-def read_index(spark, path: str) -> Index:
-    lengths = spark.read.parquet(f"{path}/lengths")
-    return Index(spark.read.parquet(f"{path}/postings"), lengths, lengths.agg(F.count("*").alias("rows"), F.avg("len").alias("avgdl")))
+    return Index(p, lengths, lengths.agg(F.count("*").alias("rows"), F.avg("len").alias("avgdl")), term_stats(p))
 
 
 @dataclass(frozen=True)
@@ -146,16 +154,22 @@ def hits(ix: Index, q: Query) -> DataFrame:
     return found.withColumn("end", F.col("start") + last)
 
 
-def near_hits(ix: Index, q: Query) -> list[DataFrame]:
-    """Of each phrase, the places inside a stretch where all phrases lie in one field with at most `within` tokens between the first's end and the last's start."""
-    own = [hits(ix, p) for p in q.parts]
-    stretch = own[0].select("id", "field", F.col("start").alias("s0"), F.col("end").alias("e0"))
-    for i, h in enumerate(own[1:], 1):
-        stretch = stretch.join(h.select("id", "field", F.col("start").alias(f"s{i}"), F.col("end").alias(f"e{i}")), ["id", "field"])
-    ends, starts = F.array(*(f"e{i}" for i in range(len(own)))), F.array(*(f"s{i}" for i in range(len(own))))
-    first = F.element_at(F.array_sort(F.arrays_zip(starts.alias("s"), ends.alias("e"))), 1)["e"]
-    good = stretch.where(F.array_max(starts) - first - 1 <= q.within)
-    return [good.select("id", "field", F.col(f"s{i}").alias("start"), F.col(f"e{i}").alias("end")).distinct() for i in range(len(own))]
+def near_hits(ix: Index, q: Query) -> DataFrame:
+    """part, id, field, start, end: of each phrase (part) the places inside a stretch where all phrases lie in one field with at most `within` tokens between the first's end and the last's start.
+
+    One sweep over the places of a field in order: a place leads a stretch if the next place of every other phrase begins
+    within its reach, and a place is inside if it leads or a place before it, of another phrase, leads and reaches it.
+    """
+    parts = range(len(q.parts))
+    places = functools.reduce(DataFrame.unionByName, (hits(ix, p).withColumn("part", F.lit(i)) for i, p in enumerate(q.parts)))
+    order = Window.partitionBy("id", "field").orderBy("start", "end", "part")
+    ahead, behind = order.rowsBetween(Window.currentRow, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.col("end") + 1 + q.within
+    following = [F.min(F.when(F.col("part") == i, F.col("start"))).over(ahead) for i in parts]
+    swept = places.withColumn("leads", F.coalesce(functools.reduce(lambda a, b: a & b, (x <= reach for x in following)), F.lit(False)))
+    farthest = [F.max(F.when(F.col("leads") & (F.col("part") == i), reach)).over(behind) for i in parts]
+    inside = functools.reduce(lambda a, b: a | b, (F.coalesce((F.col("part") != i) & (x >= F.col("start")), F.lit(False)) for i, x in enumerate(farthest)), F.col("leads"))
+    return swept.withColumn("inside", inside).where("inside").select("part", "id", "field", "start", "end")
 
 
 def matches(ix: Index, q: Query) -> DataFrame:
@@ -163,21 +177,30 @@ def matches(ix: Index, q: Query) -> DataFrame:
     if q.op == "phrase":
         return hits(ix, q).select("id").distinct()
     if q.op == "near":
-        return near_hits(ix, q)[0].select("id").distinct()
+        return near_hits(ix, q).select("id").distinct()
     own = [matches(ix, p) for p in q.parts]
     if q.op == "and":
         return functools.reduce(lambda a, b: a.join(b, "id", "left_semi"), own)
     return own[0].unionByName(own[1]).distinct() if q.op == "or" else own[0].join(own[1], "id", "left_anti")
 
 
+def bm25() -> Column:
+    """What a token or phrase adds to a row's score, from df, f, len, rows and avgdl."""
+    return idf() * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+
+
+def idf() -> Column:
+    return F.greatest(F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+
+
 def scores(ix: Index, q: Query) -> DataFrame:
     """id, score of every row found: bm25 over all rows of the index, the best (most negative) first in order."""
-    weight = functools.reduce(lambda a, kv: F.when(F.col("field") == kv[0], kv[1]).otherwise(a), WEIGHTS.items(), F.lit(0.0))
     found, parts = matches(ix, q), []
 
     def walk(x: Query) -> None:
         if x.op == "near":
-            parts.extend(zip((hits(ix, p) for p in x.parts), near_hits(ix, x), strict=True))
+            inside = near_hits(ix, x)
+            parts.extend((hits(ix, p), inside.where(F.col("part") == i)) for i, p in enumerate(x.parts))
         elif x.op == "phrase":
             parts.append((h := hits(ix, x), h))
         else:
@@ -185,20 +208,94 @@ def scores(ix: Index, q: Query) -> DataFrame:
                 walk(p)
 
     walk(q)
-    per = [inside.groupBy("id").agg(F.sum(weight).alias("f")).withColumn("p", F.lit(i)) for i, (_, inside) in enumerate(parts)]
+    per = [inside.groupBy("id").agg(F.sum(weight()).alias("f")).withColumn("p", F.lit(i)) for i, (_, inside) in enumerate(parts)]
     have = [anywhere.agg(F.countDistinct("id").alias("df")).withColumn("p", F.lit(i)) for i, (anywhere, _) in enumerate(parts)]
     union = functools.partial(functools.reduce, DataFrame.unionByName)
     rows = union(per).join(found, "id", "left_semi").join(F.broadcast(union(have)), "p").join(ix.lengths, "id").crossJoin(F.broadcast(ix.stats))
-    idf = F.greatest(F.log((F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return rows.groupBy("id").agg((-F.sum(part)).alias("score"))
+    return rows.groupBy("id").agg((-F.sum(bm25())).alias("score"))
 
 
 def batch(ix: Index, queries: dict[str, Query]) -> DataFrame:
-    """qid, id, score for many queries over one index."""
+    """qid, id, score for a few composed queries over one index; for tables of queries see top_phrases and top_any."""
     return functools.reduce(DataFrame.unionByName, (scores(ix, q).select(F.lit(n).alias("qid"), "id", "score") for n, q in queries.items()))
 
 
+def phrases_of(queries: DataFrame, text: str = "text") -> DataFrame:
+    """qid, phrase (its tokens, joined by one space), of a table of queries; those without tokens are left out."""
+    return queries.select("qid", F.array_join(tokens(text), " ").alias("phrase")).where("phrase <> ''")
+
+
+def phrase_hits(ix: Index, phrases: DataFrame) -> DataFrame:
+    """phrase, id, field, start of every place of every phrase of a table, each phrase once.
+
+    The token of a phrase that the fewest rows have makes its candidates, and only these are joined with the postings of its
+    other tokens; a phrase with a token that no row has makes none.
+    """
+    each = phrases.select("phrase").distinct().select("phrase", F.posexplode(F.split("phrase", " ")).alias("at", "token"))
+    known = each.join(ix.terms.select("token", "df"), "token", "left")
+    lead = known.groupBy("phrase").agg(F.min(F.struct("df", "at", "token")).alias("l"), F.count("*").alias("n"), F.count("df").alias("there")).where("n = there")
+    lead = lead.select("phrase", "n", F.col("l.token").alias("token"), F.col("l.at").alias("at"))
+    at = ix.postings.join(lead, "token").select("phrase", "n", "id", "field", (F.col("pos") - F.col("at")).alias("start"), "at")
+    one = at.where("n = 1").select("phrase", "id", "field", "start")
+    others = at.where("n > 1").select("phrase", "n", "id", "field", "start", F.col("at").alias("lead"), F.posexplode(F.split("phrase", " ")).alias("at", "token")).where("at <> lead")
+    others = others.withColumn("pos", F.col("start") + F.col("at"))
+    whole = others.join(ix.postings, ["token", "id", "field", "pos"]).groupBy("phrase", "n", "id", "field", "start").agg(F.count("*").alias("k")).where("k = n - 1")
+    return one.unionByName(whole.select("phrase", "id", "field", "start"))
+
+
+def phrase_scores(ix: Index, phrases: DataFrame) -> DataFrame:
+    """phrase, id, score of every row that has a phrase of the table."""
+    f = phrase_hits(ix, phrases).groupBy("phrase", "id").agg(F.sum(weight()).alias("f"))
+    df = f.groupBy("phrase").agg(F.count("*").alias("df"))
+    return f.join(df, "phrase").join(ix.lengths, "id").crossJoin(F.broadcast(ix.stats)).select("phrase", "id", F.round(-bm25(), 9).alias("score"))
+
+
+def best(rows: DataFrame, by: str, k: int) -> DataFrame:
+    """The k first rows of each, by score, then id from the latest on; Spark keeps k a task before rows move."""
+    order = Window.partitionBy(by).orderBy("score", F.desc("id"))
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def top_phrases(ix: Index, queries: DataFrame, k: int = 20, text: str = "text") -> DataFrame:
+    """qid, rank, id, score: of each query of a table (qid, text), taken as a phrase, the k best rows."""
+    asked = phrases_of(queries, text)
+    return asked.join(best(phrase_scores(ix, asked), "phrase", k), "phrase").select("qid", "rank", "id", "score")
+
+
+def top_any(ix: Index, queries: DataFrame, k: int = 20, text: str = "text") -> DataFrame:
+    """qid, rank, id, score: of each query of a table (qid, text), taken as a bag of tokens of which a row has one at least, the k best rows.
+
+    A token adds no more to any row than its bound: idf, times what the greatest frequency it has in a row gives for an empty
+    row. First the rows of each query's leading tokens (by bound, until k rows have them) are scored by these alone: the k-th
+    score is one that k rows reach. Tokens whose bounds, summed from the smallest up, stay under that score can't bring a new
+    row among the best, so their rows are not taken in: they are looked up for rows that the other tokens bring. What is left
+    out could not have come, so the answer is exact.
+    """
+    one = queries.select("qid", F.explode(tokens(text)).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("m"))
+    asked = one.join(ix.terms, "token").crossJoin(F.broadcast(ix.stats))
+    bound = F.col("m") * idf() * F.col("top") * (K1 + 1) / (F.col("top") + K1 * (1 - B))
+    down = Window.partitionBy("qid").orderBy(F.desc("bound"), "token")
+    up = Window.partitionBy("qid").orderBy("bound", F.desc("token")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    asked = asked.withColumn("bound", bound).withColumn("sum", F.sum("bound").over(up))
+    before = F.coalesce(F.sum("df").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    asked = asked.withColumn("leads", before < k)
+    inside = asked.select("token").distinct()
+    per = ix.postings.join(inside, "token", "left_semi").groupBy("token", "id").agg(F.sum(weight()).alias("f")).join(ix.lengths, "id")
+
+    def summed(of: DataFrame) -> DataFrame:
+        # sums in another order differ by rounding, which must not decide between equals
+        return of.groupBy("qid", "id").agg(F.round(-F.sum(F.col("m") * bm25()), 9).alias("score"))
+
+    terms = asked.select("qid", "token", "m", "df", "rows", "avgdl", "sum", "leads")
+    first = best(summed(per.join(terms.where("leads"), "token")), "qid", k)
+    reached = first.where(F.col("rank") == k).select("qid", F.col("score").alias("kth"))
+    terms = terms.join(reached, "qid", "left").withColumn("brings", F.col("kth").isNull() | (F.col("sum") * (1 + 1e-9) + 1e-8 >= -F.col("kth")))
+    brought = per.join(terms.where("brings"), "token").select("qid", "id", "token", "m", "df", "f", "len", "rows", "avgdl")
+    rest = terms.where("NOT brings").select("qid", "token", "m", "df", "rows", "avgdl")
+    looked = brought.select("qid", "id").distinct().join(rest, "qid").join(per, ["token", "id"]).select(*brought.columns)
+    return best(summed(brought.unionByName(looked)), "qid", k).select("qid", "rank", "id", "score")
+
+
 def found(df: DataFrame, ix: Index, q: Query | None, filters: Filters | None = None, by_rank: bool = False) -> DataFrame:
     """Events of a query inside a filter, with their score by rank; no query means all events."""
     inside = df.where((filters or Filters()).checked().column())
@@ -212,22 +309,25 @@ def search(df: DataFrame, ix: Index, q: Query | None, filters: Filters | None =
     return fetch(found(df, ix, q, filters, by_rank), limit, after, by_rank)
 
 
-def latest_similar(found: DataFrame, df: DataFrame, limit: int) -> DataFrame:
-    """Of each of_id the latest `limit` events found."""
-    w = Window.partitionBy("of_id").orderBy(F.desc("ts"), F.desc("id"))
-    return found.join(df.select("id", "ts"), "id").withColumn("n", F.row_number().over(w)).where(F.col("n") <= limit).drop("n", "ts")
+def similar_by_fingerprint(df: DataFrame, ids: DataFrame, limit: int = 20) -> DataFrame:
+    """of_id, rank, id, event_id of the latest other events with a given event's fingerprint, `limit` at most for each.
+
+    Of each fingerprint limit + 1 events are kept before given events meet them, so no pairs of a whole group are made.
+    """
+    own = df.join(ids.select("event_id").distinct(), "event_id", "left_semi").select(F.col("event_id").alias("of_id"), "fingerprint")
+    latest = Window.partitionBy("fingerprint").orderBy(F.desc("ts"), F.desc("id"))
+    few = df.join(own.select("fingerprint").distinct(), "fingerprint", "left_semi").select("fingerprint", "id", "event_id", "ts").withColumn("n", F.row_number().over(latest)).where(F.col("n") <= limit + 1)
+    return _others(own.join(few.drop("ts"), "fingerprint").where("of_id <> event_id"), limit).select("of_id", "rank", "id", "event_id")
 
 
-def similar_by_fingerprint(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """of_id, id, event_id of the other events with a given event's fingerprint."""
-    own = df.join(ids.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("of_id"), "fingerprint")
-    return own.join(df.select("id", "event_id", "fingerprint"), "fingerprint").where("of_id <> event_id").select("of_id", "id", "event_id")
+def similar_by_text(df: DataFrame, ix: Index, ids: DataFrame, limit: int = 20) -> DataFrame:
+    """of_id, rank, id, score of the best other events whose fields hold a given event's whole message as a phrase, `limit` at most for each, for a table of events at once."""
+    given = df.join(ids.select("event_id").distinct(), "event_id", "left_semi").select(F.struct("event_id", "id").alias("qid"), "message")
+    asked = phrases_of(given, "message")
+    few = best(phrase_scores(ix, asked), "phrase", limit + 1).withColumnRenamed("rank", "n")
+    return _others(asked.join(few, "phrase").where("qid.id <> id").withColumn("of_id", F.col("qid.event_id")), limit).select("of_id", "rank", "id", "score")
 
 
-def similar_by_text(df: DataFrame, ix: Index, ids: DataFrame) -> DataFrame:
-    """of_id, id of the other events whose fields hold a given event's whole message as a phrase, for a table of events at once."""
-    words = df.join(ids.select("event_id"), "event_id", "left_semi").select("event_id", F.col("id").alias("own"), tokens("message").alias("w")).where(F.size("w") > 0)
-    each = words.select("event_id", "own", F.size("w").alias("n"), F.posexplode("w").alias("at", "token"))
-    places = each.join(ix.postings, "token").select("event_id", "own", "n", "id", "field", (F.col("pos") - F.col("at")).alias("start"), "at").distinct()
-    whole = places.groupBy("event_id", "own", "n", "id", "field", "start").agg(F.count("*").alias("k")).where("k = n AND own <> id")
-    return whole.select(F.col("event_id").alias("of_id"), "id").distinct()
+def _others(rows: DataFrame, limit: int) -> DataFrame:
+    """Ranks by n, once the given event itself is out."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("of_id").orderBy("n"))).where(F.col("rank") <= limit)

@@ -78,9 +78,9 @@ def _ids(t: Tables, ids: list[str]) -> DataFrame:
 
 
 def _similar(t: Tables, ids: list[str], by: str = "fingerprint", limit: int | None = None) -> DataFrame:
-    """The latest other events like each given one."""
-    found = search.similar_by_fingerprint(t.events, _ids(t, ids)) if by == "fingerprint" else search.similar_by_text(t.events, _index(t), _ids(t, ids))
-    return search.latest_similar(found, t.events, filters.clamp(limit))
+    """Other events like each given one: the latest with its fingerprint, or the best that hold its message."""
+    n = filters.clamp(limit)
+    return search.similar_by_fingerprint(t.events, _ids(t, ids), n) if by == "fingerprint" else search.similar_by_text(t.events, _index(t), _ids(t, ids), n)
 
 
 def _search_all(t: Tables, stores: dict[str, str], query: str | None = None, limit: int | None = None) -> DataFrame:

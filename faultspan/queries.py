@@ -17,6 +17,7 @@ from faultspan.operators import audit as U
 from faultspan.operators import filters as L
 from faultspan.operators import mutations as M
 from faultspan.operators import search as S
+from faultspan.operators import textindex as X
 from faultspan.operators import traces as R
 from faultspan.plans import registry as P
 from faultspan.sources import fixtures
@@ -280,13 +281,17 @@ _indexes: dict[tuple[str, str], str] = {}
 
 
 def indexed(spark: SparkSession, sf_dir: str, anew: bool = False) -> S.Index:
-    """The text index of the documents, written once by a session and read from then on."""
-    key = spark.sparkContext.applicationId, sf_dir
-    if anew or key not in _indexes:
-        path = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
-        S.write_index(S.index(documents(spark, sf_dir)), path)
-        _indexes[key] = path
-    return S.read_index(spark, _indexes[key])
+    """The text index of the documents, written once by a session, and again when the table's files have changed."""
+    docs, key = documents(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    mark = X.files_mark(docs)
+    if not anew and key in _indexes:
+        try:
+            return X.open_index(spark, _indexes[key], mark)
+        except X.Stale:
+            pass
+    _indexes[key] = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+    X.insert(docs, _indexes[key], "all", mark)
+    return X.open_index(spark, _indexes[key], mark)
 
 
 TOK = "regexp_extract_all(strip_accents(lower({})), '[\\p{{L}}\\p{{N}}\\p{{Co}}._:/-]+')"
@@ -384,18 +389,91 @@ def search_page(spark, sf_dir):
     return L.page(rows, 20, by_score=True).select("id", "score")
 
 
-@query(EV + "SELECT a.event_id AS of_id, b.id, b.event_id FROM ev a JOIN ev b USING (fingerprint) WHERE a.event_id <> b.event_id AND a.id % 20 = 0")
+#: Documents after changes: a third is inserted late, every fifth is deleted, and the texts of every seventh are others.
+_CHANGED = POST.replace("FROM documents", "FROM docs2").replace("WITH f AS", "WITH docs2 AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'inea changed ' || coalesce(source, '') ELSE text END AS text, lang FROM documents WHERE doc_id % 5 <> 0), f AS")
+
+
+def changed_index(spark: SparkSession, sf_dir: str) -> str:
+    """The root of an index made by inserts, deletes, an update and merges, each repeated, over all documents."""
+    root, docs = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}", documents(spark, sf_dir)
+    doc_id = F.col("id") - 1
+    new = docs.where((doc_id % 7 == 0) & (doc_id % 5 != 0)).withColumn("message", F.concat(F.lit("inea changed "), F.coalesce("application", F.lit(""))))
+    X.insert(docs.where(doc_id % 3 != 0), root, "first")
+    X.delete(spark, root, docs.where(doc_id % 10 == 0), "delete-tenth")
+    X.insert(docs.where(doc_id % 3 == 0), root, "rest")
+    X.merge(spark, root, "merge")
+    X.delete(spark, root, docs.where(doc_id % 5 == 0), "delete-fifth")
+    X.update(new, root, "update")
+    X.delete(spark, root, docs.where(doc_id % 5 == 0), "delete-fifth")
+    X.merge(spark, root, "merge-small", docs.count() // 2)
+    return root
+
+
+@query(_scored(_hit("inea"), keep=_ID(_hit("inea"))).replace(POST, _CHANGED))
+def index_changes(spark, sf_dir):
+    """A search after inserts, deletes, updates and merges."""
+    return S.scores(X.open_index(spark, changed_index(spark, sf_dir)), S.term("inea")).select("id", F.round("score", 6).alias("score"))
+
+
+@query(_CHANGED + "SELECT token, count(DISTINCT id) AS df FROM p GROUP BY token")
+def index_terms(spark, sf_dir):
+    """Statistics of an index after the same changes."""
+    return X.open_index(spark, changed_index(spark, sf_dir)).terms.select("token", "df")
+
+
+#: The query set: every id divisible by 20, each asking for the first words of its text.
+_ASKED = "q AS (SELECT doc_id + 1 AS qid, array_to_string(string_split_regex(trim(text), '\\s+')[1:{n}], ' ') AS text FROM documents WHERE (doc_id + 1) % 20 = 0 AND text IS NOT NULL)"
+
+
+def asked(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    docs = documents(spark, sf_dir).where("id % 20 = 0 AND message IS NOT NULL")
+    return docs.select(F.col("id").alias("qid"), F.array_join(F.slice(F.split(F.trim("message"), r"\s+"), 1, n), " ").alias("text"))
+
+
+_BM = "greatest(ln((rows - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))"
+
+
+@query(
+    POST + ", " + _ASKED.format(n=8) + f", qt AS (SELECT qid, token, count(*) AS m FROM (SELECT qid, unnest({TOK.format('text')}) AS token FROM q) GROUP BY ALL), t AS (SELECT token, id, sum({_W}) AS f FROM p GROUP BY ALL), d AS (SELECT token, count(*) AS df FROM t GROUP BY token), "
+    f"x AS (SELECT qid, t.id, round(-sum(m * {_BM}), 9) AS s9 FROM qt JOIN t USING (token) JOIN d USING (token) JOIN ln ON ln.id = t.id, st GROUP BY ALL) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s9, id DESC) AS rank, id, round(s9, 6) AS score FROM x QUALIFY rank <= 20"
+)
+def batch_top_any(spark, sf_dir):
+    """Of each query, a bag of eight words, the 20 best documents."""
+    rows = S.top_any(indexed(spark, sf_dir), asked(spark, sf_dir, 8), 20)
+    return rows.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query(
+    POST + ", " + _ASKED.format(n=3) + f", qt AS (SELECT qid, {TOK.format('text')} AS w FROM q), u AS (SELECT DISTINCT w FROM qt WHERE len(w) > 0), h AS (SELECT w, id, field, len(list_filter(range(len(ts) - len(w) + 1), lambda i: ts[i + 1:i + len(w)] = w)) AS n FROM u JOIN k ON list_contains(ts, w[1])), "
+    f"t AS (SELECT w, id, sum(n * {_W}) AS f FROM h WHERE n > 0 GROUP BY ALL), d AS (SELECT w, count(*) AS df FROM t GROUP BY w), "
+    f"x AS (SELECT qid, t.id, round(-{_BM}, 9) AS s9 FROM qt JOIN t USING (w) JOIN d USING (w) JOIN ln ON ln.id = t.id, st) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s9, id DESC) AS rank, id, round(s9, 6) AS score FROM x QUALIFY rank <= 20"
+)
+def batch_top_phrases(spark, sf_dir):
+    """Of each query, a phrase of three words, the 20 best documents."""
+    rows = S.top_phrases(indexed(spark, sf_dir), asked(spark, sf_dir, 3), 20)
+    return rows.select("qid", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
+
+
+@query(EV + "SELECT a.event_id AS of_id, row_number() OVER (PARTITION BY a.event_id ORDER BY b.ts DESC, b.id DESC) AS rank, b.id, b.event_id FROM ev a JOIN ev b USING (fingerprint) WHERE a.event_id <> b.event_id AND a.id % 20 = 0 QUALIFY rank <= 20")
 def similar_by_fingerprint(spark, sf_dir):
-    """For the query set of every id divisible by 20."""
+    """The 20 latest for each of the query set of every id divisible by 20."""
     df = events(spark, sf_dir)
-    return S.similar_by_fingerprint(df, df.where("id % 20 = 0"))
+    return S.similar_by_fingerprint(df, df.where("id % 20 = 0")).withColumn("rank", F.col("rank").cast("bigint"))
+
 
+_FIELDS = " UNION ALL ".join(f"SELECT id, '{c}' AS field, {w} AS wt, {TOK.format(t)} AS ts FROM ev WHERE {t} IS NOT NULL" for c, w, t in (("message", 3.0, "message"), ("exception", 2.0, "exception"), ("stack_norm", 1.0, "stack_norm"), ("tags_text", 2.0, "array_to_string(tags, ' ')"), ("category", 1.0, "category")))
 
-@query(EV + "SELECT a.event_id AS of_id, b.id FROM ev a JOIN ev b ON a.message = b.message WHERE a.id <> b.id AND a.id % 20 = 0")
+
+@query(
+    EV + f", k AS ({_FIELDS}), ln AS (SELECT id, sum(len(ts)) AS len FROM k GROUP BY id), st AS (SELECT count(*) AS rows, avg(len) AS avgdl FROM ln), qt AS (SELECT event_id AS of_id, id AS own, {TOK.format('message')} AS w FROM ev WHERE id % 20 = 0), u AS (SELECT DISTINCT w FROM qt WHERE len(w) > 0), "
+    "h AS (SELECT w, id, wt, len(list_filter(range(len(ts) - len(w) + 1), lambda i: ts[i + 1:i + len(w)] = w)) AS n FROM u JOIN k ON list_contains(ts, w[1])), t AS (SELECT w, id, sum(n * wt) AS f FROM h WHERE n > 0 GROUP BY ALL), d AS (SELECT w, count(*) AS df FROM t GROUP BY w), "
+    f"x AS (SELECT of_id, own, t.id, round(-{_BM}, 9) AS s9 FROM qt JOIN t USING (w) JOIN d USING (w) JOIN ln ON ln.id = t.id, st WHERE t.id <> own) SELECT of_id, row_number() OVER (PARTITION BY of_id ORDER BY s9, id DESC) AS rank, id, round(s9, 6) AS score FROM x QUALIFY rank <= 20"
+)
 def similar_by_text(spark, sf_dir):
-    """For the query set of every id divisible by 20."""
+    """The 20 best for each of the query set of every id divisible by 20: events of which a field holds its whole message as a phrase."""
     df = events(spark, sf_dir)
-    return S.similar_by_text(df, S.index(df), df.where("id % 20 = 0"))
+    rows = S.similar_by_text(df, S.index(df), df.where("id % 20 = 0"))
+    return rows.select("of_id", F.col("rank").cast("bigint").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
 # --- traces -------------------------------------------------------------------------------------------------------
@@ -600,12 +678,17 @@ def audit_build(spark, sf_dir):
 # --- ingest -------------------------------------------------------------------------------------------------------
 
 ORIGINS = [f"https://app{i}.example" for i in range(3)]
-REQ = f"WITH q AS ({fixtures.sql('ingest_requests')}), g AS (SELECT *, CASE WHEN remote_addr NOT IN ('127.0.0.1', '::1') THEN 403 WHEN origin = 'https://evil.example' THEN 403 WHEN body = '{{broken' THEN 400 ELSE 202 END AS status FROM q)"
+REQ = f"WITH q AS ({fixtures.sql('ingest_requests')}), g AS (SELECT *, CASE WHEN remote_addr NOT IN ('127.0.0.1', '::1') THEN 403 WHEN origin = 'https://evil.example' THEN 403 WHEN request_id % 19 = 0 THEN 429 WHEN strlen(body) > 176 THEN 413 WHEN body = '{{broken' THEN 400 ELSE 202 END AS status FROM q)"
+
+
+def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with their status; every 19th counts as one too many, and some bodies are too long."""
+    return G.guard(fixtures.read(spark, sf_dir, "ingest_requests"), ORIGINS, 176, F.col("request_id") % 19 == 0)
 
 
 @query(REQ + " SELECT status, count(*) AS n FROM g GROUP BY status")
 def ingest_status_counts(spark, sf_dir):
-    return A.outcome_counts(G.guard(fixtures.read(spark, sf_dir, "ingest_requests"), ORIGINS), "status")
+    return A.outcome_counts(guarded(spark, sf_dir), "status")
 
 
 @query(
@@ -613,11 +696,12 @@ def ingest_status_counts(spark, sf_dir):
     + """, e AS (SELECT request_id, user_agent, unnest([0, 1]) AS place, body FROM g WHERE status = 202)
 SELECT request_id, place, 'shop' AS application, CASE WHEN place = 0 AND json_extract_string(body, '$.events[0].severity') = 'warn' THEN 'warn' ELSE 'error' END AS severity,
  CASE place WHEN 0 THEN json_extract_string(body, '$.events[0].message') ELSE 'second' END AS message, CASE place WHEN 0 THEN json_extract_string(body, '$.events[0].error_code') END AS error_code,
- CASE place WHEN 0 THEN 'browser a b' ELSE 'browser' END AS tags_text, CASE place WHEN 0 THEN json_extract_string(body, '$.events[0].context.url') END AS url, user_agent FROM e"""
+ CASE place WHEN 0 THEN 'browser a b' ELSE 'browser' END AS tags_text, CASE place WHEN 0 THEN json_extract_string(body, '$.events[0].context.url') END AS url, user_agent,
+ '{' || CASE place WHEN 0 THEN '"url":"' || json_extract_string(body, '$.events[0].context.url') || '","n":1,' ELSE '' END || '"ua":"' || user_agent || '"}' AS context FROM e"""
 )
 def ingest_browser(spark, sf_dir):
-    rows = G.browser_batches(G.guard(fixtures.read(spark, sf_dir, "ingest_requests"), ORIGINS), "shop")
-    return rows.select("request_id", "place", "application", "severity", "message", "error_code", F.array_join("tags", " ").alias("tags_text"), "url", "user_agent")
+    rows = G.browser_batches(guarded(spark, sf_dir), "shop")
+    return rows.select("request_id", "place", "application", "severity", "message", "error_code", F.array_join("tags", " ").alias("tags_text"), "url", "user_agent", "context")
 
 
 @query(
