@@ -1,9 +1,11 @@
 """A hash chain over events: build, verify in parallel, report tombstones.
 
-Building is serial along a chain, so give chains a key (application and hour) for large tables, which bounds what one
-group walks; verifying isn't: each row's predecessor is the row or else the tombstone before it, in one chain of ids one
-after another found by two joins, in chains with a key by a window over each. As stored and expected hashes agree
-before the first break, the smallest broken id is what a walk along the chain would stop at.
+Building is serial along a chain, and one group walks each chain, so a chain's key should bound it: `block_key` cuts any key
+into blocks of ids, 1,024 rows at most, and `anchors` chain the blocks' heads, level by level, so that what a long chain tells
+is kept: an edited, lost or added row breaks a link, and a block whose end is cut off breaks its anchor. Verifying is parallel:
+each row's predecessor is the row or else the tombstone before it, in one chain of ids one after another found by two joins,
+in chains with a key by a window over each. As stored and expected hashes agree before the first break, the smallest broken
+id is what a walk along the chain would stop at. `streaming.stateful.chained_stream` builds the same blocks in a stream.
 """
 
 from __future__ import annotations
@@ -15,8 +17,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from faultspan.functions.lineage import checkpointed
+
 GENESIS = "genesis"
 STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+#: Rows of a block, and blocks whose heads are chained together, as a power of two.
+BITS = 10
+
+
+def block_key(key: Column | None = None, bits: int = BITS) -> Column:
+    """A chain for each key and block of ids; without a key for each block."""
+    number = F.shiftright("id", bits).cast("string")
+    return F.concat_ws("#", F.coalesce(key.cast("string"), F.lit("")), number) if key is not None else number
+
+
+def anchors(df: DataFrame, tombstones: DataFrame | None = None, key: Column | None = None, bits: int = BITS) -> DataFrame:
+    """key, level, block, head of every block: on level 0 the last hash of its rows and tombstones (row_id, audit_hash, key); above, of the chain of the heads of 2 ** bits blocks, until one is left.
+
+    Each level is a group by block of 2 ** bits rows at most, however long the chain is.
+    """
+    name = key.cast("string") if key is not None else F.lit("")
+    rows = df.select(F.coalesce(name, F.lit("")).alias("key"), "id", F.col("audit_hash").alias("h"))
+    if tombstones is not None:
+        rows = rows.unionByName(tombstones.select(F.coalesce("key", F.lit("")).alias("key") if "key" in tombstones.columns else F.lit("").alias("key"), F.col("row_id").alias("id"), F.col("audit_hash").alias("h")))
+    level = 0
+    now = checkpointed(rows.groupBy("key", F.shiftright("id", bits).alias("block")).agg(F.max_by("h", "id").alias("head")))
+    out = now.select("key", F.lit(0).alias("level"), "block", "head")
+    while now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").take(1):
+        level += 1
+        heads = F.transform(F.array_sort(F.collect_list(F.struct("block", "head"))), lambda x: x["head"])
+        up = now.groupBy("key", F.shiftright("block", bits).alias("up")).agg(heads.alias("heads"))
+        now = checkpointed(up.select("key", F.col("up").alias("block"), F.aggregate("heads", F.lit(GENESIS), lambda a, h: F.sha2(F.concat(a, F.lit("|"), h), 256)).alias("head")))
+        out = out.unionByName(now.select("key", F.lit(level).alias("level"), "block", "head"))
+    return out
+
+
+def broken_anchors(df: DataFrame, stored: DataFrame, tombstones: DataFrame | None = None, key: Column | None = None, bits: int = BITS) -> DataFrame:
+    """key, level, block, expected (stored), actual (of the rows that are there) of the blocks that differ or are missing on either side."""
+    own = anchors(df, tombstones, key, bits).withColumnRenamed("head", "actual")
+    both = stored.withColumnRenamed("head", "expected").join(own, ["key", "level", "block"], "full")
+    return both.where(~F.col("expected").eqNullSafe(F.col("actual"))).select("key", "level", "block", "expected", "actual")
 
 
 def link(previous: Column) -> Column:
@@ -24,11 +64,11 @@ def link(previous: Column) -> Column:
     return F.sha2(F.concat(previous, *(F.concat(F.lit("|"), c) for c in (F.col("event_id"), F.date_format("ts", STAMP), F.col("message"), F.col("fingerprint")))), 256)
 
 
-def build(df: DataFrame, chain: Column | None = None, last: DataFrame | None = None) -> DataFrame:
-    """Fill the audit_hash of rows that have none, in id order within each chain, on from the chain's last hash (of its rows, else of `last`: chain, hash)."""
+def build(df: DataFrame, chain: Column, last: DataFrame | None = None) -> DataFrame:
+    """Fill the audit_hash of rows that have none, in id order within each chain, on from the chain's last hash (of its rows, else of `last`: chain, hash). One group walks a chain: see block_key."""
     given = df if "audit_hash" in df.columns else df.withColumn("audit_hash", F.lit(None).cast("string"))
     rest = F.concat(*(F.concat(F.lit("|"), c) for c in (F.col("event_id"), F.date_format("ts", STAMP), F.col("message"), F.col("fingerprint"))))
-    x = given.select("id", "audit_hash", rest.alias("rest"), (chain if chain is not None else F.lit("")).alias("chain"))
+    x = given.select("id", "audit_hash", rest.alias("rest"), chain.alias("chain"))
     x = x.join(last.select("chain", F.col("hash").alias("from")), "chain", "left") if last is not None else x.withColumn("from", F.lit(None).cast("string"))
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

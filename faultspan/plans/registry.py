@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultspan import schema
 from faultspan.functions import columns
 from faultspan.operators import analytics, audit, filters, mutations, search, traces
-from faultspan.sources.ingest import sdk_payloads
-from faultspan.sources.io import federated
+from faultspan.sources.ingest import browser_batches, sdk_payloads
+from faultspan.sources.io import federated, scan, store_version
 from faultspan.streaming.jobs import pipeline
 
 SUMMARY = ["id", "event_id", "ts", "application", "severity", "category", "error_code", "message", "fingerprint", "resolved_at"]
@@ -20,7 +20,7 @@ SUMMARY = ["id", "event_id", "ts", "application", "severity", "category", "error
 
 @dataclass
 class Tables:
-    """A store's tables; those that are missing stay None."""
+    """A store's tables; those that are missing stay None. chain is the key of the audit chains that the events were linked by, None for one chain."""
 
     events: DataFrame
     edges: DataFrame | None = None
@@ -29,6 +29,13 @@ class Tables:
     aliases: DataFrame | None = None
     index: search.Index | None = None
     rejects: DataFrame | None = None
+    chain: Column | None = None
+    version: int = schema.SCHEMA_VERSION
+
+
+def opened(spark: SparkSession, path: str, **more) -> Tables:
+    """The tables of a store, with the schema version that it was written with."""
+    return Tables(scan(spark, path), version=store_version(spark, path), **more)
 
 
 def event_summary(df: DataFrame) -> DataFrame:
@@ -42,10 +49,28 @@ def event_detail(df: DataFrame, key=None) -> DataFrame:
     return df.withColumn("metadata", decrypted("metadata", key))
 
 
-def ingest(raw: DataFrame, tables: Tables, **how) -> tuple[DataFrame, DataFrame]:
-    """JSON payloads to events and rejects."""
+def ingest(raw: DataFrame, tables: Tables, hostname: Column | None = None, defaults: dict[str, Column] | None = None, last: DataFrame | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """JSON payloads (body) to events and rejects.
+
+    With a hostname or defaults missing ones are filled; where the tables have a chain, rows that come with id, event_id and ts are linked, on from its last hashes.
+    """
     good, bad = sdk_payloads(raw)
-    return pipeline(good, tables.aliases, **how), bad
+    return _finished(good, tables, hostname, defaults, last, **how), bad
+
+
+def ingest_browser(guarded: DataFrame, tables: Tables, application: str, hostname: Column | None = None, defaults: dict[str, Column] | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """Requests with their status to events of the accepted ones, with repeatable ids, and the refused requests."""
+    rows = browser_batches(guarded, application)
+    rows = rows.withColumn("event_id", columns.new_event_id("request_id", "place")).withColumns({c: F.lit(None).cast("string") for c in ("category", "metadata") if c not in rows.columns})
+    return _finished(rows, tables, hostname, defaults, None, **how), guarded.where("status <> 202")
+
+
+def _finished(rows: DataFrame, tables: Tables, hostname: Column | None, defaults: dict[str, Column] | None, last: DataFrame | None, **how) -> DataFrame:
+    if hostname is not None or defaults:
+        rows = rows if "hostname" in rows.columns else rows.withColumn("hostname", F.lit(None).cast("string"))
+        rows = columns.with_defaults(rows, hostname if hostname is not None else F.lit(None).cast("string"), defaults or {})
+    out = pipeline(rows, tables.aliases, **how)
+    return audit.build(out, tables.chain, last) if tables.chain is not None and {"id", "event_id", "ts"} <= set(out.columns) else out
 
 
 def _index(t: Tables) -> search.Index:
@@ -62,14 +87,24 @@ def _latest(t: Tables, limit: int | None = None, **f) -> DataFrame:
     return event_summary(filters.page(t.events.where(filters.Filters(**f).checked().column()), limit))
 
 
+def _stones(t: Tables) -> DataFrame:
+    """Tombstones with the chains that they lie in; none, if there is no such table."""
+    kind = "row_id bigint, event_id string, audit_hash string, chain string"
+    return t.tombstones if t.tombstones is not None else t.events.sparkSession.createDataFrame([], kind)
+
+
+def _verify(t: Tables) -> DataFrame:
+    return audit.verify(t.events, _stones(t), t.chain)
+
+
 def _doctor(t: Tables) -> DataFrame:
-    """rows, open, tombstones, schema version, dropped rows if rejects are kept, whether the chain holds."""
-    rows = t.events.agg(F.count("*").alias("rows"), F.count(F.when(F.col("resolved_at").isNull(), 1)).alias("open")).withColumn("schema_version", F.lit(schema.SCHEMA_VERSION))
+    """rows, open, schema version of the store and the newest one known, dropped rows if rejects are kept, whether the chains hold."""
+    rows = t.events.agg(F.count("*").alias("rows"), F.count(F.when(F.col("resolved_at").isNull(), 1)).alias("open")).withColumns({"schema_version": F.lit(t.version), "max_version": F.lit(schema.SCHEMA_VERSION)})
     if t.rejects is not None:
         rows = rows.crossJoin(F.broadcast(analytics.dropped(t.rejects)))
-    if t.tombstones is None or "audit_hash" not in t.events.columns:
+    if "audit_hash" not in t.events.columns:
         return rows
-    return rows.crossJoin(F.broadcast(audit.verify(t.events, t.tombstones))).crossJoin(F.broadcast(audit.tombstone_report(t.tombstones)))
+    return rows.crossJoin(F.broadcast(_verify(t))).crossJoin(F.broadcast(audit.tombstone_report(_stones(t))))
 
 
 def _ids(t: Tables, ids: list[str]) -> DataFrame:
@@ -84,16 +119,26 @@ def _similar(t: Tables, ids: list[str], by: str = "fingerprint", limit: int | No
 
 
 def _search_all(t: Tables, stores: dict[str, str], query: str | None = None, limit: int | None = None) -> DataFrame:
-    """The first rows of every store that can be read, each by its own statistics."""
-    rows, _ = federated(t.events.sparkSession, stores, lambda df: _search(Tables(df), query, limit))
-    return rows if rows is not None else t.events.limit(0).withColumn("source_db", F.lit(""))
+    """The first rows by rank of these tables ("primary") and of every store that can be read, each by its own statistics (part item), and a row for each store with its number of rows or its error (part store)."""
+    rank = search.parse_free(query) is not None
+
+    def first(df: DataFrame) -> DataFrame:
+        found = _search(Tables(df, index=t.index if df is t.events else None), query, limit, order="rank")
+        return found.select(*SUMMARY, "score" if rank else F.lit(None).cast("double").alias("score"))
+
+    order = [F.asc_nulls_last("score"), F.desc("ts"), F.desc("id")]
+    rows, status = federated(t.events.sparkSession, {"primary": t.events} | stores, first, filters.clamp(limit), order)
+    told = status.select(F.lit("store").alias("part"), "source_db", "n", "error")
+    return told if rows is None else rows.withColumn("part", F.lit("item")).unionByName(told, allowMissingColumns=True)
 
 
 def _delete(t: Tables, now_ms: int, confirm: bool = False, **what) -> DataFrame:
     """The tombstones of a deletion; without confirm nothing but what it would take."""
     if not confirm:
         return mutations.preview(t.events, mutations.Selector(**what))
+    chains = t.events.select("event_id", t.chain.alias("chain")) if t.chain is not None else None
     t.events, stones, t.edges = mutations.delete(t.events, t.edges, mutations.Selector(**what).column(), F.timestamp_millis(F.lit(now_ms)))
+    stones = stones.join(chains, "event_id") if chains is not None else stones
     t.tombstones = stones if t.tombstones is None else t.tombstones.unionByName(stones, allowMissingColumns=True)
     return stones
 
@@ -124,7 +169,7 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "delete_errors": _delete,
     "summary": lambda t, **f: _long(analytics.summarize(t.events, filters.Filters(**f))),
     "preview_delete": lambda t, **what: mutations.preview(t.events, mutations.Selector(**what)),
-    "verify_audit": lambda t: audit.verify(t.events, t.tombstones),
+    "verify_audit": _verify,
     "doctor": _doctor,
 }
 

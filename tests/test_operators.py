@@ -92,10 +92,10 @@ def test_cycles_are_told(spark):
 
 
 def test_audit_chain(spark):
-    df = audit.build(events(spark, [{} for _ in range(12)])).persist()
+    df = audit.build(events(spark, [{} for _ in range(12)]), F.lit("")).persist()
     none = df.limit(0).select(F.col("id").alias("row_id"), "audit_hash")
     assert audit.verify(df, none).collect()[0].asDict() == {"ok": True, "rows_checked": 12, "tombstones_bridged": 0, "first_break": None}
-    assert audit.build(df).exceptAll(df).count() == 0
+    assert audit.build(df, F.lit("")).exceptAll(df).count() == 0
     edges = spark.createDataFrame([], "src_event_id string, dst_event_id string, rel string")
     left, stones, _ = mutations.delete(df, edges, F.col("id") == 5, F.current_timestamp())
     assert audit.verify(left, stones).collect()[0].asDict() == {"ok": True, "rows_checked": 11, "tombstones_bridged": 1, "first_break": None}
@@ -242,7 +242,57 @@ def test_upgraded_stores(spark):
     old = events(spark, [{} for _ in range(4)])
     old = old.drop(*(c for c in ("audit_hash", "resolved_at") if c in old.columns))
     some = schema.categories(spark).limit(3)
-    new, known = io.upgraded_store(old, 1, some)
+    new, known = io.upgraded_store(old, 1, audit.block_key(), some)
     assert new.where("audit_hash IS NULL").count() == 0 and known.count() == schema.categories(spark).count()
-    again, same = io.upgraded_store(new, schema.SCHEMA_VERSION, known)
+    again, same = io.upgraded_store(new, schema.SCHEMA_VERSION, audit.block_key(), known)
     assert again.exceptAll(new).count() == 0 and same.count() == known.count()
+
+
+def test_tools_know_the_chain(spark):
+    from faultspan.plans import registry
+
+    rows = events(spark, [{"application": "ab"[i % 2], "fingerprint": f"f{i % 4}"} for i in range(12)])
+    edges = spark.createDataFrame([], "src_event_id string, dst_event_id string, rel string")
+    built = audit.build(rows, F.col("application")).persist()
+    tools, t = registry.Registry(), registry.Tables(built, edges, chain=F.col("application"), version=6)
+    assert tools.call("verify_audit", t).collect()[0].ok and tools.call("doctor", t).collect()[0].schema_version == 6
+    assert not tools.call("verify_audit", registry.Tables(built, edges)).collect()[0].ok
+    assert tools.call("delete_errors", t, now_ms=0, confirm=True, fingerprint="f1", force=True).count() == 3
+    told = tools.call("doctor", t).collect()[0]
+    assert told.ok and told.rows == 9 and told.tombstones == 3 and told.tombstones_bridged > 0 and told.max_version == 7
+
+
+def test_full_last_page(spark):
+    df = spark.range(1, 201).select(F.col("id"), F.timestamp_seconds("id").alias("ts"))
+    p = filters.fetch(df, 200)
+    assert len(p.items) == 200 and p.next_cursor is None
+    assert filters.fetch(df.unionByName(df.limit(1)), 200).next_cursor
+
+
+def test_search_all_tells_of_each_store(spark, tmp_path):
+    from faultspan.plans import registry
+
+    df = events(spark, [{"message": f"disk full {i}"} for i in range(5)])
+    for n in ("good", "broken"):
+        io.save(df, f"{tmp_path}/{n}")
+    next((tmp_path / "broken" / "events").rglob("*.parquet")).write_bytes(b"PAR1 no table")
+    rows = registry.Registry().call("search_all", registry.Tables(df), stores={n: f"{tmp_path}/{n}" for n in ("good", "broken", "none")}, query="disk full", limit=3).collect()
+    assert sorted((r.source_db, r.n, r.error is None) for r in rows if r.part == "store") == [("broken", 0, False), ("good", 3, True), ("none", 0, False), ("primary", 3, True)]
+    assert sorted((r.source_db, r.id) for r in rows if r.part == "item") == [(n, i) for n in ("good", "primary") for i in (3, 4, 5)]
+
+
+def test_ingest_from_end_to_end(spark):
+    from faultspan.plans import registry
+    from faultspan.sources import ingest
+
+    body = '{"application":"a","message":"token=abc123 disk full","context":"{\\"pid\\":1}"}'
+    raw = spark.createDataFrame([(i, f"e{i}", T0, body) for i in range(1, 4)] + [(4, "e4", T0, "{broken")], "id bigint, event_id string, ts timestamp, body string")
+    t = registry.Tables(raw, chain=F.col("application"))
+    good, bad = registry.ingest(raw, t, F.lit("h1"), {"pid": F.lit(9), "cwd": F.lit("/x")})
+    rows = good.orderBy("id").collect()
+    assert bad.count() == 1 and [r.hostname for r in rows] == ["h1"] * 3 and all('"pid":1' in r.context and '"cwd":"/x"' in r.context for r in rows)
+    assert rows[0].audit_hash and len({r.audit_hash for r in rows}) == 3
+    req = spark.createDataFrame([(1, T0, "127.0.0.1", "o", "ua", '{"events":[{"message":"m","tags":["a",5]}]}'), (2, T0, "1.2.3.4", "o", "ua", "{}")], "request_id bigint, received_at timestamp, remote_addr string, origin string, user_agent string, body string")
+    seen, refused = registry.ingest_browser(ingest.guard(req, ["o"]), registry.Tables(req), "shop", F.lit("h2"))
+    row = seen.collect()[0]
+    assert (row.application, row.message, row.tags[:2], row.context, row.hostname) == ("shop", "m", ["browser", "a"], '{"ua":"ua"}', "h2") and refused.count() == 1
