@@ -3,10 +3,15 @@
 A text is the mean of the embeddings of its hashed character pairs and triples (letters in lower case, every run of
 other characters a word boundary). The embeddings and the softmax are trained in numpy on a bounded sample of
 labelled texts, `quota` of each language, those with the smallest hash. A fifth of the sample is kept
-back: it gives the temperature that calibrates the probabilities, and two limits below which a text is rejected, one for
-the probability and one for the share of a text's subwords that the learning texts have, which tells texts unlike all of
-them. Either is the ERROR quantile of the texts kept back that are predicted right, so about so many texts of a learned language are lost.
-The mean and the softmax's input are linear, so scoring needs one row of the table embeddings x softmax per subword.
+back: it gives the temperature that calibrates the probabilities, and the limit below which a text is rejected.
+
+What is held against the limit is how likely the learned languages make a text's subwords: the mean logarithm, each piece of
+WINDOW characters by the language that makes it likeliest, by counts in the learning texts, less the median of that language's
+own pieces. So a text in two learned languages is no odd one; and confidence alone doesn't tell, as a softmax is as sure of
+texts in a language that it hasn't learned. Odd texts are made of those kept back: pieces with their characters shuffled, and pieces
+of each language in turn as if it had not been learned. The limit rejects the share ODD of them, but never more than the share
+ERROR of the pieces as they are; whole texts vary less than pieces.
+The mean and the softmax's input are linear, so scoring needs one row of each table per subword.
 
 Null texts and texts without a letter are `und` with score 0 and are rejected; very long texts are read whole; ties
 go to the language that sorts first; repeated rows get equal results. With no labelled text every prediction is
@@ -29,9 +34,9 @@ from .common import mix, sampled, slices
 BITS = 16
 #: Texts of each language to learn from, but for what the estimate of their number is off by.
 QUOTA = 400
-#: Share of texts of the learned languages that each of the two limits may reject, as counted on those kept back; texts at or
-#: above these values of confidence and of known subwords are never rejected.
-ERROR, SURE, KNOWN = 0.005, 0.4, 0.4
+#: Share of odd texts that the limit is to reject, share of texts of learned languages that it may reject at most, characters
+#: of the pieces, how many of these are drawn from a text kept back, and what is added to each count.
+ODD, ERROR, WINDOW, PIECES, SMOOTH = 0.95, 0.005, 60, 8, 0.5
 
 _FOLD = np.array([ord(c.lower()) if (c := chr(i)).isalpha() and len(c.lower()) == 1 else i if c.isalpha() else 32 for i in range(0x3000)], np.uint32)
 
@@ -65,23 +70,27 @@ class LanguageModel:
     languages: list[str]
     table: np.ndarray  # (buckets + 1) x languages, divided by the temperature
     bias: np.ndarray
-    seen: np.ndarray  # buckets that the learning texts have
+    likely: np.ndarray  # (buckets + 1) x languages: logarithms of the buckets' shares, less the languages' medians
     limit: float
-    least_known: float
 
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each row the languages' probabilities, and the share of its subwords that are known."""
+        """Of each row the languages' probabilities, and how likely its subwords are."""
         grams, at = subwords(data, offsets)
-        rows, n, known = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1), np.zeros(len(at) - 1)
+        rows, n = np.zeros((len(at) - 1, len(self.languages))), np.zeros(len(at) - 1)
         full = np.flatnonzero(np.diff(at))
+        pieces = -(-np.diff(at) // WINDOW)
+        row = np.repeat(np.arange(len(pieces)), pieces)
+        begin = np.repeat(at[:-1], pieces) + WINDOW * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        likely = np.zeros((len(row), len(self.languages)))
         if len(full):
             for g in grams:
                 rows[full] += np.add.reduceat(self.table[g], at[full], axis=0, dtype=np.float64)
                 n[full] += np.add.reduceat(g < 1 << BITS, at[full], dtype=np.int64)
-                known[full] += np.add.reduceat(self.seen[g], at[full], dtype=np.int64)
+                likely += np.add.reduceat(self.likely[g], begin, axis=0, dtype=np.float64)
         logits = rows / np.maximum(n, 1)[:, None] + self.bias
         e = np.exp(logits - logits.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True), known / np.maximum(n, 1)
+        own = np.bincount(row, likely.max(axis=1), len(n)) if len(row) else np.zeros(len(n))
+        return e / e.sum(axis=1, keepdims=True), own / np.maximum(n, 1)
 
     def predict(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Add `lang_pred string, score double, rejected boolean`."""
@@ -96,52 +105,119 @@ class LanguageModel:
             for batch in batches:
                 for part, data, offsets in slices(batch, "__text"):
                     known = part.column("__letter").to_numpy(zero_copy_only=False).astype(bool) & bool(own.languages)
-                    shares = np.zeros(part.num_rows)
+                    likely = np.zeros(part.num_rows)
                     if own.languages:
-                        p, shares = own.probabilities(data, offsets)
+                        p, likely = own.probabilities(data, offsets)
                         best = p.argmax(axis=1)
                         score, names = np.where(known, p.max(axis=1), 0.0), np.array(own.languages, object)[best]
                     else:
                         score, names = np.zeros(part.num_rows), np.full(part.num_rows, "und", object)
                     names = np.where(known, names, "und")
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < own.limit) | (shares < own.least_known))], [*keep, "lang_pred", "score", "rejected"])
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names, pa.string()), pa.array(score), pa.array(~known | (likely < own.limit))], [*keep, "lang_pred", "score", "rejected"])
 
         return given.mapInArrow(run, StructType([df.schema[c] for c in keep] + StructType.fromDDL(new).fields))
 
 
-def sample(df: DataFrame, text: str, lang: str, key: str, quota: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """About quota texts of each language, those with the smallest hash of key and text: languages, hashes, buckets and their shares."""
+def counted(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text the buckets, and how often each is there."""
+    grams, at = subwords(data, offsets)
+    ids, counts = [], []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        u, n = np.unique(grams[:, a:b], return_counts=True)
+        ids.append(u[u < 1 << BITS])
+        counts.append(n[u < 1 << BITS])
+    return ids, counts
+
+
+def is_kept_back(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & 0x7FFFFFFF) % 5 == 0
+
+
+def pieces(text: str, seed: int) -> list[str]:
+    """PIECES pieces of WINDOW characters from places drawn at random; none of a shorter text."""
+    last = len(text) - WINDOW
+    return [text[at : at + WINDOW] for at in np.random.default_rng(seed).integers(0, last + 1, PIECES).tolist()] if last >= 0 else []
+
+
+@dataclass
+class Sample:
+    """Languages and hashes of the texts, in order of the hash; buckets and counts of each; the pieces of those kept back and the language of each piece."""
+
+    lang: np.ndarray
+    hashes: np.ndarray
+    whole: list[tuple[np.ndarray, np.ndarray]]
+    cut: list[str]
+    cut_lang: list[str]
+
+
+def sample(df: DataFrame, text: str, lang: str, key: str, quota: int) -> Sample:
+    """About quota texts of each language, those with the smallest hash of key and text."""
     own = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in slices(batch, "__text"):
-                grams, at = subwords(data, offsets)
-                ids, shares = [], []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    u, n = np.unique(grams[:, a:b], return_counts=True)
-                    u, n = u[u < 1 << BITS], n[u < 1 << BITS]
-                    ids.append(u)
-                    shares.append((n / max(1, n.sum())).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([part.column("__lang"), part.column("__hash"), pa.array(ids, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["lang", "hash", "ids", "shares"])
-
-    got = sampled(own, ["__lang", "__key", "__text"], quota, "__lang").mapInArrow(run, "lang string, hash bigint, ids array<int>, shares array<float>").toArrow()
-    lang, hashes = np.array(got["lang"].to_pylist(), object), got["hash"].to_numpy()
+                ids, counts = counted(data, offsets)
+                hashes = part.column("__hash").to_numpy()
+                own = [pieces(data[a:b].tobytes().decode("utf-8", "replace"), h & 0x7FFFFFFF) if back else [] for a, b, h, back in zip(offsets[:-1], offsets[1:], hashes.tolist(), is_kept_back(hashes), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("__lang"), part.column("__hash"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.string()))], ["lang", "hash", "ids", "n", "pieces"])
+
+    got = sampled(own, ["__lang", "__key", "__text"], quota, "__lang").mapInArrow(run, "lang string, hash bigint, ids array<int>, n array<int>, pieces array<string>").toArrow()
+    names, hashes = np.array(got["lang"].to_pylist(), object), got["hash"].to_numpy()
     order = np.argsort(hashes, kind="stable")
-    ids, shares = ([x.values.to_numpy() for x in got[c]] for c in ("ids", "shares"))
-    return lang[order], hashes[order], [ids[i] for i in order], [shares[i] for i in order]
+    ids, n = ([x.values.to_numpy() for x in got[c]] for c in ("ids", "n"))
+    held = got["pieces"].to_pylist()
+    return Sample(names[order], hashes[order], [(ids[i], n[i]) for i in order], [p for i in order for p in held[i]], [names[i] for i in order for _ in held[i]])
+
+
+def of_texts(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and counts of each of a few texts."""
+    packed = [t.encode() for t in texts]
+    return list(zip(*counted(np.frombuffer(b"".join(packed), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in packed])]).astype(np.int64)), strict=True))
+
+
+def log_shares(held: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, languages: int) -> np.ndarray:
+    """Logarithms of each bucket's smoothed share of a language's subwords; no subword has none."""
+    n = np.zeros(((1 << BITS) + 1, languages))
+    for (ids, count), k in zip(held, y, strict=True):
+        n[ids, k] += count
+    out = np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * (1 << BITS)))
+    out[-1] = 0
+    return out
+
+
+def means(shares: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of each piece that has subwords their mean by the likeliest language."""
+    return np.array([(n @ shares[ids]).max() / n.sum() for ids, n in held if len(ids)])
+
+
+def limited(shares: np.ndarray, cut: list[str], y: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
+    """How likely each bucket is in each language, and the limit, from pieces of learned languages."""
+    languages, rng = shares.shape[1], np.random.default_rng(seed)
+    if not cut:
+        return shares, -np.inf
+    held = of_texts(cut)
+    for k in range(languages):
+        own = means(shares[:, [k]], [h for h, own in zip(held, y, strict=True) if own == k])
+        shares[:-1, k] -= np.median(own) if len(own) else 0.0
+    odd = [means(shares, of_texts(["".join(rng.permutation(list(t))) for t in cut]))]
+    for k in range(languages if languages > 1 else 0):
+        odd.append(means(np.delete(shares, k, axis=1), [h for h, own in zip(held, y, strict=True) if own == k]))
+    limits = [np.quantile(x, q, method="lower") for x, q in ((np.concatenate(odd), ODD), (means(shares, held), ERROR)) if len(x)]
+    return shares, float(min(limits)) - 1e-6 if limits else -np.inf
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", quota: int = QUOTA, dims: int = 16, epochs: int = 6, rate: float = 0.5, seed: int = 1) -> LanguageModel:
-    names, hashes, ids, shares = sample(df, text, lang, key, quota)
-    languages = sorted(set(names))
-    use = [i for i in range(len(names)) if len(ids[i])]
+    s = sample(df, text, lang, key, quota)
+    languages = sorted(set(s.lang))
+    use = [i for i in range(len(s.lang)) if len(s.whole[i][0])]
+    ids, shares = [w[0] for w in s.whole], [(w[1] / max(1, w[1].sum())).astype(np.float32) for w in s.whole]
     rng = np.random.default_rng(seed)
     embed, soft, bias = rng.normal(0, 1, ((1 << BITS) + 1, dims)), np.zeros((dims, len(languages))), np.zeros(len(languages))
     embed[-1] = 0
-    y = np.array([languages.index(n) for n in names], int)
-    kept_back = [i for i in use if (hashes[i] & 0x7FFFFFFF) % 5 == 0]
-    learn = np.array([i for i in use if (hashes[i] & 0x7FFFFFFF) % 5] or use, int)
+    y = np.array([languages.index(n) for n in s.lang], int)
+    kept_back = [i for i in use if is_kept_back(s.hashes)[i]]
+    learn = np.array([i for i in use if i not in set(kept_back)] or use, int)
     step = 0
     for _ in range(epochs):
         for i in rng.permutation(learn):
@@ -156,10 +232,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
             soft -= lr * np.outer(x, g)
             bias -= 0.01 * lr * g
             embed[ids[i]] -= lr * np.outer(shares[i] / shares[i].max(), back) / 10
-    table, seen = embed @ soft, np.zeros((1 << BITS) + 1, bool)
-    for i in learn:
-        seen[ids[i]] = True
-    limit, least_known = SURE, KNOWN
+    table = embed @ soft
+    likely, limit = limited(log_shares([s.whole[i] for i in learn], y[learn], len(languages)), s.cut, np.array([languages.index(n) for n in s.cut_lang], int), seed)
     if kept_back:
         z = np.array([shares[i] @ table[ids[i]] for i in kept_back]) + bias
 
@@ -170,9 +244,4 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
         at = np.arange(len(kept_back)), y[kept_back]
         best = min(np.geomspace(0.1, 10, 41), key=lambda t: -np.log(np.maximum(p(t)[at], 1e-12)).mean())
         table, bias = table / best, bias / best
-        right = np.flatnonzero(z.argmax(axis=1) == y[kept_back])
-        if len(right):
-            low = lambda x: float(np.quantile(x, ERROR, method="lower")) - 1e-6
-            limit = min(SURE, low(p(best).max(axis=1)[right]))
-            least_known = min(KNOWN, low(np.array([shares[kept_back[i]][seen[ids[kept_back[i]]]].sum() for i in right])))
-    return LanguageModel(languages, table.astype(np.float32), bias, seen, limit, least_known)
+    return LanguageModel(languages, table.astype(np.float32), bias, likely.astype(np.float32), limit)

@@ -104,7 +104,7 @@ def test_language_held_out(spark):
     docs = queries.table(spark, DIR, "documents").select("doc_id", "lang")
     rows = queries.op9_language_id(spark, DIR).join(docs, "doc_id")
     r = rows.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.sum(F.col("rejected").cast("int"))).collect()[0]
-    assert r[0] > 0.98 and r[1] == 0
+    assert r[0] > 0.98 and r[1] <= 2
 
 
 def test_language_edges(spark):
@@ -119,18 +119,82 @@ def test_language_edges(spark):
     assert model.predict(df.limit(0)).count() == 0
 
 
+ODD = [
+    "Η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο και φεύγει μακριά",
+    "быстрая коричневая лиса прыгает через ленивую собаку и убегает",
+    "我能吞下玻璃而不伤身体因为它很好吃",
+    "Den hurtige brune ræv hopper over den dovne hund og løber hjem igen",
+    "Den snabba bruna räven hoppar över den lata hunden och springer bort",
+    "Nopea ruskea kettu hyppää laiskan koiran yli ja juoksee pois metsään",
+    "De snelle bruine vos springt over de luie hond en rent weer naar huis",
+    "Szybki brazowy lis przeskakuje nad leniwym psem i ucieka do lasu",
+    "La veloce volpe marrone salta sopra il cane pigro e corre via",
+    "Hizli kahverengi tilki tembel kopegin uzerinden atlar ve kacar",
+    "for (int i = 0; i < n; i++) { sum += a[i] * b[i]; } return sum;",
+    "asdf jkl qwer asdfj klqw erqw zxcv bnmas dfghj klqwe rtyuiop",
+    "xkcd bzzt qrst vwpfgh jklmn bcdfg hjklm npqrs tvwxz",
+    "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Qgb2YgYmFzZTY0IGVuY29kaW5n",
+]
+
+
 def test_unlearned_writing_is_rejected(spark):
-    learn = queries.table(spark, DIR, "documents").where("doc_id < 600")
-    model = language_id.fit(learn)
-    odd = ["Η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο και φεύγει μακριά", "быстрая коричневая лиса прыгает через ленивую собаку и убегает", "我能吞下玻璃而不伤身体因为它很好吃"]
-    rows = model.predict(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id int, text string")).collect()
-    assert all(r.rejected for r in rows)
-    assert model.predict(learn).where("rejected AND length(text) > 200").count() <= 6
+    """Other scripts, other languages in Latin letters, code and key mashing, while texts of learned languages stay."""
+    docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.fit(docs.where("doc_id % 4 <> 0"))
+    rows = model.predict(spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id int, text string")).collect()
+    assert len([ODD[r.doc_id] for r in rows if not r.rejected]) <= 2
+    others = model.predict(docs.where("doc_id % 4 = 0"))
+    assert others.where("rejected").count() < 0.01 * others.count()
+
+
+def test_limit_by_both_rates():
+    """Odd pieces as far as ODD, learned ones no farther than ERROR: against the definition, over texts of few letters."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab "), 60, p=[0.6, 0.3, 0.1])) for _ in range(300)] + ["".join(rng.choice(list("bc"), 60)) for _ in range(300)]
+    y = np.repeat([0, 1], 300)
+    held = language_id.of_texts(texts)
+    table = language_id.log_shares(held, y, 2)
+    for bucket in held[0][0]:
+        for k in (0, 1):
+            n = sum(int(c[ids == bucket].sum()) for (ids, c), own in zip(held, y, strict=True) if own == k)
+            total = sum(int(c.sum()) for (_, c), own in zip(held, y, strict=True) if own == k)
+            assert np.isclose(table[bucket, k], np.log((n + 0.5) / (total + 0.5 * 65536)))
+    likely, limit = language_id.limited(table, texts, y, 5)
+    mean = lambda t, cols: [max(sum(likely[b, k] * c for b, c in zip(*h, strict=True)) / h[1].sum() for k in cols) for h in language_id.of_texts(t)]
+    again = np.random.default_rng(5)
+    odd = np.array(mean(["".join(again.permutation(list(t))) for t in texts], (0, 1)) + mean(texts[:300], (1,)) + mean(texts[300:], (0,)))
+    kept = np.array(mean(texts, (0, 1)))
+    want = min(np.sort(odd)[int(language_id.ODD * (len(odd) - 1))], np.sort(kept)[int(language_id.ERROR * (len(kept) - 1))])
+    assert np.isclose(limit, want, atol=1e-5) and (kept < limit).mean() <= language_id.ERROR
+
+
+def test_step_like_slopes():
+    """One step of learning moves embeddings and softmax down the slope of the cross-entropy, as differences tell."""
+    rng = np.random.default_rng(4)
+    embed, soft, bias, x_ids, x_share, y = rng.normal(size=(6, 3)), rng.normal(size=(3, 2)), rng.normal(size=2), np.array([1, 4]), np.array([0.25, 0.75]), 1
+
+    def loss(e, w, b):
+        z = x_share @ e[x_ids] @ w + b
+        return np.log(np.exp(z).sum()) - z[y]
+
+    gz = np.exp(x_share @ embed[x_ids] @ soft + bias)
+    gz = gz / gz.sum() - np.eye(2)[y]
+    x = x_share @ embed[x_ids]
+    for i, j in np.ndindex(soft.shape):
+        d = np.zeros_like(soft)
+        d[i, j] = 1e-6
+        assert np.isclose((loss(embed, soft + d, bias) - loss(embed, soft - d, bias)) / 2e-6, np.outer(x, gz)[i, j], atol=1e-6)
+    for i, j in np.ndindex(embed.shape):
+        d = np.zeros_like(embed)
+        d[i, j] = 1e-6
+        want = x_share[list(x_ids).index(i)] * (soft @ gz)[j] if i in x_ids else 0
+        assert np.isclose((loss(embed + d, soft, bias) - loss(embed - d, soft, bias)) / 2e-6, want, atol=1e-6)
 
 
 def test_language_ties_go_to_the_first(spark):
     df = spark.createDataFrame([(i, "same text", x) for i, x in enumerate(["b", "a"] * 5)], "doc_id int, text string, lang string")
-    model = language_id.LanguageModel(["a", "b"], np.zeros(((1 << language_id.BITS) + 1, 2), np.float32), np.zeros(2), np.ones((1 << language_id.BITS) + 1, bool), 0.0, 0.0)
+    zero = np.zeros(((1 << language_id.BITS) + 1, 2), np.float32)
+    model = language_id.LanguageModel(["a", "b"], zero, np.zeros(2), zero, -1.0)
     assert {(r.lang_pred, r.score) for r in model.predict(df).collect()} == {("a", 0.5)}
 
 
