@@ -393,8 +393,9 @@ def from_trees(rows: DataFrame, of: DataFrame, forest: bool) -> DataFrame:
 
     alone = F.array(meeting(here))
     x = x.withColumn("p", F.explode(F.when(F.col("n") > BLOCK, F.transform(others, meeting)).otherwise(alone)))
-    x = x.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp").join(vectors(of), "node")
-    groups = max(1, -(-rows.count() // ROWS))
+    x = x.select(F.xxhash64("k", "p.i", "p.j").alias("bucket"), "p.side", "node", "comp")
+    groups = max(1, -(-x.count() // ROWS))  # of what meets, copies of nodes for several meetings included
+    x = x.join(vectors(of), "node")
     found = x.withColumn("g", F.pmod("bucket", F.lit(groups))).groupBy("g").applyInPandas(lambda held: tree_pairs(held, forest), "a bigint, b bigint")
     return found.distinct()
 

@@ -4,6 +4,7 @@ import base64
 import random
 import re
 
+import pandas as pd
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -189,3 +190,21 @@ def test_tree_loses_no_pair():
     want = set(zip(i[good].tolist(), j[good].tolist(), strict=True))
     got = [tuple(sorted(p)) for a, b in ngram_join.CountTree(m, v).pairs() for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_groups_are_counted_with_their_copies(spark, monkeypatch):
+    """A bucket of many blocks meets in many pairs of blocks; no group of rows grows with the bucket."""
+    import pyspark.sql.group as group
+
+    monkeypatch.setattr(ngram_join, "BLOCK", 20)
+    monkeypatch.setattr(ngram_join, "ROWS", 200)
+    n = 600
+    rows = spark.range(n).selectExpr("1L AS k", f"{n}L AS n", "id AS node", "50L AS m", "id AS comp")
+    of = spark.createDataFrame([(i, 50, b"\0" * 300) for i in range(n)], "node bigint, m bigint, shingles binary")
+
+    def counting(self, f, schema, own=group.GroupedData.applyInPandas):
+        return own(self, lambda held: pd.DataFrame({"a": [len(held)], "b": [int(held["bucket"].iloc[0])]}), schema)
+
+    monkeypatch.setattr(group.GroupedData, "applyInPandas", counting)
+    sizes = [r.a for r in ngram_join.from_trees(rows, of, True).collect()]
+    assert sum(sizes) > 20 * n and max(sizes) < 1000
