@@ -95,7 +95,9 @@ def cells(at: Column) -> Column:
 
 def links(prints: DataFrame) -> DataFrame:
     """a > b: links between the distinct fingerprints, as many as connect all that differ in REACH bits or fewer."""
-    placed = prints.select("print", F.explode(cells(point(F.col("print")))).alias("cell"))
+    # few bytes become many rows here, so they are dealt to as many tasks as later shuffles
+    dealt = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "print")
+    placed = dealt.select("print", F.explode(cells(point(F.col("print")))).alias("cell"))
     shared = saved(placed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "simhash-cells")
     held = saved(placed.join(shared, "cell"), "simhash-held")
     pairs = held.where(F.col("n") <= PAIRWISE).groupBy("cell").agg(F.array_sort(F.collect_list("print")).alias("p"))
