@@ -241,13 +241,18 @@ def bare(digest: bytes) -> str:
 
 
 def decided(pages: DataFrame, key: str = "page_id", payload: str = "html", least: int = 0) -> DataFrame:
-    """Add __digest, and __refers: the page id of the response that a record revisits, else null; __revisit says which."""
+    """Add __digest, and __refers: the page id of the response that a record revisits, else null; __revisit says which.
+
+    Answers by digest are joined to narrow rows (id and digest), so that copies of one payload don't meet in one task with their
+    payloads, and come back by id and digest; of rows alike in both one answer holds for all.
+    """
     rows = pages.withColumn(payload, F.coalesce(F.col(payload), F.lit(""))).withColumn("__digest", F.sha1(F.encode(payload, "UTF-8")))
     long = F.octet_length(payload) >= least
+    narrow = rows.where(long).select(F.col(key).alias("__key"), "__digest").distinct()
     best = rows.where(long).groupBy("__digest").agg(F.max(key).alias("__best"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    rows = rows.join(best, "__digest", "left")
-    revisit = long & F.col("__best").isNotNull() & ~F.col(key).eqNullSafe(F.col("__best"))
-    return rows.withColumns({"__revisit": revisit, "__refers": F.when(revisit, F.col("__best"))}).drop("__best")
+    told = narrow.join(best, "__digest").where(~F.col("__key").eqNullSafe(F.col("__best"))).select("__key", F.col("__digest").alias("__own"), F.col("__best").alias("__refers"), F.lit(True).alias("__told"))
+    out = rows.join(told, rows[key].eqNullSafe(told["__key"]) & (rows["__digest"] == told["__own"]), "left").drop("__key", "__own")
+    return out.withColumn("__revisit", F.coalesce("__told", F.lit(False))).drop("__told")
 
 
 def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, wide: bool = False, package: int = PACKAGE_BYTES) -> DataFrame:
