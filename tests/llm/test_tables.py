@@ -311,3 +311,21 @@ def test_run_like_brute_force(spark, tmp_path):
     assert set(got) == want and len(want) < len(first) < len(texts)
     for i, r in got.items():
         assert r.decoded_sha256 == hashlib.sha256(texts[i].encode()).hexdigest()
+
+
+def test_conversations_in_many_pairs(spark, monkeypatch):
+    """Either side of many pairs is split, and every pair is there once."""
+    monkeypatch.setattr(preference, "PAIRS", 3)
+    turns = spark.createDataFrame([(i, 1, "user", "hi") for i in range(20)] + [(i, 2, "assistant", f"a{i}") for i in range(20)], "conv_id int, turn int, role string, text string")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 20)] + [(i, 19) for i in range(1, 19)], "chosen_id int, rejected_id int")
+    got = preference.format_pairs(preference.turns_of(turns), pairs).collect()
+    assert sorted((r.chosen_id, r.rejected_id) for r in got) == sorted(map(tuple, pairs.distinct().collect()))
+    assert all((r.prompt_turns, r.chosen, r.rejected) == (1, f"<|assistant|>\na{r.chosen_id}<|end|>\n", f"<|assistant|>\na{r.rejected_id}<|end|>\n") for r in got)
+
+
+def test_hot_digests_meet_narrow(spark):
+    """Copies of a payload are told by narrow rows; ids that are there twice or null have an answer each."""
+    rows = [(1, "a"), (2, "a"), (2, "a"), (None, "a"), (3, "b"), (2, "b"), (4, None), (5, "")]
+    got = warc_zip.decided(spark.createDataFrame(rows, "page_id int, html string")).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.page_id or 0, r.html, r["__revisit"], r["__refers"] or 0) for r in got) == sorted([(1, "a", True, 2), (2, "a", False, 0), (2, "a", False, 0), (0, "a", True, 2), (3, "b", False, 0), (2, "b", True, 3), (4, "", True, 5), (5, "", False, 0)])
