@@ -2,6 +2,10 @@
 
 Chains follow parent_event_id. Whole tables are resolved by pointer jumping: at each turn every event's pointer goes
 twice as far, so turns grow with the logarithm of the depth; each turn is checkpointed. A cycle is told, not followed.
+
+`labelled` numbers every tree in the order of a walk through it, so that what is below an event is a range of numbers.
+Ancestors and descendants are then one join: a range is cut into blocks of powers of two, a number lies in one block of each
+size, and so a number and a range that has it meet in exactly one block, whatever the depth and however many others there are.
 """
 
 from __future__ import annotations
@@ -40,14 +44,91 @@ def caused_by(df: DataFrame) -> DataFrame:
     return child.join(df.select(F.col("event_id").alias("src_event_id")), "src_event_id", "left_semi").select("src_event_id", "dst_event_id", F.lit("caused_by").alias("rel"))
 
 
-def ancestors(df: DataFrame, seeds: DataFrame) -> DataFrame:
+#: Children of one event are dealt to so many groups, so that no task orders all of them.
+SPREAD = 1024
+
+
+def labelled(df: DataFrame) -> DataFrame:
+    """event_id, root_id, depth, pre (place in a walk through the tree, from 0), size (events below, itself included), there (false for a parent that is only named); without labels in and below a cycle.
+
+    The walk is a list: into an event, into its first child or out again, from there into the next sibling or out of the parent.
+    Pointer jumping sums up what is left of the list behind each entry, in turns that grow with the logarithm of its length.
+    """
+    own = df.where(F.col("event_id").isNotNull()).groupBy("event_id").agg(F.min("parent_event_id").alias("up"))
+    named = own.where("up IS NOT NULL").select(F.col("up").alias("event_id")).distinct().join(own, "event_id", "left_anti")
+    nodes = checkpointed(own.withColumn("there", F.lit(True)).unionByName(named.select("event_id", F.lit(None).cast("string").alias("up"), F.lit(False).alias("there"))))
+    child = nodes.where("up IS NOT NULL").withColumn("s", F.pmod(F.xxhash64("event_id"), F.lit(SPREAD)))
+    child = checkpointed(child.withColumn("next", F.lead("event_id").over(Window.partitionBy("up", "s").orderBy("event_id"))).select("event_id", "up", "s", "next"))
+    groups = child.groupBy("up", "s").agg(F.min("event_id").alias("first"))
+    groups = groups.withColumn("then", F.lead("first").over(Window.partitionBy("up").orderBy("s")))
+    first = groups.groupBy("up").agg(F.min_by("first", "s").alias("child")).withColumnRenamed("up", "event_id")
+    sibling = child.join(groups, ["up", "s"]).select("event_id", F.coalesce("next", "then").alias("sibling"))
+    into, out = (lambda c: F.concat(F.lit("<"), c)), (lambda c: F.concat(F.lit(">"), c))
+    x = nodes.join(first, "event_id", "left").join(sibling, "event_id", "left")
+    steps = F.array(
+        F.struct(into(F.col("event_id")).alias("e"), F.coalesce(into(F.col("child")), out(F.col("event_id"))).alias("to"), F.lit(1).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("deep")),
+        F.struct(out(F.col("event_id")).alias("e"), F.coalesce(into(F.col("sibling")), out(F.col("up"))).alias("to"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).cast("bigint").alias("deep")),
+    )
+    at = checkpointed(x.select(F.explode(steps).alias("x")).select("x.*").withColumn("last", F.col("e")))
+    done, at = at.where("to IS NULL"), at.where("to IS NOT NULL")
+    while True:
+        # entries whose pointer has come to a finished one are finished; the others take over their target's pointer and sums
+        every = done.unionByName(at).select(F.col("e").alias("to"), F.col("to").alias("next"), F.col("n").alias("n2"), F.col("deep").alias("deep2"), F.col("last").alias("last2"))
+        step = checkpointed(at.join(every, "to").select("e", F.col("next").alias("to"), (F.col("n") + F.col("n2")).alias("n"), (F.col("deep") + F.col("deep2")).alias("deep"), F.col("last2").alias("last")))
+        new = step.where("to IS NULL")
+        if not new.take(1):  # what is left goes round
+            break
+        done, at = checkpointed(done.unionByName(new)), step.where("to IS NOT NULL")
+    name = F.substring("e", 2, 1 << 30).alias("event_id")
+    ins = done.where(F.col("e").startswith("<")).select(name, F.substring("last", 2, 1 << 30).alias("root_id"), F.col("n").alias("n_in"), (-F.col("deep")).alias("depth"))
+    outs = done.where(F.col("e").startswith(">")).select(name, F.col("n").alias("n_out"))
+    both = ins.join(outs, "event_id").join(nodes.select("event_id", "there"), "event_id")
+    whole = both.where("event_id = root_id").select("root_id", F.col("n_in").alias("all"))
+    return checkpointed(both.join(whole, "root_id").select("event_id", "root_id", "depth", (F.col("all") - F.col("n_in")).alias("pre"), (F.col("n_in") - F.col("n_out")).alias("size"), "there", "all"))
+
+
+def _below(labels: DataFrame, upper: DataFrame, lower: DataFrame) -> DataFrame:
+    """up, down, depth of all pairs of upper and lower events (event_id) of which the one is above the other."""
+    right = lambda x, lv: F.call_function("shiftright", x, lv)
+    level = lambda size: F.floor(F.log2(size.cast("double") + 0.5)).cast("int")
+
+    def blocks(a: F.Column, b: F.Column) -> F.Column:
+        """The blocks of powers of two that [a, b) is made of."""
+        def at(lv: F.Column) -> F.Column:
+            one = F.lit(1).cast("bigint")
+            x, y = right(a + F.call_function("shiftleft", one, lv) - 1, lv), right(b, lv)
+            return F.array_compact(F.array(F.when((x < y) & (x % 2 == 1), F.struct(lv.alias("level"), x.alias("block"))), F.when((x < y) & (y % 2 == 1), F.struct(lv.alias("level"), (y - 1).alias("block")))))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), level(b - a) + 1), at))
+
+    ranges = labels.where("size > 1").join(upper.select("event_id").distinct(), "event_id", "left_semi")
+    ranges = ranges.select("root_id", F.col("event_id").alias("up"), F.col("depth").alias("high"), F.explode(blocks(F.col("pre") + 1, F.col("pre") + F.col("size"))).alias("b")).select("root_id", "up", "high", "b.*")
+    points = labels.where("depth > 0").join(lower.select("event_id").distinct(), "event_id", "left_semi")
+    points = points.select("root_id", F.col("event_id").alias("down"), F.col("depth").alias("low"), F.explode(F.transform(F.sequence(F.lit(0), level(F.col("all"))), lambda lv: F.struct(lv.alias("level"), right(F.col("pre"), lv).alias("block")))).alias("b")).select("root_id", "down", "low", "b.*")
+    return ranges.join(points, ["root_id", "level", "block"]).select("up", "down", (F.col("low") - F.col("high")).cast("int").alias("depth"))
+
+
+def _walked(df: DataFrame, seeds: DataFrame, labels: DataFrame | None, upwards: bool) -> DataFrame:
+    labels = labelled(df) if labels is None else labels
+    pairs = _below(labels, labels, seeds) if upwards else _below(labels, seeds, labels)
+    of, other = ("down", "up") if upwards else ("up", "down")
+    out = pairs.select(F.col(of).alias("of_id"), F.col(other).alias("event_id"), "depth", F.lit(False).alias("cycle"))
+    # what has no labels lies in or below a cycle, and is walked step by step
+    odd = checkpointed(df.join(labels.select("event_id"), "event_id", "left_anti"))
+    if not odd.take(1):
+        return out
+    steps = odd.select("event_id", F.col("parent_event_id").alias("next")) if upwards else odd.select(F.col("parent_event_id").alias("event_id"), F.col("event_id").alias("next"))
+    return out.unionByName(_walk(steps, seeds.join(odd.select("event_id"), "event_id", "left_semi")))
+
+
+def ancestors(df: DataFrame, seeds: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """of_id, event_id, depth of every ancestor of the seeds, up to a missing parent; an event met before ends the walk with cycle set."""
-    return _walk(df.select("event_id", F.col("parent_event_id").alias("next")), seeds)
+    return _walked(df, seeds, labels, True)
 
 
-def descendants(df: DataFrame, seeds: DataFrame) -> DataFrame:
+def descendants(df: DataFrame, seeds: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """of_id, event_id, depth of all below the seeds."""
-    return _walk(df.select(F.col("parent_event_id").alias("event_id"), F.col("event_id").alias("next")), seeds)
+    return _walked(df, seeds, labels, False)
 
 
 def _walk(steps: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -70,7 +151,7 @@ def present(df: DataFrame, walked: DataFrame) -> DataFrame:
 
 
 def roots(df: DataFrame, most: int = 40) -> DataFrame:
-    """event_id, root_id, depth, cycle of every event: the last ancestor that is there, and how far it is; null root inside a cycle."""
+    """event_id, root_id, depth, cycle of every event: the last ancestor that is there, and how far it is; null root in and below a cycle."""
     have = df.select(F.col("event_id").alias("parent_event_id"))
     parent = df.select("event_id", "parent_event_id").join(have.withColumn("there", F.lit(True)), "parent_event_id", "left")
     at = checkpointed(parent.select("event_id", F.when(F.col("there"), F.col("parent_event_id")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("bigint").alias("depth")))
@@ -80,11 +161,13 @@ def roots(df: DataFrame, most: int = 40) -> DataFrame:
         # pointers whose target is a root are done; the others take over their target's pointer
         ends = at.join(done.select(F.col("event_id").alias("up"), "root_id", F.col("depth").alias("more")), "up", "left")
         step = checkpointed(ends.join(at.select(F.col("event_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("far")), "up", "left"))
-        done = checkpointed(done.unionByName(step.where("root_id IS NOT NULL").select("event_id", "root_id", (F.col("depth") + F.col("more")).alias("depth"))))
+        new = step.where("root_id IS NOT NULL").select("event_id", "root_id", (F.col("depth") + F.col("more")).alias("depth"))
+        if not new.take(1):  # each turn finishes some, as long as any can end: the rest goes round
+            break
+        done = checkpointed(done.unionByName(new))
         at = step.where("root_id IS NULL").select("event_id", F.col("next").alias("up"), (F.col("depth") + F.col("far")).alias("depth"))
         if not at.take(1):
             break
-    # a pointer that has gone 2 ** most steps without an end goes round
     return done.withColumn("cycle", F.lit(False)).unionByName(at.select("event_id", F.lit(None).cast("string").alias("root_id"), F.lit(None).cast("bigint").alias("depth"), F.lit(True).alias("cycle")))
 
 
@@ -95,9 +178,10 @@ def tree_sizes(assigned: DataFrame) -> DataFrame:
 
 def trace_of(df: DataFrame, edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """For a table of focal events: their chains and all below (of_id, event_id, relation, depth), and the edges among them or at the focal event."""
+    labels = labelled(df)
     own = seeds.join(df.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("of_id"), "event_id", F.lit("focal").alias("relation"), F.lit(0).alias("depth"))
-    up = present(df, ancestors(df, seeds)).select("of_id", "event_id", F.lit("ancestor").alias("relation"), "depth")
-    down = present(df, descendants(df, seeds)).select("of_id", "event_id", F.lit("descendant").alias("relation"), "depth")
+    up = present(df, ancestors(df, seeds, labels)).select("of_id", "event_id", F.lit("ancestor").alias("relation"), "depth")
+    down = present(df, descendants(df, seeds, labels)).select("of_id", "event_id", F.lit("descendant").alias("relation"), "depth")
     members = own.unionByName(up).unionByName(down)
     own_edges = caused_by(df)
     src = members.select("of_id", F.col("event_id").alias("src_event_id"))

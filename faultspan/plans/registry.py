@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultspan import schema
-from faultspan.functions import columns
+from faultspan.functions import columns, hooks
 from faultspan.operators import analytics, audit, filters, mutations, search, traces
 from faultspan.sources.ingest import browser_batches, sdk_payloads
 from faultspan.sources.io import federated, scan, store_version
@@ -176,10 +176,12 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
 
 @dataclass
 class Registry:
-    """Hooks of one's own: enrichers, tools and exporters, by name and in order of registration."""
+    """Hooks of one's own: enrichers (of tables and of rows), rules, tools and exporters, by name and in order of registration."""
 
     tools: dict[str, Callable[..., DataFrame]] = field(default_factory=lambda: dict(TOOLS))
     enrichers: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    row_enrichers: dict[str, hooks.Enricher] = field(default_factory=dict)
+    rules: dict[str, hooks.Rule] = field(default_factory=dict)
     exporters: dict[str, Callable[[DataFrame], None]] = field(default_factory=dict)
     errors: list[tuple[str, str]] = field(default_factory=list)
 
@@ -197,6 +199,12 @@ class Registry:
                 self.errors.append((getattr(f, "__name__", "enricher"), str(e).splitlines()[0][:300]))
         return df
 
+    def hooked(self, df: DataFrame, adds: str = "") -> tuple[DataFrame, DataFrame]:
+        """Rows through the row enrichers and the rules, and the table of their failures (event_id, hook, error)."""
+        out, first = hooks.enriched_by(df, self.row_enrichers, adds)
+        out, second = hooks.classified_by(out, self.rules)
+        return out, first.unionByName(second)
+
     def export(self, name: str, df: DataFrame) -> None:
         if name not in self.exporters:
             raise KeyError(f"no exporter {name}")

@@ -296,3 +296,36 @@ def test_ingest_from_end_to_end(spark):
     seen, refused = registry.ingest_browser(ingest.guard(req, ["o"]), registry.Tables(req), "shop", F.lit("h2"))
     row = seen.collect()[0]
     assert (row.application, row.message, row.tags[:2], row.context, row.hostname) == ("shop", "m", ["browser", "a"], '{"ua":"ua"}', "h2") and refused.count() == 1
+
+
+def test_walks_like_plain_python(spark):
+    """Trees of many shapes, deep chains, missing parents, wide events and cycles, from all events."""
+    rng = random.Random(9)
+    parent = {}
+    for i in range(1, 260):
+        parent[f"e{i}"] = rng.choice([None, "gone", f"e{rng.randint(1, i)}", f"e{rng.randint(1, i)}"]) if i % 9 else None
+    parent = {e: (p if p != e else None) for e, p in parent.items()}
+    parent |= {f"c{i}": f"c{i - 1}" if i else None for i in range(70)} | {f"w{i}": "c69" for i in range(40)}
+    parent |= {"x1": "x2", "x2": "x3", "x3": "x1", "x4": "x1", "x5": "x4", "s": "s"}
+    df = spark.createDataFrame(list(parent.items()), "event_id string, parent_event_id string")
+    want, cycles = set(), set()
+    for e in parent:
+        at, seen, depth = e, {e}, 0
+        while (at := parent.get(at)) is not None:
+            depth += 1
+            want.add((e, at, depth, at in seen))
+            if at in seen:
+                cycles.add(e)
+                break
+            seen.add(at)
+    got = traces.ancestors(df, df)
+    assert {(r.of_id, r.event_id, r.depth, r.cycle) for r in got.collect()} == want and got.count() == len(want)
+    down = {(r.of_id, r.event_id, r.depth) for r in traces.descendants(df, df).where("NOT cycle").collect()}
+    assert {x for x in down if x[0] in parent and x[0] not in cycles} == {(up, e, d) for e, up, d, c in want if up in parent and up not in cycles and e not in cycles}
+    some = df.where("event_id IN ('c69', 'e200', 'x5')")
+    assert {(r.of_id, r.event_id, r.depth, r.cycle) for r in traces.ancestors(df, some).collect()} == {w for w in want if w[0] in ("c69", "e200", "x5")}
+    labels = {r.event_id: r for r in traces.labelled(df).collect()}
+    assert set(labels) == (set(parent) | {p for p in parent.values() if p}) - cycles
+    assert len({(r.root_id, r.pre) for r in labels.values()}) == len(labels)
+    roots = {r.event_id: r for r in traces.roots(df).collect()}
+    assert {e for e, r in roots.items() if r.cycle} == cycles
