@@ -25,7 +25,7 @@ _ERRORS = "__errors array<struct<hook:string,error:string>>"
 def _mapped(df: DataFrame, schema: StructType, change: Callable[[dict], list[tuple[str, str]]]) -> DataFrame:
     """Each row as a dict through a function that changes it in place and tells of failures."""
     full = StructType([*schema.fields, *StructType.fromDDL(_ERRORS).fields])
-    arrow = to_arrow_schema(full, timezone="UTC")
+    arrow = to_arrow_schema(full)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,7 +77,7 @@ def enriched_by(df: DataFrame, enrichers: dict[str, Enricher], adds: str = "") -
     """
     new = StructType.fromDDL(adds).fields if adds else []
     schema = StructType([*(f for f in df.schema.fields if f.name not in {n.name for n in new}), *new])
-    kinds = {f.name: f.type for f in to_arrow_schema(schema, timezone="UTC")}
+    kinds = {f.name: f.type for f in to_arrow_schema(schema)}
 
     def change(row: dict) -> list[tuple[str, str]]:
         failed = []
