@@ -444,8 +444,8 @@ def batch_top_any(spark, sf_dir):
 
 
 @query(
-    POST + ", " + _ASKED.format(n=3) + f", qt AS (SELECT qid, {TOK.format('text')} AS w FROM q), u AS (SELECT DISTINCT w FROM qt WHERE len(w) > 0), h AS (SELECT w, id, field, len(list_filter(range(len(ts) - len(w) + 1), lambda i: ts[i + 1:i + len(w)] = w)) AS n FROM u JOIN k ON list_contains(ts, w[1])), "
-    f"t AS (SELECT w, id, sum(n * {_W}) AS f FROM h WHERE n > 0 GROUP BY ALL), d AS (SELECT w, count(*) AS df FROM t GROUP BY w), "
+    POST + ", " + _ASKED.format(n=3) + f", qt AS (SELECT qid, {TOK.format('text')} AS w FROM q), u AS (SELECT DISTINCT w FROM qt WHERE len(w) > 0), a AS (SELECT w, len(w) AS n, unnest(w) AS token, unnest(range(len(w))) AS at FROM u), "
+    f"h AS (SELECT w, id, field FROM a JOIN p USING (token) GROUP BY w, n, id, field, pos - at HAVING count(*) = n), t AS (SELECT w, id, sum({_W}) AS f FROM h GROUP BY ALL), d AS (SELECT w, count(*) AS df FROM t GROUP BY w), "
     f"x AS (SELECT qid, t.id, round(-{_BM}, 9) AS s9 FROM qt JOIN t USING (w) JOIN d USING (w) JOIN ln ON ln.id = t.id, st) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s9, id DESC) AS rank, id, round(s9, 6) AS score FROM x QUALIFY rank <= 20"
 )
 def batch_top_phrases(spark, sf_dir):
@@ -723,12 +723,23 @@ def ws_closes(spark, sf_dir):
 # --- keys with state ----------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + EV[5:] + """, x AS (SELECT fingerprint, epoch_ms(ts) AS ms, min(id) AS id FROM ev WHERE severity_rank >= 50 GROUP BY ALL),
+ nx AS (SELECT fingerprint, ms, min(ms) OVER (PARTITION BY fingerprint ORDER BY ms RANGE BETWEEN 3600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM x),
+ w AS (SELECT fingerprint, min(ms) AS ms FROM x GROUP BY 1 UNION ALL SELECT nx.fingerprint, nx.later FROM w JOIN nx ON nx.fingerprint = w.fingerprint AND nx.ms = w.ms WHERE nx.later IS NOT NULL)
+ SELECT x.id, x.fingerprint FROM w JOIN x USING (fingerprint, ms)"""
+)
 def throttle_notify(spark, sf_dir):
     return Z.throttled(events(spark, sf_dir), 3_600_000).select("id", "fingerprint")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + f"q AS (SELECT *, coalesce(remote_addr, origin, '') AS client, epoch_ms(received_at) AS ms FROM ({fixtures.sql('ingest_requests')})), " + """x AS (SELECT DISTINCT client, ms FROM q),
+ nx AS (SELECT client, ms, min(ms) OVER (PARTITION BY client ORDER BY ms RANGE BETWEEN 600000 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM x),
+ w AS (SELECT client, min(ms) AS ms FROM x GROUP BY 1 UNION ALL SELECT nx.client, nx.later FROM w JOIN nx ON nx.client = w.client AND nx.ms = w.ms WHERE nx.later IS NOT NULL),
+ o AS (SELECT q.request_id, q.client, q.ms, max(w.ms) OVER (PARTITION BY q.client ORDER BY q.ms RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS begun FROM q LEFT JOIN w ON w.client = q.client AND w.ms = q.ms)
+ SELECT request_id, client, row_number() OVER (PARTITION BY client, begun ORDER BY ms, request_id) > 2 AS limited FROM o"""
+)
 def rate_limit(spark, sf_dir):
     return Z.rate_limited(Z.client_key(fixtures.read(spark, sf_dir, "ingest_requests")), 2, 600_000).select("request_id", "client", "limited")
 
@@ -744,3 +755,179 @@ def federated_top(spark, sf_dir):
 def ingest_pipeline(spark, sf_dir):
     out = J.pipeline(fixtures.read(spark, sf_dir, "error_events"), schema.aliases(spark), CUSTOM)
     return out.select("id", "category")
+
+
+# --- stores -------------------------------------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(EV + f"SELECT CASE WHEN epoch_ms(ts) < {FIRST_MS + 30 * DAY} - 20 * {DAY} THEN 'archive' ELSE 'events' END AS part, id, event_id, message, epoch_ms(ts) AS ts_ms FROM ev")
+def store_archive(spark, sf_dir):
+    """A store of three batches, each sent twice, after its archive, what is in either."""
+    df, path = events(spark, sf_dir), scratch(spark, "store")
+    for i in (0, 1, 2, 1, 0):
+        IO.append_batch(df.where(F.col("id") % 3 == i), path, f"batch-{i}")
+    for _ in range(2):
+        IO.archive_store(spark, path, "20d", FIRST_MS + 30 * DAY, "archive")
+    both = IO.scan(spark, path).withColumn("part", F.lit("events")).unionByName(IO.scan(spark, path, table="archive").withColumn("part", F.lit("archive")))
+    return both.select("part", "id", "event_id", "message", C.epoch_ms("ts").alias("ts_ms"))
+
+
+@query(EV + "SELECT id, event_id, message, severity FROM ev WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'")
+def store_days(spark, sf_dir):
+    """Some days of a store, of which only these are read."""
+    path = scratch(spark, "store")
+    IO.append_batch(events(spark, sf_dir), path, "all")
+    return IO.scan(spark, path, "2024-01-05", "2024-01-12").select("id", "event_id", "message", "severity")
+
+
+@query(EV + "SELECT id, event_id, application, message, array_to_string(tags, ' ') AS tags_text, epoch_ms(ts) AS ts_ms, epoch_ms(resolved_at) AS resolved_ms FROM ev")
+def json_lines(spark, sf_dir):
+    """All events out as lines of JSON and in again, over a plain store and its backup."""
+    path, lines = scratch(spark, "plain"), scratch(spark, "lines")
+    IO.save(IO.upgraded(events(spark, sf_dir), 1), path)
+    IO.backup(spark, path, f"{path}-backup")
+    IO.export_lines(IO.scan(spark, f"{path}-backup"), lines)
+    return IO.import_lines(spark, lines).select("id", "event_id", "application", "message", C.tags_text("tags").alias("tags_text"), C.epoch_ms("ts").alias("ts_ms"), C.epoch_ms("resolved_at").alias("resolved_ms"))
+
+
+@query(EV + "SELECT id, event_id, message, epoch_ms(ts) AS ts_ms FROM ev WHERE id % 11 <> 0 AND id % 2 <> 0")
+def import_rows(spark, sf_dir):
+    """The rows that an import brings: of all events as JSON lines, every 11th broken, into a store that has the even ones."""
+    df = events(spark, sf_dir)
+    lines = df.select(F.col("id").alias("line"), F.when(F.col("id") % 11 == 0, "{broken").otherwise(F.to_json(F.struct("id", "event_id", "ts", "message"))).alias("value"))
+    return M.merge_import(df.where("id % 2 = 0"), IO.parsed_lines(lines))[0].select("id", "event_id", "message", C.epoch_ms("ts").alias("ts_ms"))
+
+
+_LATEST_IDS = "SELECT id FROM ev {} ORDER BY ts DESC, id DESC LIMIT 20"
+
+
+@query(
+    EV + ", items AS (" + " UNION ALL ".join(f"SELECT '{n}' AS source_db, id FROM ({_LATEST_IDS.format(w)})" for n, w in (("primary", ""), ("prod", "WHERE environment = 'prod'"), ("rest", "WHERE environment <> 'prod'")))
+    + ") SELECT 'item' AS part, source_db, id, NULL AS n, false AS failed FROM items UNION ALL SELECT 'store', source_db, NULL, count(*), false FROM items GROUP BY source_db UNION ALL SELECT 'store', 'gone', NULL, 0, true"
+)
+def search_stores(spark, sf_dir):
+    """The latest 20 of these events and of two stores, and of a store that isn't there its failure."""
+    df, path = events(spark, sf_dir), scratch(spark, "stores")
+    for name, own in (("prod", "environment = 'prod'"), ("rest", "environment <> 'prod'")):
+        IO.append_batch(df.where(own), f"{path}/{name}", "all")
+    rows = P.TOOLS["search_all"](P.Tables(df.select(*(c for c in schema.EVENT_COLUMNS if c in df.columns))), {n: f"{path}/{n}" for n in ("prod", "rest", "gone")})
+    return rows.select("part", "source_db", "id", "n", F.col("error").isNotNull().alias("failed"))
+
+
+@query(ORACLE_SQL["fingerprint_rollup"])
+def rollup_batches(spark, sf_dir):
+    """The rollup of four batches, each written twice, put together."""
+    df, path = events(spark, sf_dir), scratch(spark, "rollup")
+    write = J.merged_rollup(path)
+    for i in (0, 1, 2, 3, 1, 0):
+        write(df.where(F.col("id") % 4 == i), i)
+    return J.read_rollup(spark, path).select("fingerprint", "count", C.epoch_ms("first_seen").alias("first_ms"), C.epoch_ms("last_seen").alias("last_ms"), "sample_event_id", "title", "category")
+
+
+# --- chains in blocks ---------------------------------------------------------------------------------------------
+
+_BLOCKS = _chain_sql("application || '#' || (id >> 10)")
+
+
+@query(_BLOCKS + " SELECT id, audit_hash FROM c")
+def chain_batches(spark, sf_dir):
+    """Links of three batches in order, each sent twice and going on from the store's heads, in blocks of 1,024 ids of an application."""
+    df, path = events(spark, sf_dir), scratch(spark, "chained")
+    most = df.agg(F.max("id")).collect()[0][0] or 0
+    for i in (0, 1, 0, 2, 2):
+        IO.append_chained(df.where((F.col("id") > i * most // 3) & (F.col("id") <= (i + 1) * most // 3)), path, f"batch-{i}", F.col("application"))
+    return IO.scan(spark, path).select("id", "audit_hash")
+
+
+@query(
+    _BLOCKS + ", g AS (SELECT application AS key, id >> 10 AS block, arg_max(audit_hash, id) AS head FROM c JOIN ev USING (id) GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY block) AS r FROM g), "
+    "u AS (SELECT key, r, sha256('genesis|' || head) AS head FROM h WHERE r = 1 UNION ALL SELECT h.key, h.r, sha256(u.head || '|' || h.head) FROM u JOIN h ON h.key = u.key AND h.r = u.r + 1) "
+    "SELECT key, 0 AS level, block, head FROM h UNION ALL SELECT key, 1, 0, arg_max(head, r) FROM u WHERE (SELECT max(r) FROM h) > 1 GROUP BY key"
+)
+def audit_anchors(spark, sf_dir):
+    """The heads of blocks of 1,024 ids of an application, chained by level."""
+    key = F.col("application")
+    df = checkpointed(U.build(events(spark, sf_dir), U.block_key(key)))
+    return U.anchors(df, key=key)
+
+
+# --- more columns -------------------------------------------------------------------------------------------------
+
+
+@query(EV + ", t AS (SELECT fingerprint FROM ev GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT id, event_id FROM ev WHERE fingerprint = (SELECT fingerprint FROM t)")
+def fingerprint_filter(spark, sf_dir):
+    """The events of the most frequent fingerprint."""
+    df = events(spark, sf_dir)
+    top = A.counts_by(df, "fingerprint").orderBy(F.desc("n"), "fingerprint").first()
+    return df.where(L.Filters(fingerprint=top["fingerprint"] if top else "").column()).select("id", "event_id")
+
+
+_FIVE = "array_to_string(string_split(regexp_replace(stacktrace, '[0-9]', 'N', 'g'), chr(10))[1:5], chr(10))"
+
+
+@query(
+    EV + f", {CATS}, {ALIAS}, x AS (SELECT *, {CLASS_SQL.replace('message', 'm2')} FROM (SELECT *, {_HIDE} AS m2 FROM ev)) SELECT id, severity, m2 AS message, coalesce(als.canonical, category, found) AS category, "
+    f"array_to_string(tags, ' ') || CASE WHEN category IS NULL THEN ' ' || rule_tags ELSE '' END AS tags_text, metadata AS plain, sha256(concat_ws(chr(31), m2, exception, {_FIVE}, coalesce(category, found))) AS fingerprint FROM x LEFT JOIN als ON category = alias"
+)
+def ingest_columns(spark, sf_dir):
+    """What the ingest pipeline makes of severity, message, category, tags, fingerprint and, encrypted and decrypted again, metadata."""
+    key = F.unhex(F.lit("00112233445566778899aabbccddeeff00112233445566778899aabbccddeeff"))
+    out = J.pipeline(fixtures.read(spark, sf_dir, "error_events"), schema.aliases(spark), CUSTOM, key=key)
+    return out.select("id", "severity", "message", "category", C.tags_text("tags").alias("tags_text"), C.decrypted("metadata", key).alias("plain"), "fingerprint")
+
+
+@query(
+    "WITH RECURSIVE " + EV[5:] + f", {EDGES}, {ROLL}, w AS (SELECT event_id AS of_id, event_id, parent_event_id AS p, ts, id FROM ev UNION ALL SELECT w.of_id, e.event_id, e.parent_event_id, e.ts, e.id FROM w JOIN ev e ON e.event_id = w.p), "
+    "m AS (SELECT of_id, event_id FROM w UNION SELECT event_id, of_id FROM w), "
+    "t AS (SELECT s.of_id, s.event_id AS src, d.event_id AS dst, 'caused_by' AS rel FROM m s JOIN ev c ON c.parent_event_id = s.event_id JOIN m d ON d.of_id = s.of_id AND d.event_id = c.event_id "
+    "UNION SELECT src_event_id, src_event_id, dst_event_id, rel FROM edges UNION SELECT dst_event_id, src_event_id, dst_event_id, rel FROM edges), "
+    "g AS (SELECT of_id, string_agg(src || '>' || dst || ':' || rel, ' ' ORDER BY src, dst, rel) AS edges FROM t GROUP BY of_id) "
+    "SELECT x.event_id, any_value(x.severity) AS severity, any_value(x.message) AS message, any_value(x.context) AS context, arg_min(w.event_id, (w.ts, w.id)) FILTER (p IS NULL) AS root_cause_id, string_agg(w.event_id, ' ' ORDER BY w.ts, w.id) AS chain, any_value(g.edges) AS edges, "
+    "any_value(roll.count) AS recurrence, epoch_ms(any_value(roll.first_seen)) AS first_ms, epoch_ms(any_value(roll.last_seen)) AS last_ms, any_value(CASE x.category WHEN 'application.validation' THEN 'application application.validation' ELSE x.category END) AS category_path "
+    "FROM w JOIN ev x ON x.event_id = of_id JOIN roll ON roll.fingerprint = x.fingerprint LEFT JOIN g ON g.of_id = x.event_id GROUP BY x.event_id"
+)
+def explain_full(spark, sf_dir):
+    """Every column of every event's dossier."""
+    df = events(spark, sf_dir)
+    ties = F.array_join(F.transform("edges", lambda e: F.concat(e["src_event_id"], F.lit(">"), e["dst_event_id"], F.lit(":"), e["rel"])), " ")
+    return R.explain(df, edges(spark, sf_dir), df).select("event_id", "severity", "message", "context", "root_cause_id", F.array_join("chain", " ").alias("chain"), ties.alias("edges"), "recurrence", C.epoch_ms("first_seen").alias("first_ms"), C.epoch_ms("last_seen").alias("last_ms"), F.array_join("category_path", " ").alias("category_path"))
+
+
+@query(EV + "SELECT id, severity, subsystem, CASE WHEN id % 3 = 0 THEN event_id ELSE message END AS message FROM ev WHERE severity IN ('warn', 'error')")
+def log_records(spark, sf_dir):
+    """Events as log records of all levels, every third without a message."""
+    df = events(spark, sf_dir)
+    log = df.select("id", F.upper("severity").alias("level"), F.col("subsystem").alias("target"), F.col("event_id").alias("name"), F.when(F.col("id") % 3 != 0, F.col("message")).alias("message"))
+    return G.log_records(log).select("id", "severity", "subsystem", "message")
+
+
+@query(EV + "SELECT id, message, CASE WHEN id % 4 = 0 THEN id % 7 WHEN id % 5 >= 2 THEN (id % 5 - 2) * 10 END AS latency_ms, CASE WHEN id % 2 = 0 THEN 'react-query mutation' ELSE 'react-query query' END AS tags_text, 'error' AS severity FROM ev")
+def client_failures(spark, sf_dir):
+    """Events as failures of queries and mutations; some end before they begin, and some tell their own latency."""
+    i = F.col("id")
+    log = events(spark, sf_dir).select("id", F.when(i % 2 == 0, "mutation").otherwise("query").alias("kind"), F.col("message").alias("error_message"), F.lit(1000).cast("bigint").alias("submitted_ms"), (1000 + (i % 5 - 2) * 10).alias("updated_ms"), F.when(i % 4 == 0, i % 7).alias("http_latency_ms"))
+    return G.client_failures(log).select("id", "message", "latency_ms", C.tags_text("tags").alias("tags_text"), "severity")
+
+
+@query(EV + """SELECT id, 'error' AS severity, 'next request-error' AS tags_text, '{"http":{"method":"GET","path":"/api/' || (id % 5) || '"},"route":"/api/[n]"}' AS context FROM ev""")
+def request_errors(spark, sf_dir):
+    """Events as errors of request handlers."""
+    url = F.concat(F.when(F.col("id") % 2 == 0, "https://h.example").otherwise(""), F.lit("/api/"), (F.col("id") % 5).cast("string"), F.lit("?q=1#f"))
+    log = events(spark, sf_dir).select("id", "exception", "message", "stacktrace", F.lit("GET").alias("method"), url.alias("url"), F.lit("/api/[n]").alias("route"))
+    return G.request_errors(log, "next").select("id", "severity", C.tags_text("tags").alias("tags_text"), "context")
+
+
+@query(
+    EV + """SELECT id, concat_ws(chr(10), stacktrace, 'Caused by: ' || concat_ws(' ', error_code, coalesce(exception, 'Error') || ': ' || message), 'Caused by: IOException: inner') AS stacktrace, 'IOException' AS root_cause, left(context, length(context) - 1) || ',"root_cause":"IOException"}' AS context FROM ev WHERE id % 3 <> 0
+ UNION ALL SELECT id, stacktrace, NULL, context FROM ev WHERE id % 3 = 0"""
+)
+def cause_chains(spark, sf_dir):
+    """Events with two causes, every third with none."""
+    one = F.struct(F.col("error_code").alias("code"), F.col("exception").alias("name"), F.col("message").alias("message"))
+    two = F.struct(F.lit(None).cast("string").alias("code"), F.lit("IOException").alias("name"), F.lit("inner").alias("message"))
+    df = events(spark, sf_dir).withColumns({"causes": F.when(F.col("id") % 3 != 0, F.array(one, two)).otherwise(F.array().cast("array<struct<code:string,name:string,message:string>>")), "root_cause": F.lit(None).cast("string")})
+    return G.flattened_causes(df).select("id", "stacktrace", "root_cause", "context")
