@@ -444,8 +444,8 @@ def batch_top_any(spark, sf_dir):
 
 
 @query(
-    POST + ", " + _ASKED.format(n=3) + f", qt AS (SELECT qid, {TOK.format('text')} AS w FROM q), u AS (SELECT DISTINCT w FROM qt WHERE len(w) > 0), a AS (SELECT w, len(w) AS n, unnest(w) AS token, unnest(range(len(w))) AS at FROM u), "
-    f"h AS (SELECT w, id, field FROM a JOIN p USING (token) GROUP BY w, n, id, field, pos - at HAVING count(*) = n), t AS (SELECT w, id, sum({_W}) AS f FROM h GROUP BY ALL), d AS (SELECT w, count(*) AS df FROM t GROUP BY w), "
+    POST + ", " + _ASKED.format(n=3) + f", qt AS (SELECT qid, {TOK.format('text')} AS w FROM q), u AS (SELECT DISTINCT w FROM qt WHERE len(w) > 0), a AS (SELECT w, len(w) AS n, unnest(w) AS token, unnest(range(len(w))) AS place FROM u), "
+    f"h AS (SELECT w, id, field FROM a JOIN p USING (token) GROUP BY w, n, id, field, pos - place HAVING count(*) = n), t AS (SELECT w, id, sum({_W}) AS f FROM h GROUP BY ALL), d AS (SELECT w, count(*) AS df FROM t GROUP BY w), "
     f"x AS (SELECT qid, t.id, round(-{_BM}, 9) AS s9 FROM qt JOIN t USING (w) JOIN d USING (w) JOIN ln ON ln.id = t.id, st) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY s9, id DESC) AS rank, id, round(s9, 6) AS score FROM x QUALIFY rank <= 20"
 )
 def batch_top_phrases(spark, sf_dir):
