@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultspan.functions.columns import severity_rank, week_label
+from faultspan.functions.lineage import checkpointed
 
 from .filters import Filters, clamp
 
@@ -32,12 +33,17 @@ def overview(df: DataFrame, filters: Filters = ALL) -> DataFrame:
 
 
 def statistics(df: DataFrame, filters: Filters = ALL) -> DataFrame:
-    """All statistics in long form: metric, key, value."""
-    x = overview(df, filters)
+    """All statistics in long form: metric, key, value; one scan counts every value of every part, and the rest is made of these counts."""
+    parts = {"severity": F.col("severity"), "category": F.col("category"), "host": F.col("hostname"), "day": F.to_date("ts").cast("string"), "unique_fingerprints": F.col("fingerprint")}
+    each = df.where(filters.column()).select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), c.alias("key")) for n, c in parts.items()))).alias("m")).select("m.*")
+    counts = checkpointed(each.groupBy("metric", "key").agg(F.count("*").alias("n")))
+    of = lambda m: F.col("metric") == m
+    x = counts.agg(F.coalesce(F.sum(F.when(of("severity"), F.col("n"))), F.lit(0)).alias("total"), F.count(F.when(of("day"), F.col("key"))).alias("days"), F.count(F.when(of("unique_fingerprints"), F.col("key"))).alias("unique_fingerprints"))
+    x = x.withColumn("error_rate_per_day", F.coalesce(F.col("total") / F.nullif(F.col("days"), F.lit(0)), F.lit(0.0)))
     long = x.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.lit("").alias("key"), F.col(c).cast("double").alias("value")) for c in ("total", "error_rate_per_day", "unique_fingerprints")))).alias("m")).select("m.*")
-    for name, rows, c in (("severity", counts_by(df, "severity", filters), "severity"), ("category", counts_by(df, "category", filters), "category"), ("host", top_hosts(df, filters), "hostname")):
-        long = long.unionByName(rows.select(F.lit(name).alias("metric"), F.col(c).alias("key"), F.col("n").cast("double").alias("value")))
-    return long
+    known = counts.where("key IS NOT NULL")
+    hosts = known.where(of("host")).orderBy(F.desc("n"), "key").limit(5)
+    return long.unionByName(known.where(F.col("metric").isin("severity", "category")).unionByName(hosts).select("metric", "key", F.col("n").cast("double").alias("value")))
 
 
 def bucket(name: str, ts: str = "ts") -> Column:

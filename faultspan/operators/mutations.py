@@ -66,23 +66,22 @@ def prune(df: DataFrame, edges: DataFrame, age: str, now_ms: int) -> tuple[DataF
 
 
 def retained(df: DataFrame, now_ms: int, max_age: str = "90d", max_rows: int | None = None, max_bytes: int | None = None) -> DataFrame:
-    """Events young enough, of these the latest whose texts have max_bytes together, and of these the latest max_rows.
-
-    The cuts are a time and an id, found without ranking all rows in one task: bytes are summed up by hours, and by events only in the hour of the cut.
-    """
+    """Events young enough, of these the latest whose texts have max_bytes together, and of these the latest max_rows."""
     out = df.where(~older_than(max_age, now_ms))
     if max_bytes is not None:
         texts = [f.name for f in df.schema if f.dataType.simpleString() == "string"]
-        x = out.withColumns({"__bytes": sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("bigint"), "__hour": F.date_trunc("hour", "ts")})
-        hours = x.groupBy("__hour").agg(F.sum("__bytes").alias("own")).withColumn("__upto", F.sum("own").over(Window.orderBy(F.desc("__hour"))))
-        x = x.join(hours.withColumn("__before", F.col("__upto") - F.col("own")).where(F.col("__before") <= max_bytes).select("__hour", "__before", "__upto"), "__hour")
-        part = Window.partitionBy("__hour").orderBy(F.desc("ts"), F.desc("id"))
-        cut = x.where(F.col("__upto") > max_bytes).withColumn("__sum", F.col("__before") + F.sum("__bytes").over(part)).where(F.col("__sum") <= max_bytes)
-        out = x.where(F.col("__upto") <= max_bytes).select(*df.columns).unionByName(cut.select(*df.columns))
-    if max_rows is None:
-        return out
-    last = out.select("ts", "id").orderBy(F.desc("ts"), F.desc("id")).limit(max_rows).agg(F.min(F.struct("ts", "id")).alias("cut"))
-    return out.crossJoin(F.broadcast(last)).where(F.struct("ts", "id") >= F.col("cut")).drop("cut")
+        out = _newest(out, sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0)).cast("bigint"), max_bytes)
+    return out if max_rows is None else _newest(out, F.lit(1).cast("bigint"), max_rows)
+
+
+def _newest(df: DataFrame, size: Column, most: int) -> DataFrame:
+    """The latest rows whose sizes have `most` together: sizes are summed up by hours, and by rows only in the hour of the cut, so no task ranks all rows."""
+    x = df.withColumns({"__size": size, "__hour": F.date_trunc("hour", "ts")})
+    hours = x.groupBy("__hour").agg(F.sum("__size").alias("own")).withColumn("__upto", F.sum("own").over(Window.orderBy(F.desc("__hour"))))
+    x = x.join(hours.withColumn("__before", F.col("__upto") - F.col("own")).where(F.col("__before") <= most).select("__hour", "__before", "__upto"), "__hour")
+    part = Window.partitionBy("__hour").orderBy(F.desc("ts"), F.desc("id"))
+    cut = x.where(F.col("__upto") > most).withColumn("__sum", F.col("__before") + F.sum("__size").over(part)).where(F.col("__sum") <= most)
+    return x.where(F.col("__upto") <= most).select(*df.columns).unionByName(cut.select(*df.columns))
 
 
 def archive(df: DataFrame, age: str, now_ms: int) -> tuple[DataFrame, DataFrame]:
