@@ -66,7 +66,7 @@ def starts(times: DataFrame, interval_ms: int) -> DataFrame:
         more = checkpointed(out.join(jump, ["k", "ms"]).select("k", F.col("to").alias("ms")))
         if not more.take(1):
             return out
-        out = checkpointed(out.unionByName(more))
+        out = out.unionByName(more)  # what was found before stays where it is written
         jump = checkpointed(jump.join(jump.select("k", F.col("ms").alias("to"), F.col("to").alias("to2")), ["k", "to"]).select("k", "ms", F.col("to2").alias("to")))
 
 
@@ -91,7 +91,11 @@ def throttled(df: DataFrame, interval_ms: int | None, least: str = "error", key:
 
 
 def rate_limited(df: DataFrame, most: int = 60, window_ms: int = 60_000, key: str = "client", ts: str = "received_at", order: str = "request_id") -> DataFrame:
-    """Add limited: a window begins with a key's first request after the last one has ended, and all requests in it count, refused ones too; requests without a time count in the last window."""
+    """Add limited: a window begins with a key's first request after the last one has ended, and all requests in it count, refused ones too; requests without a time count in the last window.
+
+    Of each window only the `most`-th request's time and order is found, from narrow rows of which each task keeps `most`, and
+    what comes after it is limited; requests alike in time and order share one answer.
+    """
     if window_ms <= 0:
         return df.withColumn("limited", F.lit(most < 1))
     x = df.withColumns({"__k": _key(key), "__ms": F.unix_millis(ts)}).withColumn("__b", block("__ms", window_ms))
@@ -103,8 +107,14 @@ def rate_limited(df: DataFrame, most: int = 60, window_ms: int = 60_000, key: st
     timed = timed.withColumn("__start", F.when(F.col("__own") <= F.col("__ms"), F.col("__own")).otherwise(F.col("__before")))
     last = begun.groupBy(F.col("k").alias("__k")).agg(F.max("ms").alias("__start"))
     both = timed.select(*df.columns, "__k", "__ms", "__start").unionByName(x.where("__ms IS NULL").join(last, "__k", "left").select(*df.columns, "__k", "__ms", "__start"))
-    place = F.row_number().over(Window.partitionBy("__k", "__start").orderBy(F.col("__ms").asc_nulls_last(), order))
-    return both.withColumn("limited", place > most).select(*df.columns, "limited")
+    if most < 1:
+        return both.select(*df.columns, F.lit(True).alias("limited"))
+    at = F.struct(F.coalesce("__ms", F.lit(2**63 - 1)).alias("ms"), F.col(order).alias("order"))
+    narrow = both.select("__k", F.coalesce("__start", F.lit(-(2**63))).alias("__start"), at.alias("__at"))
+    first = narrow.withColumn("__n", F.row_number().over(Window.partitionBy("__k", "__start").orderBy("__at"))).where(F.col("__n") <= most)
+    cut = first.where(F.col("__n") == most).select("__k", "__start", F.col("__at").alias("__cut"))
+    both = both.withColumns({"__start": F.coalesce("__start", F.lit(-(2**63))), "__at": at}).join(cut, ["__k", "__start"], "left")
+    return both.withColumn("limited", F.coalesce(F.col("__at") > F.col("__cut"), F.lit(False))).select(*df.columns, "limited")
 
 
 def client_key(df: DataFrame) -> DataFrame:
