@@ -4,7 +4,9 @@ Texts and items are compared in lower case with single spaces. An item of n char
 k = n * rate (rounded down) edits. Cut into k + 1 pieces, at least one piece then stands in the passage unchanged, so an
 automaton over all pieces finds the places to look at, and Myers' bit-parallel distance over the item and the text
 around each place decides. The items go to the executors in blocks of a bounded number of characters, one pass each;
-documents are never paired with items other than through a piece. A worker makes a block's automaton once, and the bit
+documents are never paired with items other than through a piece. Where there are several blocks, each is a job of its own whose
+result is written and whose items are taken back from the executors before the next is sent, so that these and the driver hold
+one block at a time, whatever the benchmark's size. A worker makes a block's automaton once, and the bit
 masks of an item's parts when a hit first asks for them, each part's once.
 
 Null and blank items match nothing, null and empty texts have no match; texts are read whole, however long. Of the
@@ -17,14 +19,16 @@ from __future__ import annotations
 import functools
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from .common import discarded, saved
+
 RATE = 0.1
 #: Characters of items that one pass takes at most, unless a single item is longer.
 BLOCK_CHARS = 1 << 20
@@ -148,8 +152,8 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
     own = df.select(df[key].alias("__key"), df[text].alias("__text"))
     given = items.schema[item].name
 
-    def over(held: list[tuple[object, str]]) -> DataFrame:
-        sent, name = df.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
+    def over(sent: Broadcast) -> DataFrame:
+        name = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = matcher(name, sent, rate)
@@ -164,16 +168,16 @@ def find(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text
 
         return own.mapInArrow(run, schema)
 
-    found = [over(held) for held in blocks(items.select(items[item].alias("i"), items[item_text].alias("t")), block)]
-    return functools.reduce(DataFrame.unionByName, found) if found else over([])
+    found = list(passes(df.sparkSession, blocks(items.select(items[item].alias("i"), items[item_text].alias("t")), block), over))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def clean(df: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", rate: float = RATE, block: int = BLOCK_CHARS) -> DataFrame:
     """The rows whose text has none of the items, with every column as it was."""
     schema = df.schema
 
-    def keep(held: list[tuple[object, str]], rows: DataFrame) -> DataFrame:
-        sent, name = df.sparkSession.sparkContext.broadcast(held), uuid.uuid4().hex
+    def keep(sent: Broadcast, rows: DataFrame) -> DataFrame:
+        name = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = matcher(name, sent, rate)
@@ -182,9 +186,28 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", item_text: str =
 
         return rows.mapInArrow(run, schema)
 
-    for held in blocks(items.select(items[item_text].alias("i"), items[item_text].alias("t")), block):
-        df = keep(held, df)
-    return df
+    left = [df]
+    for kept in passes(df.sparkSession, blocks(items.select(items[item_text].alias("i"), items[item_text].alias("t")), block), lambda sent: keep(sent, left[0])):
+        if hasattr(left[0], "saved_at"):
+            discarded(df.sparkSession, left[0])
+        left[0] = kept
+    return left[0]
+
+
+def passes(spark: SparkSession, held: Iterator[list[tuple[object, str]]], over: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """The answer to each block of items: of a single one the plan, of several each written before the next block is sent."""
+    now = next(held, [])
+    several = False
+    while now is not None:
+        after = next(held, None)
+        several = several or after is not None
+        sent = spark.sparkContext.broadcast(now)
+        answer = over(sent)
+        if several:
+            answer = saved(answer, "decontaminated")
+            sent.destroy()
+        yield answer
+        now = after
 
 
 def blocks(items: DataFrame, most: int) -> Iterator[list[tuple[object, str]]]:

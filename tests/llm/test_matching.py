@@ -208,3 +208,29 @@ def test_groups_are_counted_with_their_copies(spark, monkeypatch):
     monkeypatch.setattr(group.GroupedData, "applyInPandas", counting)
     sizes = [r.a for r in ngram_join.from_trees(rows, of, True).collect()]
     assert sum(sizes) > 20 * n and max(sizes) < 1000
+
+
+def test_blocks_of_items_are_taken_back(spark, monkeypatch):
+    """Of several blocks one at a time is out; a single one stays a plan that nothing has run."""
+    from pyspark import Broadcast
+
+    out, most, own_init, own_destroy = set(), [], Broadcast.__init__, Broadcast.destroy
+
+    def init(self, *a, **k):
+        own_init(self, *a, **k)
+        out.add(id(self))
+        most.append(len(out))
+
+    def destroy(self, *a, **k):
+        out.discard(id(self))
+        own_destroy(self, *a, **k)
+
+    monkeypatch.setattr(Broadcast, "__init__", init)
+    monkeypatch.setattr(Broadcast, "destroy", destroy)
+    df = spark.createDataFrame([(i, f"text {i} holds item number {'abcdefgh'[i % 8] * 9} here") for i in range(16)], "doc_id int, text string")
+    items = spark.createDataFrame([(i, f"holds item number {'abcdefgh'[i] * 9}") for i in range(4)], "item_id int, text string")
+    found = decontaminate.find(df, items, block=30)
+    assert len(most) == 4 and max(most) == 1 and sorted((r.doc_id, r.item_id) for r in found.collect()) == sorted((i, i % 8) for i in range(16) if i % 8 < 4)
+    most.clear()
+    assert sorted(r.doc_id for r in decontaminate.clean(df, items, block=30).collect()) == [i for i in range(16) if i % 8 >= 4] and max(most) == 1
+    assert not hasattr(decontaminate.clean(df, items), "saved_at") and decontaminate.find(df, items.limit(0)).count() == 0 and decontaminate.clean(df, items.limit(0)).count() == 16
