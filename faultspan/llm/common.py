@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def saved(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """While it lasts, Arrow batches hold so many bytes at most (Spark's own limit is 64 MB, for each side of each task)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discarded(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete saved tables that no later plan reads, and let Spark's cleaner find the shuffle files of what has ended."""
     jvm = spark.sparkContext._jvm

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discarded, mix, saved, slices, words
+from .common import discarded, mix, saved, slices, small_batches, words
 
 SIZE = 5
 #: Groups of the R-trees' points, of the widest vectors, and how many times GROUPS these are folded to at most.
@@ -460,6 +460,17 @@ def opened(buckets: DataFrame, sizes: DataFrame, labels: DataFrame | None) -> Da
 
 def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles long, component_id (the smallest key of the row's component) of every row."""
+    with small_batches(df.sparkSession):  # sets are wide rows, and all work on them is done in here
+        rows, labels = _labelled(df, key, text)
+    # the name of a component is the smallest key of all rows in it, copies included
+    full = rows.where("m > 0").join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    names = full.groupBy("node").agg(F.min("key").alias("name"))
+    full = full.join(names, "node").select(F.col("key").alias(key), F.col("m").alias("n_shingles"), F.col("name").alias("component_id"))
+    return full.unionByName(rows.where("m = 0").select(F.col("key").alias(key), F.col("m").alias("n_shingles"), F.col("key").alias("component_id")))
+
+
+def _labelled(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Written tables: key, m, node of every row, and node, root of every node with links."""
     spark = df.sparkSession
     # sets lie by node, so that they need not move again when the nodes of buckets are known
     every = saved(sets(df, key, text), "shingle-sets", by="node")
@@ -488,8 +499,4 @@ def linked(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             buckets = buckets.join(reached(failed, links.union(pairs)), "node", "left_semi")
         discarded(spark, open_rows, pairs)
     discarded(spark, of)
-    # the name of a component is the smallest key of all rows in it, copies included
-    full = rows.where("m > 0").join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
-    names = full.groupBy("node").agg(F.min("key").alias("name"))
-    full = full.join(names, "node").select(F.col("key").alias(key), F.col("m").alias("n_shingles"), F.col("name").alias("component_id"))
-    return full.unionByName(rows.where("m = 0").select(F.col("key").alias(key), F.col("m").alias("n_shingles"), F.col("key").alias("component_id")))
+    return rows, labels
