@@ -159,3 +159,22 @@ def test_stores_that_break_are_rows(spark, tmp_path):
     files[0].write_bytes(b"PAR1 no table")
     rows, status = io.federated(spark, {"good": f"{tmp_path}/good", "broken": f"{tmp_path}/broken", "none": f"{tmp_path}/none"}, lambda d: d, 3)
     assert rows.count() == 3 and {(r.source_db, r.ok, r.n, r.error is None) for r in status.collect()} == {("good", True, 3, True), ("broken", False, 0, False), ("none", False, 0, False)}
+
+
+def test_live_counts_and_rate_limits_of_streams(spark, tmp_path):
+    df = events(spark, [{"ts": T0 + datetime.timedelta(minutes=17 * i), "application": "ab"[i % 2]} for i in range(40)])
+    df.repartition(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    jobs.live_counts(stream, by="application").writeStream.format("memory").queryName("live_counts").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start().awaitTermination(180)
+    want = df.groupBy(F.date_trunc("hour", "ts").alias("start"), "application").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, spark.table("live_counts").collect())) == sorted(map(tuple, want.collect()))
+
+    from faultspan.streaming import stateful
+
+    req = df.select(F.col("id").alias("request_id"), F.col("ts").alias("received_at"), F.col("application").alias("remote_addr"), F.lit("o").alias("origin"))
+    req.repartition(1).write.parquet(f"{tmp_path}/req")
+    calls = spark.readStream.schema(req.schema).parquet(f"{tmp_path}/req")
+    jobs.start(stateful.rate_limited_stream(calls, 2, 3 * 3_600_000), jobs.to_table(f"{tmp_path}/out"), f"{tmp_path}/c2").awaitTermination(180)
+    got = {(r.request_id, r.client, r.limited) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    table = stateful.rate_limited(stateful.client_key(req), 2, 3 * 3_600_000)
+    assert got == {(r.request_id, r.client, r.limited) for r in table.collect()} and any(r[2] for r in got)
