@@ -234,3 +234,48 @@ def test_remainders(spark):
 
     df = spark.createDataFrame([(i,) for i in (0, 1, 17, 123456)], "doc_id bigint")
     assert [r.x for r in df.select(remainder("doc_id", 7).alias("x")).collect()] == [zlib.crc32(str(i).encode()) % 7 for i in (0, 1, 17, 123456)]
+
+
+def test_risk_like_brute_force(spark):
+    """A few turns against slopes by differences of the non-negative risk itself, with its sign switch where the clean part is negative."""
+    rng = np.random.default_rng(7)
+    bad, good = ["scum", "idiot", "vile", "hate"], [f"word{i}" for i in range(12)]
+    texts = {i: " ".join([*rng.choice(bad, 3), *rng.choice(good, 3)]) if i < 30 else " ".join(rng.choice(good, 6)) for i in range(60)}
+    texts[60] = None
+    df = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    marks = spark.createDataFrame([(i, 1) for i in range(20)] + [(i, 0) for i in range(40, 50)], "doc_id int, toxic int")
+    switched = 0
+    for prior in (0.3, 0.9):
+        turns, rate, shrink, least, lift = 12, 0.3, 1e-4, 4, 1.5
+        model = toxicity.fit(df, marks, prior=prior, turns=turns, rate=rate, shrink=shrink, least=least, lift=lift)
+        sets = {}
+        for i, t in texts.items():
+            if t is not None:
+                data = np.frombuffer(t.encode(), np.uint8)
+                sets[i] = set(toxicity.features(data, np.array([0, len(data)]))[1].tolist())
+        p, u = [sets[i] for i in range(20)], list(sets.values())
+        # equal texts are one in the samples
+        p, u = ([sets[next(k for k in texts if texts[k] == t)] for t in dict.fromkeys(texts[i] for i in ids)] for ids in (range(20), sets))
+        kept = sorted(f for f in set().union(*p) if (a := sum(f in s for s in p)) >= least and a / len(p) >= lift * (sum(f in s for s in u) + 1) / len(u))
+        xp, xu = (np.array([[f in s for f in kept] for s in part], float) for part in (p, u))
+        n = len(kept)
+
+        def parts(w, b, prior=prior, xp=xp, xu=xu):
+            zp, zu = xp @ w + b, xu @ w + b
+            loss = lambda z: np.logaddexp(0, z)
+            return prior * loss(-zp).mean(), loss(zu).mean() - prior * loss(zp).mean()
+
+        w, b, state = np.zeros(n), np.log(prior / (1 - prior)), [np.zeros(n + 1), np.zeros(n + 1)]
+        for turn in range(1, turns + 1):
+            negative = parts(w, b)[1] < 0
+            switched += negative
+            goal = lambda x: -parts(x[:-1], x[-1])[1] if negative else sum(parts(x[:-1], x[-1]))  # noqa: E731, B023
+            x = np.append(w, b)
+            g = np.array([(goal(x + d) - goal(x - d)) / 2e-5 for d in np.eye(n + 1) * 1e-5])
+            state = [0.9 * state[0] + 0.1 * g, 0.99 * state[1] + 0.01 * g * g]
+            scale = np.sqrt(state[1] / (1 - 0.99**turn)) + 1e-4
+            x -= rate / np.sqrt(turn) * (state[0] / (1 - 0.9**turn)) / scale
+            w, b = np.sign(x[:-1]) * np.maximum(np.abs(x[:-1]) - rate / np.sqrt(turn) * shrink / scale[:-1], 0), x[-1]
+        assert n > 5 and set(np.flatnonzero(model.weights)) <= set(kept)
+        assert np.allclose(model.weights[kept], w, atol=2e-3) and np.isclose(model.bias, b, atol=2e-3)
+    assert switched
