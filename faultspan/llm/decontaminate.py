@@ -186,12 +186,12 @@ def clean(df: DataFrame, items: DataFrame, text: str = "text", item_text: str =
 
         return rows.mapInArrow(run, schema)
 
-    left = [df]
-    for kept in passes(df.sparkSession, blocks(items.select(items[item_text].alias("i"), items[item_text].alias("t")), block), lambda sent: keep(sent, left[0])):
-        if hasattr(left[0], "saved_at"):
-            discarded(df.sparkSession, left[0])
-        left[0] = kept
-    return left[0]
+    left, own = df, None
+    for kept in passes(df.sparkSession, blocks(items.select(items[item_text].alias("i"), items[item_text].alias("t")), block), lambda sent: keep(sent, left)):
+        if own is not None:  # what the block before left, written here; the rows given stay where they are
+            discarded(df.sparkSession, own)
+        left, own = kept, kept if kept is not df and hasattr(kept, "saved_at") else None
+    return left
 
 
 def passes(spark: SparkSession, held: Iterator[list[tuple[object, str]]], over: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:

@@ -234,3 +234,6 @@ def test_blocks_of_items_are_taken_back(spark, monkeypatch):
     most.clear()
     assert sorted(r.doc_id for r in decontaminate.clean(df, items, block=30).collect()) == [i for i in range(16) if i % 8 >= 4] and max(most) == 1
     assert not hasattr(decontaminate.clean(df, items), "saved_at") and decontaminate.find(df, items.limit(0)).count() == 0 and decontaminate.clean(df, items.limit(0)).count() == 16
+    given = decontaminate.saved(df, "given")
+    for block in (30, 1 << 20):
+        assert decontaminate.clean(given, items, block=block).count() == 8 and given.count() == 16
