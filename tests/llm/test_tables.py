@@ -329,3 +329,19 @@ def test_hot_digests_meet_narrow(spark):
     got = warc_zip.decided(spark.createDataFrame(rows, "page_id int, html string")).collect()
     assert len(got) == len(rows)
     assert sorted((r.page_id or 0, r.html, r["__revisit"], r["__refers"] or 0) for r in got) == sorted([(1, "a", True, 2), (2, "a", False, 0), (2, "a", False, 0), (0, "a", True, 2), (3, "b", False, 0), (2, "b", True, 3), (4, "", True, 5), (5, "", False, 0)])
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, and texts that are null, empty, very long or repeated, with nulls in every column and columns named like results."""
+    d = "/root/testdata/sf0.001"
+    docs = queries.table(spark, d, "documents")
+    for name, rows in (("empty", docs.limit(0)), ("odd", docs.unionByName(spark.createDataFrame([(None, None, None, None, None), (None, "", None, None, None), (9001, "word " * 200_000, None, "s", None), (9002, "word " * 200_000, "en", None, 1), (9002, "word " * 200_000, "en", None, 1)], docs.schema)).withColumns({"score": F.lit("x"), "node": F.lit(1), "rejected": F.lit(None).cast("int")}))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for t in ("labels", "benchmark"):
+            own = queries.table(spark, d, t)
+            (own.limit(0) if name == "empty" else own).write.parquet(f"{tmp_path}/{name}/{t}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    got = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert {"score", "node", "rejected", "n_tokens"} <= set(got.columns)
+    kept = {r.doc_id for r in got.select("doc_id").collect()}
+    assert None not in kept and kept <= {r.doc_id for r in docs.select("doc_id").collect()} | {9001, 9002} and len(kept) > 100
