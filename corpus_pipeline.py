@@ -1,4 +1,11 @@
-"""From raw documents to token ids: language, toxicity, near duplicates, benchmark leaks, encoding."""
+"""From raw documents to token ids: language, toxicity, near duplicates, benchmark leaks, encoding.
+
+Rows are judged as they stand: null and empty texts have no letters and go with the first stage; very long texts are read
+whole; repeated rows count as near duplicates of each other, of which one stays; rows with null ids are judged by their text
+like others. Columns that the table has besides, named like results of the operators or not, go along through all stages. An
+empty table gives none. Each stage is written to the shared folder and read again by the next, so that lost executors cost no
+more than the stage that they were in.
+"""
 
 from __future__ import annotations
 
