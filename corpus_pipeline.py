@@ -9,6 +9,8 @@ more than the stage that they were in.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +20,35 @@ from faultspan.llm.common import saved
 from faultspan.llm.queries import RANKS, table
 
 
+#: What an Arrow batch of documents holds at most. Spark's own 64 MB, for each side of each task, are kept by executors from the
+#: first stage on, besides what the n-gram join needs.
+BATCH = "8m"
+
+
+def stage(function):
+    """A stage runs, and what it returns is written, with batches of BATCH."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what language ID rejects: texts without letters and texts unlike every language learned."""
     return language_id.fit(docs).predict(docs).where(~F.col("rejected")).select(*docs.columns)
 
 
+@stage
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that the classifier, learned from the labels of these documents, calls toxic."""
     return toxicity.fit(docs, table(spark, sf_dir, "labels")).predict(docs).where("predicted = 0").select(*docs.columns)
 
 
+@stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates keep the row with the smallest id, a null id last; of rows alike in all columns one.
 
@@ -43,11 +64,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.unionByName(often) if marks.where("NOT later").take(1) else kept
 
 
+@stage
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop texts that hold a benchmark item within its budget of edits."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@stage
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each text's ids, and the digest of what they decode to."""
     return byte_bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).drop("text")
@@ -61,6 +84,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for name, function in STAGES[:-1]:
+        docs = saved(function(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
