@@ -345,3 +345,17 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
     assert {"score", "node", "rejected", "n_tokens"} <= set(got.columns)
     kept = {r.doc_id for r in got.select("doc_id").collect()}
     assert None not in kept and kept <= {r.doc_id for r in docs.select("doc_id").collect()} | {9001, 9002} and len(kept) > 100
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_like_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, DIR)
+    found = c.execute(queries.ORACLE_SQL[name])
+    names = [x[0] for x in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(found.fetchall()) == sorted(tuple(r[n] for n in names) for r in df.collect())
