@@ -90,10 +90,6 @@ def archive(df: DataFrame, age: str, now_ms: int) -> tuple[DataFrame, DataFrame]
     return df.where(old).withColumns({"arch_year": F.year("ts"), "arch_quarter": F.quarter("ts")}), df.where(~F.coalesce(old, F.lit(False)))
 
 
-def write_archive(archived: DataFrame, path: str) -> None:
-    archived.write.partitionBy("arch_year", "arch_quarter").mode("append").parquet(path)
-
-
 def merge_import(df: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of incoming whose event_id is new, the first of each id by line; and counts by outcome: imported, duplicate, malformed.
 

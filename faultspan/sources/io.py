@@ -192,5 +192,6 @@ def top_of_each(df: DataFrame, k: int, by: str = "source_db") -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("ts"), F.desc("id")))).where(F.col("__n") <= k).drop("__n")
 
 
-def with_archive(live: DataFrame, archived: DataFrame) -> DataFrame:
-    return live.unionByName(archived.select(*live.columns))
+def with_archive(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None) -> DataFrame:
+    """Live and archived events of a store, of the days asked for."""
+    return scan(spark, path, first_day, last_day).unionByName(scan(spark, path, first_day, last_day, "archive"))

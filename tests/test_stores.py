@@ -50,6 +50,7 @@ def test_archive_is_one_commit(spark, tmp_path, monkeypatch):
     assert io.archive_store(spark, path, "3d", now, "a") and not io.archive_store(spark, path, "3d", now, "a")
     old, rest = mutations.archive(events(spark, [{"ts": T0 + i * DAY / 4} for i in range(20)]), "3d", now)
     assert ids(io.archived(spark, path)) == ids(old) and ids(io.scan(spark, path)) == ids(rest) and old.count() and rest.count()
+    assert ids(io.with_archive(spark, path)) == list(range(1, 21)) and ids(io.with_archive(spark, path, "2024-01-02", "2024-01-03")) == list(range(5, 13))
     assert {(r.arch_year, r.arch_quarter) for r in io.archived(spark, path).collect()} == {(2024, 1)}
     # days that are wholly old were not written anew
     assert {f.path for f in kept.folders} & {f.path for f in commits.state(spark, path).of("archive")}
