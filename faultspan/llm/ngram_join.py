@@ -45,7 +45,7 @@ LEAF, FAN = 16, 8
 #: Pairs of tree nodes that are opened together.
 TOGETHER = 1 << 12
 #: Shingles that one vectorised step holds.
-STEP = 1 << 20
+STEP = 1 << 18
 _WEIGHTS = mix(np.arange(1, SIZE + 1, dtype=np.uint64))
 
 
