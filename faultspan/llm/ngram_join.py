@@ -338,7 +338,7 @@ def some_pairs(rows: pd.DataFrame, cuts: np.ndarray, forest: bool) -> np.ndarray
     once_each, held = np.zeros(0, np.int64), []
     for pairs in within(m, comp, v, cuts, sizes):
         held.append(take(*pairs))
-        if sum(map(len, held)) > STEP:
+        if sum(map(len, held)) > 4 * STEP:
             once_each, held = np.unique(np.concatenate([once_each, *held])), []
     once_each = np.unique(np.concatenate([once_each, *held]))
     a, b = once_each // len(names), once_each % len(names)
