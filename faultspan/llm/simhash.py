@@ -50,8 +50,8 @@ def set_bits(text: np.ndarray, first: np.ndarray, last: np.ndarray, row: np.ndar
 def of_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The fingerprint of each text, as signed 64-bit numbers."""
     rows = len(offsets) - 1
-    text, _, first, last = joined(LOWER[data], *spans(data, offsets), rows)
-    row = spans(data, offsets)[0]
+    row, start, end = spans(data, offsets)
+    text, _, first, last = joined(LOWER[data], row, start, end, rows)
     words = np.bincount(row, minlength=rows)
     begin = np.cumsum(words) - words
     # a shingle for each word that has SIZE - 1 after it, and one of all words of a shorter text
