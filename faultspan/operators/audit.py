@@ -31,10 +31,11 @@ def block_key(key: Column | None = None, bits: int = BITS) -> Column:
     return F.concat_ws("#", F.coalesce(key.cast("string"), F.lit("")), number) if key is not None else number
 
 
-def anchors(df: DataFrame, tombstones: DataFrame | None = None, key: Column | None = None, bits: int = BITS) -> DataFrame:
+def anchors(df: DataFrame, tombstones: DataFrame | None = None, key: Column | None = None, bits: int = BITS, flat: bool = False) -> DataFrame:
     """key, level, block, head of every block: on level 0 the last hash of its rows and tombstones (row_id, audit_hash, key); above, of the chain of the heads of 2 ** bits blocks, until one is left.
 
-    Each level is a group by block of 2 ** bits rows at most, however long the chain is.
+    Each level is a group by block of 2 ** bits rows at most, however long the chain is. A flat anchor has one level above
+    the blocks, block 0, of the chain of all heads of a key, which streams through a task in order.
     """
     name = key.cast("string") if key is not None else F.lit("")
     rows = df.select(F.coalesce(name, F.lit("")).alias("key"), "id", F.col("audit_hash").alias("h"))
@@ -43,6 +44,9 @@ def anchors(df: DataFrame, tombstones: DataFrame | None = None, key: Column | No
     level = 0
     now = checkpointed(rows.groupBy("key", F.shiftright("id", bits).alias("block")).agg(F.max_by("h", "id").alias("head")))
     out = now.select("key", F.lit(0).alias("level"), "block", "head")
+    if flat:
+        several = now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").take(1)
+        return out.unionByName(_flat(now)) if several else out
     while now.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").take(1):
         level += 1
         heads = F.transform(F.array_sort(F.collect_list(F.struct("block", "head"))), lambda x: x["head"])
@@ -52,6 +56,26 @@ def anchors(df: DataFrame, tombstones: DataFrame | None = None, key: Column | No
     return out
 
 
+def _flat(heads: DataFrame) -> DataFrame:
+    """key, level 1, block 0, head of the chain of all heads of each key: rows come sorted, and only the key and hash at hand are kept."""
+
+    def walk(batches):
+        key, at = None, GENESIS
+        for rows in batches:
+            done = []
+            for own, head in zip(rows["key"], rows["head"], strict=True):
+                if own != key:
+                    done += [(key, at)] if key is not None else []
+                    key, at = own, GENESIS
+                at = hashlib.sha256(f"{at}|{head}".encode()).hexdigest()
+            yield pd.DataFrame(done, columns=["key", "head"])
+        if key is not None:
+            yield pd.DataFrame([(key, at)], columns=["key", "head"])
+
+    ends = heads.repartition("key").sortWithinPartitions("key", "block").select("key", "head").mapInPandas(walk, "key string, head string")
+    return ends.select("key", F.lit(1).alias("level"), F.lit(0).cast(heads.schema["block"].dataType).alias("block"), "head")
+
+
 def broken_anchors(df: DataFrame, stored: DataFrame, tombstones: DataFrame | None = None, key: Column | None = None, bits: int = BITS) -> DataFrame:
     """key, level, block, expected (stored), actual (of the rows that are there) of the blocks that differ or are missing on either side."""
     own = anchors(df, tombstones, key, bits).withColumnRenamed("head", "actual")

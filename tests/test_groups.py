@@ -5,6 +5,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
 from faultspan import queries
@@ -63,3 +64,14 @@ def test_tombstones_are_told_without_a_chain(spark, monkeypatch):
     monkeypatch.setattr(queries.U, "build", None)
     ids = [r.id for r in queries.events(spark, DIR).select("id").collect() if r.id % 10 == 4]
     assert tuple(queries.tombstone_report(spark, DIR).collect()[0]) == (len(ids), min(ids), max(ids))
+
+
+def test_anchors_of_more_blocks_than_a_level_has(spark, tmp_path):
+    """With more than 1,024 blocks of an application the heads are still one chain, as the SQL has it."""
+    c = duckdb.connect()
+    c.execute("SET timezone = 'UTC'")
+    c.execute(f"CREATE TABLE events AS SELECT * REPLACE (event_id * 20000 AS event_id) FROM '{DIR}/events.parquet'")
+    c.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = sorted(c.execute(f"SELECT key, level, block, head FROM ({queries.ORACLE_SQL['audit_anchors']})").fetchall())
+    assert max(block for _, _, block, _ in want) > 1024
+    assert sorted(tuple(r) for r in queries.audit_anchors(spark, str(tmp_path)).select("key", "level", "block", "head").collect()) == want
