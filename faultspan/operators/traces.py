@@ -3,13 +3,18 @@
 Chains follow parent_event_id. Whole tables are resolved by pointer jumping: at each turn every event's pointer goes
 twice as far, so turns grow with the logarithm of the depth; each turn is checkpointed. A cycle is told, not followed.
 
+Ancestors and descendants are made of `jumps`: tables of each event's ancestor 1, 2, 4 ... above, as far as chains go. Every
+distance is one sum of these, so each pair is found once, and turns grow with the logarithm of the depth.
+
 `labelled` numbers every tree in the order of a walk through it, so that what is below an event is a range of numbers.
-Ancestors and descendants are then one join: a range is cut into blocks of powers of two, a number lies in one block of each
+Given such labels, ancestors and descendants are one join: a range is cut into blocks of powers of two, a number lies in one block of each
 size, and so a number and a range that has it meet in exactly one block, whatever the depth and however many others there are.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,17 +113,84 @@ def _below(labels: DataFrame, upper: DataFrame, lower: DataFrame) -> DataFrame:
     return ranges.join(points, ["root_id", "level", "block"]).select("up", "down", (F.col("low") - F.col("high")).cast("int").alias("depth"))
 
 
+@dataclass
+class Jumps:
+    """Tables by k of event_id, up (its ancestor 2 ** k above), there (false for one that is only named), of every event that has one; events in or below a cycle, which these lack; whether an event id has one parent at most."""
+
+    tables: list[DataFrame]
+    odd: DataFrame | None
+    one_parent: bool
+
+
+def jumps(df: DataFrame) -> Jumps:
+    """Each table is the one before joined with itself. In a tree some chain ends between 2 ** k and 2 ** (k + 1), so a turn that ends none has cycles only."""
+    parent = F.col("parent_event_id")
+    own = checkpointed(df.where("event_id IS NOT NULL").groupBy("event_id").agg(F.min(parent).alias("up"), (F.min(parent) < F.max(parent)).alias("several")))
+    have = own.select(F.col("event_id").alias("up"), F.lit(True).alias("there"))
+    at = checkpointed(own.where("up IS NOT NULL").select("event_id", "up").join(have, "up", "left").select("event_id", "up", F.coalesce("there", F.lit(False)).alias("there")))
+    tables, odd, n = [], None, at.count()
+    while n:
+        tables.append(at)
+        at = checkpointed(at.where("there").select("event_id", F.col("up").alias("by")).join(at.withColumnRenamed("event_id", "by"), "by").select("event_id", "up", "there"))
+        before, n = n, at.count()
+        if n == before:
+            odd = at.select("event_id")
+            tables = [checkpointed(t.join(odd, "event_id", "left_anti")) for t in tables]
+            break
+    return Jumps(tables, odd, not own.where("several").take(1))
+
+
+def _pairs(j: Jumps, seeds: DataFrame | None, upwards: bool) -> DataFrame | None:
+    """down, up, depth, there (of up) of all pairs with the lower (upwards) or the upper event among the seeds, None for all; None if there are no pairs. From the farthest jumps on, so that each distance is met once."""
+    own = seeds.select("event_id").distinct() if seeds is not None else None
+    found: list[DataFrame] = []
+    for k in reversed(range(len(j.tables))):
+        t, far = j.tables[k].withColumnRenamed("event_id", "down"), F.lit(1 << k)
+        first = t if own is None else checkpointed(t.join(own.withColumnRenamed("event_id", "down" if upwards else "up"), "down" if upwards else "up", "left_semi"))
+        so_far = found[0] if found else None
+        for x in found[1:]:
+            so_far = so_far.unionByName(x)
+        found.append(first.select("down", "up", far.alias("depth"), "there"))
+        if so_far is None:
+            continue
+        if upwards:
+            more = so_far.where("there").select("down", F.col("up").alias("by"), "depth").join(t.withColumnRenamed("down", "by"), "by")
+        else:
+            more = so_far.withColumnRenamed("down", "by").join(t.select("down", F.col("up").alias("by")), "by")
+        more = more.select("down", "up", (F.col("depth") + far).alias("depth"), "there")
+        found.append(checkpointed(more) if k else more)
+    out = found[0] if found else None
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _round(df: DataFrame, seeds: DataFrame, j: Jumps, upwards: bool) -> DataFrame | None:
+    """What lies in or below a cycle, walked step by step."""
+    if j.odd is None:
+        return None
+    odd = checkpointed(df.join(j.odd, "event_id", "left_semi"))
+    steps = odd.select("event_id", F.col("parent_event_id").alias("next")) if upwards else odd.select(F.col("parent_event_id").alias("event_id"), F.col("event_id").alias("next"))
+    return _walk(steps, seeds.join(odd.select("event_id"), "event_id", "left_semi"))
+
+
 def _walked(df: DataFrame, seeds: DataFrame, labels: DataFrame | None, upwards: bool) -> DataFrame:
-    labels = labelled(df) if labels is None else labels
-    pairs = _below(labels, labels, seeds) if upwards else _below(labels, seeds, labels)
     of, other = ("down", "up") if upwards else ("up", "down")
+    if labels is None:
+        j = jumps(df)
+        pairs, all_ = _pairs(j, None if seeds is df else seeds, upwards or seeds is df), seeds is df
+        if pairs is None:
+            pairs = df.sparkSession.createDataFrame([], "down string, up string, depth int, there boolean")
+        pairs = pairs.where("there") if all_ and not upwards else pairs
+    else:
+        pairs = _below(labels, labels, seeds) if upwards else _below(labels, seeds, labels)
     out = pairs.select(F.col(of).alias("of_id"), F.col(other).alias("event_id"), "depth", F.lit(False).alias("cycle"))
-    # what has no labels lies in or below a cycle, and is walked step by step
-    odd = checkpointed(df.join(labels.select("event_id"), "event_id", "left_anti"))
-    if not odd.take(1):
-        return out
-    steps = odd.select("event_id", F.col("parent_event_id").alias("next")) if upwards else odd.select(F.col("parent_event_id").alias("event_id"), F.col("event_id").alias("next"))
-    return out.unionByName(_walk(steps, seeds.join(odd.select("event_id"), "event_id", "left_semi")))
+    if labels is not None:
+        # what has no labels lies in or below a cycle
+        odd = checkpointed(df.join(labels.select("event_id"), "event_id", "left_anti").select("event_id"))
+        j = Jumps([], odd if odd.take(1) else None, True)
+    rest = _round(df, seeds, j, upwards)
+    return out if rest is None else out.unionByName(rest)
 
 
 def ancestors(df: DataFrame, seeds: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -176,20 +248,38 @@ def tree_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.where("NOT cycle").groupBy("root_id").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
-def trace_of(df: DataFrame, edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For a table of focal events: their chains and all below (of_id, event_id, relation, depth), and the edges among them or at the focal event."""
-    labels = labelled(df)
-    own = seeds.join(df.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("of_id"), "event_id", F.lit("focal").alias("relation"), F.lit(0).alias("depth"))
-    up = present(df, ancestors(df, seeds, labels)).select("of_id", "event_id", F.lit("ancestor").alias("relation"), "depth")
-    down = present(df, descendants(df, seeds, labels)).select("of_id", "event_id", F.lit("descendant").alias("relation"), "depth")
-    members = own.unionByName(up).unionByName(down)
-    own_edges = caused_by(df)
+def _members(df: DataFrame, seeds: DataFrame, j: Jumps) -> DataFrame:
+    """of_id, event_id, relation, depth of the focal events, their chains and all below, as far as they are there."""
+    out = seeds.join(df.select("event_id"), "event_id", "left_semi").select(F.col("event_id").alias("of_id"), "event_id", F.lit("focal").alias("relation"), F.lit(0).alias("depth"))
+    up = _pairs(j, None if seeds is df else seeds, True)
+    if up is not None:
+        up = checkpointed(up.where("there")) if seeds is df else up.where("there")
+        down = up if seeds is df else _pairs(j, seeds, False)
+        out = out.unionByName(up.select(F.col("down").alias("of_id"), F.col("up").alias("event_id"), F.lit("ancestor").alias("relation"), "depth"))
+        out = out.unionByName(down.select(F.col("up").alias("of_id"), F.col("down").alias("event_id"), F.lit("descendant").alias("relation"), "depth"))
+    for name, upwards in (("ancestor", True), ("descendant", False)):
+        if (rest := _round(df, seeds, j, upwards)) is not None:
+            out = out.unionByName(present(df, rest).select("of_id", "event_id", F.lit(name).alias("relation"), "depth"))
+    return out
+
+
+def _inside(df: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges from parent to child among the members of each focal event."""
     src = members.select("of_id", F.col("event_id").alias("src_event_id"))
     dst = members.select("of_id", F.col("event_id").alias("dst_event_id"))
-    inside = own_edges.join(src, "src_event_id").join(dst, ["of_id", "dst_event_id"]).select("of_id", "src_event_id", "dst_event_id", "rel")
-    told = edges_of(edges, seeds)
-    focal = told.join(seeds.select(F.col("event_id").alias("src_event_id"), F.col("event_id").alias("of_id")), "src_event_id").unionByName(told.join(seeds.select(F.col("event_id").alias("dst_event_id"), F.col("event_id").alias("of_id")), "dst_event_id"))
-    return members, inside.unionByName(focal.select("of_id", "src_event_id", "dst_event_id", "rel")).distinct()
+    return caused_by(df).join(src, "src_event_id").join(dst, ["of_id", "dst_event_id"]).select("of_id", "src_event_id", "dst_event_id", "rel")
+
+
+def _focal(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges at each focal event."""
+    own = seeds.select(F.col("event_id").alias("of_id"))
+    return edges.join(own, F.col("src_event_id") == F.col("of_id")).unionByName(edges.join(own, F.col("dst_event_id") == F.col("of_id"))).select("of_id", "src_event_id", "dst_event_id", "rel")
+
+
+def trace_of(df: DataFrame, edges: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For a table of focal events: their chains and all below (of_id, event_id, relation, depth), and the edges among them or at the focal event."""
+    members = _members(df, seeds, jumps(df))
+    return members, _inside(df, members).unionByName(_focal(edges, seeds)).distinct()
 
 
 def resolve_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -202,15 +292,24 @@ def resolve_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
 
 def explain(df: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """One row for each focal event: itself, the root cause of its chain, the chain by time, edges, recurrence, path of the category."""
-    members, found = trace_of(df, edges, seeds)
-    detail = df.select("event_id", "ts", "id", "parent_event_id", "severity", "message")
-    line = members.where("relation <> 'descendant'").join(detail, "event_id")
-    cause = F.min_by("event_id", F.struct("ts", "id"))
-    first = line.where("parent_event_id IS NULL").groupBy("of_id").agg(cause.alias("root_cause_id"))
-    chain = line.groupBy("of_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id", "event_id"))), lambda x: x["event_id"]).alias("chain"))
-    ties = found.groupBy("of_id").agg(F.array_sort(F.collect_set(F.struct("src_event_id", "dst_event_id", "rel"))).alias("edges"))
+    j = jumps(df)
+    members = _members(df, seeds, j)
+    have = df.select(F.col("event_id").alias("parent_event_id")).distinct().withColumn("known", F.lit(True))
+    detail = df.select("event_id", "ts", "id", "parent_event_id").join(have, "parent_event_id", "left")
+    # a member's parent is a member, unless an event id has several parents: then edges are looked for among the members
+    tie = lambda src, dst, rel: F.struct(src.alias("src_event_id"), dst.alias("dst_event_id"), rel.alias("rel"))
+    by_parent = F.when(F.col("known"), tie(F.col("parent_event_id"), F.col("event_id"), F.lit("caused_by")))
+    at, above = F.struct("ts", "id", "event_id"), F.col("relation") != "descendant"
+    line = members.join(detail, "event_id").select("of_id", F.when(above, at).alias("at"), F.when(above & F.col("parent_event_id").isNull(), at).alias("top"), (by_parent if j.one_parent else F.lit(None)).alias("tie"))
+    ties = _focal(edges, seeds) if j.one_parent else _focal(edges, seeds).unionByName(_inside(df, members))
+    ties = ties.select("of_id", tie(F.col("src_event_id"), F.col("dst_event_id"), F.col("rel")).alias("tie"))
+    # everything of a focal event comes together once
+    of = line.unionByName(ties, allowMissingColumns=True).groupBy("of_id").agg(
+        F.min("top")["event_id"].alias("root_cause_id"), F.transform(F.array_sort(F.collect_list("at")), lambda x: x["event_id"]).alias("chain"), F.array_sort(F.collect_set("tie")).alias("edges")
+    )
+    of = of.withColumn("edges", F.when(F.size("edges") > 0, F.col("edges")))
     own = df.join(seeds.select("event_id"), "event_id", "left_semi").withColumn("of_id", F.col("event_id"))
     seen = rollup(df).select("fingerprint", F.col("count").alias("recurrence"), "first_seen", "last_seen")
     parts = F.split("category", r"\.")
     path = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
-    return own.join(first, "of_id", "left").join(chain, "of_id", "left").join(ties, "of_id", "left").join(seen, "fingerprint", "left").select("event_id", "severity", "message", "context", "root_cause_id", "chain", "edges", "recurrence", "first_seen", "last_seen", F.when(F.col("category").isNotNull(), path).alias("category_path"))
+    return own.join(of, "of_id", "left").join(seen, "fingerprint", "left").select("event_id", "severity", "message", "context", "root_cause_id", "chain", "edges", "recurrence", "first_seen", "last_seen", F.when(F.col("category").isNotNull(), path).alias("category_path"))

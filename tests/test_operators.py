@@ -329,3 +329,24 @@ def test_walks_like_plain_python(spark):
     assert len({(r.root_id, r.pre) for r in labels.values()}) == len(labels)
     roots = {r.event_id: r for r in traces.roots(df).collect()}
     assert {e for e, r in roots.items() if r.cycle} == cycles
+
+
+def test_pairs_and_dossiers_by_jumps(spark, monkeypatch):
+    """No numbered trees are needed for all events; an event id with two parents has its edges among the members only."""
+    monkeypatch.setattr(traces, "labelled", None)
+    parent = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "gone"), ("x", "y"), ("y", "x"), ("d", "e")]
+    rows = [(i, e, T0, p, "error", "m", "{}", "k.l", "f", "app", None) for i, (e, p) in enumerate(parent, 1)]
+    df = spark.createDataFrame(rows, "id bigint, event_id string, ts timestamp, parent_event_id string, severity string, message string, context string, category string, fingerprint string, application string, resolved_at timestamp")
+    edges = spark.createDataFrame([("a", "e", "retry_of")], "src_event_id string, dst_event_id string, rel string")
+    down = {(r.of_id, r.event_id, r.depth) for r in traces.descendants(df, df).where("NOT cycle").collect()}
+    assert down == {("a", "b", 1), ("a", "c", 2), ("a", "d", 3), ("b", "c", 1), ("b", "d", 2), ("c", "d", 1), ("x", "y", 1), ("y", "x", 1)}
+    some = traces.descendants(df, spark.createDataFrame([("gone",), ("b",)], "event_id string"))
+    assert {(r.of_id, r.event_id, r.depth) for r in some.collect()} == {("gone", "e", 1), ("b", "c", 1), ("b", "d", 2)}
+    own = df.where("id < 8")
+    for given in (df, own):
+        members, ties = traces.trace_of(given, edges, given)
+        told = {(r.event_id, tuple(e)) for r in traces.explain(given, edges, given).collect() for e in r.edges or []}
+        assert told == {(r.of_id, (r.src_event_id, r.dst_event_id, r.rel)) for r in ties.collect()}
+    lone = {r.event_id: r for r in traces.explain(own, edges, own).collect()}
+    assert lone["c"].chain == ["a", "b", "c"] and lone["c"].root_cause_id == "a" and set(lone["x"].chain) == {"x", "y"}
+    assert [tuple(e) for e in lone["c"].edges] == [("a", "b", "caused_by"), ("b", "c", "caused_by"), ("c", "d", "caused_by")]
