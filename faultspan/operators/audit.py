@@ -1,6 +1,6 @@
 """A hash chain over events: build, verify in parallel, report tombstones.
 
-Building is serial along a chain, and one group walks each chain, so a chain's key should bound it: `block_key` cuts any key
+Building is serial along a chain, and one task walks each chain, so a chain's key should bound it: `block_key` cuts any key
 into blocks of ids, 1,024 rows at most, and `anchors` chain the blocks' heads, level by level, so that what a long chain tells
 is kept: an edited, lost or added row breaks a link, and a block whose end is cut off breaks its anchor. Verifying is parallel:
 each row's predecessor is the row or else the tombstone before it, in one chain of ids one after another found by two joins,
@@ -11,11 +11,12 @@ id is what a walk along the chain would stop at. `streaming.stateful.chained_str
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StringType
 
 from faultspan.functions.lineage import checkpointed
 
@@ -89,22 +90,27 @@ def link(previous: Column) -> Column:
 
 
 def build(df: DataFrame, chain: Column, last: DataFrame | None = None) -> DataFrame:
-    """Fill the audit_hash of rows that have none, in id order within each chain, on from the chain's last hash (of its rows, else of `last`: chain, hash). One group walks a chain: see block_key."""
+    """Fill the audit_hash of rows that have none, in id order within each chain, on from the chain's last hash (of its rows, else of `last`: chain, hash). One task walks a chain: see block_key."""
     given = df if "audit_hash" in df.columns else df.withColumn("audit_hash", F.lit(None).cast("string"))
     rest = F.concat(*(F.concat(F.lit("|"), c) for c in (F.col("event_id"), F.date_format("ts", STAMP), F.col("message"), F.col("fingerprint"))))
-    x = given.select("id", "audit_hash", rest.alias("rest"), chain.alias("chain"))
-    x = x.join(last.select("chain", F.col("hash").alias("from")), "chain", "left") if last is not None else x.withColumn("from", F.lit(None).cast("string"))
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        at, out = next((h for h in rows["from"] if h), GENESIS), []
-        for own, rest in zip(rows["audit_hash"], rows["rest"], strict=True):
+    x = given.withColumns({"__chain": chain, "__rest": rest})
+    x = x.join(last.select(F.col("chain").alias("__chain"), F.col("hash").alias("__from")), "__chain", "left") if last is not None else x.withColumn("__from", F.lit(None).cast("string"))
+    x = x.repartition("__chain").sortWithinPartitions("__chain", "id")
+    return x.withColumn("audit_hash", _walk("__chain", "audit_hash", "__rest", "__from")).select(*given.columns)
+
+
+@F.pandas_udf(StringType())
+def _walk(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Hashes of rows that come sorted by chain and id: only the chain and hash at hand are kept, and the rows' other columns stay where they are."""
+    key, at = (), GENESIS
+    for rows in parts:
+        out = []
+        for chain, own, rest, begun in zip(*rows, strict=True):
+            if chain != key:
+                key, at = chain, begun or GENESIS
             at = own if own else hashlib.sha256((at + rest).encode()).hexdigest()
             out.append(at)
-        return pd.DataFrame({"id": rows["id"], "audit_hash": out})
-
-    hashed = x.groupBy("chain").applyInPandas(walk, StructType([x.schema["id"], StructField("audit_hash", StringType())]))
-    return given.drop("audit_hash").join(hashed, "id").select(*given.columns)
+        yield pd.Series(out, dtype=object)
 
 
 def checked(df: DataFrame, tombstones: DataFrame, chain: Column | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def append_chained(df: DataFrame, path: str, batch: str, key: Column | None = No
         both = heads(spark, path).unionByName(new)
         new = both.groupBy("chain").agg(F.max("last").alias("last"), F.max_by("head", "last").alias("head"))
     add = _staged(built.drop("__chain"), path, "events") + [("heads", commits.stage(new, path), {})]
-    if named.where(late).take(1):
+    if at.take(1) and named.where(late).select("id").take(1):  # without heads nothing is late
         add += _staged(named.where(late).drop("last", "__chain"), path, "late")
     return commits.commit(spark, path, batch, add, [f.path for f in old] if together else [], upon=state.version)
 
