@@ -67,7 +67,9 @@ def starts(times: DataFrame, interval_ms: int) -> DataFrame:
         if not more.take(1):
             return out
         out = out.unionByName(more)  # what was found before stays where it is written
-        jump = checkpointed(jump.join(jump.select("k", F.col("ms").alias("to"), F.col("to").alias("to2")), ["k", "to"]).select("k", "ms", F.col("to2").alias("to")))
+        twice = checkpointed(jump.join(jump.select("k", F.col("ms").alias("to"), F.col("to").alias("to2")), ["k", "to"]).select("k", "ms", F.col("to2").alias("to")))
+        # later turns begin where this one found something or where so many steps lead: chains run together, so these are soon few
+        jump = checkpointed(twice.join(twice.select("k", F.col("to").alias("ms")).unionByName(out), ["k", "ms"], "left_semi"))
 
 
 def _key(key: str) -> Column:

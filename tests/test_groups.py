@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from faultspan import queries
+from faultspan.operators import audit
 from faultspan.streaming import stateful
 
 DIR = "/root/testdata/sf0.001"
@@ -75,3 +76,28 @@ def test_anchors_of_more_blocks_than_a_level_has(spark, tmp_path):
     want = sorted(c.execute(f"SELECT key, level, block, head FROM ({queries.ORACLE_SQL['audit_anchors']})").fetchall())
     assert max(block for _, _, block, _ in want) > 1024
     assert sorted(tuple(r) for r in queries.audit_anchors(spark, str(tmp_path)).select("key", "level", "block", "head").collect()) == want
+
+
+def test_chains_are_walked_where_their_rows_lie(spark):
+    """One shuffle by chain: no groups, and no join to bring hashes back to rows; two rows of one id stay two."""
+    df = spark.createDataFrame([(i, f"e{i}", T0, "m", "f", "ab"[i % 2]) for i in (3, 1, 2, 2, 5)], "id bigint, event_id string, ts timestamp, message string, fingerprint string, application string")
+    out = audit.build(df, audit.block_key(df["application"], 2))
+    assert "InPandas" not in plan(out) and "Join" not in plan(out) and plan(out).count("Exchange hashpartitioning") == 1
+    assert sorted(r.id for r in out.collect()) == [1, 2, 2, 3, 5]
+
+
+def test_jumps_shrink_as_chains_run_together(spark, monkeypatch):
+    rng, sizes, written = random.Random(4), [], stateful.checkpointed
+
+    def seen(df):
+        out = written(df)
+        if out.columns == ["k", "ms", "to"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(stateful, "checkpointed", seen)
+    times = sorted(rng.sample(range(40_000), 4000))
+    told, _ = stateful.fires(times, 100, None)
+    out = stateful.starts(spark.createDataFrame([("a", t) for t in times], "k string, ms bigint"), 100)
+    assert sorted(r.ms for r in out.collect()) == [t for t, x in zip(times, told, strict=True) if x]
+    assert min(s for s in sizes[:8] if s) * 4 < sizes[0]
